@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, token_counts, token_files, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_token_files": token_files.op10_token_files,
 }
 SQL = {**url_filter.SQL, **mixing.SQL, **exact_dedup.SQL}
