@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, scratch, table, whole, written
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores share an executor, so none reserves files ahead, and commits send changes instead of files.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: str | Column) -> Column:
@@ -31,9 +37,9 @@ def first_arrivals(arrivals: DataFrame, files_per_batch: int = 2000) -> DataFram
     """
     spark = arrivals.sparkSession
     out, log = scratch(spark, "dedup-groups"), scratch(spark, "dedup-stream")
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    held = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals.inputFiles()[0].rpartition("/")[0])
         state = stream.groupBy("digest").agg(F.min("row").alias("keeper"), F.count(F.lit(1)).alias("arrived"))
