@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, token_counts, token_files, url_filter
+from . import bpe, exact_dedup, mixing, token_counts, token_files, topk, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_top_k": topk.op8_top_k,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_files": token_files.op10_token_files,
 }
-SQL = {**url_filter.SQL, **mixing.SQL, **exact_dedup.SQL}
+SQL = {**url_filter.SQL, **mixing.SQL, **exact_dedup.SQL, **topk.SQL}
