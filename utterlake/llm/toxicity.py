@@ -62,7 +62,7 @@ class Channel:
             if c.isalpha():
                 choices = [(c * k, 0.0 if k == run - at else DROP_COST) for k in range(1, min(run - at, 2) + 1)] if run - at > 2 else [(c * (run - at), 0.0)]
             else:
-                choices = [(x * k, SIGN_COST) for x in SIGNS.get(c, "") for k in range(1, min(run - at, 2) + 1)] + [("", DROP_COST if c not in SIGNS or not SIGNS[c] else KEEP_COST / 2), (word[at:run], KEEP_COST)]
+                choices = [(x * k, SIGN_COST) for x in SIGNS.get(c, "") for k in range(1, min(run - at, 2) + 1)] + ([] if SIGNS.get(c) else [("", DROP_COST)]) + [(word[at:run], KEEP_COST)]
             following: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in best.items():
                 for out, more in choices:
