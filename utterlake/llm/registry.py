@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, token_counts, token_files, topk, toxicity, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_token_counts": token_counts.op4_token_counts,
