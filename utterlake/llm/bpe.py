@@ -208,11 +208,11 @@ def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None)
     return kept.mapInArrow(lambda batches: with_texts(with_ids(batches, backtracking(path), text_col, "ids"), path, "ids", "decoded"), out)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs(doc_id, text)."""
-    coded = round_trip(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+def digests(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, extra columns, n_tokens, ids_sha256 and decoded_sha256 of every row of docs(doc_id, text)."""
+    coded = round_trip(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(extra or []), "text"))
     return coded.select(
-        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", *(extra or []), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
