@@ -6,5 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import analysis, scoring
+
+
+
+def long_counts(sql: str) -> str:
+    """Casts count_if(...) to BIGINT, as Spark's counts are."""
+    out, at = [], 0
+    while (start := sql.find("count_if(", at)) >= 0:
+        depth, end = 0, start + 8
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out += [sql[at:start], "CAST(", sql[start:end], " AS BIGINT)"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES, **analysis.QUERIES}
+SQL: dict[str, str] = {k: long_counts(v) for k, v in {**scoring.SQL, **analysis.SQL}.items()}
