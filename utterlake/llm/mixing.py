@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from .common import SPACES, table, whole, written
 
 BLOCK = 64
-SHARD_WORDS = 4_000_000
+#: Words of a shard at least, and shards over all at most: neither a shard nor their table grows into one task's burden.
+SHARD_WORDS = 100_000
+MOST_SHARDS = 20_000
+#: A prime above any shard's number of blocks: its multiples run through all blocks before they repeat.
+STRIDE = 2_654_435_761
 SEED = 17
 MOST = 3
 
@@ -69,7 +73,7 @@ def highest_quotients(targets: Sequence[float], seats: int, limits: Sequence[int
     return got
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = MOST, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target (of its source), taken (words the mix takes).
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating. A shard's blocks run over its documents' words in a seeded
@@ -86,6 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = [n for _, n in totals]
     targets = capped_shares(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
     quotas = highest_quotients(targets, round(sum(targets) / block), [most * -(-n // block) for n in sizes])
+    shard_words = max(SHARD_WORDS, sum(sizes) // MOST_SHARDS)
     plan = spark.createDataFrame(
         [(s, n, t, q, max(1, -(-n // shard_words))) for (s, n), t, q in zip(totals, targets, quotas, strict=True)],
         "source string, source_size long, target double, quota long, shards long",
@@ -97,22 +102,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
     shards = shards.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("all", F.sum("words").over(W.partitionBy("source")))
     shards = shards.withColumn("ideal", F.when(F.col("all") > 0, F.col("quota") * F.col("words") / F.col("all")).otherwise(0.0)).withColumn("given", F.greatest(F.lit(0), F.least(F.col("blocks") * most, F.floor("ideal") - 1)))
-    seats = shards.select("source", "shard", "quota", "blocks", "given", "ideal", F.sum("given").over(W.partitionBy("source")).alias("sure"), F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    shards = shards.withColumn("sure", F.sum("given").over(W.partitionBy("source")))
+    seats = shards.select("source", "shard", "quota", "blocks", "given", "ideal", "sure", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
     seats = seats.where(F.col("given") + F.col("k") < F.col("blocks") * most)
     by_quotient = W.partitionBy("source").orderBy((F.col("ideal") / (2 * (F.col("given") + F.col("k")) + 1)).desc(), "shard", "k")
     won = seats.withColumn("rank", F.row_number().over(by_quotient)).where(F.col("rank") <= F.col("quota") - F.col("sure")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("more"))
     same = ["source", "shard"]
     match = lambda a, b: (F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))) & (F.col(f"{a}.shard") == F.col(f"{b}.shard"))
-    quota = shards.alias("a").join(won.alias("b"), match("a", "b"), "left").select("a.source", "a.shard", "blocks", (F.col("given") + F.coalesce("more", F.lit(0))).alias("share"))
-    # Seeded order of a shard's blocks: the first share % blocks of them are taken once more than the others.
-    picks = quota.where("blocks > 0").select(*same, "blocks", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    seeded = W.partitionBy(*same).orderBy(F.xxhash64("source", "shard", "block", F.lit(seed + 2)), "block")
-    picks = picks.withColumn("rank", F.row_number().over(seeded) - 1).select(*same, "block", (F.floor(F.col("share") / F.col("blocks")) + (F.col("rank") < F.col("share") % F.col("blocks")).cast("long")).alias("times"))
+    quota = shards.alias("a").join(won.alias("b"), match("a", "b"), "left").where("words > 0").select("a.source", "a.shard", "words", (F.col("given") + F.coalesce("more", F.lit(0))).alias("share"))
     placed = dealt.where("size > 0").withColumn("end", F.sum("size").over(W.partitionBy(*same).orderBy("order", "doc_id", "at").rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
     spans = placed.select(*same, "at", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
     inside = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    taken = spans.withColumn("words", inside).alias("s").join(picks.where("times > 0").alias("p"), match("s", "p") & (F.col("s.block") == F.col("p.block"))).groupBy("at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # A shard goes round its words as often as its share holds them; the rest are full blocks in seeded order, its short last block coming last.
+    goal, full = F.col("share") * block, F.floor(F.col("p.words") / block)
+    rounds = F.least(F.lit(most), F.floor(goal / F.col("p.words")))
+    more = F.when(rounds >= most, F.lit(0)).otherwise(F.floor((goal - rounds * F.col("p.words")) / block + 0.5))
+    rank = F.pmod(F.col("block") * F.lit(STRIDE) + F.pmod(F.xxhash64("s.source", "s.shard", F.lit(seed + 2)), F.greatest(full, F.lit(1))), F.greatest(full, F.lit(1)))
+    times = rounds + F.when(F.col("block") < full, rank < more).otherwise(more > full).cast("long")
+    taken = spans.withColumn("inside", inside).alias("s").join(F.broadcast(quota).alias("p"), match("s", "p")).groupBy("at").agg(F.sum(F.col("inside") * times).alias("taken"))
     return dealt.join(taken, "at", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
