@@ -1,0 +1,235 @@
+"""Building, sampling and balancing training corpora (D1-D23). Random choices are orders by md5 of key and seed."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.normalise import clean, col, first_of
+
+
+def seeded(seed: int | str, *parts: str | Column) -> Column:
+    """A text that orders rows at random, the same for the same key and seed."""
+    return F.md5(F.concat_ws("|", *[col(p).cast("string") for p in parts], F.lit(str(seed))))
+
+
+def select_recordings(df: DataFrame, use_all: bool = False) -> DataFrame:
+    """One row for each utterance's best recording: of those with status correct, else of all, the least wer (null is 1e9), the first of ties."""
+    right = F.filter("recordings", lambda r: r["status"] == "correct")
+    pool = F.when(F.size(right) > 0, right).otherwise(F.col("recordings"))
+    if use_all:
+        return df.select("*", F.explode(pool).alias("recording")).drop("recordings")
+    ranked = F.array_min(F.transform(pool, lambda r, i: F.struct(F.coalesce(r["wer"], F.lit(1e9)).alias("wer"), i.alias("i"), r.alias("r"))))
+    return df.where(F.size("recordings") > 0).withColumn("recording", ranked["r"]).drop("recordings")
+
+
+def build_items(df: DataFrame, text: bool = True, audio: bool = True) -> DataFrame:
+    """A text item for each utterance and an audio item for its best recording."""
+    out = df.select("slurp_id", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("file"), F.col("sentence").alias("transcript")) if text else None
+    if audio:
+        spoken = select_recordings(df).select("slurp_id", F.lit("audio").alias("kind"), F.col("recording.file").alias("file"), F.col("sentence").alias("transcript"))
+        out = spoken if out is None else out.unionByName(spoken)
+    return out
+
+
+def prepare_sft(df: DataFrame, method: str | None = None, dedup: bool = True, limit: int | None = None) -> DataFrame:
+    """D3: gold_label as final; a method may override the rows' own, and vanilla has no rationale; one row for each (slurp_id, mode, method)."""
+    out = df.withColumn("final", F.coalesce("final", "gold_label")).withColumn("method", F.lit(method) if method else F.col("method"))
+    out = out.withColumn("rationale_text", F.when(F.col("method") == "vanilla", F.lit("")).otherwise(F.col("rationale_text")))
+    if dedup:
+        keys = ["slurp_id", "mode", "method"]
+        out = out.groupBy(*keys).agg(F.min_by(F.struct("pos", "final", "rationale_text"), "pos").alias("r")).select(*keys, "r.*")
+    return out.orderBy("pos").limit(limit) if limit else out
+
+
+def render_target(df: DataFrame, components: str, c: str = "c_line", r: str = "r_line", j: str = "j_json") -> DataFrame:
+    """Target text of the components; an empty C or R says (none)."""
+    parts = {"C": F.coalesce(F.nullif(clean(c), F.lit("")), F.lit("(none)")), "R": F.coalesce(F.nullif(clean(r), F.lit("")), F.lit("(none)")), "J": F.col(j)}
+    return df.withColumn("target", F.concat_ws("\n", *[F.concat(F.lit(f"{x}: "), parts[x]) for x in components]))
+
+
+def expand_multitask(df: DataFrame) -> DataFrame:
+    """Each row twice: with its rationale (task 0, cot) and with its label alone (task 1, label)."""
+    tasks = F.array(F.struct(F.lit(0).alias("task_id"), F.lit("cot").alias("task_mode")), F.struct(F.lit(1).alias("task_id"), F.lit("label").alias("task_mode")))
+    out = df.withColumn("t", F.explode(tasks)).withColumns({"task_id": F.col("t.task_id"), "task_mode": F.col("t.task_mode")}).drop("t")
+    return out.withColumn("rationale_text", F.when(F.col("task_id") == 0, F.col("rationale_text")).otherwise(F.lit("")))
+
+
+def mix_sources(label: DataFrame, cot: DataFrame) -> DataFrame:
+    """Rows of both sources, tagged."""
+    return label.withColumn("task_mode", F.lit("label")).unionByName(cot.withColumn("task_mode", F.lit("cot")), allowMissingColumns=True)
+
+
+def render_group_target(df: DataFrame, groups: DataFrame, label: str, name: str) -> DataFrame:
+    """`<Name> Group g: members. Selection: label.` of a label's group; a label without one is its own group."""
+    members = groups.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("members"))
+    of = groups.select(F.col("label").alias(label), "grp").join(members, "grp")
+    out = df.join(of, label, "left")
+    return out.withColumn("target", F.concat(F.lit(f"{name} Group "), F.coalesce("grp", F.col(label)), F.lit(": "), F.coalesce("members", F.col(label)), F.lit(". Selection: "), F.col(label), F.lit("."))).drop("grp", "members")
+
+
+def add_distractors(df: DataFrame, labels: DataFrame, n: int = 2, seed: int = 0, key: str = "key", label: str = "gold_intent") -> DataFrame:
+    """Gold and n other labels(label) in seeded order. The labels are a bounded vocabulary: they go along as one array."""
+    vocabulary = labels.agg(F.array_sort(F.collect_set("label")).alias("__all"))
+    out = df.crossJoin(F.broadcast(vocabulary))
+    others = F.array_sort(F.transform(F.array_remove("__all", F.col(label)), lambda x: F.struct(seeded(seed, key, x).alias("order"), x.alias("x"))))
+    chosen = F.concat(F.array(label), F.transform(F.slice(others, 1, n), lambda r: r["x"]))
+    mixed = F.array_sort(F.transform(chosen, lambda x: F.struct(seeded(f"{seed}-order", key, x).alias("order"), x.alias("x"))))
+    return out.withColumn("candidates", F.transform(mixed, lambda r: r["x"])).drop("__all")
+
+
+def candidate_list(df: DataFrame, vocabulary: Sequence[str], k: int | None = None, seed: int = 0, key: str = "key", label: str = "gold_intent") -> DataFrame:
+    """Gold first, then the vocabulary in its order, or a seeded sample to k."""
+    words = F.array(*[F.lit(v) for v in vocabulary])
+    if k is not None:
+        ranked = F.array_sort(F.transform(F.array_remove(words, F.col(label)), lambda x: F.struct(seeded(seed, key, x).alias("order"), x.alias("x"))))
+        words = F.transform(F.slice(ranked, 1, k - 1), lambda r: r["x"])
+    return df.withColumn("candidates", F.array_distinct(F.concat(F.array(label), words)))
+
+
+def format_nbest(c: str | Column, most: int = 5) -> Column:
+    """Numbered lines of the first hypotheses."""
+    return F.array_join(F.transform(F.slice(col(c), 1, most), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def hash_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df with `rank`, the place of each row in seeded order over all rows, from 1: ranks inside hash ranges, and the counts of the ranges before."""
+    rows = df.withColumn("__h", seeded(seed, key)).withColumn("__part", F.substring("__h", 1, 2))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    ranked = rows.withColumn("__own", F.row_number().over(W.partitionBy("__part").orderBy("__h", key)))
+    return ranked.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__own")).drop("__h", "__part", "__n", "__before", "__own")
+
+
+def distill_split(df: DataFrame, ratio: float, seed: int, key: str = "key", default: str = "No rationale.") -> DataFrame:
+    """Rows with audio, a target with rationale, and a split with exactly floor(n * ratio) eval rows."""
+    kept = df.where(clean("audio_path") != "").withColumn("rationale", first_of("rationale", F.lit(default)))
+    total = kept.agg(F.floor(F.count(F.lit(1)) * ratio).alias("n_eval"))
+    out = hash_rank(kept, key, seed).crossJoin(F.broadcast(total))
+    return out.withColumn("split", F.when(F.col("rank") <= F.col("n_eval"), "eval").otherwise("train")).drop("rank", "n_eval")
+
+
+def sample_by_id(df: DataFrame, ratio: float, seed: int, key: str = "slurp_id") -> DataFrame:
+    """All rows of floor(ids * ratio) ids, 1 at least; a ratio from 1 on keeps all, from 0 down none."""
+    if ratio >= 1:
+        return df
+    if ratio <= 0:
+        return df.limit(0)
+    ids = df.select(key).distinct()
+    n = ids.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * ratio)).alias("n"))
+    return df.join(hash_rank(ids, key, seed).crossJoin(F.broadcast(n)).where("rank <= n").select(key), key, "left_semi")
+
+
+def sample_per_combo(df: DataFrame, n: int, seed: int, key: str = "key", intent: str = "gold_intent", slots: str = "gold_slots") -> DataFrame:
+    """Up to n rows of each (intent, slot type), in seeded order; a row that several chose is there as often. No slots: __none__."""
+    combos = df.withColumn("slot", F.explode(F.when(F.size(slots) == 0, F.array(F.lit("__none__"))).otherwise(F.array_distinct(slots))))
+    ranked = combos.withColumn("__r", F.row_number().over(W.partitionBy(intent, "slot").orderBy(seeded(seed, key, "slot"), key)))
+    return ranked.where(F.col("__r") <= n).drop("__r")
+
+
+def cap_per_intent(df: DataFrame, cap: int, seed: int, key: str = "key", intent: str = "gold_intent") -> DataFrame:
+    """At most cap rows of an intent, in seeded order."""
+    return df.withColumn("__r", F.row_number().over(W.partitionBy(intent).orderBy(seeded(seed, key), key))).where(F.col("__r") <= cap).drop("__r")
+
+
+def balanced_subset(df: DataFrame, target: int, cap: int, seed: int, key: str = "key", intent: str = "gold_intent", slots: str = "gold_slots") -> DataFrame:
+    """A row for every intent and slot type, then rounds over the intents up to target, rare slots first, at most cap of an intent."""
+    order = F.struct(seeded(seed, key), key)
+    by_intent = df.groupBy(intent).agg(F.min_by(key, order).alias(key)).select(key)
+    each = df.select(key, F.explode(slots).alias("slot"))
+    by_slot = each.groupBy("slot").agg(F.min_by(key, order).alias(key), F.count(F.lit(1)).alias("n"))
+    must = by_intent.unionByName(by_slot.select(key)).distinct().withColumn("must", F.lit(True))
+    rarity = each.join(F.broadcast(by_slot.select("slot", "n")), "slot").groupBy(key).agg(F.min("n").alias("rarity"))
+    rows = df.join(must, key, "left").join(rarity, key, "left")
+    turn = F.row_number().over(W.partitionBy(intent).orderBy(F.col("must").isNull(), F.coalesce("rarity", F.lit(1 << 40)), seeded(seed, key), key))
+    rows = rows.withColumn("turn", turn).where((F.col("turn") <= cap) | F.col("must"))
+    return rows.orderBy(F.col("must").isNull(), "turn", intent).limit(target).drop("must", "rarity", "turn")
+
+
+def epoch_batches(df: DataFrame, epochs: int, epoch: int, batch: int, seed: int = 0, key: str = "key", drop_last: bool = False) -> DataFrame:
+    """This epoch's part of the audio rows and all text rows, in batches of one kind."""
+    audio = hash_rank(df.where("kind = 'audio'"), key, seed).withColumn("__chunk", F.pmod(F.col("rank") - 1, F.lit(epochs)))
+    audio = audio.where(F.col("__chunk") == epoch).withColumn("rank", F.floor((F.col("rank") - 1) / epochs) + 1).drop("__chunk")
+    out = audio.unionByName(hash_rank(df.where("kind = 'text'"), key, seed)).withColumn("batch", F.floor((F.col("rank") - 1) / batch))
+    if drop_last:
+        out = out.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("kind", "batch"))).where(F.col("__n") == batch).drop("__n")
+    return out
+
+
+def shard(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """Rows dealt round by position."""
+    return df.withColumn("shard", F.pmod(F.col(pos), F.lit(n)))
+
+
+def success_filter(df: DataFrame, key: str = "key") -> DataFrame:
+    """Correct rows, and for each intent and then each slot type without one, the best row not chosen yet; coverage_fallback marks those.
+
+    rows: key, gold_intent, gold_slots, correct, score, reward. One pass takes the best row of each missing intent; the slot types
+    left are few, and what each still lacks is found in one more pass.
+    """
+    best = F.struct(F.col("correct"), F.col("score"), F.col("reward"), seeded("ties", key), F.col(key))
+    good = df.where("correct")
+    missing = df.join(good.select("gold_intent").distinct(), "gold_intent", "left_anti")
+    by_intent = missing.groupBy("gold_intent").agg(F.max_by(key, best).alias(key)).select(key)
+    chosen = good.select(key).unionByName(by_intent)
+    covered = df.join(chosen, key, "left_semi").select(F.explode("gold_slots").alias("slot")).distinct()
+    left = df.select("*", F.explode("gold_slots").alias("slot")).join(covered, "slot", "left_anti")
+    by_slot = left.groupBy("slot").agg(F.max_by(key, best).alias(key)).select(key)
+    fallback = by_intent.unionByName(by_slot).distinct()
+    return df.where("correct").withColumn("coverage_fallback", F.lit(False)).unionByName(df.join(fallback, key, "left_semi").where("NOT correct").withColumn("coverage_fallback", F.lit(True)))
+
+
+def order_by_difficulty(df: DataFrame, hard_first: bool = True, key: str = "key") -> DataFrame:
+    """Hard first (score, reward up, wrong before right), or good first."""
+    cols = [F.col("score"), F.col("reward"), F.col("correct")]
+    return df.orderBy(*[c.asc() if hard_first else c.desc() for c in cols], key)
+
+
+def derange_rationales(df: DataFrame, seed: int, key: str = "slurp_id", column: str = "rationale_text") -> DataFrame:
+    """Each id gets the rationale of the next id in seeded order, so none keeps its own (with two ids or more); the source is named."""
+    ids = df.groupBy(key).agg(F.min(column).alias("text"))
+    ranked = hash_rank(ids, key, seed)
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    giver = ranked.crossJoin(F.broadcast(n)).select((F.pmod(F.col("rank") - 2, F.col("n")) + 1).alias("rank"), F.col("text").alias("given"), F.col(key).alias("rationale_source"))
+    return df.drop(column).join(ranked.select(key, "rank").join(giver, "rank").drop("rank"), key).withColumnRenamed("given", column)
+
+
+def nbest_tokens(df: DataFrame, stopwords: Sequence[str], key: str = "key", column: str = "nbest", most: int = 6) -> DataFrame:
+    """Tokens that at least 60 % of a row's hypotheses share (stable) and those that at most 40 % do (unstable), most frequent first, six of each."""
+    n = F.size(column)
+    sets = F.flatten(F.transform(column, lambda t: F.array_distinct(F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: (w != "") & ~w.isin(list(stopwords))))))
+    counts = F.transform(F.array_distinct(sets), lambda w: F.struct((-F.size(F.filter(sets, lambda x: x == w))).alias("n"), w.alias("w")))
+    names = lambda c: F.transform(F.slice(F.array_sort(c), 1, most), lambda x: x["w"])
+    return df.withColumns({"stable": names(F.filter(counts, lambda x: -x["n"] >= F.ceil(0.6 * n))), "unstable": names(F.filter(counts, lambda x: -x["n"] <= F.floor(0.4 * n)))})
+
+
+def nbest_ablation(df: DataFrame, ks: Sequence[int], column: str = "nbest") -> DataFrame:
+    """Each row with its first k hypotheses, for each k."""
+    return df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn(column, F.slice(column, F.lit(1), F.col("k")))
+
+
+#: Words that sound alike.
+HOMOPHONES = {"to": "two", "for": "four", "their": "there", "be": "bee", "by": "buy", "the": "da", "are": "our"}
+
+
+def simulate_nbest(df: DataFrame, n: int, seed: int, key: str = "key", column: str = "sentence") -> DataFrame:
+    """The sentence and noisy forms of it (a homophone, a word dropped, a word twice), each once, with falling confidence."""
+    w = F.split(F.trim(column), r"\s+")
+    swap = F.create_map(*[x for k, v in HOMOPHONES.items() for x in (F.lit(k), F.lit(v))])
+    forms = [F.array_join(w, " ")]
+    drop = lambda at: F.filter(w, lambda x, j: j != at)
+    double = lambda at: F.flatten(F.transform(w, lambda x, j: F.when(j == at, F.array(x, x)).otherwise(F.array(x))))
+    for i in range(1, n):
+        at = F.conv(F.substring(seeded(f"{seed}-{i}", key), 1, 6), 16, 10).cast("int") % F.size(w)
+        heard = F.transform(w, lambda x: F.coalesce(F.try_element_at(swap, F.lower(x)), x))
+        forms.append(F.array_join((double(at), heard, drop(at))[i % 3], " "))
+    unique = F.filter(F.array_distinct(F.array(*forms)), lambda t: t != "")
+    return df.withColumn("asr_hypotheses", F.transform(unique, lambda t, i: F.struct(t.alias("text"), F.round(1.0 - 0.1 * i, 2).alias("confidence"))))
+
+
+def label_view(df: DataFrame) -> DataFrame:
+    """What evaluation needs of a row."""
+    return df.select("key", "gold_scenario", "gold_action", "gold_intent", "pred_scenario", "pred_action", "pred_intent")
