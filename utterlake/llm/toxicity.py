@@ -26,6 +26,8 @@ THRESHOLD = 0.3
 #: The lexicon is bounded; beyond that its weakest marks go. PRIOR is how many average documents stand against every mark.
 MOST_MARKS, LEAST_DOCS, PRIOR, LEAST_CHANCE = 20_000, 3, 4.0, 0.35
 RIDGE = 0.0005
+#: The classifier learns from at most so many labelled rows, those with the least hashes of their identifiers.
+MOST_LABELLED = 20_000
 BEGINNINGS = (4, 5, 6)
 BATCH_BYTES = 2_000_000
 #: The letters that signs may stand for.
@@ -140,10 +142,12 @@ def features(word: str) -> list[str]:
 def learned(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], float]:
     """Weights of the lexicon's features, and the weight of a document without any, from labelled rows outside the held-out quarter.
 
-    Every labelled row counts; a feature counts once a document, and documents of one text count once.
+    At most MOST_LABELLED labelled rows, drawn by the hash of their identifiers, teach; so they can meet their texts by a broadcast
+    of bounded size. A feature counts once a document, and documents of one text count once.
     """
     known = labels.where(F.col(label_col).isNotNull() & (held_out(id_col) == F.lit(False))).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("long")).alias("label"))
-    rows = docs.select(F.col(id_col).alias("__id"), whole(text_col).alias("text")).join(known, "__id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    known = known.orderBy(F.xxhash64("__id"), "__id").limit(MOST_LABELLED)
+    rows = docs.select(F.col(id_col).alias("__id"), whole(text_col).alias("text")).join(F.broadcast(known), "__id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     rows = written(rows.select("text", "label"), "toxic-labelled")
     reader = Reader(channel)
 
