@@ -95,6 +95,19 @@ def format_nbest(c: str | Column, most: int = 5) -> Column:
     return F.array_join(F.transform(F.slice(col(c), 1, most), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
+def db_definitions(inventory: DataFrame) -> DataFrame:
+    """A line `Kind: label, label, …` for each kind of inventory(kind, label)."""
+    return inventory.groupBy("kind").agg(F.concat(F.initcap("kind"), F.lit(": "), F.array_join(F.array_sort(F.collect_set("label")), ", ")).alias("line"))
+
+
+def template_rationale(df: DataFrame, label: str = "gold_intent", candidates: str = "candidates") -> DataFrame:
+    """C, R and J lines from candidates: a stock reason for every one but the label."""
+    others = F.array_remove(candidates, F.col(label))
+    reasons = F.array_join(F.transform(others, lambda x: F.concat(x, F.lit("!not supported by the words"))), "; ")
+    text = F.concat(F.lit("C: Intent candidates: "), F.array_join(candidates, " | "), F.lit("\nR: "), F.when(F.size(others) > 0, reasons).otherwise(F.lit("(none)")), F.lit("\nJ: "), F.to_json(F.struct(F.col(label).alias("intent"))))
+    return df.withColumn("rationale_text", text)
+
+
 def hash_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df with `rank`, the place of each row in seeded order over all rows, from 1: ranks inside hash ranges, and the counts of the ranges before."""
     rows = df.withColumn("__h", seeded(seed, key)).withColumn("__part", F.substring("__h", 1, 2))
@@ -167,8 +180,9 @@ def shard(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
 def success_filter(df: DataFrame, key: str = "key") -> DataFrame:
     """Correct rows, and for each intent and then each slot type without one, the best row not chosen yet; coverage_fallback marks those.
 
-    rows: key, gold_intent, gold_slots, correct, score, reward. One pass takes the best row of each missing intent; the slot types
-    left are few, and what each still lacks is found in one more pass.
+    rows: key, gold_intent, gold_slots, correct, score, reward. A row has one intent, so one pass takes the best row of each missing
+    one. A row can cover several slot types, so those go one by one, in order; of each only the best rows come to the driver, at
+    most one more than there are missing slot types, which are a small vocabulary.
     """
     best = F.struct(F.col("correct"), F.col("score"), F.col("reward"), seeded("ties", key), F.col(key))
     good = df.where("correct")
@@ -176,10 +190,19 @@ def success_filter(df: DataFrame, key: str = "key") -> DataFrame:
     by_intent = missing.groupBy("gold_intent").agg(F.max_by(key, best).alias(key)).select(key)
     chosen = good.select(key).unionByName(by_intent)
     covered = df.join(chosen, key, "left_semi").select(F.explode("gold_slots").alias("slot")).distinct()
-    left = df.select("*", F.explode("gold_slots").alias("slot")).join(covered, "slot", "left_anti")
-    by_slot = left.groupBy("slot").agg(F.max_by(key, best).alias(key)).select(key)
-    fallback = by_intent.unionByName(by_slot).distinct()
-    return df.where("correct").withColumn("coverage_fallback", F.lit(False)).unionByName(df.join(fallback, key, "left_semi").where("NOT correct").withColumn("coverage_fallback", F.lit(True)))
+    left = df.select("*", F.explode(F.array_distinct("gold_slots")).alias("slot")).join(covered, "slot", "left_anti")
+    n = left.select("slot").distinct().count()
+    picks, done = [], set()
+    if n:
+        ranked = left.withColumn("__r", F.row_number().over(W.partitionBy("slot").orderBy(best.desc()))).where(F.col("__r") <= n + 1)
+        for slot, k, slots in sorted((r["slot"], r["__r"], (r[key], r["gold_slots"])) for r in ranked.select("slot", "__r", key, "gold_slots").collect()):
+            if slot not in done:
+                picks.append((slots[0],))
+                done.update(slots[1])
+    fallback = by_intent
+    if picks:
+        fallback = by_intent.unionByName(df.sparkSession.createDataFrame(picks, by_intent.schema)).distinct()
+    return good.withColumn("coverage_fallback", F.lit(False)).unionByName(df.join(fallback, key, "left_semi").where("NOT correct").withColumn("coverage_fallback", F.lit(True)))
 
 
 def order_by_difficulty(df: DataFrame, hard_first: bool = True, key: str = "key") -> DataFrame:

@@ -210,6 +210,15 @@ def d9(spark, d):
     return V.table(spark, d, "events").select("event_id", D.format_nbest(F.array("event_type", F.col("user_id").cast("string"))).alias("text"))
 
 
+def d9_definitions(spark, d):
+    return D.db_definitions(B.label_inventory(V.pairs(spark, d), {"scenario": "gold_scenario", "action": "gold_action"}))
+
+
+def d9_template(spark, d):
+    c = V.pairs(spark, d).withColumn("candidates", F.array_distinct(F.array("gold_intent", "pred_intent")))
+    return D.template_rationale(c).select("key", "rationale_text")
+
+
 def d10(spark, d):
     p = V.pairs(spark, d).select("key", F.when(F.col("n") % 10 != 0, F.lit("a.wav")).alias("audio_path"), F.when(F.col("n") % 2 == 0, F.lit("why")).alias("rationale"))
     return D.distill_split(p, 0.1, 7).select("key", "rationale", "split")
@@ -303,7 +312,7 @@ def v3_rules(spark, d):
 
 def v4(spark, d):
     v = _vectors(spark, d)
-    return V.rounded(B.soft_clusters(v, v.select("label", (F.col("label").cast("int") % 6).alias("cluster")), 0.5), 5)
+    return V.rounded(B.soft_clusters(v, v.select("label", (F.col("label").cast("int") % 6).alias("cluster")), 0.25), 5)
 
 
 def v5(spark, d):
@@ -373,7 +382,7 @@ def g9(spark, d):
 QUERIES = {
     "s1_read_jsonl": s1, "s2_read_records": s2, "s3_write_jsonl": s3, "s4_csv_json": s4, "s6_read_corpus": s6, "s7_merge_shards": s7, "s8_pending": s8, "s9_resolve_files": s9,
     "j1_match_gold": j1, "j1_not_predicted": j1_missing, "j2_match_gold_fallback": j2, "j3_match_embedded": j3, "j4_enrich_recordings": j4, "j5_attach_manifest": j5, "j6_join_runs": j6, "j7_pair_runs": j7, "j8_resolve_intent": j8, "j9_fill_from": j9, "j10_attach_nbest": j10,
-    "d1_select_recordings": d1, "d2_build_items": d2, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d7_add_distractors": d7, "d8_candidate_list": d8, "d9_format_nbest": d9, "d10_distill_split": d10, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
+    "d1_select_recordings": d1, "d2_build_items": d2, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d7_add_distractors": d7, "d8_candidate_list": d8, "d9_format_nbest": d9, "d9_db_definitions": d9_definitions, "d9_template_rationale": d9_template, "d10_distill_split": d10, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
     "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
     "v1_label_inventory": v1, "v2_similar_pairs": v2, "v3_nearest_labels": v3, "v3_rule_neighbors": v3_rules, "v4_soft_clusters": v4, "v5_kmeans_groups": v5, "v6_agglomerative_groups": v6, "v7_load_groups": v7,
     "g1_prepare_features": g1, "g2_distance_stats": g2, "g3_spherical_stats": g3, "g4_margin_stats": g4, "g5_fisher_ratio": g5, "g6_silhouette_cosine": g6, "g6_silhouette_euclidean": g6_euclidean, "g7_mean_distance_ranks": g7, "g7_distance_table": g7_table, "g8_pca_2d": g8, "g9_paired_test": g9,
@@ -418,12 +427,18 @@ SQL = {
     "d7_add_distractors": f"WITH {_P}, l AS (SELECT DISTINCT gold_intent AS label FROM pairs), o AS (SELECT key, label FROM pairs JOIN l ON label <> gold_intent QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5(key || '|' || label || '|0'), label) <= 2), u AS (SELECT key, label FROM o UNION ALL SELECT key, gold_intent FROM pairs) SELECT key, string_agg(label, '|' ORDER BY md5(key || '|' || label || '|0-order'), label) AS candidates FROM u GROUP BY key",
     "d8_candidate_list": f"WITH {_P}, v AS (SELECT unnest(['click_a0', 'click_a1', 'click_a2', 'error_a0', 'error_a1', 'error_a2', 'view_a0', 'view_a1', 'view_a2']) AS w) SELECT key, gold_intent || '|' || string_agg(w, '|' ORDER BY w) AS candidates FROM pairs JOIN v ON w <> gold_intent GROUP BY key, gold_intent",
     "d9_format_nbest": "SELECT event_id, '1. ' || event_type || chr(10) || '2. ' || user_id AS text FROM events",
+    "d9_db_definitions": f"WITH {_P} SELECT 'scenario' AS kind, 'Scenario: ' || string_agg(DISTINCT gold_scenario, ', ' ORDER BY gold_scenario) AS line FROM pairs UNION ALL SELECT 'action', 'Action: ' || string_agg(DISTINCT gold_action, ', ' ORDER BY gold_action) FROM pairs",
+    "d9_template_rationale": f"WITH {_P} SELECT key, CASE WHEN gold_intent = pred_intent THEN 'C: Intent candidates: ' || gold_intent || chr(10) || 'R: (none)' ELSE 'C: Intent candidates: ' || gold_intent || ' | ' || pred_intent || chr(10) || 'R: ' || pred_intent || '!not supported by the words' END || chr(10) || 'J: {{\"intent\":\"' || gold_intent || '\"}}' AS rationale_text FROM pairs",
     "d10_distill_split": f"WITH {_P}, k AS (SELECT key, n FROM pairs WHERE n % 10 <> 0) SELECT key, CASE WHEN n % 2 = 0 THEN 'why' ELSE 'No rationale.' END AS rationale, CASE WHEN rank <= floor((SELECT count(*) FROM k) * 0.1) THEN 'eval' ELSE 'train' END AS split FROM {_rank('k', 'key', 7)}",
     "d11_sample_by_id": f"WITH i AS (SELECT DISTINCT user_id FROM events) SELECT event_id, user_id AS slurp_id FROM events WHERE user_id IN (SELECT user_id FROM {_rank('i', 'user_id', 3)} WHERE rank <= greatest(1, floor((SELECT count(*) FROM i) * 0.2)))",
     "d12_sample_per_combo": f"WITH {V.MATCHED}, gt AS (SELECT DISTINCT key, type FROM ge), r AS (SELECT pairs.key, gold_intent, coalesce(type, '__none__') AS slot FROM pairs LEFT JOIN gt USING (key)) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY gold_intent, slot ORDER BY md5(key || '|' || slot || '|1'), key) <= 5",
     "d13_cap_per_intent": f"WITH {_P} SELECT key, gold_intent FROM pairs QUALIFY row_number() OVER (PARTITION BY gold_intent ORDER BY md5(key || '|1'), key) <= 20",
     "d14_epoch_batches": f"WITH {_P}, a AS (SELECT key, 'audio' AS kind FROM pairs WHERE n % 3 <> 0), t AS (SELECT key, 'text' AS kind FROM pairs WHERE n % 3 = 0), u AS (SELECT key, kind, CAST(floor((rank - 1) / 4) + 1 AS BIGINT) AS rank FROM {_rank('a', 'key', 0)} WHERE (rank - 1) % 4 = 1 UNION ALL SELECT key, kind, rank FROM {_rank('t', 'key', 0)}) SELECT *, CAST(floor((rank - 1) / 64) AS BIGINT) AS batch FROM u",
     "d15_shard": "SELECT event_id % 7 AS shard, count(*) AS n FROM events GROUP BY 1",
+    "d16_success_filter": f"""WITH {V.MATCHED}, gt AS (SELECT DISTINCT key, type FROM ge), z AS (SELECT key, gold_intent, n % 9 = 0 AND gold_action <> 'a3' AS correct, n % 5 AS score, round(wer, 4) AS reward, md5(key || '|ties') AS h FROM pairs),
+    mi AS (SELECT key FROM z WHERE gold_intent NOT IN (SELECT gold_intent FROM z WHERE correct) QUALIFY row_number() OVER (PARTITION BY gold_intent ORDER BY correct DESC, score DESC, reward DESC, h DESC, key DESC) = 1), ch AS (SELECT key FROM z WHERE correct UNION SELECT key FROM mi),
+    cov AS (SELECT DISTINCT type FROM gt WHERE key IN (SELECT key FROM ch)), ms AS (SELECT z.key FROM z JOIN gt USING (key) WHERE type NOT IN (SELECT type FROM cov) QUALIFY row_number() OVER (PARTITION BY type ORDER BY correct DESC, score DESC, reward DESC, h DESC, z.key DESC) = 1)
+    SELECT key, correct, false AS coverage_fallback FROM z WHERE correct UNION ALL SELECT key, correct, true FROM z WHERE NOT correct AND key IN (SELECT key FROM mi UNION SELECT key FROM ms)""",
     "d17_order_by_difficulty": f"WITH {_P} SELECT key, CAST(n % 5 AS DOUBLE) AS score, round(wer, 4) AS reward FROM pairs ORDER BY n % 5, round(wer, 4), (n % 9 = 0 AND gold_action <> 'a3'), key LIMIT 50",
     "d18_derange_rationales": f"WITH r AS (SELECT * FROM {_rank('(SELECT c_custkey AS slurp_id, c_name FROM customer)', 'slurp_id', 5)}), n AS (SELECT count(*) AS n FROM r) SELECT a.slurp_id, b.c_name AS rationale_text, b.slurp_id AS rationale_source FROM r a CROSS JOIN n JOIN r b ON a.rank = (b.rank - 2 + n.n) % n.n + 1",
     "d20_nbest_tokens": "SELECT event_id AS key, event_type || ',now' AS stable, CAST(user_id % 3 AS VARCHAR) AS unstable FROM events",
@@ -433,6 +448,7 @@ SQL = {
     "v2_similar_pairs": f"WITH {_VEC} SELECT a, b, round(similarity, 5) AS similarity FROM s WHERE a < b AND similarity >= 0.3",
     "v3_nearest_labels": f"WITH {_VEC} SELECT a, b, round(similarity, 5) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM s WHERE a <> b) WHERE rank <= 3",
     "v3_rule_neighbors": f"WITH {_P}, l AS (SELECT DISTINCT gold_intent AS x, gold_scenario AS s, gold_action AS t FROM pairs), r AS (SELECT a.x AS a, b.x AS b, CASE WHEN a.s = b.s THEN 10 ELSE 0 END + CASE WHEN a.t = b.t THEN 5 ELSE 0 END AS score FROM l a JOIN l b ON a.x <> b.x) SELECT * FROM r WHERE score > 0",
+    "v4_soft_clusters": f"WITH {_VEC}, x AS (SELECT CAST(label AS INT) % 6 AS cluster, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM v), m AS (SELECT cluster, i, avg(x) AS m FROM x GROUP BY ALL), c AS (SELECT cluster, list(m ORDER BY i) AS c FROM m GROUP BY cluster) SELECT label, cluster, round(list_cosine_similarity(u, c), 5) AS similarity FROM v CROSS JOIN c WHERE list_cosine_similarity(u, c) >= 0.25",
     "v7_load_groups": "WITH r AS (SELECT c_name AS label, 'g' || (c_custkey // 5 * 5) AS grp FROM customer WHERE c_custkey % 5 <> 0) SELECT label, grp, CAST(count(*) OVER (PARTITION BY grp) AS INT) AS n FROM r",
     "g1_prepare_features": f"WITH {_F} SELECT vec_id, label, round(u[1], 5) AS x0 FROM f",
     "g2_distance_stats": f"WITH {_F}, i AS (SELECT label, count(*) AS n, avg(list_distance(u, c)) AS intra FROM f JOIN c USING (label) GROUP BY label), k AS (SELECT a AS label, arg_min(b, d) AS nearest, min(d) AS nd, avg(d) AS md FROM dd GROUP BY a) SELECT label, n, round(intra, 5) AS intra, nearest, round(nd, 5) AS nearest_distance, round(md, 5) AS mean_distance, round(nd / intra, 5) AS separation FROM i JOIN k USING (label)",

@@ -76,6 +76,11 @@ def n6(spark, d):
     return p.select("key", a.alias("scenario"), b.alias("action"))
 
 
+def n7(spark, d):
+    b = _bio(spark, d).select(F.concat(F.lit("x7-"), "key").alias("id"), F.lit("u").alias("utt"), F.lit("").alias("scenario_str"), F.concat(F.lit("s:a"), (F.col("key") % 3).cast("string")).alias("intent_str"), "tokens", F.col("tags").alias("labels"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("p/q/"), "key")).alias("path"))
+    return N.to_utterances(b, "fr-FR", True).select("slurp_id", "scenario", "action", "intent", F.size("tokens").alias("tokens"), _flat(F.col("entities")).alias("entities"), F.get("recordings", F.lit(0))["file"].alias("file"))
+
+
 def n8(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
     broken = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
@@ -232,7 +237,7 @@ def d19(spark, d):
 
 
 QUERIES = {
-    "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n8_fix_mojibake": n8, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
+    "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n7_to_utterances": n7, "n8_fix_mojibake": n8, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
     "n12_sample_id": n12, "n13_conversation_pair": n13, "n13_bullet_candidates": n13_bullets, "n14_standard_entities": n14, "n15_select_input_text": n15, "p1_extract_json": p1, "p2_parse_j": p2, "p3_parse_prediction_label": p3, "p4_extract_final": p4, "p5_recover_predictions": p5,
     "p6_extract_crj": p6, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
     "m4_span_distance_f1": m4, "m5_slu_f1": m5, "m8_wer": m8, "m9_per": m9, "m10_nbest_report": m10, "d19_diverse_nbest": d19,
@@ -253,6 +258,7 @@ SQL = {
     "n4_label_runs": "WITH " + _RUNS.format(open=""),
     "n5_label_from_record": f"WITH {V.PAIRS}, r AS (SELECT *, CASE WHEN n % 2 = 0 THEN gold_intent WHEN n % 5 = 0 THEN 'solo' ELSE pred_intent END AS i FROM pairs) SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 1) ELSE '' END AS scenario, CASE WHEN n % 3 = 0 THEN 'own' WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 2) ELSE i END AS action, 0 AS entities FROM r",
     "n6_split_massive_intent": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN n % 3 = 0 THEN '' ELSE gold_scenario END AS scenario, gold_action AS action FROM pairs",
+    "n7_to_utterances": "WITH " + _RUNS.format(open="OR b").replace("SELECT key, coalesce(spans, '') AS spans FROM (SELECT DISTINCT key FROM x) LEFT JOIN o USING (key)", "SELECT q.key AS slurp_id, 's' AS scenario, 'a' || (q.key % 3) AS action, 's_a' || (q.key % 3) AS intent, q.n AS tokens, coalesce(spans, '') AS entities, CASE WHEN q.key % 2 = 0 THEN CAST(q.key AS VARCHAR) END AS file FROM (SELECT key, CAST(count(*) AS INT) AS n FROM x GROUP BY key) q LEFT JOIN o ON o.key = q.key"),
     "n8_fix_mojibake": "SELECT doc_id, sha256(substring(text, 1, 300)) AS digest FROM documents",
     "n9_normalize_massive_id": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer",
     "n10_normalize_entity": f"WITH {V.ENTITIES}, a AS (SELECT key, string_agg(lower(gt) || '=' || lower(filler) || ' b', ';' ORDER BY pos, l_partkey, gt, filler) AS entities FROM l WHERE pos <= 4 GROUP BY key) SELECT key, coalesce(entities, '') AS entities FROM (SELECT DISTINCT key FROM l) LEFT JOIN a USING (key)",
