@@ -273,39 +273,6 @@ SQL = {
     "p3_parse_prediction_label": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 13 <> 0 THEN pred_scenario ELSE 'error' END AS scenario, CASE WHEN n % 13 <> 0 THEN pred_action ELSE 'error' END AS action, CASE WHEN n % 13 = 0 THEN '' ELSE {_ENT} END AS entities FROM pairs",
     "p4_extract_final": f"WITH {V.PAIRS} SELECT key, gold_scenario AS scenario, gold_action AS action, CASE n % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'top' ELSE 'pattern' END AS method FROM pairs",
     "p5_recover_predictions": f"WITH {V.PAIRS}, i AS (SELECT CAST(n % 2 = 0 AND gold_scenario <> 'error' AS INT) + CAST(n % 4 = 0 AS INT) AS own, CASE WHEN n % 13 = 0 THEN 0 ELSE 2 + CAST(pred_scenario NOT IN ('error', 'unknown') AS INT) END AS parsed FROM pairs) SELECT count(*) AS rows, count_if(parsed > own) AS changed, count_if(own < 2 AND parsed >= 2) AS recovered, count_if(own < 2 AND parsed < 2) AS unresolved FROM i",
-    "p6_extract_crj": p6, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
-    "m4_span_distance_f1": m4, "m5_slu_f1": m5, "m8_wer": m8, "m9_per": m9, "m10_nbest_report": m10, "d19_diverse_nbest": d19,
-}
-
-_TOK = r"t AS (SELECT doc_id, lang, source, text, list_slice(string_split_regex(trim(text), '[\x20\x09-\x0D]+'), 1, 6) AS w FROM documents)"
-_ENT = "'time=n' || n || ';place=p' || (n % 3)"
-_C = "'Intent candidates: ' || gold_intent || ' | ' || pred_intent || ' | none; Slot candidates: time(a|b) | place' || (n % 2)"
-_R = "CASE WHEN n % 7 = 0 THEN '' ELSE pred_intent || '!not said; other:a0!too far!off' END"
-_I = "CASE WHEN gold_intent = pred_intent THEN gold_intent ELSE gold_intent || '|' || pred_intent END"
-_RUNS = """x AS (SELECT l_orderkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i, CAST(l_partkey AS VARCHAR) AS tok, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS k, l_linenumber % 3 = 0 AS b FROM lineitem),
-y AS (SELECT *, CASE WHEN k IS NOT NULL AND (lag(k) OVER w IS DISTINCT FROM k {open}) THEN 1 ELSE 0 END AS s FROM x WINDOW w AS (PARTITION BY key ORDER BY i)), z AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY i) AS g FROM y),
-r AS (SELECT key, g, k, string_agg(tok, ' ' ORDER BY i) AS f FROM z WHERE k IS NOT NULL GROUP BY key, g, k), o AS (SELECT key, string_agg(k || '=' || f, ';' ORDER BY g) AS spans FROM r GROUP BY key) SELECT key, coalesce(spans, '') AS spans FROM (SELECT DISTINCT key FROM x) LEFT JOIN o USING (key)"""
-SQL = {
-    "n1_span_filler": f"WITH {_TOK} SELECT doc_id AS slurp_id, lower(concat_ws(' ', w[doc_id % 3 + 1], w[doc_id % 3 + 3])) AS indexed, concat_ws(' ', w[doc_id % 3 + 1], w[doc_id % 3 + 3]) AS cased, CASE WHEN doc_id % 3 >= len(w) THEN '' ELSE array_to_string(list_slice(w, doc_id % 3 + 1, doc_id % 3 + 3), ' ') END AS range FROM t",
-    "n2_gold_by_file": f"WITH {_TOK}, u AS (SELECT 'f' || (doc_id % 600) AS file, doc_id, lang, (doc_id % 10) / 10.0 AS wer, w, 0 AS rp FROM t UNION ALL SELECT 'g' || doc_id, doc_id, lang, 0.5, w, 1 FROM t), l AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id DESC, rp DESC) AS r FROM u) SELECT file, doc_id AS slurp_id, lang AS scenario, CAST(wer AS DOUBLE) AS wer, 'time=' || concat_ws(' ', w[doc_id % 3 + 1], w[doc_id % 3 + 3]) || ';place=' || coalesce(w[doc_id % 7 + 1], '') AS entities FROM l WHERE r = 1",
-    "n3_bio_spans": "WITH " + _RUNS.format(open="OR b"),
-    "n4_label_runs": "WITH " + _RUNS.format(open=""),
-    "n5_label_from_record": f"WITH {V.PAIRS}, r AS (SELECT *, CASE WHEN n % 2 = 0 THEN gold_intent WHEN n % 5 = 0 THEN 'solo' ELSE pred_intent END AS i FROM pairs) SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 1) ELSE '' END AS scenario, CASE WHEN n % 3 = 0 THEN 'own' WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 2) ELSE i END AS action, 0 AS entities FROM r",
-    "n6_split_massive_intent": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN n % 3 = 0 THEN '' ELSE gold_scenario END AS scenario, gold_action AS action FROM pairs",
-    "n8_fix_mojibake": "SELECT doc_id, sha256(substring(text, 1, 300)) AS digest FROM documents",
-    "n9_normalize_massive_id": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer",
-    "n10_normalize_entity": f"WITH {V.ENTITIES}, a AS (SELECT key, string_agg(lower(gt) || '=' || lower(filler) || ' b', ';' ORDER BY pos, l_partkey, gt, filler) AS entities FROM l WHERE pos <= 4 GROUP BY key) SELECT key, coalesce(entities, '') AS entities FROM (SELECT DISTINCT key FROM l) LEFT JOIN a USING (key)",
-    "n11_normalize_intent": "SELECT event_id, event_type || '_' || user_id AS weak, event_type || '_' || user_id AS strong, event_type || '_' || user_id AS clean FROM events",
-    "n12_sample_id": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 0 THEN 'x' || user_id WHEN event_id % 5 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'row_' || event_id END AS sample_id, CASE WHEN event_id % 5 = 0 THEN 'a/b-' || event_id || '.flac' ELSE '' END AS sample_file FROM events",
-    "n13_conversation_pair": "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS user_text, arg_min(text, turn) FILTER (role = 'assistant') AS assistant_text FROM conversations GROUP BY conv_id",
-    "n13_bullet_candidates": "SELECT event_id, event_type || ' now|one ' || user_id || ' two' AS found FROM events",
-    "n14_standard_entities": "SELECT event_id, 'time=' || event_type || ';place=p' || user_id AS entities FROM events",
-    "n15_select_input_text": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'gold text' ELSE event_type END AS input_text, CASE WHEN event_id % 3 = 0 THEN 'gold' ELSE 'asr' END AS source FROM events",
-    "p1_extract_json": f"WITH {V.PAIRS} SELECT key, pred_scenario AS scenario, pred_action AS action, CASE WHEN n % 13 = 0 THEN '' ELSE {_ENT} END AS entities FROM pairs",
-    "p2_parse_j": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 13 <> 0 THEN pred_scenario END AS scenario, CASE WHEN n % 13 <> 0 THEN pred_action END AS action, CASE WHEN n % 13 = 0 THEN NULL ELSE {_ENT} END AS entities FROM pairs",
-    "p3_parse_prediction_label": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 13 <> 0 THEN pred_scenario ELSE 'error' END AS scenario, CASE WHEN n % 13 <> 0 THEN pred_action ELSE 'error' END AS action, CASE WHEN n % 13 = 0 THEN '' ELSE {_ENT} END AS entities FROM pairs",
-    "p4_extract_final": f"WITH {V.PAIRS} SELECT key, gold_scenario AS scenario, gold_action AS action, CASE n % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'top' ELSE 'pattern' END AS method FROM pairs",
-    "p5_recover_predictions": f"WITH {V.PAIRS}, i AS (SELECT CAST(n % 2 = 0 AND gold_scenario <> 'error' AS INT) + CAST(n % 4 = 0 AS INT) AS own, CASE WHEN n % 13 = 0 THEN 0 ELSE 2 + CAST(pred_scenario NOT IN ('error', 'unknown') AS INT) END AS parsed FROM pairs) SELECT count(*) AS rows, count_if(parsed > own) AS changed, count_if(own < 2 AND parsed >= 2) AS recovered, count_if(own < 2 AND parsed < 2) AS unresolved FROM i",
     "p6_extract_crj": f"""WITH {V.PAIRS}, s AS (SELECT *, length('{{"scenario": "", "action": "", "entities": [{{"type": "Time", "filler": " N "}}, {{"place": "P"}}]}}') + length(pred_scenario) + length(pred_action) + length(CAST(n AS VARCHAR)) + 1 AS size FROM pairs) SELECT key, CASE WHEN n % 7 = 0 THEN '' ELSE {_C} END AS c, {_R} AS r, CAST(CASE WHEN n % 7 = 0 THEN 0 WHEN n % 13 = 0 THEN size - 3 WHEN n % 11 = 0 THEN 7 ELSE size END AS INT) AS j_length, n % 7 <> 0 AS valid FROM s""",
     "p7_prefixed_line": f"WITH {V.PAIRS} SELECT key, {_C} AS c, {_R} AS r FROM pairs",
     "p8_candidates": f"WITH {V.PAIRS} SELECT key, {_I} AS intents, 'time|place' || (n % 2) AS slots FROM pairs",
