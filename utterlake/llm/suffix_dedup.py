@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import mix64, raw, scratch, table, whole, written
 from .pieces import _powers
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 24
 GROUP_BYTES = 2_000_000
 #: Names in a list of one bucket, about.
-BUCKET_NAMES = 1_000_000
+BUCKET_NAMES = 500_000
 NAMES = "bucket int, g int, names binary, docs binary"
 REPLIES = "g int, kind int, bucket int, bits binary"
 LAST = (1 << 63) - 1
@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), whole(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_groups = max(1, -(-total // GROUP_BYTES))
-    n_buckets = max(1, total // 18 // BUCKET_NAMES)
+    n_buckets = max(1, total // 14 // BUCKET_NAMES)
     name = f"repeats_{uuid.uuid4().hex}"
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_groups)).cast("int")).repartition(n_groups, "g")
     grouped.write.bucketBy(n_groups, "g").option("compression", "zstd").option("path", scratch(spark, "repeats")).saveAsTable(name)
