@@ -91,12 +91,13 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             kind = np.where((low >= 97) & (low <= 122), low - 96, 0).astype(np.int32)
             if len(kind) > 2:
                 total += np.bincount((kind[:-2] * LETTERS + kind[1:-1]) * LETTERS + kind[2:], minlength=LETTERS**3)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["trigram", "n"])
 
-    found = docs.select(whole(text_col).alias("text")).mapInArrow(counted, "counts binary")
+    found = docs.select(whole(text_col).alias("text")).mapInArrow(counted, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
     total = np.zeros(LETTERS**3, np.int64)
-    for row in found.toLocalIterator():
-        total += np.frombuffer(row["counts"], "<i8")
+    for row in found.collect():
+        total[row["trigram"]] = row["n"]
     return total
 
 
