@@ -71,6 +71,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, values
 
 
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where an example of each different key is, the number of every key's example)."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(an example of each different piece, the number of the example of every piece); pieces run from start to start."""
     ends = np.append(starts[1:], len(data))
@@ -79,7 +90,7 @@ def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     sums[0] = 0
     np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     key = (sums[ends] - sums[starts]) * down[starts]
-    _, example, number = np.unique(key, return_index=True, return_inverse=True)
+    example, number = numbered(key)
     other = starts[example][number]
     sizes = ends - starts
     alike = sizes == sizes[example][number]

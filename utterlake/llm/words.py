@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .pieces import _powers
+from .pieces import _powers, numbered
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,7 +42,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The different runs, and the number of each run among them; runs of one key are compared byte by byte."""
-    _, example, number = np.unique(keys(data, starts, ends), return_index=True, return_inverse=True)
+    example, number = numbered(keys(data, starts, ends))
     sizes = ends - starts
     flat = data.tobytes()
     same = sizes == sizes[example][number]
