@@ -5,17 +5,17 @@ every arrival picks one of a signature's registers, and a register keeps the shi
 shingle stop as soon as its next one comes after the last register was filled. Two registers agree with the chance of the
 probability Jaccard similarity; runs of registers are bands, and documents that share a band are candidates.
 
-No bucket of candidates is turned into its pairs. In rounds, every bucket compares its members with one pivot; the exact
-similarity links a member to the pivot or not. One minus the probability Jaccard similarity is a metric (it is the chance that
-two registers differ), so a member far from the pivot can only be linked to members that are themselves far enough from it: the
-next round keeps the members that failed and those that one of them could still reach. A bucket is done when all it still holds
-are linked to one pivot. After the first round the rest of a bucket
-is dealt by a second band as well, since documents of the wanted similarity share several.
+No bucket of candidates is turned into its pairs. First every bucket compares its members with one pivot; signatures tell which
+comparisons can reach the wanted similarity, and those are verified exactly. One minus the probability Jaccard similarity is a
+metric (it is the chance that two registers differ), so members of one class need no more links among each other, and of the
+pivot's class only those stay that could reach a member outside it. What stays is dealt anew by two bands together, since
+documents of the wanted similarity share several, and there only the members outside the most common class are compared: they go
+along with every block of the bucket's rest. A bucket with too many of them takes another pivot first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 SEED = 0x5EED
 BATCH_BYTES = 2_000_000
+#: Members of a bucket that go along with each of its blocks at most, and members of a block.
+BLOCK = 4096
+#: Estimates from signatures stray by less than this, but for a chance of 1e-5 at the worst and 1e-8 at a similarity of 0.8.
+STRAY = 0.2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,9 +109,11 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
         whole_key = (mixed[ends[1:]] - mixed[ends[:-1]]).astype(np.int64)
         again = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(key + weight.astype(np.uint64) * GOLD + np.uint64(1)), dtype=np.uint64)))
         other_key = (again[ends[1:]] - again[ends[:-1]]).astype(np.int64)
-        found = band_keys(signatures(owner, key, weight, n, bands * rows), rows).astype(np.int64)
+        registers = signatures(owner, key, weight, n, bands * rows)
+        found = band_keys(registers, rows).astype(np.int64)
+        short = (registers >> np.uint64(32)).astype("<u4")
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(found.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole_key), pa.array(other_key), pa.array(np.diff(ends)), lists], ["doc_id", "same", "too", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole_key), pa.array(other_key), pa.array(np.diff(ends)), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "same", "too", "size", "bands", "signature"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -155,13 +161,51 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("doc"), pa.array(found, pa.float64())], ["pivot", "doc", "similarity"])
 
 
-def _similarities(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
-    """pivot, doc, similarity of the pairs."""
-    first = pairs.join(shingled.withColumnRenamed("doc_id", "doc"), "doc")
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (_matrix(batch.column(c)) for c in ("signature", "other"))
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("doc"), pa.array((a == b).mean(axis=1) if batch.num_rows else np.zeros(0))], ["pivot", "doc", "estimate"])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "<u4").reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint32)
+
+
+def estimates(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """pivot, doc, estimate: the share of registers that agree."""
+    first = pairs.join(signed.select(F.col("doc_id").alias("doc"), "signature"), "doc")
+    both = first.join(signed.select(F.col("doc_id").alias("pivot"), F.col("signature").alias("other")), "pivot")
+    return both.select("pivot", "doc", "signature", "other").mapInArrow(_estimated, "pivot long, doc long, estimate double")
+
+
+def similarities(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
+    """pivot, doc, exact similarity of the pairs."""
+    first = pairs.select("pivot", "doc").join(shingled.withColumnRenamed("doc_id", "doc"), "doc")
     other = shingled.select(F.col("doc_id").alias("pivot"), F.col("keys").alias("other_keys"), F.col("counts").alias("other_counts"))
     return first.join(other, "pivot").select("pivot", "doc", "keys", "counts", "other_keys", "other_counts").mapInArrow(_verified, "pivot long, doc long, similarity double")
 
 
+def _block(rows: pa.Table, least: float) -> pa.Table:
+    """Pairs of a block with a member outside the bucket's main class, of two classes, that may be similar enough.
+
+    A pair shares several pairs of bands; it is given by the bucket of the first two that it shares.
+    """
+    signature, minor = _matrix(rows.column("signature")), np.array(rows.column("minor").to_pylist(), bool)
+    doc, label = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("doc", "label"))
+    bands = np.array(rows.column("bands").to_pylist(), np.int64)
+    one, two = (rows.column(c)[0].as_py() for c in ("one", "two"))
+    out: list[np.ndarray] = []
+    for i in np.flatnonzero(minor).tolist():
+        near = np.flatnonzero(((signature == signature[i]).mean(axis=1) >= least) & (label != label[i]))
+        alike = bands[near] == bands[i]
+        near = near[(alike[:, :two].sum(axis=1) == 1) & alike[:, one] & alike[:, two]]
+        if len(near):
+            out.append(np.stack((np.minimum(doc[near], doc[i]), np.maximum(doc[near], doc[i])), axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["pivot", "doc"])
+
+
 def classes(edges: DataFrame, label: str = "near-classes") -> DataFrame:
     """doc, class (the least doc of its connected component) for edges(a, b): labels fall to the least neighbour's and jump to its label."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
@@ -177,41 +221,57 @@ def classes(edges: DataFrame, label: str = "near-classes") -> DataFrame:
             return now
 
 
-def near_links(docs: DataFrame, shingled_of, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between documents of docs(doc_id, bands); shingled_of(ids) gives the shingles of documents."""
-    reach = 1.0 - threshold
-    spread = docs.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("bucket"))
+def near_links(docs: DataFrame, shingled_of: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) that hold the classes of docs(doc_id, bands, signature); shingled_of(ids) gives the shingles of documents."""
+    reach, likely = 1.0 - threshold, threshold - STRAY
+    placed = docs.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value"))
+    spread = placed.select("doc", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("pivot")).where("n > 1").select("bucket", "pivot")
     rows = written(spread.join(shared, "bucket"), "near-rows")
-    ids = rows.select(F.col("doc").alias("doc_id")).distinct()
-    shingled = written(shingled_of(ids), "near-shingles")
-    rows = rows.withColumn("label", F.lit(None).cast("long"))
-    links, turn, seen = None, 0, None
+    signed = docs.select("doc_id", "signature", "bands")
+    shingled = written(shingled_of(rows.select(F.col("doc").alias("doc_id")).distinct()), "near-shingles")
+    links, chosen, turn = None, [], 0
     while True:
-        pairs = rows.where("doc != pivot").select("pivot", "doc").distinct()
-        new = pairs if seen is None else pairs.join(seen, ["pivot", "doc"], "left_anti")
-        sims = written(_similarities(new, shingled), "near-similarities")
-        seen = sims if seen is None else seen.unionByName(sims)
+        rough = written(estimates(rows.where("doc != pivot").select("pivot", "doc").distinct(), signed), "near-estimates")
+        sims = written(similarities(rough.where(F.col("estimate") >= likely), shingled), "near-similarities")
         linked = sims.where(F.col("similarity") >= threshold).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
         links = linked if links is None else links.unionByName(linked)
-        # A row's label is a pivot of its bucket that it was linked to; rows of one label need no link to each other.
-        far = rows.where("doc != pivot").join(seen, ["pivot", "doc"]).withColumn("far", 1.0 - F.col("similarity"))
-        far = far.withColumn("label", F.coalesce("label", F.when(F.col("far") <= reach + 1e-12, F.col("pivot"))))
-        other = F.col("label").isNull() | (F.col("label") != F.col("pivot"))
-        nearest = far.where(other).groupBy("bucket").agg(F.min("far").alias("nearest"))
-        stay = far.join(nearest, "bucket").where(other | (F.col("far") >= F.col("nearest") - reach - 1e-9)).select("bucket", "doc", "label")
+        exact, rest = 1.0 - F.col("similarity"), 1.0 - F.col("estimate")
+        known = rough.join(sims, ["pivot", "doc"], "left").select("pivot", "doc", F.coalesce(exact, F.greatest(F.lit(reach + 0.01), rest - STRAY)).alias("far"), F.coalesce(exact, rest + STRAY).alias("farthest"))
+        # Rows of one class so far need no link to each other. What is in the pivot's class stays only if another member could reach it.
+        found = classes(links)
+        far = rows.where("doc != pivot").join(known, ["pivot", "doc"])
+        far = far.join(found.select("doc", F.col("class").alias("own")), "doc", "left").join(found.select(F.col("doc").alias("pivot"), F.col("class").alias("its")), "pivot", "left")
+        far = far.withColumns({"label": F.coalesce("own", "doc"), "main": F.coalesce("its", "pivot")})
+        nearest = far.where("label != main").groupBy("bucket").agg(F.min("far").alias("nearest"))
+        stay = written(far.join(nearest, "bucket").where((F.col("label") != F.col("main")) | (F.col("farthest") >= F.col("nearest") - reach - 1e-9)).select("bucket", "doc", "label", "band", *(["two"] if turn else [])), "near-left")
         if turn == 0:
-            second = docs.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("other"))
-            wide = written(stay, "near-left").join(second, "doc").where("bucket != other")
-            stay = wide.groupBy(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "doc").agg(F.max("label").alias("label"))
-        # The next pivot comes from the rows without a label, else from the smallest label.
+            # By pairs of bands, the first of which brought the row here; both rows of a pair that counts stay in some band they share.
+            second = placed.select("doc", F.col("band").alias("other_band"), F.xxhash64("band", "value").alias("other"))
+            alone = stay.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+            wide = stay.join(alone, "bucket", "left_semi").join(second, "doc").where("band != other_band")
+            low = F.col("band") < F.col("other_band")
+            pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+            stay = wide.groupBy(F.xxhash64(pick("bucket", "other"), pick("other", "bucket")).alias("bucket"), "doc").agg(F.max("label").alias("label"), F.max(F.least("band", "other_band")).alias("band"), F.max(F.greatest("band", "other_band")).alias("two"))
         groups = stay.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
-        pivots = groups.groupBy("bucket").agg(F.min_by("first", F.struct(F.col("label").isNotNull(), "n", "first")).alias("pivot"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max(F.col("label").isNull()).alias("open"))
-        pivots = pivots.where("n > 1 AND (kinds > 1 OR open)").select("bucket", "pivot")
-        rows = written(stay.join(pivots, "bucket"), "near-rows")
+        buckets = groups.groupBy("bucket").agg(F.max_by(F.struct("label", "n"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.min_by("first", F.struct("n", "first")).alias("pivot"))
+        buckets = buckets.withColumn("minors", F.col("n") - F.col("main.n")).where("minors > 0")
+        held = written(stay.join(buckets.select("bucket", F.col("main.label").alias("main"), "n", "minors", "pivot"), "bucket"), "near-held")
+        ready = held.where(F.col("minors") <= block).withColumn("minor", F.col("label") != F.col("main"))
+        blocks = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("minors")) / block)).cast("int")
+        place = F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int")))
+        dealt = ready.withColumn("part", F.explode(place)).join(signed.withColumnRenamed("doc_id", "doc"), "doc").select("bucket", "part", "doc", "label", "minor", F.col("band").alias("one"), "two", "signature", "bands")
+        chosen.append(written(dealt.groupBy("bucket", "part").applyInArrow(lambda t: _block(t, likely), "pivot long, doc long").distinct(), "near-pairs"))
+        rows = held.where(F.col("minors") > block).select("bucket", "doc", "band", "two", "pivot")
         turn += 1
         if not rows.head(1):
-            return links
+            break
+        rows = written(rows, "near-rows")
+    every = chosen[0]
+    for x in chosen[1:]:
+        every = every.unionByName(x)
+    last = similarities(every.distinct(), shingled).where(F.col("similarity") >= threshold).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    return links.unionByName(last).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -224,11 +284,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With 32 bands of 4 registers a pair of similarity 0.8 shares no band with a chance of 5e-8, and fewer than two with 1e-6.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    signed = written(source.mapInArrow(lambda b: _signed(b, size, bands, rows), "doc_id long, same long, too long, size long, bands array<long>"), "near-signatures")
+    signed = written(source.mapInArrow(lambda b: _signed(b, size, bands, rows), "doc_id long, same long, too long, size long, bands array<long>, signature binary"), "near-signatures")
     full = signed.where("size > 0 AND doc_id IS NOT NULL")
     stands = full.groupBy("same", "too", "size").agg(F.min("doc_id").alias("first"))
     member = written(full.select("doc_id", "same", "too", "size").join(stands, ["same", "too", "size"]).groupBy("doc_id").agg(F.min("first").alias("first")), "near-members")
-    chosen = full.join(member.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("bands").alias("bands"))
+    chosen = full.join(member.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("bands", "signature")).alias("s")).select("doc_id", "s.bands", "s.signature")
     chosen = written(chosen, "near-chosen")
 
     def shingled_of(ids: DataFrame) -> DataFrame:
