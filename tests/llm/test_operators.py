@@ -251,3 +251,29 @@ def test_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     assert toxicity.toxicity(empty(spark), labels).count() == 0
     assert toxicity.toxicity(docs(spark), labels.limit(0)).count() == len(TEXTS) + 1
+
+
+def test_toxicity_reads_spacing_and_edge_signs(spark):
+    rnd = random.Random(9)
+    bad = ["idiot", "moron", "scum", "loser", "shit"]
+    texts = [" ".join([rnd.choice(["the", "that", "a", "tired", "mother", "story", "radio"]) for _ in range(30)] + (["a", rnd.choice(bad), rnd.choice(bad)] if i % 5 == 0 else [])) for i in range(400)]
+    hidden = ["a l o s e r the", "the i d i o t m o r o n", "i d 1 o t that", "the m 0 r o n", "i d i i i i o t that", "!diot that", "the shi+", "(!diot)", "that i d i o t!", "2 m o r o n", "! d 1 o t"]
+    clean = ["the radio!", "(that story", "a 1 b 2", "1 2 3 4 5", "t h e r a d i o", "+ ! | *", "| tired | mother |"]
+    df = spark.createDataFrame(list(enumerate(texts + hidden + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, labels).collect()}
+    assert [t for k, t in enumerate(hidden) if not got[400 + k]] == []
+    assert [t for k, t in enumerate(clean) if got[400 + len(hidden) + k]] == []
+
+
+def test_channel_breaks_runs_of_any_length():
+    counts = toxicity.np.zeros((27, 27, 27))
+    text = " a loser idiot moron " * 50
+    at = [toxicity.letter(c) for c in text]
+    for x, y, z in zip(at, at[1:], at[2:], strict=False):
+        counts[x, y, z] += 1
+    channel = toxicity.Channel(counts)
+    assert channel.spaced(list("aloser")) == ["a", "loser", "aloser"]
+    assert channel.spaced(list("m0ronid1ot"))[:2] == ["moron", "idiot"]
+    assert channel.spaced(list("idiot" * 4000))[:4000].count("idiot") == 1
+    assert channel.readings("!diot") == ["diot", "idiot"] and channel.readings("idiot") == ["idiot"]

@@ -1,9 +1,10 @@
 """Toxicity with noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. Words that could hide others (digits and signs among letters, letters
-repeated, letters spaced out) become lattices of the letters they may stand for; a Viterbi search under the character model and the
-costs of the channel restores them. Restored texts are scored: of the words and word beginnings of labelled documents, those that
-mark label 1 form a bounded lexicon, and a logistic regression weighs a document's marks.
+repeated) become lattices of the letters they may stand for; a Viterbi search under the character model and the costs of the channel
+restores them. A run of one-character words is one lattice, with an optional word break after each letter. Signs at the edges of a
+word or run may be punctuation or letters: it is read both ways. Restored texts are scored: of the words and word beginnings of
+labelled documents, those that mark label 1 form a bounded lexicon, and a logistic regression weighs a document's marks.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ BEGINNINGS = (4, 5, 6)
 BATCH_BYTES = 2_000_000
 #: The letters that signs may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": ""}
-SIGN_COST, DROP_COST, KEEP_COST = 0.7, 0.4, 8.0
+SIGN_COST, DROP_COST, KEEP_COST, EDGE_COST = 0.7, 0.4, 8.0, 4.0
 _SIGNS = "".join(map(re.escape, SIGNS))
 _HIDDEN = re.compile(rf"[^\W\d_][{_SIGNS}.\-_]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][0-9$@]+$|([^\W\d_])\1\1|^[^\W\d_](?:[.\-_*][^\W\d_])+$")
 _EDGES = ".,;:!?\"'()[]{}<>|#%&*+-_=/\\~^`"
+_PLAIN = "".join(c for c in _EDGES if c not in SIGNS)
+_OUTSIDE = _EDGES + "".join(c for c in SIGNS if c not in _EDGES)
+#: Runs of so many one-character words are read as spaced out.
+LEAST_SPACED = 3
 LETTERS = 27
 
 
@@ -54,30 +59,81 @@ class Channel:
         """The likeliest letters behind the word, in lower case; a word without signs or repetitions is itself."""
         if not _HIDDEN.search(word):
             return word
-        best = {(0, 0): (0.0, "")}
+        return self.likeliest(word)[0]
+
+    def readings(self, word: str) -> list[str]:
+        """The word without the signs at its edges, and with those of them that are likelier letters than punctuation, if it has such."""
+        bare, outer = word.strip(_EDGES), word.strip(_PLAIN)
+        found = [self.restored(bare) if bare else ""]
+        if bare != outer and any(map(str.isalpha, bare)):
+            found += self.likeliest(outer, edges=_EDGES)[1:]
+        return found
+
+    def spaced(self, tokens: list[str]) -> list[str]:
+        """The words that one-character words in a row may spell, with and without breaks between them."""
+        bare = [t.strip(_EDGES) or t.strip(_PLAIN) for t in tokens]
+        found: list[str] = []
+        for text in dict.fromkeys(("".join(bare), "".join(t.strip(_PLAIN) for t in tokens))):
+            for breaks in (True, False):
+                for reading in self.likeliest(text, edges=_OUTSIDE, breaks=breaks):
+                    found += reading.split()
+        return list(dict.fromkeys(found))
+
+    def likeliest(self, word: str, edges: str = "", breaks: bool = False) -> list[str]:
+        """The likeliest reading that drops all signs of `edges` at both ends, then the likeliest that reads one of them at least as a letter.
+
+        States: the last two letters, whether a sign at an edge was read, whether one behind the word was dropped. Texts are linked lists.
+        """
+        lead = len(word) - len(word.lstrip(edges))
+        trail = max(lead, len(word.rstrip(edges)))
+        best: dict[tuple[int, int, bool, bool], tuple[float, tuple | None]] = {(0, 0, False, False): (0.0, None)}
         at = 0
         while at < len(word):
             c = word[at]
             run = at + 1
             while run < len(word) and word[run] == c:
                 run += 1
+            edge = at < lead or at >= trail
+            letters = [(x * k, SIGN_COST) for x in SIGNS.get(c, "") for k in range(1, min(run - at, 2) + 1)]
             if c.isalpha():
                 choices = [(c * k, 0.0 if k == run - at else DROP_COST) for k in range(1, min(run - at, 2) + 1)] if run - at > 2 else [(c * (run - at), 0.0)]
+            elif edge:
+                choices = letters
             else:
-                choices = [(x * k, SIGN_COST) for x in SIGNS.get(c, "") for k in range(1, min(run - at, 2) + 1)] + ([] if SIGNS.get(c) else [("", DROP_COST)]) + [(word[at:run], KEEP_COST)]
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
-                for out, more in choices:
+                choices = letters + ([] if SIGNS.get(c) else [("", DROP_COST)]) + [(word[at:run], KEEP_COST)]
+            if breaks:
+                choices = choices + [(f"{out[0]} {out[1]}", more) for out, more in choices if len(out) == 2]
+                if run < len(word):
+                    choices = choices + [(f"{out} ", more) for out, more in choices if out]
+                if not edge and c in _EDGES:
+                    choices = [*choices, (" ", DROP_COST)]
+            following: dict[tuple[int, int, bool, bool], tuple[float, tuple | None]] = {}
+            for (a, b, read, closed), (cost, text) in best.items():
+                for out, more in [] if closed else choices:
                     x, y, total = a, b, cost + more
                     for letter_ in out:
                         z = letter(letter_)
                         total += self.cost[x][y][z]
                         x, y = y, z
-                    if (x, y) not in following or total < following[x, y][0]:
-                        following[x, y] = (total, text + out)
+                    key = (x, y, read or edge, False)
+                    if key not in following or total < following[key][0]:
+                        following[key] = (total, (text, out))
+                if edge and (at >= trail or not read or not letters):
+                    key, total = (a, b, read, at >= trail and bool(letters) or closed), cost + (EDGE_COST if letters else 0.0)
+                    if key not in following or total < following[key][0]:
+                        following[key] = (total, text)
             best = following
             at = run
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in best.items())[1]
+        found = []
+        for wanted in (False, True):
+            ends = [(cost + self.cost[a][b][0], k) for k, ((a, b, read, _), (cost, _)) in enumerate(best.items()) if read == wanted]
+            if ends:
+                text, out = list(best.values())[min(ends)[1]][1], []
+                while text is not None:
+                    text, last = text
+                    out.append(last)
+                found.append("".join(reversed(out)))
+        return found
 
 
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -107,32 +163,41 @@ class Reader:
     def __init__(self, channel: Channel, most_kept: int = 300_000) -> None:
         self.channel, self.most_kept, self.kept = channel, most_kept, {}
 
-    def word(self, data: bytes) -> str:
+    def word(self, data: bytes) -> tuple[list[str], str]:
+        """The readings of a word; and, where it may be one of letters spaced out, the word in lower case."""
         if (found := self.kept.get(data)) is None:
             if len(self.kept) > self.most_kept:
                 self.kept.clear()
-            bare = data.decode("utf-8", "replace").lower().strip(_EDGES)
-            found = self.kept[data] = self.channel.restored(bare) if bare else ""
+            low = data.decode("utf-8", "replace").lower()
+            one = low.strip(_EDGES) or low.strip(_PLAIN)
+            found = self.kept[data] = self.channel.readings(low), low if len(one) == 1 and (one.isalpha() or one in SIGNS) else ""
         return found
 
     def read(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The different restored words of the texts, and for each word of each text its number and text."""
+        """The different restored words of the texts, and for each reading of each word of each text its number and text."""
         data, offsets = raw(column)
         data = lowered(data)
         starts, ends, text = words(data, offsets)
         found, number = distinct(data, starts, ends)
-        restored = [self.word(w) for w in found]
-        # Letters spaced out: three or more words of one letter in a row are read as one.
-        single = np.array([len(r) == 1 and r.isalpha() for r in restored] or [False])[number] if len(number) else np.zeros(0, bool)
+        known = [self.word(w) for w in found]
+        # Letters spaced out: three or more words of one character in a row, a letter among them, are read together.
+        single = np.array([bool(one) for _, one in known] or [False])[number] if len(number) else np.zeros(0, bool)
         extra: list[tuple[str, int]] = []
         if single.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], (single * (text + 1)).astype(np.int64), [0]))))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if single[a] and b - a >= 3:
-                    extra.append(("".join(restored[k] for k in number[a:b]), int(text[a])))
-        table = {w: k for k, w in enumerate(dict.fromkeys([*restored, *(w for w, _ in extra)]))}
-        index = np.array([table[w] for w in restored], np.int64)[number] if len(number) else np.zeros(0, np.int64)
-        return list(table), np.append(index, [table[w] for w, _ in extra]).astype(np.int64), np.append(text, [t for _, t in extra]).astype(np.int64)
+                if single[a] and b - a >= LEAST_SPACED:
+                    tokens = [known[k][1] for k in number[a:b].tolist()]
+                    if any(map(str.isalpha, "".join(tokens))):
+                        extra += [(w, int(text[a])) for w in self.channel.spaced(tokens)]
+        table: dict[str, int] = {}
+        first = np.array([table.setdefault(r[0], len(table)) for r, _ in known], np.int64)
+        second = np.array([table.setdefault(r[1], len(table)) if len(r) > 1 else -1 for r, _ in known], np.int64)
+        last = [table.setdefault(w, len(table)) for w, _ in extra]
+        if not len(number):
+            return list(table), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        more = second[number]
+        return list(table), np.concatenate((first[number], more[more >= 0], last)).astype(np.int64), np.concatenate((text, text[more >= 0], [t for _, t in extra])).astype(np.int64)
 
 
 def features(word: str) -> list[str]:
