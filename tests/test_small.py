@@ -1,11 +1,14 @@
 """Hand-computed answers on small frames, and helpers against plain recomputation."""
 
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from utterlake.functions import distance, normalise, parsing
 from utterlake.operators import corpus, errors, geometry, metrics, vocabulary
+from utterlake.plans import catalog
 
 
 def rows(df):
@@ -97,3 +100,20 @@ def test_geometry_of_singletons_and_zero_vectors(spark):
     assert found["b"] == 0.0
     pairs = vocabulary.similar_pairs(df.select("label", "embedding").where("vec_id IN (1, 3, 4)"), 0.5)
     assert [(r["a"], r["b"]) for r in pairs.collect()] == [("__unknown__", "a"), ("__unknown__", "b")]
+
+
+def test_whole_texts(spark, tmp_path):
+    words = [f"W{i}é" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words[:350]), 3: "Plain", 4: "x " * 300 + "né", 5: "", 602: " \t".join(words[:9])}
+    spark.createDataFrame([(i, t, "fr", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    digests = dict(rows(catalog.QUERIES["n8_fix_mojibake_whole"](spark, str(tmp_path))))
+    assert digests == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    fillers = {r["slurp_id"]: (r["indexed"], r["cased"], r["range"]) for r in catalog.QUERIES["n1_span_filler_whole"](spark, str(tmp_path)).collect()}
+    files = {r["file"]: r for r in catalog.QUERIES["n2_gold_by_file_whole"](spark, str(tmp_path)).collect()}
+    assert set(files) == {f"g{i}" for i in texts} | {f"f{i % 600}" for i in texts} and files["f2"]["slurp_id"] == 602
+    for i, t in texts.items():
+        w = re.split(r"[ \t]+", t.strip(" "))
+        at, other = i * 31 % len(w), i * 7 % len(w)
+        pair = f"{w[at]} {w[-1]}"
+        assert fillers[i] == (pair.lower(), pair, " ".join(w[at:]))
+        assert (files[f"g{i}"]["sentence"], files[f"g{i}"]["entities"]) == (t, f"time={pair};place={w[other]}")

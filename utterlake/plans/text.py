@@ -44,6 +44,29 @@ def n2(spark, d):
     return N.gold_by_file(_utterances(spark, d), "cased").select("file", "slurp_id", "scenario", "wer", F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["type"], e["filler"])), ";").alias("entities"))
 
 
+def _whole_utterances(spark, d):
+    """Documents as utterances: all words as tokens, the whole text as sentence, spans anywhere in it."""
+    docs = V.table(spark, d, "documents").withColumn("tokens", F.split(F.trim(F.col("text")), r"[\x20\x09-\x0D]+"))
+    i, n = F.col("doc_id"), F.greatest(F.size("tokens"), F.lit(1))
+    span = lambda at, more, t: F.struct(F.lit(t).alias("type"), F.array(at, more).alias("span"))
+    at, last = ((i * 31) % n).cast("int"), (n - 1).cast("int")
+    rec = lambda name, w: F.struct(name.alias("file"), w.alias("wer"), w.alias("ent_wer"), F.lit("correct").alias("status"))
+    return docs.select(
+        F.col("doc_id").alias("slurp_id"), F.col("doc_id").alias("pos"), F.col("text").alias("sentence"), F.col("lang").alias("scenario"), F.col("source").alias("action"), F.transform("tokens", lambda t: F.struct(t.alias("surface"))).alias("tokens"),
+        F.array(span(at, last, "time"), span(((i * 7) % n).cast("int"), last + 1, "place")).alias("entities"),
+        F.array(rec(F.concat(F.lit("f"), (i % 600).cast("string")), (i % 10) / 10.0), rec(F.concat(F.lit("g"), i.cast("string")), F.lit(0.5))).alias("recordings"),
+    )
+
+
+def n1_whole(spark, d):
+    u = _whole_utterances(spark, d)
+    return u.select("slurp_id", *[N.span_filler("tokens", F.col("entities")[0]["span"], m).alias(m) for m in ("indexed", "cased", "range")])
+
+
+def n2_whole(spark, d):
+    return N.gold_by_file(_whole_utterances(spark, d), "cased").select("file", "slurp_id", "scenario", "sentence", "wer", _flat(F.col("entities")).alias("entities"))
+
+
 def _bio(spark, d):
     e = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("x"))
     tag = lambda x: F.when(x["l_returnflag"] == "N", "O").when(x["l_linenumber"] % 3 == 0, F.concat(F.lit("B-"), x["l_returnflag"])).otherwise(F.concat(F.lit("I-"), x["l_returnflag"]))
@@ -87,6 +110,13 @@ def n8(spark, d):
     return N.fix_mojibake(broken, "text").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+def n8_whole(spark, d):
+    """Whole texts, those of even identifiers damaged from end to end."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    broken = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
+    return N.fix_mojibake(broken, "text").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 def n9(spark, d):
     text = F.format_string("\"massive-%s-%s\"", F.when(F.col("c_custkey") % 2 == 0, "fr-FR").otherwise("de-DE"), "c_custkey")
     return V.table(spark, d, "customer").select("c_custkey", N.normalize_massive_id(text, "fr-FR").alias("id"))
@@ -237,6 +267,7 @@ def d19(spark, d):
 
 
 QUERIES = {
+    "n1_span_filler_whole": n1_whole, "n2_gold_by_file_whole": n2_whole, "n8_fix_mojibake_whole": n8_whole,
     "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n7_to_utterances": n7, "n8_fix_mojibake": n8, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
     "n12_sample_id": n12, "n13_conversation_pair": n13, "n13_bullet_candidates": n13_bullets, "n14_standard_entities": n14, "n15_select_input_text": n15, "p1_extract_json": p1, "p2_parse_j": p2, "p3_parse_prediction_label": p3, "p4_extract_final": p4, "p5_recover_predictions": p5,
     "p6_extract_crj": p6, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
