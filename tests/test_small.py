@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from utterlake.functions import distance, normalise, parsing
@@ -117,3 +118,31 @@ def test_whole_texts(spark, tmp_path):
         pair = f"{w[at]} {w[-1]}"
         assert fillers[i] == (pair.lower(), pair, " ".join(w[at:]))
         assert (files[f"g{i}"]["sentence"], files[f"g{i}"]["entities"]) == (t, f"time={pair};place={w[other]}")
+
+
+def test_label_vectors_are_means_of_all_rows(spark, tmp_path):
+    r = np.random.default_rng(3)
+    label = r.integers(0, 8, 400)
+    vectors = (np.eye(8)[label // 2] + r.normal(0, 0.7, (400, 8))).astype(np.float32)
+    spark.createDataFrame([(i, [float(x) for x in vectors[i]], int(label[i])) for i in range(400)] + [(400, [9.0] * 8, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    mean = np.array([vectors[label == k].astype(float).mean(axis=0) for k in range(8)])
+    near = unit(mean) @ unit(mean).T
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    pairs = {(int(x["a"]), int(x["b"])): x["similarity"] for x in run("v2_similar_pairs_all")}
+    assert set(pairs) == {(a, b) for a in range(8) for b in range(a + 1, 8) if near[a, b] >= 0.3} and all(abs(near[k] - x) < 1e-4 for k, x in pairs.items())
+    ranked = {(int(x["a"]), x["rank"]): int(x["b"]) for x in run("v3_nearest_labels_all")}
+    assert ranked == {(a, k + 1): b for a in range(8) for k, b in enumerate(sorted(set(range(8)) - {a}, key=lambda b: -near[a, b])[:3])}
+    centre = unit(np.array([unit(mean)[[k for k in range(8) if k % 6 == c]].mean(axis=0) for c in range(6)]))
+    soft = unit(mean) @ centre.T
+    found = {(int(x["label"]), x["cluster"]): x["similarity"] for x in run("v4_soft_clusters_all")}
+    assert set(found) == {(a, c) for a in range(8) for c in range(6) if soft[a, c] >= 0.25} and all(abs(soft[k] - x) < 1e-4 for k, x in found.items())
+    groups = {}
+    for x in run("v6_agglomerative_groups"):
+        groups.setdefault(x["grp"], set()).add(int(x["label"]))
+    want = [{k} for k in range(8)]
+    while len(want) > 6:
+        a, b = max(((a, b) for a in want for b in want if a is not b), key=lambda p: np.mean([near[i, j] for i in p[0] for j in p[1]]))
+        want = [g for g in want if g is not a and g is not b] + [a | b]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+    assert sum(x["n"] for x in run("v5_kmeans_groups")) == 8 and len(run("v5_kmeans_groups")) == 5

@@ -306,6 +306,25 @@ def v3(spark, d):
     return V.rounded(B.nearest_labels(_vectors(spark, d), 3), 5)
 
 
+def _label_vectors(spark, d):
+    """The mean vector of each label, over all its embeddings."""
+    rows = V.table(spark, d, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
+    return B.mean_vectors(rows.select(F.col("label").cast("string").alias("label"), "embedding"))
+
+
+def v2_all(spark, d):
+    return V.rounded(B.similar_pairs(_label_vectors(spark, d), 0.3), 5)
+
+
+def v3_all(spark, d):
+    return V.rounded(B.nearest_labels(_label_vectors(spark, d), 3), 5)
+
+
+def v4_all(spark, d):
+    v = _label_vectors(spark, d)
+    return V.rounded(B.soft_clusters(v, v.select("label", F.pmod(F.col("label").cast("int"), F.lit(6)).alias("cluster")), 0.25), 5)
+
+
 def v3_rules(spark, d):
     return B.rule_neighbors(_labels(spark, d))
 
@@ -316,11 +335,11 @@ def v4(spark, d):
 
 
 def v5(spark, d):
-    return B.kmeans_groups(_vectors(spark, d), 5, 1).select("grp", F.size("labels").alias("n"))
+    return B.kmeans_groups(_label_vectors(spark, d), 5, 1).select("grp", F.size("labels").alias("n"))
 
 
 def v6(spark, d):
-    return B.agglomerative_groups(_vectors(spark, d), 6)
+    return B.agglomerative_groups(_label_vectors(spark, d), 6)
 
 
 def v7(spark, d):
@@ -385,6 +404,7 @@ QUERIES = {
     "d1_select_recordings": d1, "d2_build_items": d2, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d7_add_distractors": d7, "d8_candidate_list": d8, "d9_format_nbest": d9, "d9_db_definitions": d9_definitions, "d9_template_rationale": d9_template, "d10_distill_split": d10, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
     "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
     "v1_label_inventory": v1, "v2_similar_pairs": v2, "v3_nearest_labels": v3, "v3_rule_neighbors": v3_rules, "v4_soft_clusters": v4, "v5_kmeans_groups": v5, "v6_agglomerative_groups": v6, "v7_load_groups": v7,
+    "v2_similar_pairs_all": v2_all, "v3_nearest_labels_all": v3_all, "v4_soft_clusters_all": v4_all,
     "g1_prepare_features": g1, "g2_distance_stats": g2, "g3_spherical_stats": g3, "g4_margin_stats": g4, "g5_fisher_ratio": g5, "g6_silhouette_cosine": g6, "g6_silhouette_euclidean": g6_euclidean, "g7_mean_distance_ranks": g7, "g7_distance_table": g7_table, "g8_pca_2d": g8, "g9_paired_test": g9,
 }
 
