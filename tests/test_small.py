@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from utterlake.functions import distance, normalise, parsing
 from utterlake.operators import corpus, errors, geometry, metrics, vocabulary
-from utterlake.plans import catalog
+from utterlake.plans import catalog, corpora
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
@@ -146,3 +148,15 @@ def test_label_vectors_are_means_of_all_rows(spark, tmp_path):
         want = [g for g in want if g is not a and g is not b] + [a | b]
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
     assert sum(x["n"] for x in run("v5_kmeans_groups")) == 8 and len(run("v5_kmeans_groups")) == 5
+
+
+def test_all_rows_are_put_in_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = rows(catalog.QUERIES["d17_order_by_difficulty_all"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    scored = {r["key"]: r for r in corpora._scored(spark, SF).collect()}
+    assert len(found) == len(scored) > 50 and [r[3] for r in found] == list(range(1, len(found) + 1))
+    assert [r[0] for r in found] == sorted(scored, key=lambda k: (scored[k]["score"], scored[k]["reward"], scored[k]["correct"], k))
+    assert all((r[1], r[2]) == (scored[r[0]]["score"], scored[r[0]]["reward"]) for r in found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalise import ENTITY
@@ -263,6 +264,17 @@ def d17(spark, d):
     return D.order_by_difficulty(_scored(spark, d)).limit(50).select("key", "score", "reward")
 
 
+def d17_all(spark, d):
+    """All rows in order with their rank: places in sorted partitions, which are written once, and the counts of the partitions before."""
+    path = _folder(spark, "ordered")
+    D.order_by_difficulty(_scored(spark, d)).select("key", "score", "reward", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    part = F.shiftright("at", 33)
+    rows = spark.read.parquet(path).withColumns({"part": part, "own": F.col("at") - F.shiftleft(part, 33)})
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "part").select("key", "score", "reward", (F.col("before") + F.col("own") + 1).alias("rank")).orderBy("rank")
+
+
 def d18(spark, d):
     rows = V.table(spark, d, "customer").select(F.col("c_custkey").alias("slurp_id"), F.col("c_name").alias("rationale_text"))
     return D.derange_rationales(rows, 5)
@@ -402,7 +414,7 @@ QUERIES = {
     "s1_read_jsonl": s1, "s2_read_records": s2, "s3_write_jsonl": s3, "s4_csv_json": s4, "s6_read_corpus": s6, "s7_merge_shards": s7, "s8_pending": s8, "s9_resolve_files": s9,
     "j1_match_gold": j1, "j1_not_predicted": j1_missing, "j2_match_gold_fallback": j2, "j3_match_embedded": j3, "j4_enrich_recordings": j4, "j5_attach_manifest": j5, "j6_join_runs": j6, "j7_pair_runs": j7, "j8_resolve_intent": j8, "j9_fill_from": j9, "j10_attach_nbest": j10,
     "d1_select_recordings": d1, "d2_build_items": d2, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d7_add_distractors": d7, "d8_candidate_list": d8, "d9_format_nbest": d9, "d9_db_definitions": d9_definitions, "d9_template_rationale": d9_template, "d10_distill_split": d10, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
-    "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
+    "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d17_order_by_difficulty_all": d17_all, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
     "v1_label_inventory": v1, "v2_similar_pairs": v2, "v3_nearest_labels": v3, "v3_rule_neighbors": v3_rules, "v4_soft_clusters": v4, "v5_kmeans_groups": v5, "v6_agglomerative_groups": v6, "v7_load_groups": v7,
     "v2_similar_pairs_all": v2_all, "v3_nearest_labels_all": v3_all, "v4_soft_clusters_all": v4_all,
     "g1_prepare_features": g1, "g2_distance_stats": g2, "g3_spherical_stats": g3, "g4_margin_stats": g4, "g5_fisher_ratio": g5, "g6_silhouette_cosine": g6, "g6_silhouette_euclidean": g6_euclidean, "g7_mean_distance_ranks": g7, "g7_distance_table": g7_table, "g8_pca_2d": g8, "g9_paired_test": g9,
