@@ -160,3 +160,9 @@ def test_all_rows_are_put_in_order(spark):
     assert len(found) == len(scored) > 50 and [r[3] for r in found] == list(range(1, len(found) + 1))
     assert [r[0] for r in found] == sorted(scored, key=lambda k: (scored[k]["score"], scored[k]["reward"], scored[k]["correct"], k))
     assert all((r[1], r[2]) == (scored[r[0]]["score"], scored[r[0]]["reward"]) for r in found)
+
+
+def test_every_record_of_every_form_is_read(spark, monkeypatch):
+    monkeypatch.setattr(corpora, "FILE_RECORDS", 30)
+    want = spark.read.parquet(f"{SF}/events.parquet").groupBy("event_type").count()
+    assert sorted(rows(catalog.QUERIES["s2_read_records"](spark, SF))) == sorted(rows(want))

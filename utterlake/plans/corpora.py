@@ -37,13 +37,21 @@ def s1(spark, d):
     return S.read_jsonl(spark, path, SCHEMA).select("id", "kind", F.array_join("tags", ",").alias("tags"))
 
 
+#: Records of a file of the four forms.
+FILE_RECORDS = 5000
+
+
 def s2(spark, d):
+    """Events as arrays, wrapped arrays, objects one after another and maps of records, a form for each remainder of the identifier, read again."""
     path = _folder(spark, "records")
-    e = V.table(spark, d, "events").groupBy((F.col("event_id") % 40).alias("g")).agg(F.array_join(F.collect_list(F.format_string('{"id": %s, "kind": "%s"}', "event_id", "event_type")), ",").alias("x"))
-    text = F.when(F.col("g") % 4 == 0, F.concat(F.lit("["), "x", F.lit("]"))).when(F.col("g") % 4 == 1, F.concat(F.lit('{"data": ['), "x", F.lit("]}"))).when(F.col("g") % 4 == 2, F.concat(F.lit("junk "), F.replace("x", F.lit("},{"), F.lit("}\n{")))).otherwise(F.concat(F.lit('{"a": '), F.replace("x", F.lit("},{"), F.lit('}, "b": {')), F.lit("}")))
-    once = e.select(F.when(F.col("g") % 4 == 3, F.concat(F.lit('{"a": '), F.regexp_replace("x", r"\},\{.*", "}"), F.lit("}"))).otherwise(text).alias("value"))
-    once.write.option("lineSep", "\n\n").text(path)
-    return S.read_records(spark, path, "id long, kind string").groupBy("kind").agg(F.countDistinct(F.when(F.col("id") % 4 != 3, F.col("id"))).alias("n"))
+    i = F.col("event_id")
+    record = F.format_string('{"id": %s, "kind": "%s"}', "event_id", "event_type")
+    named = F.when(i % 4 == 3, F.concat(F.format_string('"r%s": ', "event_id"), record)).otherwise(record)
+    groups = V.table(spark, d, "events").groupBy((i % 4).alias("form"), F.floor(i / (4 * FILE_RECORDS)).alias("g")).agg(F.collect_list(named).alias("x"))
+    listed = F.array_join("x", ",")
+    text = F.when(F.col("form") == 0, F.concat(F.lit("["), listed, F.lit("]"))).when(F.col("form") == 1, F.concat(F.lit('{"data": ['), listed, F.lit("]}"))).when(F.col("form") == 2, F.concat(F.lit("junk "), F.array_join("x", "\n"))).otherwise(F.concat(F.lit("{"), listed, F.lit("}")))
+    groups.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_records(spark, path, "id long, kind string").groupBy("kind").agg(F.count("id").alias("n"))
 
 
 def s3(spark, d):
