@@ -166,3 +166,14 @@ def test_every_record_of_every_form_is_read(spark, monkeypatch):
     monkeypatch.setattr(corpora, "FILE_RECORDS", 30)
     want = spark.read.parquet(f"{SF}/events.parquet").groupBy("event_type").count()
     assert sorted(rows(catalog.QUERIES["s2_read_records"](spark, SF))) == sorted(rows(want))
+
+
+def test_groups_are_carried_over_ranges(spark):
+    lines = [(i * i, f"Group g{i}:" if i in (3, 4, 90, 150) else f" - x{i} ") for i in range(200)]
+    df = spark.createDataFrame(lines, "pos long, value string").repartition(5)
+    found = vocabulary.load_groups(df)
+    want = [(f"x{i}", max(h for h in (3, 4, 90, 150) if h < i)) for i in range(200) if i > 3 and i not in (4, 90, 150)]
+    assert sorted((r["label"], r["grp"]) for r in found.collect()) == sorted((x, f"g{h}") for x, h in want)
+    assert {r["grp"]: r["members"] for r in found.collect()} == {f"g{h}": sorted(x for x, k in want if k == h) for h in (4, 90, 150)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(__pos" not in plan and "windowspecdefinition(part" in plan

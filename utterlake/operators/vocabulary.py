@@ -111,9 +111,18 @@ def agglomerative_groups(vectors: DataFrame, n: int) -> DataFrame:
 
 
 def load_groups(lines: DataFrame, text: str = "value", pos: str = "pos") -> DataFrame:
-    """V7: label, grp, members from lines `Group x:` and `- item`."""
-    rows = lines.select(pos, F.regexp_extract(text, r"^\s*Group\s+([^:]+):", 1).alias("g"), F.regexp_extract(text, r"^\s*-\s*(.+?)\s*$", 1).alias("label"))
-    rows = rows.withColumn("grp", F.last(F.nullif("g", F.lit("")), ignorenulls=True).over(W.orderBy(pos))).where("label != '' AND grp IS NOT NULL").select("label", "grp")
+    """V7: label, grp, members from lines `Group x:` and `- item`; pos is a number.
+
+    Lines are dealt into ranges of pos; the last header is carried inside each range, and over the ranges by one row of each.
+    """
+    rows = lines.select(F.col(pos).alias("__pos"), F.nullif(F.regexp_extract(text, r"^\s*Group\s+([^:]+):", 1), F.lit("")).alias("g"), F.regexp_extract(text, r"^\s*-\s*(.+?)\s*$", 1).alias("label"))
+    n = max(2, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = rows.agg(F.percentile_approx("__pos", [k / n for k in range(1, n)]).alias("bounds"))
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("part", F.size(F.filter("bounds", lambda x: x < F.col("__pos")))).drop("bounds")
+    ends = rows.groupBy("part").agg(F.max_by("g", F.when(F.col("g").isNotNull(), F.col("__pos"))).alias("end"))
+    before = ends.select("part", F.last("end", ignorenulls=True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    own = F.last("g", ignorenulls=True).over(W.partitionBy("part").orderBy("__pos"))
+    rows = rows.withColumn("own", own).where("label != ''").join(F.broadcast(before), "part").withColumn("grp", F.coalesce("own", "before")).where("grp IS NOT NULL").select("label", "grp")
     members = rows.groupBy("grp").agg(F.array_sort(F.collect_set("label")).alias("members"))
     return rows.join(members, "grp")
 
