@@ -177,3 +177,23 @@ def test_groups_are_carried_over_ranges(spark):
     assert {r["grp"]: r["members"] for r in found.collect()} == {f"g{h}": sorted(x for x, k in want if k == h) for h in (4, 90, 150)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(__pos" not in plan and "windowspecdefinition(part" in plan
+
+
+def test_overlap_leaves_stopwords_out(spark):
+    df = spark.createDataFrame([("The alarm, the ALARM it's for me", "set an alarm for me"), ("the of", "the of"), (None, "x"), ("set x", "x_y set")], "rationale string, sentence string")
+    assert rows(df.select(metrics.overlap(F.col("rationale"), F.col("sentence")))) == [(2 / 3,), (0.0,), (0.0,), (1.0,)]
+    got = metrics.rationale_overlap(df).head()
+    assert got["n"] == 4 and abs(got["overlap"] - (2 / 3 + 1) / 4) < 1e-12
+
+
+def test_candidate_numbers_of_six_subsets_and_failing_ids(spark):
+    full = [(True, True, True, 3, 2, True), (True, False, True, 1, 1, False), (True, False, True, 2, 0, True), (False, True, True, 0, 0, True), (True, True, True, 5, 4, False)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(full)], "key long, has_c boolean, has_r boolean, has_j boolean, n_intents int, n_slots int, has_slots boolean")
+    want = {"intent_all": (5, 2.2, 2.0, 0.0, 5.0), "slot_all": (5, 1.4, 1.0, 0.0, 4.0), "intent_crj": (3, 3.0, 3.0, 1.0, 5.0), "slot_crj": (3, 7 / 3, 2.0, 1.0, 4.0), "slot_gold_has_slots_all": (3, 2 / 3, 0.0, 0.0, 2.0), "slot_gold_has_slots_crj": (1, 2.0, 2.0, 2.0, 2.0)}
+    assert {r[0]: tuple(r[1:]) for r in metrics.crj_candidates(df).collect()} == want
+    assert {r[0]: r[1] for r in metrics.crj_candidates(df, strict_r=True).collect()}["intent_crj"] == 2
+    assert {tuple(r)[1:] for r in metrics.crj_candidates(df.limit(0)).collect()} == {(0, 0.0, 0.0, 0.0, 0.0)}
+    assert rows(metrics.failing(df, metrics.is_crj(), 5, "key")) == [(2,), (3,)]
+    assert rows(metrics.failing(df, metrics.is_crj(True), 2, "key")) == [(1,), (2,)]
+    failing = rows(catalog.QUERIES["m17_failing_ids"](spark, SF))
+    assert {k: sum(c == k for c, _ in failing) for k in ("missing_crj", "invalid_j")} == {"missing_crj": 20, "invalid_j": 20}

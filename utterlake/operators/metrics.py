@@ -178,6 +178,41 @@ def boundary_metrics(joined: DataFrame) -> DataFrame:
     )
 
 
+#: Words that don't count in overlaps.
+STOPWORDS = "a an the and or to for of on in at by from is are was were be been being do does did have has had with as about".split()
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Share of the different words of a that b has, stopwords left out; 0 where either has none."""
+    known = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9']+"), 0), lambda t: ~t.isin(STOPWORDS)))
+    x, y = known(a), known(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+
+
+def rationale_overlap(joined: DataFrame) -> DataFrame:
+    """Mean overlap of rationale with sentence, and the number of rows."""
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.avg(overlap(F.col("rationale"), F.col("sentence"))).alias("overlap"))
+
+
+def is_crj(strict_r: bool = False) -> Column:
+    """C, J and R are there; unless strict, R may be missing where C holds one intent and one slot at most."""
+    single = F.col("has_c") & (F.col("n_intents") <= 1) & (F.col("n_slots") <= 1)
+    return F.col("has_c") & F.col("has_j") & (F.col("has_r") | (single & F.lit(not strict_r)))
+
+
+def crj_candidates(rows: DataFrame, strict_r: bool = False) -> DataFrame:
+    """Subset, n, mean, median, least, most of candidate numbers for six subsets of rows(has_c, has_r, has_j, n_intents, n_slots, has_slots); 0 for empty ones."""
+    crj, slots = is_crj(strict_r), F.col("has_slots")
+    subsets = {
+        "intent_all": ("n_intents", F.lit(True)), "slot_all": ("n_slots", F.lit(True)), "intent_crj": ("n_intents", crj), "slot_crj": ("n_slots", crj),
+        "slot_gold_has_slots_all": ("n_slots", slots), "slot_gold_has_slots_crj": ("n_slots", crj & slots),
+    }
+    chosen = rows.select(*[F.when(where, F.col(c)).alias(k) for k, (c, where) in subsets.items()])
+    stats = lambda k: [F.count(k).alias("n"), *[F.coalesce(f(k).cast("double"), F.lit(0.0)).alias(name) for name, f in (("mean", F.avg), ("median", F.median), ("least", F.min), ("most", F.max))]]
+    found = chosen.agg(*[F.struct(F.lit(k).alias("subset"), *stats(k)).alias(k) for k in subsets])
+    return found.select(F.inline(F.array(*subsets)))
+
+
 def crj_report(rows: DataFrame, optional_r: bool = True) -> DataFrame:
     """rows(has_c, has_r, has_j, valid_j booleans, n_candidates): counts, ratios and candidate numbers."""
     whole = F.col("has_c") & F.col("has_j") & (F.lit(optional_r) | F.col("has_r"))
@@ -191,7 +226,7 @@ def crj_report(rows: DataFrame, optional_r: bool = True) -> DataFrame:
 
 def failing(rows: DataFrame, condition: Column, n: int, pos: str = "pos", key: str = "key") -> DataFrame:
     """Keys of the first n rows that fail."""
-    return rows.where(~condition).orderBy(pos).limit(n).select(pos, key)
+    return rows.where(~condition).orderBy(pos).limit(n).select(*dict.fromkeys((pos, key)))
 
 
 def rank_runs(runs: DataFrame, metric: str, status: str = "ok") -> DataFrame:

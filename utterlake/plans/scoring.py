@@ -70,6 +70,27 @@ def m17(spark, d):
     return V.rounded(M.crj_report(rows))
 
 
+def m16_overlap(spark, d):
+    p = V.pairs(spark, d)
+    return V.rounded(M.rationale_overlap(p.select(F.format_string("The %s is not for %s", "gold_intent", "pred_action").alias("rationale"), F.format_string("%s with %s", "gold_scenario", "gold_action").alias("sentence"))))
+
+
+def _crj(spark, d):
+    n = F.col("n")
+    return V.candidates(spark, d).select("key", (n % 10 != 0).alias("has_c"), (n % 4 != 0).alias("has_r"), (n % 7 != 0).alias("has_j"), (n % 14 != 1).alias("valid_j"), (n % 3).alias("n_intents"), (n % 2).alias("n_slots"), (F.size("gold_slots") > 0).alias("has_slots"))
+
+
+def m17_candidates(spark, d):
+    return V.rounded(M.crj_candidates(_crj(spark, d)))
+
+
+def m17_failing(spark, d):
+    rows = _crj(spark, d)
+    parts = {"missing_crj": M.is_crj(), "invalid_j": F.col("valid_j")}
+    found = [M.failing(rows, ok, 20, "key").select(F.lit(k).alias("check"), "key") for k, ok in parts.items()]
+    return found[0].unionByName(found[1])
+
+
 def m18(spark, d):
     runs = V.pairs(spark, d).groupBy((F.col("n") % 20).alias("index")).agg(F.avg("wer").alias("w"), F.count(F.lit(1)).alias("c"))
     runs = runs.select("index", F.when(F.col("index") % 6 == 5, "failed").otherwise("ok").alias("status"), F.when(F.col("index") % 5 == 4, F.create_map(F.lit("x"), "w")).otherwise(F.create_map(F.lit("eval_wer"), F.round("w", 6))).alias("metrics"))
@@ -105,7 +126,7 @@ def w1(spark, d):
 
 QUERIES = {
     "w1_evaluate": w1, "m1_label_f1": m1, "m1_label_f1_macro": m1_macro, "m2_span_f1": m2, "m3_entity_set_f1": m3, "m3_row_entity_f1": m3_row, "m6_evaluate": m6, "m7_compare_label_f1": m7, "m11_reward": m11,
-    "m12_candidate_stats": m12, "m13_success_score": m13, "m14_rationale_coverage": m14, "m15_run_summary": m15, "m16_boundary_metrics": m16, "m17_crj_report": m17, "m18_rank_runs": m18, "m18_expand_grid": m18_grid,
+    "m12_candidate_stats": m12, "m13_success_score": m13, "m14_rationale_coverage": m14, "m15_run_summary": m15, "m16_boundary_metrics": m16, "m16_rationale_overlap": m16_overlap, "m17_crj_report": m17, "m17_crj_candidates": m17_candidates, "m17_failing_ids": m17_failing, "m18_rank_runs": m18, "m18_expand_grid": m18_grid,
     "m19_group_advantage": m19, "m19_group_diversity": m19_diversity,
 }
 
