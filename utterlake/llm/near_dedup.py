@@ -8,9 +8,10 @@ probability Jaccard similarity; runs of registers are bands, and documents that
 No bucket of candidates is turned into its pairs. First every bucket compares its members with one pivot; signatures tell which
 comparisons can reach the wanted similarity, and those are verified exactly. One minus the probability Jaccard similarity is a
 metric (it is the chance that two registers differ), so members of one class need no more links among each other, and of the
-pivot's class only those stay that could reach a member outside it. What stays is dealt anew by two bands together, since
-documents of the wanted similarity share several, and there only the members outside the most common class are compared: they go
-along with every block of the bucket's rest. A bucket with too many of them takes another pivot first.
+pivot's class only those stay that could reach a member outside it. What stays of a bucket goes to tasks with its shingles, in
+blocks of bounded rows and bytes, a task for each two blocks: there the members outside the most common class are verified against
+the likeliest others, and only links that join two classes come out. A bucket of many blocks is dealt anew by two bands together
+first, since documents of the wanted similarity share several.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 SEED = 0x5EED
-BATCH_BYTES = 2_000_000
-#: Members of a bucket that go along with each of its blocks at most, and members of a block.
-BLOCK = 4096
+BATCH_BYTES = 1_000_000
+#: Members of a block, and bytes of their shingles, about; buckets of more blocks than WIDEST are dealt by two bands.
+BLOCK, BLOCK_BYTES, WIDEST = 4096, 8_000_000, 4
 #: Estimates from signatures stray by less than this, but for a chance of 1e-5 at the worst and 1e-8 at a similarity of 0.8.
 STRAY = 0.2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +59,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
         inside = k < left
         value[inside] = mix64(value[inside] * GOLD + key[at[inside] + k] + np.uint64(k + 1))
     owner = text[at]
-    order = np.lexsort((value, owner))
+    order = np.argsort(value)
+    short = owner[order].astype(np.uint16 if n_texts <= 1 << 16 else np.int64)
+    order = order[np.argsort(short, kind="stable")]
     owner, value = owner[order], value[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
@@ -70,24 +73,21 @@ def signatures(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n_texts:
     """ProbMinHash signatures, n_texts by m: the key of the shingle that arrives first in each register."""
     times = np.full(n_texts * m, np.inf)
     held = np.zeros(n_texts * m, np.uint64)
-    alive = np.arange(len(key))
-    clock = np.zeros(len(key))
-    arrival = 0
-    while len(alive):
-        draw = mix64(key[alive] + np.uint64((seed + arrival * 2 * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+    clock, arrival = np.zeros(len(key)), 0
+    while len(key):
+        many = 1 if len(key) * 16 > 100_000 else 16  # arrivals of each shingle at once, where few are left
+        salt = np.array([(seed + k * 2 * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for k in range(arrival, arrival + many)], np.uint64)
+        draw = mix64(key[:, None] + salt)
         uniform = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-        clock = clock - np.log(uniform) / weight[alive]
-        register = (mix64(draw + GOLD) % np.uint64(m)).astype(np.int64)
-        slot = owner[alive] * m + register
-        order = np.lexsort((clock, slot))
-        lead = order[np.concatenate(([True], slot[order][1:] != slot[order][:-1]))]
-        better = lead[clock[lead] < times[slot[lead]]]
-        times[slot[better]] = clock[better]
-        held[slot[better]] = key[alive[better]]
-        latest = times.reshape(n_texts, m).max(axis=1)
-        stay = clock < latest[owner[alive]]
-        alive, clock = alive[stay], clock[stay]
-        arrival += 1
+        each = clock[:, None] - np.cumsum(np.log(uniform) / weight[:, None], axis=1)
+        slot = owner[:, None] * m + (mix64(draw + GOLD) % np.uint64(m)).astype(np.int64)
+        np.minimum.at(times, slot.reshape(-1), each.reshape(-1))
+        row, column = np.nonzero(times[slot] == each)
+        held[slot[row, column]] = key[row]
+        clock = each[:, -1]
+        stay = clock < times.reshape(n_texts, m).max(axis=1)[owner]
+        owner, key, weight, clock = owner[stay], key[stay], weight[stay], clock[stay]
+        arrival += many
     return held.reshape(n_texts, m)
 
 
@@ -99,32 +99,42 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+def contents(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's shingles end, and two sums over all its shingles and weights, the same for texts with the same ones."""
+    ends = np.searchsorted(owner, np.arange(n_texts + 1))
+    sums = []
+    for mixed in (mix64(key * GOLD + weight.astype(np.uint64)), mix64(key + weight.astype(np.uint64) * GOLD + np.uint64(1))):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+        sums.append((total[ends[1:]] - total[ends[:-1]]).astype(np.int64))
+    return ends, *sums
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", BATCH_BYTES):
-        data, offsets = raw(batch.column("text"))
-        owner, key, weight = shingles(data, offsets, size)
+        owner, key, weight = shingles(*raw(batch.column("text")), size)
         n = batch.num_rows
-        ends = np.searchsorted(owner, np.arange(n + 1))
-        mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(key * GOLD + weight.astype(np.uint64)), dtype=np.uint64)))
-        whole_key = (mixed[ends[1:]] - mixed[ends[:-1]]).astype(np.int64)
-        again = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(key + weight.astype(np.uint64) * GOLD + np.uint64(1)), dtype=np.uint64)))
-        other_key = (again[ends[1:]] - again[ends[:-1]]).astype(np.int64)
+        ends, same, too = contents(owner, key, weight, n)
         registers = signatures(owner, key, weight, n, bands * rows)
         found = band_keys(registers, rows).astype(np.int64)
-        short = (registers >> np.uint64(32)).astype("<u4")
+        short = (registers >> np.uint64(32)).astype("<u4").tobytes()
+        width = 4 * bands * rows
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(found.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole_key), pa.array(other_key), pa.array(np.diff(ends)), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "same", "too", "size", "bands", "signature"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(same), pa.array(too), pa.array(np.diff(ends)), lists, pa.array([short[k : k + width] for k in range(0, len(short), width)], pa.binary())],
+            ["doc_id", "same", "too", "size", "bands", "signature"],
+        )
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, keys and counts of the texts whose content is the wanted one; no counts stand for ones."""
     for batch in pieces(batches, "text", BATCH_BYTES):
-        data, offsets = raw(batch.column("text"))
-        owner, key, weight = shingles(data, offsets, size)
-        ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-        flat, counts = key.astype("<u8").tobytes(), weight.astype("<u4").tobytes()
-        light = [bool((weight[a:b] == 1).all()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        owner, key, weight = shingles(*raw(batch.column("text")), size)
+        ends, same, too = contents(owner, key, weight, batch.num_rows)
+        fits = (same == np.asarray(batch.column("same"))) & (too == np.asarray(batch.column("too")))
+        flat, counts, ends = key.astype("<u8").tobytes(), weight.astype("<u4").tobytes(), ends.tolist()
+        spans = [(a, b) for a, b, ok in zip(ends[:-1], ends[1:], fits.tolist(), strict=True) if ok]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([flat[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([b"" if one else counts[4 * a : 4 * b] for a, b, one in zip(ends[:-1], ends[1:], light, strict=True)], pa.binary())],
+            [batch.column("doc_id").filter(pa.array(fits)), pa.array([flat[8 * a : 8 * b] for a, b in spans], pa.binary()), pa.array([counts[4 * a : 4 * b] if (weight[a:b] > 1).any() else b"" for a, b in spans], pa.binary())],
             ["doc_id", "keys", "counts"],
         )
 
@@ -186,24 +196,69 @@ def similarities(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
     return first.join(other, "pivot").select("pivot", "doc", "keys", "counts", "other_keys", "other_counts").mapInArrow(_verified, "pivot long, doc long, similarity double")
 
 
-def _block(rows: pa.Table, least: float) -> pa.Table:
-    """Pairs of a block with a member outside the bucket's main class, of two classes, that may be similar enough.
+class Shingled:
+    """Texts of one task as flat arrays: sorted shingle keys, weights as shares of their text, and where each text's start."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        keys, counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
+        self.ends = np.cumsum([0, *[len(k) // 8 for k in keys]])
+        self.keys = np.frombuffer(b"".join(keys), "<u8")
+        self.weights = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(len(k) // 8, np.uint32) for k, c in zip(keys, counts, strict=True)])
+        sums = np.concatenate(([0], np.cumsum(self.weights, dtype=np.int64)))
+        self.sums = (sums[self.ends[1:]] - sums[self.ends[:-1]]).astype(np.float64)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys[self.ends[i] : self.ends[i + 1]], self.weights[self.ends[i] : self.ends[i + 1]]
+
+    def linked(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of others whose probability Jaccard similarity to i is at least threshold.
+
+        Two samplers agree at most with the shared mass of their distributions; only pairs whose shared mass is enough are computed.
+        """
+        own, weight = self[i]
+        sizes = self.ends[others + 1] - self.ends[others]
+        total = np.cumsum(sizes)
+        at = np.repeat(self.ends[others] - (total - sizes), sizes) + np.arange(total[-1])
+        key = self.keys[at]
+        place = np.minimum(np.searchsorted(own, key), len(own) - 1)
+        shared = np.where(own[place] == key, np.minimum(weight[place] / self.sums[i], self.weights[at] / np.repeat(self.sums[others], sizes)), 0.0)
+        mass = np.add.reduceat(shared, total - sizes)
+        close = others[mass >= threshold - 1e-9]
+        return np.array([j for j in close.tolist() if probability_jaccard(self[i], self[j]) >= threshold], np.int64)
 
-    A pair shares several pairs of bands; it is given by the bucket of the first two that it shares.
+
+def _links(rows: pa.Table, threshold: float, likely: float, bands: int) -> pa.Table:
+    """Links that join the classes of a task's texts; the pairs of two blocks, or of one with itself, that a bucket stands for.
+
+    A pair is looked at in the first bucket (or first two bands together) that it shares. Likeliest candidates come first, and
+    those that have joined a text's class meanwhile need no look.
     """
-    signature, minor = _matrix(rows.column("signature")), np.array(rows.column("minor").to_pylist(), bool)
-    doc, label = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("doc", "label"))
-    bands = np.array(rows.column("bands").to_pylist(), np.int64)
-    one, two = (rows.column(c)[0].as_py() for c in ("one", "two"))
-    out: list[np.ndarray] = []
-    for i in np.flatnonzero(minor).tolist():
-        near = np.flatnonzero(((signature == signature[i]).mean(axis=1) >= least) & (label != label[i]))
-        alike = bands[near] == bands[i]
-        near = near[(alike[:, :two].sum(axis=1) == 1) & alike[:, one] & alike[:, two]]
-        if len(near):
-            out.append(np.stack((np.minimum(doc[near], doc[i]), np.maximum(doc[near], doc[i])), axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["pivot", "doc"])
+    signature, label, own, doc = _matrix(rows.column("signature")), *(np.array(rows.column(c).to_pylist(), np.int64) for c in ("label", "own", "doc"))
+    one, two, low, high = (rows.column(c)[0].as_py() for c in ("one", "two", "low", "high"))
+    texts, label = Shingled(rows), np.unique(label, return_inverse=True)[1]
+    common = np.bincount(label).argmax()
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(label != common).tolist():
+        other = label != label[i]
+        if low != high:
+            other &= own != own[i]
+        near = np.flatnonzero(other)
+        equal = signature[near] == signature[i]
+        estimate = equal.mean(axis=1)
+        near, estimate, equal = near[estimate >= likely], estimate[estimate >= likely], equal[estimate >= likely]
+        alike = equal.reshape(len(near), bands, equal.shape[1] // bands).all(axis=2)
+        mine = alike[:, one] & (alike[:, :one].sum(axis=1) == 0) if two < 0 else alike[:, one] & alike[:, two] & (alike[:, :two].sum(axis=1) == 1)
+        near = near[mine][np.argsort(-estimate[mine], kind="stable")]
+        step = 8
+        while len(near):
+            for j in texts.linked(i, near[:step], threshold).tolist():
+                if label[j] != label[i]:
+                    found.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                    label[label == label[j]] = label[i]
+            near = near[step:][label[near[step:]] != label[i]]
+            step *= 2
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def classes(edges: DataFrame, label: str = "near-classes") -> DataFrame:
@@ -221,80 +276,83 @@ def classes(edges: DataFrame, label: str = "near-classes") -> DataFrame:
             return now
 
 
-def near_links(docs: DataFrame, shingled_of: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) that hold the classes of docs(doc_id, bands, signature); shingled_of(ids) gives the shingles of documents."""
+def near_links(docs: DataFrame, shingled_of: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) that hold the classes of docs(doc_id, bands, signature); shingled_of(ids) gives doc_id, keys, counts of documents."""
     reach, likely = 1.0 - threshold, threshold - STRAY
     placed = docs.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value"))
     spread = placed.select("doc", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    rows = written(spread.join(shared, "bucket"), "near-rows")
-    signed = docs.select("doc_id", "signature", "bands")
-    shingled = written(shingled_of(rows.select(F.col("doc").alias("doc_id")).distinct()), "near-shingles")
-    links, chosen, turn = None, [], 0
-    while True:
-        rough = written(estimates(rows.where("doc != pivot").select("pivot", "doc").distinct(), signed), "near-estimates")
-        sims = written(similarities(rough.where(F.col("estimate") >= likely), shingled), "near-similarities")
-        linked = sims.where(F.col("similarity") >= threshold).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        links = linked if links is None else links.unionByName(linked)
-        exact, rest = 1.0 - F.col("similarity"), 1.0 - F.col("estimate")
-        known = rough.join(sims, ["pivot", "doc"], "left").select("pivot", "doc", F.coalesce(exact, F.greatest(F.lit(reach + 0.01), rest - STRAY)).alias("far"), F.coalesce(exact, rest + STRAY).alias("farthest"))
-        # Rows of one class so far need no link to each other. What is in the pivot's class stays only if another member could reach it.
-        found = classes(links)
-        far = rows.where("doc != pivot").join(known, ["pivot", "doc"])
-        far = far.join(found.select("doc", F.col("class").alias("own")), "doc", "left").join(found.select(F.col("doc").alias("pivot"), F.col("class").alias("its")), "pivot", "left")
-        far = far.withColumns({"label": F.coalesce("own", "doc"), "main": F.coalesce("its", "pivot")})
-        nearest = far.where("label != main").groupBy("bucket").agg(F.min("far").alias("nearest"))
-        stay = written(far.join(nearest, "bucket").where((F.col("label") != F.col("main")) | (F.col("farthest") >= F.col("nearest") - reach - 1e-9)).select("bucket", "doc", "label", "band", *(["two"] if turn else [])), "near-left")
-        if turn == 0:
-            # By pairs of bands, the first of which brought the row here; both rows of a pair that counts stay in some band they share.
-            second = placed.select("doc", F.col("band").alias("other_band"), F.xxhash64("band", "value").alias("other"))
-            alone = stay.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-            wide = stay.join(alone, "bucket", "left_semi").join(second, "doc").where("band != other_band")
-            low = F.col("band") < F.col("other_band")
-            pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-            stay = wide.groupBy(F.xxhash64(pick("bucket", "other"), pick("other", "bucket")).alias("bucket"), "doc").agg(F.max("label").alias("label"), F.max(F.least("band", "other_band")).alias("band"), F.max(F.greatest("band", "other_band")).alias("two"))
-        groups = stay.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
-        buckets = groups.groupBy("bucket").agg(F.max_by(F.struct("label", "n"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.min_by("first", F.struct("n", "first")).alias("pivot"))
-        buckets = buckets.withColumn("minors", F.col("n") - F.col("main.n")).where("minors > 0")
-        held = written(stay.join(buckets.select("bucket", F.col("main.label").alias("main"), "n", "minors", "pivot"), "bucket"), "near-held")
-        ready = held.where(F.col("minors") <= block).withColumn("minor", F.col("label") != F.col("main"))
-        blocks = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("minors")) / block)).cast("int")
-        place = F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int")))
-        dealt = ready.withColumn("part", F.explode(place)).join(signed.withColumnRenamed("doc_id", "doc"), "doc").select("bucket", "part", "doc", "label", "minor", F.col("band").alias("one"), "two", "signature", "bands")
-        chosen.append(written(dealt.groupBy("bucket", "part").applyInArrow(lambda t: _block(t, likely), "pivot long, doc long").distinct(), "near-pairs"))
-        rows = held.where(F.col("minors") > block).select("bucket", "doc", "band", "two", "pivot")
-        turn += 1
-        if not rows.head(1):
-            break
-        rows = written(rows, "near-rows")
-    every = chosen[0]
-    for x in chosen[1:]:
-        every = every.unionByName(x)
-    last = similarities(every.distinct(), shingled).where(F.col("similarity") >= threshold).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    rows = written(spread.join(shared, "bucket").where("doc != pivot"), "near-rows")
+    signed = docs.select("doc_id", "signature")
+    rough = written(estimates(rows.select("pivot", "doc").distinct(), signed), "near-estimates")
+    ids = rows.select("doc").union(rows.select("pivot")).distinct().withColumnRenamed("doc", "doc_id")
+    shingled = written(shingled_of(ids), "near-shingles")
+    sims = written(similarities(rough.where(F.col("estimate") >= likely), shingled), "near-similarities")
+    links = sims.where(F.col("similarity") >= threshold).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    # What is in the pivot's class stays in a bucket only if a member of another class could reach it; the pivot itself is done.
+    exact, rest = 1.0 - F.col("similarity"), 1.0 - F.col("estimate")
+    known = rough.join(sims, ["pivot", "doc"], "left").select("pivot", "doc", F.coalesce(exact, F.greatest(F.lit(reach + 0.01), rest - STRAY)).alias("far"), F.coalesce(exact, rest + STRAY).alias("farthest"))
+    found = classes(links)
+    known = known.join(found.select("doc", F.col("class").alias("own")), "doc", "left").join(found.select(F.col("doc").alias("pivot"), F.col("class").alias("its")), "pivot", "left")
+    known = known.select("pivot", "doc", "far", "farthest", F.coalesce("own", "doc").alias("label"), F.coalesce("its", "pivot").alias("main"))
+    far = written(rows.join(known, ["pivot", "doc"]), "near-far")
+    nearest = far.where("label != main").groupBy("bucket").agg(F.min("far").alias("nearest"))
+    stay = far.join(nearest, "bucket").where((F.col("label") != F.col("main")) | (F.col("farthest") >= F.col("nearest") - reach - 1e-9))
+    stay = written(stay.select("bucket", "doc", "label", F.col("band").alias("one"), F.lit(-1).alias("two")), "near-left")
+    sizes = _sizes(stay, shingled, block)
+    tasks = _tasks(stay, sizes.where(F.col("blocks") <= WIDEST))
+    large = written(stay.join(sizes.where(F.col("blocks") > WIDEST).select("bucket"), "bucket", "left_semi"), "near-large")
+    if large.head(1):
+        second = placed.select("doc", F.col("band").alias("second"), "value")
+        pairs = large.join(second, "doc").where(F.col("second") > F.col("one")).select(F.xxhash64("bucket", "second", "value").alias("bucket"), "doc", "label", "one", F.col("second").alias("two"))
+        pairs = written(pairs, "near-pairs")
+        tasks = tasks.unionByName(_tasks(pairs, _sizes(pairs, shingled, block)))
+    dealt = tasks.join(signed.withColumnRenamed("doc_id", "doc"), "doc").join(shingled.withColumnRenamed("doc_id", "doc"), "doc")
+    last = dealt.groupBy("bucket", "low", "high").applyInArrow(lambda t: _links(t, threshold, likely, bands), "a long, b long")
     return links.unionByName(last).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _sizes(rows: DataFrame, shingled: DataFrame, block: int) -> DataFrame:
+    """Buckets with texts of two classes, and into how many blocks of bounded rows and bytes they go."""
+    bytes_of = shingled.select(F.col("doc_id").alias("doc"), F.length("keys").cast("long").alias("bytes"))
+    found = rows.join(bytes_of, "doc").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
+    return written(found.where("least != most").select("bucket", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
+
+
+def _tasks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of each bucket, once for each pair of blocks that their own is in."""
+    placed = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "label", "one", "two")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the least doc_id of its class), links, kept.
 
     Classes are the connected components of documents whose probability Jaccard similarity over shingles of five words, weighted
     by their counts, is at least 0.8; of rows with the same shingles and counts, one stands for all. links counts the links that
     were verified at a document's representative, enough to hold its class together. Texts without words are each a class of
-    their own, as are rows with a null identifier; rows that repeat an identifier are one document.
+    their own, as are rows with a null identifier. Rows that repeat an identifier are one document; of their texts that differ, the
+    one with the least digest speaks for it. Other columns of docs are not read.
     With 32 bands of 4 registers a pair of similarity 0.8 shares no band with a chance of 5e-8, and fewer than two with 1e-6.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     signed = written(source.mapInArrow(lambda b: _signed(b, size, bands, rows), "doc_id long, same long, too long, size long, bands array<long>, signature binary"), "near-signatures")
-    full = signed.where("size > 0 AND doc_id IS NOT NULL")
-    stands = full.groupBy("same", "too", "size").agg(F.min("doc_id").alias("first"))
-    member = written(full.select("doc_id", "same", "too", "size").join(stands, ["same", "too", "size"]).groupBy("doc_id").agg(F.min("first").alias("first")), "near-members")
-    chosen = full.join(member.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("bands", "signature")).alias("s")).select("doc_id", "s.bands", "s.signature")
-    chosen = written(chosen, "near-chosen")
+    same = ["same", "too", "size"]
+    full = signed.where("size > 0 AND doc_id IS NOT NULL").select("doc_id", *same)
+    repeated = bool(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1))
+    if repeated:
+        full = full.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("s")).select("doc_id", "s.*")
+    stands = written(full.groupBy(*same).agg(F.min("doc_id").alias("first")), "near-contents")
+    member = written(full.join(stands, same).select("doc_id", "first"), "near-members")
+    chosen = signed.join(stands.withColumnRenamed("first", "doc_id"), ["doc_id", *same]).select("doc_id", "same", "too", "bands", "signature")
+    chosen = written(chosen.dropDuplicates(["doc_id"]) if repeated else chosen, "near-chosen")
 
     def shingled_of(ids: DataFrame) -> DataFrame:
-        return source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda b: _shingled(b, size), "doc_id long, keys binary, counts binary")
+        found = source.join(ids.join(chosen.select("doc_id", "same", "too"), "doc_id"), "doc_id").mapInArrow(lambda b: _shingled(b, size), "doc_id long, keys binary, counts binary")
+        return found.dropDuplicates(["doc_id"]) if repeated else found
 
-    links = written(near_links(chosen, shingled_of, threshold), "near-links")
+    links = written(near_links(chosen, shingled_of, threshold, bands, block), "near-links")
     found = classes(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("links"))
     classed = member.join(found.withColumnRenamed("doc", "first"), "first", "left").join(degree, "first", "left").select("doc_id", F.coalesce("class", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -303,9 +361,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs whose document stands for its class."""
+    """The rows of docs whose document stands for its class, in the columns of docs; rows with a null identifier stay."""
     dropped = near_dedup(docs, id_col, **how).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
