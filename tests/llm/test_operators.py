@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.llm import bpe, exact_dedup, mixing, near_dedup, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
+from utterlake.llm import bpe, exact_dedup, mixing, near_dedup, pieces, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
 from utterlake.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, source string, host string, kept string"
@@ -104,10 +105,35 @@ def test_token_files(spark):
     assert token_files.read_tokens(spark, empty_folder).count() == 0
 
 
+def test_null_identifiers_differ_from_minus_one(spark):
+    df = spark.createDataFrame([(None, "a b"), (-1, "c"), (None, "d"), (5, None)], "doc_id long, text string")
+    folder = scratch(spark, "test-nulls")
+    token_files.write_tokens(df, folder)
+    got = [r["doc_id"] for r in token_files.read_tokens(spark, folder).orderBy("part", "seq", "at").collect()]
+    assert got == [None, None, -1, 5]
+    token_counts.write_flat(df, f"{folder}-flat", size=2)
+    names = token_counts.document_names(spark, f"{folder}-flat", 2).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in names) == [(False, -1), (False, 5), (True, 0), (True, 0)]
+
+
+@pytest.mark.parametrize("kind", ["own", "library"])
+def test_known_pieces_are_forgotten_and_found_again(kind):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    t, rnd = Tokenizer.from_file(path), random.Random(11)
+    encoder = pieces.Encoder(bpe.vocabulary(path).encode_all, bpe.vocabulary(path).specials, most_kept=400) if kind == "own" else pieces.Encoder(token_files.library(path).ids_of, bpe.vocabulary(path).specials, most_kept=400)
+    pool = [*"abst'’ relvmdLL  \n\t\r\u00a0\u3000éß漢ñ09٣½!.-😀\u200bREs\x85\x00", "<|endoftext|>", "'ll", " the", "don't", "<|endof"]
+    for _ in range(6):
+        texts = ["".join(rnd.choice(pool) for _ in range(rnd.choice([0, 1, 2, 5, 30]))) for _ in range(200)]
+        ids, at = encoder(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packed_blocks():
     rnd = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.full(300, 7, np.uint32), rnd.integers(0, 2**32, 1000, dtype=np.uint32), np.where(rnd.random(5000) < 0.02, 4_000_000_000, rnd.integers(0, 9, 5000)).astype(np.uint32)):
-        data = token_files.segment(np.array([3]), np.array([len(ids)]), ids)
+        data = token_files.segment(pa.array([3]), np.array([len(ids)]), ids)
         _, counts, n, sections = token_files.parts_of(data)
         assert counts.tolist() == [len(ids)] and token_files.unpack(sections, n).tolist() == ids.tolist()
         if len(ids) > 256:

@@ -23,7 +23,7 @@ from .common import as_binary, pieces, raw, table, whole
 from .pieces import Encoder
 
 VOCABULARY = "byte_bpe_50k.json"
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -160,7 +160,7 @@ def backtracking(path: str) -> Encoder:
 def with_ids(batches: Iterator[pa.RecordBatch], encoder: Encoder, text_col: str, ids_col: str) -> Iterator[pa.RecordBatch]:
     """The batches with the text column replaced by its ids, little-endian unsigned 32-bit integers."""
     for batch in pieces(batches, text_col, BATCH_BYTES):
-        ids, at = encoder(batch.column(text_col).to_pylist())
+        ids, at = encoder.encode(*raw(batch.column(text_col)))
         flat = ids.astype("<u4").tobytes()
         column = pa.array([flat[4 * s : 4 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
         names = [n for n in batch.schema.names if n != text_col]

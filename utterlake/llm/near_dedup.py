@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, pieces, raw, table, whole, written
-from .words import keys, words
+from .pieces import piece_keys
+from .words import words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,7 +49,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none
-    key = mix64(keys(data, starts, ends))
+    key = mix64(piece_keys(data, starts, ends))
     count = np.bincount(text, minlength=n_texts)
     first = np.cumsum(count) - count
     place = np.arange(len(text)) - first[text]

@@ -1,8 +1,9 @@
-"""Byte-level pre-tokenisation of many texts at once, as array work over their code points.
+"""Byte-level pre-tokenisation of many texts at once, as array work over their UTF-8 bytes.
 
 The pieces are those of the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
-Equal pieces of a batch are found by a rolling hash whose hits are compared byte by byte, so a merge table is asked once a piece.
+A piece is known by a rolling hash; pieces that have been encoded before lie in arrays sorted by it, and every hit is compared byte
+by byte, so a merge table is asked once a piece.
 """
 
 from __future__ import annotations
@@ -27,10 +28,28 @@ def classes() -> np.ndarray:
     return found
 
 
-def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
-    """Where pieces start in the code points of texts laid end to end; text_starts: where (non-empty) texts start."""
-    n = len(points)
-    kind = classes()[points]
+def kinds_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of the code point that each byte of UTF-8 belongs to, and where the code points of several bytes begin."""
+    kind = classes()[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        wide = np.concatenate((data, np.zeros(3, np.uint8)))
+        first, more = wide[lead].astype(np.int32), [(wide[lead + k] & 0x3F).astype(np.int32) for k in (1, 2, 3)]
+        two, three = (first & 0x1F) << 6 | more[0], (first & 0x0F) << 12 | more[0] << 6 | more[1]
+        four = (first & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        found = classes()[np.minimum(np.where(size == 2, two, np.where(size == 3, three, four)), 0x10FFFF)]
+        for k in range(4):
+            here = size > k
+            at = lead[here] + k
+            kind[at[at < len(kind)]] = found[here][at < len(kind)]
+    return kind, lead
+
+
+def piece_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where pieces start in the bytes of texts laid end to end; text_starts: where (non-empty) texts start."""
+    n = len(data)
+    kind, lead = kinds_of(data)
     start = np.empty(n, bool)
     start[0] = True
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
@@ -41,18 +60,21 @@ def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     first[n] = True
     ends = np.append(runs[1:], n)
     white = (kind[runs] == SPACE) & ~first[ends]
-    last = ends[white] - 1
+    last = ends[white] - 1  # the last code point of a run of spaces
+    inside = np.flatnonzero((data[last] & 0xC0) == 0x80)
+    if len(inside):
+        last[inside] = lead[np.searchsorted(lead, last[inside], "right") - 1]
     start[last] = True
-    blank = points[last] == 0x20
+    blank = data[last] == 0x20
     start[last[blank] + 1] = False
     # An apostrophe that begins a piece takes the letters of a contraction.
-    lone = (points[runs] == 0x27) & (ends - runs == 1) & start[runs] & ~first[ends]
+    lone = (data[runs] == 0x27) & (ends - runs == 1) & start[runs] & ~first[ends]
     quote = runs[lone]
     if len(quote):
         quote = quote[kind[quote + 1] == LETTER]
         run_end = ends[np.searchsorted(runs, quote + 1)]
-        a = points[quote + 1]
-        b = np.where(run_end - quote > 2, points[np.minimum(quote + 2, n - 1)], 0)
+        a = data[quote + 1]
+        b = np.where(run_end - quote > 2, data[np.minimum(quote + 2, n - 1)], 0)
         is_ = lambda x, *letters: np.isin(x, [ord(c) for c in letters])
         taken = np.where(is_(a, "s", "t", "m", "d"), 1, np.where((is_(a, "r", "v") & is_(b, "e")) | (is_(a, "l") & is_(b, "l")), 2, 0))
         quote, taken, run_end = quote[taken > 0], taken[taken > 0], run_end[taken > 0]
@@ -82,94 +104,160 @@ def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an example of each different piece, the number of the example of every piece); pieces run from start to start."""
-    ends = np.append(starts[1:], len(data))
+def piece_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the bytes of each run, the same wherever the run stands."""
     up, down, values = _powers(1 << max(16, int(len(data)).bit_length()))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    key = (sums[ends] - sums[starts]) * down[starts]
-    example, number = numbered(key)
-    other = starts[example][number]
-    sizes = ends - starts
-    alike = sizes == sizes[example][number]
-    shift = np.repeat(other - starts, np.where(alike, sizes, 0))
-    at = np.arange(len(data)) if alike.all() else np.flatnonzero(np.repeat(alike, sizes))
-    if not alike.all() or not np.array_equal(data[at], data[at + shift]):  # two pieces of one key
-        table: dict[bytes, int] = {}
-        flat = data.tobytes()
-        number = np.array([table.setdefault(flat[s:e], len(table)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-        _, example = np.unique(number, return_index=True)
-    return example, number
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the runs of a and b of equal sizes are the same, eight bytes a step; both arrays have eight bytes to spare."""
+    out = np.ones(len(at), bool)
+    x, y = (np.ndarray((len(v) - 7,), "<u8", v, 0, (1,)) for v in (a, b))  # eight bytes from each place on
+    left, step = np.flatnonzero(sizes > 0), 0
+    while len(left):
+        bits = np.minimum(sizes[left] - step, 8).astype(np.uint64) * np.uint64(8)
+        differ = (x[at[left] + step] ^ y[other[left] + step]) << (np.uint64(64) - bits)
+        out[left[differ != 0]] = False
+        step += 8
+        left = left[(differ == 0) & (sizes[left] > step)]
+    return out
+
+
+class Known:
+    """Pieces with their ids, as arrays sorted by key; of two pieces of one key the first stays."""
+
+    #: Leading bits of a key that say where to look.
+    BITS = 20
+    ROWS = ("key", "id_at", "id_n", "at", "size", "used")
+
+    def __init__(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.key, self.ids, self.flat, self.used = none.astype(np.uint64), none.astype(np.uint32), np.zeros(8, np.uint8), none.astype(bool)
+        self.id_at, self.id_n, self.at, self.size = none, none, none, none
+        self.first = np.zeros((1 << self.BITS) + 1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def index(self) -> None:
+        np.cumsum(np.bincount((self.key >> np.uint64(64 - self.BITS)).astype(np.int64), minlength=1 << self.BITS), out=self.first[1:])
+
+    def add(self, key: np.ndarray, found: list[bytes], ids: list) -> np.ndarray:
+        """Add pieces with different keys, in order of key; the new numbers of those that were there."""
+        sizes, counts = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(map(len, ids), np.int64, len(ids))
+        place = np.searchsorted(self.key, key)
+        new = np.ones(len(key), bool) if not len(self) else self.key[np.minimum(place, len(self) - 1)] != key
+        rows = {"key": key, "id_at": len(self.ids) + np.cumsum(counts) - counts, "id_n": counts, "at": len(self.flat) - 8 + np.cumsum(sizes) - sizes, "size": sizes, "used": np.zeros(len(key), bool)}
+        self.flat = np.concatenate((self.flat[:-8], np.frombuffer(b"".join(found), np.uint8), np.zeros(8, np.uint8)))
+        self.ids = np.concatenate((self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))))
+        moved = np.arange(len(self)) + np.cumsum(np.bincount(place[new], minlength=len(self) + 1))[:-1]
+        for name in self.ROWS:
+            setattr(self, name, np.insert(getattr(self, name), place[new], rows[name][new]))
+        self.index()
+        return moved
+
+    def forget(self) -> None:
+        """Drop the pieces that were not found since they came or since the last time; all, where that leaves too many."""
+        keep = np.flatnonzero(self.used)
+        if 4 * len(keep) > 3 * len(self):
+            self.__init__()
+            return
+        for where, n, flat in (("at", "size", "flat"), ("id_at", "id_n", "ids")):
+            sizes, starts, old = getattr(self, n)[keep], getattr(self, where)[keep], getattr(self, flat)
+            total = np.cumsum(sizes)
+            picked = old[np.repeat(starts - (total - sizes), sizes) + np.arange(int(total[-1]) if len(keep) else 0)]
+            setattr(self, flat, np.concatenate((picked, np.zeros(8, np.uint8))) if flat == "flat" else picked)
+            setattr(self, f"_{where}", total - sizes)
+        self.key, self.size, self.id_n, self.at, self.id_at = self.key[keep], self.size[keep], self.id_n[keep], self._at, self._id_at
+        self.used = np.zeros(len(keep), bool)
+        self.index()
+
+    def find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1; data has eight bytes to spare."""
+        out = np.full(len(key), -1)
+        head = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
+        place, end = self.first[head], self.first[head + 1]
+        left = np.flatnonzero(place < end)
+        while len(left):
+            hit = self.key[place[left]] == key[left]
+            out[left[hit]] = place[left[hit]]
+            left = left[~hit]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+        hit = np.flatnonzero(out >= 0)
+        same = self.size[out[hit]] == sizes[hit]
+        out[hit[~same]] = -1
+        hit = hit[same]
+        out[hit[~same_bytes(data, starts[hit], self.flat, self.at[out[hit]], sizes[hit])]] = -1
+        self.used[out[out >= 0]] = True
+        return out
 
 
 class Encoder:
     """Ids of whole texts, from the ids of their different pieces, which are kept for later batches up to a bound."""
 
-    def __init__(self, ids_of: Callable[[list[bytes]], list], specials: dict[str, int], most_kept: int = 300_000) -> None:
-        self.ids_of, self.specials, self.most_kept, self.kept = ids_of, specials, most_kept, {}
-
-    def segments(self, texts: list[str]) -> tuple[list[str], list[int], list[int]]:
-        """Non-empty segments, the text of each, and the id that stands for it, or -1 where it must be encoded."""
-        parts, owner, fixed = [], [], []
-        for k, text in enumerate(texts):
-            found = [(text, -1)]
-            for special, number in self.specials.items():
-                if special in text:
-                    found = [y for part, f in found for y in ([(part, f)] if f >= 0 else [z for i, p in enumerate(part.split(special)) for z in ([(special, number)] if i else []) + [(p, -1)]])]
-            for part, f in found:
-                if part:
-                    parts.append(part)
-                    owner.append(k)
-                    fixed.append(f)
-        return parts, owner, fixed
+    def __init__(self, ids_of: Callable[[list[bytes]], list], specials: dict[str, int], most_kept: int = 500_000, most_bytes: int = 8_000_000) -> None:
+        self.ids_of, self.specials, self.most_kept, self.most_bytes, self.known = ids_of, {k.encode(): v for k, v in specials.items()}, most_kept, most_bytes, Known()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (unsigned 32-bit), and the offset of each text's in them."""
-        parts, owner, fixed = self.segments(texts)
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        joined = "".join(parts)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        text_starts = np.cumsum(sizes) - sizes
-        at = piece_starts(points, text_starts)
-        fixed = np.array(fixed)
-        if (fixed >= 0).any():  # a special token is one piece
-            inside = np.zeros(len(points) + 1, np.int8)
-            np.add.at(inside, text_starts[fixed >= 0] + 1, 1)
-            np.add.at(inside, (text_starts + sizes)[fixed >= 0], -1)
-            at = at[np.cumsum(inside)[at] == 0]
-        widths = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int64)
-        offset = np.cumsum(widths) - widths
-        data = np.frombuffer(joined.encode(), np.uint8)
-        starts = offset[at]
-        example, number = same_pieces(data, starts)
-        ends = np.append(starts[1:], len(data))
-        flat = data.tobytes()
-        pieces = [flat[s:e] for s, e in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
-        if len(self.kept) > self.most_kept:
-            self.kept.clear()
-        missing = [p for p in pieces if p not in self.kept]
-        self.kept.update(zip(missing, self.ids_of(missing), strict=True))
-        kept = self.kept
-        each = [kept[p] for p in pieces]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter((i for ids in each for i in ids), np.uint32, int(counts.sum()))
-        first = np.cumsum(counts) - counts
-        own = counts[number]
-        if (fixed >= 0).any():
-            special = {int(s): int(f) for s, f in zip(offset[text_starts[fixed >= 0]], fixed[fixed >= 0], strict=True)}
-            ids, first = np.append(ids, np.array(list(special.values()), np.uint32)), first[number]
-            for k, (s, _) in enumerate(special.items()):
-                i = int(np.searchsorted(starts, s))
-                first[i], own[i] = len(ids) - len(special) + k, 1
-        else:
-            first = first[number]
-        total = np.cumsum(own)
-        out = ids[np.repeat(first - (total - own), own) + np.arange(total[-1])]
-        piece_at = np.searchsorted(at, text_starts)  # the first piece of each segment
-        before = np.append(total - own, total[-1])[piece_at]
-        segment_at = np.searchsorted(np.array(owner), np.arange(len(texts) + 1))
-        return out, np.append(before, total[-1])[segment_at]
+        found = [t.encode() for t in texts]
+        return self.encode(np.frombuffer(b"".join(found), np.uint8), np.cumsum([0, *map(len, found)]))
+
+    def fixed(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """Start, end and id of the special tokens in the texts, from the left."""
+        flat, found = data.tobytes() if self.specials else b"", []
+        for special, number in self.specials.items():
+            at = flat.find(special)
+            while at >= 0:
+                end = at + len(special)
+                whole = np.searchsorted(offsets, end) == np.searchsorted(offsets, at, "right")
+                if whole:
+                    found.append((at, end, number))
+                at = flat.find(special, end if whole else at + 1)
+        return sorted(found)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (unsigned 32-bit), and the offset of each text's in them, for the UTF-8 bytes of texts laid end to end."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if len(self.known) > self.most_kept or len(self.known.flat) > self.most_bytes:
+            self.known.forget()
+        special = self.fixed(data, offsets)
+        borders = np.unique(np.concatenate((offsets[:-1], np.array([x for s in special for x in s[:2]], np.int64))))
+        at = piece_starts(data, borders[borders < n])
+        begin, end = np.array([s[0] for s in special], np.int64), np.array([s[1] for s in special], np.int64)
+        if special:  # a special token is one piece
+            k = np.searchsorted(begin, at, "right") - 1
+            at = at[(k < 0) | (at == begin[k]) | (at >= end[k])]
+        sizes = np.diff(np.append(at, n))
+        key = piece_keys(data, at, at + sizes)
+        wide = np.concatenate((data, np.zeros(8, np.uint8)))
+        number = self.known.find(wide, at, sizes, key)
+        own = np.searchsorted(at, begin)
+        if len(missing := self.missing(number, own)):
+            flat, example = wide.tobytes(), missing[numbered(key[missing])[0]]
+            found = [flat[s : s + z] for s, z in zip(at[example].tolist(), sizes[example].tolist(), strict=True)]
+            moved, hit = self.known.add(key[example], found, self.ids_of(found)), number >= 0
+            number[hit] = moved[number[hit]]
+            number[missing] = self.known.find(wide, at[missing], sizes[missing], key[missing])
+        # Special tokens, and pieces whose key another piece has, have ids of their own.
+        other = {k: [s[2]] for k, s in zip(own.tolist(), special, strict=True)}
+        other |= {k: self.ids_of([wide[at[k] : at[k] + sizes[k]].tobytes()])[0] for k in self.missing(number, own).tolist()}
+        where, counts = np.array(list(other), np.int64), np.array([len(x) for x in other.values()], np.int64)
+        ids = np.concatenate((self.known.ids, np.array([i for x in other.values() for i in x], np.uint32)))
+        first, many = np.append(self.known.id_at, 0)[number], np.append(self.known.id_n, 0)[number]
+        first[where], many[where] = len(self.known.ids) + np.cumsum(counts) - counts, counts
+        total = np.cumsum(many)
+        out = ids[np.repeat(first - (total - many), many) + np.arange(total[-1])]
+        return out, np.concatenate(([0], total))[np.searchsorted(at, offsets)]
+
+    @staticmethod
+    def missing(number: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Pieces without a number that are no special tokens."""
+        left = np.flatnonzero(number < 0)
+        return left[~np.isin(left, own)] if len(own) else left

@@ -59,17 +59,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], name: str, end: int, size: int) -
                     block += 1
                 waiting, held = [flat[held - held % size :]], held % size
             if len(names) >= size:
-                yield row("names", run, np.array(names, "<i8").tobytes())
+                yield row("names", run, _packed(names))
                 run, names = run + 1, []
     if held:
         yield row("tokens", block, np.concatenate(waiting).tobytes())
     if names:
-        yield row("names", run, np.array(names, "<i8").tobytes())
+        yield row("names", run, _packed(names))
+
+
+def _packed(names: list) -> bytes:
+    """Identifiers, and for each whether there is one."""
+    return np.array([n or 0 for n in names], "<i8").tobytes() + bytes(n is not None for n in names)
 
 
 def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, size: int = BLOCK_IDS, name: str = VOCABULARY) -> None:
-    """Write the ids of docs as flat files: blocks of unsigned 16-bit ids below kind=tokens, and the order of the documents below kind=names."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc_id"), whole(text_col).alias("text"))
+    """Write the ids of docs as flat files: blocks of unsigned 16-bit ids below kind=tokens, and the order of the documents below kind=names.
+
+    Null and empty texts have the end id alone. Every row is a document of its own, also where identifiers repeat; a null identifier
+    is read back as null. Columns but identifier and text are not read, whatever their names. An empty table gives no documents.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     rows.mapInArrow(lambda b: _blocks(b, name, end, size), SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
 
 
@@ -118,8 +127,9 @@ def document_names(spark: SparkSession, folder: str, size: int = BLOCK_IDS) -> D
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, block, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.frombuffer(data, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), file, np.int32)), pa.array(np.arange(len(ids)) + block * size), pa.array(ids)], ["file", "number", "doc_id"])
+                n = len(data) // 9
+                ids = pa.array(np.frombuffer(data, "<i8", n), mask=np.frombuffer(data, "u1", n, 8 * n) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file, np.int32)), pa.array(np.arange(n) + block * size), ids], ["file", "number", "doc_id"])
 
     return spark.read.schema("file int, block int, data binary").parquet(f"{folder}/kind=names").mapInArrow(rows, "file int, number long, doc_id long")
 

@@ -4,8 +4,8 @@ A segment is one binary value with the ids of a run of documents. Its ids are cu
 the rest packed at a width that nine in ten of its values fit, and the values that don't fit as (position, value) exceptions; an
 index has the place where each block's packed words start, so a block can be read alone. Sections of a segment, little-endian:
 
-    magic PFR1 | documents u32 | ids u64 | doc_ids i64[] | ids of each u32[] | block minima u32[] | widths u8[] |
-    exceptions of each u8[] | packed starts u64[] | packed words u64[] | exception positions u8[] | exception values u32[]
+    magic PFR2 | documents u32 | ids u64 | doc_ids i64[] | whether there is one u8[] | ids of each u32[] | block minima u32[] |
+    widths u8[] | exceptions of each u8[] | packed starts u64[] | packed words u64[] | exception positions u8[] | exception values u32[]
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import parts_for, pieces, scratch, table, whole
+from .common import parts_for, pieces, raw, scratch, table, whole
 from .pieces import Encoder
 
 BLOCK = 128
 PERCENTILE = 90
 END = 0
-BATCH_BYTES = 2_000_000
-MAGIC = b"PFR1"
+BATCH_BYTES = 1_000_000
+MAGIC = b"PFR2"
 
 
 def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> list[np.ndarray]:
@@ -91,12 +91,13 @@ def unpack(sections: list[np.ndarray], n_ids: int, first: int = 0, last: int | N
     return grid.reshape(-1)[: max(0, min(n_ids, last * BLOCK) - first * BLOCK)]
 
 
-def segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    head = [np.array([len(doc_ids)], "<u4"), np.array([len(ids)], "<u8"), doc_ids.astype("<i8"), counts.astype("<u4")]
+def segment(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    known = np.asarray(doc_ids.is_valid()).astype("u1")
+    head = [np.array([len(doc_ids)], "<u4"), np.array([len(ids)], "<u8"), np.asarray(doc_ids.fill_null(0)).astype("<i8"), known, counts.astype("<u4")]
     return MAGIC + b"".join(x.astype(x.dtype.newbyteorder("<"), copy=False).tobytes() for x in [*head, *pack(ids)])
 
 
-def parts_of(data: bytes) -> tuple[np.ndarray, np.ndarray, int, list[np.ndarray]]:
+def parts_of(data: bytes) -> tuple[pa.Array, np.ndarray, int, list[np.ndarray]]:
     """doc_ids, ids of each, number of ids and block sections of a segment."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
@@ -109,7 +110,8 @@ def parts_of(data: bytes) -> tuple[np.ndarray, np.ndarray, int, list[np.ndarray]
         return found
 
     n_docs, n_ids = int(take("<u4", 1)[0]), int(take("<u8", 1)[0])
-    doc_ids, counts, n = take("<i8", n_docs), take("<u4", n_docs), -(-n_ids // BLOCK)
+    doc_ids = pa.array(take("<i8", n_docs), mask=take("u1", n_docs) == 0)
+    counts, n = take("<u4", n_docs), -(-n_ids // BLOCK)
     low, widths, odd, starts = take("<u4", n), take("u1", n), take("u1", n), take("<u8", n)
     packed = take("<u8", 2 * int(widths.sum(dtype=np.int64)))
     return doc_ids, counts, n_ids, [low, widths, odd, starts, packed, take("u1", int(odd.sum(dtype=np.int64))), take("<u4", int(odd.sum(dtype=np.int64)))]
@@ -135,13 +137,12 @@ def library(path: str) -> Encoder:
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for seq, batch in enumerate(pieces(batches, "text", BATCH_BYTES)):
-        ids, at = library(path)(batch.column("text").to_pylist())
+        ids, at = library(path).encode(*raw(batch.column("text")))
         n = batch.num_rows
         out = np.full(len(ids) + n, end, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(at))] = ids
         counts = np.diff(at) + 1
-        doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        data = segment(doc_ids, counts, out)
+        data = segment(batch.column("doc_id"), counts, out)
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([data], pa.binary())],
             ["part", "seq", "n_docs", "n_ids", "segment"],
@@ -152,11 +153,11 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Write segments of the ids of docs in ascending order of id_col, the id `end` after each document, as files below folder.
 
     Null and empty texts have the end id alone. Rows repeated with one identifier are written in order of their texts. A null
-    identifier is written as -1, first. Other columns are not read. Every file holds whole segments in order of (part, seq).
+    identifier comes first and is read back as null. Other columns are not read. Every file holds whole segments in order of (part, seq).
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc_id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     n = max(parts_for(spark), rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(lambda b: _segments(b, path, end), "part int, seq int, n_docs long, n_ids long, segment binary").write.option("compression", "none").parquet(folder)
@@ -174,7 +175,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 starts = ends - counts
                 data = pa.array([flat[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
                 fill = lambda j: pa.array(np.full(len(doc_ids), batch.column(j)[k].as_py(), np.int32))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([fill(0), fill(1), pa.array(doc_ids), pa.array(starts), data], ["part", "seq", "doc_id", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([fill(0), fill(1), doc_ids, pa.array(starts), data], ["part", "seq", "doc_id", "at", "ids"])
 
     files = spark.read.schema("part int, seq int, n_docs long, n_ids long, segment binary").parquet(folder)
     return files.select("part", "seq", "segment").mapInArrow(rows, "part int, seq int, doc_id long, at long, ids binary")

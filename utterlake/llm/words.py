@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .pieces import _powers, numbered
+from .pieces import numbered, piece_keys
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,15 +26,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the bytes of each run, the same wherever the run stands."""
-    up, down, values = _powers(1 << max(16, int(len(data)).bit_length()))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
-
-
 def lowered(data: np.ndarray) -> np.ndarray:
     """The bytes with A-Z in lower case."""
     return np.where((data >= 0x41) & (data <= 0x5A), data + 32, data).astype(np.uint8)
@@ -42,7 +33,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The different runs, and the number of each run among them; runs of one key are compared byte by byte."""
-    example, number = numbered(keys(data, starts, ends))
+    example, number = numbered(piece_keys(data, starts, ends))
     sizes = ends - starts
     flat = data.tobytes()
     same = sizes == sizes[example][number]
