@@ -122,7 +122,7 @@ def test_known_pieces_are_forgotten_and_found_again(kind):
 
     path = bpe.vocabulary_path()
     t, rnd = Tokenizer.from_file(path), random.Random(11)
-    encoder = pieces.Encoder(bpe.vocabulary(path).encode_all, bpe.vocabulary(path).specials, most_kept=400) if kind == "own" else pieces.Encoder(token_files.library(path).ids_of, bpe.vocabulary(path).specials, most_kept=400)
+    encoder = pieces.Encoder(bpe.vocabulary(path).encode_all, bpe.vocabulary(path).specials, most_kept=400) if kind == "own" else pieces.Encoder(token_files.library(path).memo.of, bpe.vocabulary(path).specials, most_kept=400)
     pool = [*"abst'’ relvmdLL  \n\t\r\u00a0\u3000éß漢ñ09٣½!.-😀\u200bREs\x85\x00", "<|endoftext|>", "'ll", " the", "don't", "<|endof"]
     for _ in range(6):
         texts = ["".join(rnd.choice(pool) for _ in range(rnd.choice([0, 1, 2, 5, 30]))) for _ in range(200)]
@@ -282,7 +282,7 @@ def test_toxicity_reads_spacing_and_edge_signs(spark):
     rnd = random.Random(9)
     bad = ["idiot", "moron", "scum", "loser", "shit"]
     texts = [" ".join([rnd.choice(["the", "that", "a", "tired", "mother", "story", "radio"]) for _ in range(30)] + (["a", rnd.choice(bad), rnd.choice(bad)] if i % 5 == 0 else [])) for i in range(400)]
-    hidden = ["a l o s e r the", "the i d i o t m o r o n", "i d 1 o t that", "the m 0 r o n", "i d i i i i o t that", "!diot that", "the shi+", "(!diot)", "that i d i o t!", "2 m o r o n", "! d 1 o t"]
+    hidden = ["a l o s e r the", "the i d i o t m o r o n", "i d 1 o t that", "the m 0 r o n", "i d i i i i o t that", "!diot that", "the shi+", "(!diot)", "that i d i o t!", "2 m o r o n", "! d 1 o t", "1 d 1 0 t that", "the 1 d 1 o t", "i-d-i-o-t", "iiidiot"]
     clean = ["the radio!", "(that story", "a 1 b 2", "1 2 3 4 5", "t h e r a d i o", "+ ! | *", "| tired | mother |"]
     df = spark.createDataFrame(list(enumerate(texts + hidden + clean)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")

@@ -197,11 +197,52 @@ class Known:
         return out
 
 
+class Memo:
+    """Numbers that belong to runs of bytes; those of runs seen before are kept, up to a bound."""
+
+    def __init__(self, of: Callable[[list[bytes]], list], most_kept: int = 500_000, most_bytes: int = 8_000_000) -> None:
+        self.of, self.most_kept, self.most_bytes, self.known = of, most_kept, most_bytes, Known()
+
+    def look(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray, fixed: dict[int, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All numbers, and for each run where its own begin and how many they are; fixed: the numbers of certain runs, by their place in at."""
+        if len(self.known) > self.most_kept or len(self.known.flat) > self.most_bytes:
+            self.known.forget()
+        own = np.array(sorted(fixed or {}), np.int64)
+        sizes, key = ends - at, piece_keys(data, at, ends)
+        wide = np.concatenate((data, np.zeros(8, np.uint8)))
+        number = self.known.find(wide, at, sizes, key)
+        if len(missing := self.missing(number, own)):
+            flat, example = wide.tobytes(), missing[numbered(key[missing])[0]]
+            found = [flat[s : s + z] for s, z in zip(at[example].tolist(), sizes[example].tolist(), strict=True)]
+            moved, hit = self.known.add(key[example], found, self.of(found)), number >= 0
+            number[hit] = moved[number[hit]]
+            number[missing] = self.known.find(wide, at[missing], sizes[missing], key[missing])
+        # Fixed runs, and those whose key another run has, have numbers of their own.
+        other = dict(fixed or {}) | {k: self.of([wide[at[k] : at[k] + sizes[k]].tobytes()])[0] for k in self.missing(number, own).tolist()}
+        where, counts = np.array(list(other), np.int64), np.array([len(x) for x in other.values()], np.int64)
+        values = np.concatenate((self.known.ids, np.array([i for x in other.values() for i in x], np.uint32)))
+        first, many = np.append(self.known.id_at, 0)[number], np.append(self.known.id_n, 0)[number]
+        first[where], many[where] = len(self.known.ids) + np.cumsum(counts) - counts, counts
+        return values, first, many
+
+    @staticmethod
+    def missing(number: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Runs without a number that are not fixed."""
+        left = np.flatnonzero(number < 0)
+        return left[~np.isin(left, own)] if len(own) else left
+
+
+def spread(values: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The values of all runs in a row."""
+    total = np.cumsum(many)
+    return values[np.repeat(first - (total - many), many) + np.arange(int(total[-1]) if len(total) else 0)]
+
+
 class Encoder:
-    """Ids of whole texts, from the ids of their different pieces, which are kept for later batches up to a bound."""
+    """Ids of whole texts, from the ids of their different pieces."""
 
-    def __init__(self, ids_of: Callable[[list[bytes]], list], specials: dict[str, int], most_kept: int = 500_000, most_bytes: int = 8_000_000) -> None:
-        self.ids_of, self.specials, self.most_kept, self.most_bytes, self.known = ids_of, {k.encode(): v for k, v in specials.items()}, most_kept, most_bytes, Known()
+    def __init__(self, ids_of: Callable[[list[bytes]], list], specials: dict[str, int], **bounds: int) -> None:
+        self.specials, self.memo = {k.encode(): v for k, v in specials.items()}, Memo(ids_of, **bounds)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [t.encode() for t in texts]
@@ -225,8 +266,6 @@ class Encoder:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.known) > self.most_kept or len(self.known.flat) > self.most_bytes:
-            self.known.forget()
         special = self.fixed(data, offsets)
         borders = np.unique(np.concatenate((offsets[:-1], np.array([x for s in special for x in s[:2]], np.int64))))
         at = piece_starts(data, borders[borders < n])
@@ -234,30 +273,6 @@ class Encoder:
         if special:  # a special token is one piece
             k = np.searchsorted(begin, at, "right") - 1
             at = at[(k < 0) | (at == begin[k]) | (at >= end[k])]
-        sizes = np.diff(np.append(at, n))
-        key = piece_keys(data, at, at + sizes)
-        wide = np.concatenate((data, np.zeros(8, np.uint8)))
-        number = self.known.find(wide, at, sizes, key)
-        own = np.searchsorted(at, begin)
-        if len(missing := self.missing(number, own)):
-            flat, example = wide.tobytes(), missing[numbered(key[missing])[0]]
-            found = [flat[s : s + z] for s, z in zip(at[example].tolist(), sizes[example].tolist(), strict=True)]
-            moved, hit = self.known.add(key[example], found, self.ids_of(found)), number >= 0
-            number[hit] = moved[number[hit]]
-            number[missing] = self.known.find(wide, at[missing], sizes[missing], key[missing])
-        # Special tokens, and pieces whose key another piece has, have ids of their own.
-        other = {k: [s[2]] for k, s in zip(own.tolist(), special, strict=True)}
-        other |= {k: self.ids_of([wide[at[k] : at[k] + sizes[k]].tobytes()])[0] for k in self.missing(number, own).tolist()}
-        where, counts = np.array(list(other), np.int64), np.array([len(x) for x in other.values()], np.int64)
-        ids = np.concatenate((self.known.ids, np.array([i for x in other.values() for i in x], np.uint32)))
-        first, many = np.append(self.known.id_at, 0)[number], np.append(self.known.id_n, 0)[number]
-        first[where], many[where] = len(self.known.ids) + np.cumsum(counts) - counts, counts
-        total = np.cumsum(many)
-        out = ids[np.repeat(first - (total - many), many) + np.arange(total[-1])]
-        return out, np.concatenate(([0], total))[np.searchsorted(at, offsets)]
-
-    @staticmethod
-    def missing(number: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Pieces without a number that are no special tokens."""
-        left = np.flatnonzero(number < 0)
-        return left[~np.isin(left, own)] if len(own) else left
+        own = dict(zip(np.searchsorted(at, begin).tolist(), ([s[2]] for s in special), strict=True))
+        values, first, many = self.memo.look(data, at, np.append(at[1:], n), own)
+        return spread(values, first, many), np.concatenate(([0], np.cumsum(many)))[np.searchsorted(at, offsets)]

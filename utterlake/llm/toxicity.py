@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, raw, table, whole, written
+from .pieces import Memo, spread
 from .words import distinct, lowered, words
 
 THRESHOLD = 0.3
@@ -30,7 +32,7 @@ RIDGE = 0.0005
 #: The classifier learns from at most so many labelled rows, those with the least hashes of their identifiers.
 MOST_LABELLED = 20_000
 BEGINNINGS = (4, 5, 6)
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: The letters that signs may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": ""}
 SIGN_COST, DROP_COST, KEEP_COST, EDGE_COST = 0.7, 0.4, 8.0, 4.0
@@ -39,13 +41,32 @@ _HIDDEN = re.compile(rf"[^\W\d_][{_SIGNS}.\-_]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\
 _EDGES = ".,;:!?\"'()[]{}<>|#%&*+-_=/\\~^`"
 _PLAIN = "".join(c for c in _EDGES if c not in SIGNS)
 _OUTSIDE = _EDGES + "".join(c for c in SIGNS if c not in _EDGES)
+_PUNCTUATION = np.isin(np.arange(256), [ord(c) for c in _PLAIN])
+_THRICE = re.compile(rb"(.)\1\1")
 #: Runs of so many one-character words are read as spaced out.
 LEAST_SPACED = 3
 LETTERS = 27
+#: Letters with marks count as those below the marks.
+MARKED = {chr(c): base for c in range(0xC0, 0x100) if "a" <= (base := unicodedata.normalize("NFD", chr(c).lower())[0]) <= "z"} | {"ß": "s"}
+#: What stands for a word of one character among the marks of words.
+ONE = 0xFFFFFFFF
 
 
 def letter(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 0
+    return ord(c) - 96 if "a" <= (c := MARKED.get(c, c)) <= "z" else 0
+
+
+def letters_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The letters of texts laid end to end, each text between two signs that are no letters."""
+    low = lowered(data)
+    kind = np.where((low >= 97) & (low <= 122), low - 96, 0).astype(np.int32)
+    second = np.array([letter(chr(0xC0 + k)) for k in range(64)], np.int32)
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80)) if len(data) else np.zeros(0, np.int64)
+    kind[lead + 1] = second[data[lead + 1] - 0x80]
+    keep = np.ones(len(data), bool)
+    keep[lead] = False
+    at = np.concatenate(([0], np.cumsum(keep)))[offsets]
+    return np.insert(kind[keep], np.repeat(at, 2), 0)
 
 
 class Channel:
@@ -142,9 +163,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
         for batch in pieces(batches, "text", BATCH_BYTES):
-            data, _ = raw(batch.column(0))
-            low = lowered(data)
-            kind = np.where((low >= 97) & (low <= 122), low - 96, 0).astype(np.int32)
+            kind = letters_of(*raw(batch.column(0)))
             if len(kind) > 2:
                 total += np.bincount((kind[:-2] * LETTERS + kind[1:-1]) * LETTERS + kind[2:], minlength=LETTERS**3)
         seen = np.flatnonzero(total)
@@ -160,7 +179,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Reader:
     """Words of a batch as features, through the channel; what a word gives is kept for later batches up to a bound."""
 
-    def __init__(self, channel: Channel, most_kept: int = 300_000) -> None:
+    def __init__(self, channel: Channel, most_kept: int = 50_000) -> None:
         self.channel, self.most_kept, self.kept = channel, most_kept, {}
 
     def word(self, data: bytes) -> tuple[list[str], str]:
@@ -183,13 +202,10 @@ class Reader:
         # Letters spaced out: three or more words of one character in a row, a letter among them, are read together.
         single = np.array([bool(one) for _, one in known] or [False])[number] if len(number) else np.zeros(0, bool)
         extra: list[tuple[str, int]] = []
-        if single.any():
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], (single * (text + 1)).astype(np.int64), [0]))))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if single[a] and b - a >= LEAST_SPACED:
-                    tokens = [known[k][1] for k in number[a:b].tolist()]
-                    if any(map(str.isalpha, "".join(tokens))):
-                        extra += [(w, int(text[a])) for w in self.channel.spaced(tokens)]
+        for a, b in runs(single, text):
+            tokens = [known[k][1] for k in number[a:b].tolist()]
+            if any(map(str.isalpha, "".join(tokens))):
+                extra += [(w, int(text[a])) for w in self.channel.spaced(tokens)]
         table: dict[str, int] = {}
         first = np.array([table.setdefault(r[0], len(table)) for r, _ in known], np.int64)
         second = np.array([table.setdefault(r[1], len(table)) if len(r) > 1 else -1 for r, _ in known], np.int64)
@@ -270,25 +286,69 @@ def learned(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str =
     return dict(zip(lexicon, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept)
 
 
+class Marker:
+    """The lexicon's features in texts, through the channel; the numbers of a word's features are kept for later batches."""
+
+    def __init__(self, reader: Reader, number: dict[str, int]) -> None:
+        self.channel, self.number, self.memo = reader.channel, number, Memo(self.marks_of, most_kept=300_000)
+        self.reader = Reader(reader.channel, 0)
+
+    def marks_of(self, found: list[bytes]) -> list[list[int]]:
+        """The marks of each word, after ONE for a word of one character that may be part of a word spaced out."""
+        out, number = [], self.number
+        for word in found:
+            if len(word) > 1 and word.isalpha() and not _THRICE.search(word):  # nothing can be hidden
+                w = word.decode()
+                out.append([number[f] for f in (f"={w}", *[w[:n] for n in BEGINNINGS if len(w) > n]) if f in number])
+            else:
+                readings, one = self.reader.word(word)
+                out.append([ONE] * bool(one) + self.marks(readings))
+        return out
+
+    def marks(self, readings: list[str]) -> list[int]:
+        return [self.number[f] for f in {f for r in readings for f in features(r)} if f in self.number]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, mark), once each and in order."""
+        data, offsets = raw(column)
+        data = lowered(data)
+        starts, ends, text = words(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Punctuation that is never a letter goes from both ends.
+        inner = np.flatnonzero(~_PUNCTUATION[data])
+        to = np.searchsorted(inner, ends)
+        bare = np.append(inner, len(data))[np.searchsorted(inner, starts)]
+        values, first, many = self.memo.look(data, np.minimum(bare, ends), np.where(bare < ends, inner[to - 1] + 1 if len(inner) else ends, ends))
+        some = np.flatnonzero(many)
+        mark, owner, place = spread(values, first[some], many[some]).astype(np.int64), np.repeat(text[some], many[some]), np.repeat(some, many[some])
+        single = np.zeros(len(starts), bool)
+        single[place[mark == ONE]] = True
+        more: list[tuple[int, int]] = []
+        for a, b in runs(single, text):
+            tokens = [data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace").lower() for k in range(a, b)]
+            if any(map(str.isalpha, "".join(tokens))):
+                more += [(int(text[a]), m) for m in self.marks(self.channel.spaced(tokens))]
+        plain = mark != ONE
+        n = max(1, len(self.number))
+        pair = np.unique(np.concatenate((owner[plain] * n + mark[plain], np.array([t * n + m for t, m in more], np.int64))))
+        return pair // n, pair % n
+
+
+def runs(single: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where at least LEAST_SPACED single words of one text follow one another."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (single * (text + 1)).astype(np.int64), [0]))))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if single[a] and b - a >= LEAST_SPACED:
+            yield a, b
+
+
 def _marked(batches: Iterator[pa.RecordBatch], reader: Reader, number: dict[str, int], key: str) -> Iterator[pa.RecordBatch]:
     """The key column of the batches, and the lexicon's features in each text, once each."""
-    kept: dict[str, list[int]] = {}
+    marker = Marker(reader, number)
     for batch in pieces(batches, "text", BATCH_BYTES):
-        names, index, text = reader.read(batch.column("text"))
-        if len(kept) > 300_000:
-            kept.clear()
-        for n in names:
-            if n not in kept:
-                kept[n] = [number[f] for f in features(n) if f in number]
-        of = [kept[n] for n in names]
-        sizes = np.array([len(x) for x in of] or [0])
-        flat = np.array([k for x in of for k in x], np.int64)
-        hit = sizes[index] > 0 if len(index) else np.zeros(0, bool)
-        w, t = index[hit], text[hit]
-        first, total = np.cumsum(sizes) - sizes, np.cumsum(sizes[w])
-        pair = np.unique(np.repeat(t, sizes[w]) * len(number) + flat[np.repeat(first[w] - (total - sizes[w]), sizes[w]) + np.arange(int(total[-1]) if len(w) else 0)]) if len(w) else np.zeros(0, np.int64)
-        offsets = np.searchsorted(pair // max(1, len(number)), np.arange(batch.num_rows + 1))
-        marks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pair % max(1, len(number)), pa.int32()))
+        text, mark = marker(batch.column("text"))
+        marks = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(mark, pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(key), marks], [key, "marks"])
 
 
