@@ -261,6 +261,27 @@ def test_repeated_spans(spark):
     assert suffix_dedup.repeated_spans(empty(spark)).count() == 0 and suffix_dedup.repeated_spans(docs(spark)).count() == len(TEXTS) + 1
 
 
+def test_repeated_spans_in_few_files(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 200)
+    line = "the passage that many documents share, more than fifty bytes long "
+    df = spark.createDataFrame([(i if i % 4 else None, f"{i} {line * (i % 3)}") for i in range(40)], "doc_id long, text string")
+    key = "spark.sql.sources.bucketing.maxBuckets"
+    want = sorted((r["doc_id"] or -1, r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.repeated_spans(df).collect())
+    spark.conf.set(key, 2)
+    try:
+        got = sorted((r["doc_id"] or -1, r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.repeated_spans(df).collect())
+    finally:
+        spark.conf.unset(key)
+    assert got == want and len(got) == 40 and any(len(k) < n for _, n, k in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
+
+
+def test_names_alike_in_64_bits():
+    names = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1], np.uint32)
+    (found, more), least, number = suffix_dedup.least_of(names, np.array([4, 3, 2, 1]))
+    assert (found.tolist(), more.tolist(), least.tolist(), number.tolist()) == ([5, 5, 9], [1, 2, 1], [1, 3, 2], [0, 1, 2, 0])
+
+
 def test_toxicity(spark):
     rnd = random.Random(9)
     bad = ["idiot", "moron", "scum"]

@@ -89,10 +89,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     one = np.ones(1, np.uint64)
     up = np.cumprod(np.concatenate((one, np.full(n, MULTIPLIER, np.uint64))), dtype=np.uint64)
     down = np.cumprod(np.concatenate((one, np.full(n, pow(MULTIPLIER, -1, 1 << 64), np.uint64))), dtype=np.uint64)
-    values = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+    values = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
     return up, down, values
 
 
+def rolling(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sums from which the hash of any run of bytes is found; which: one of two independent hashes."""
+    up, _, values = _powers(1 << max(16, int(len(data)).bit_length()))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values[which][data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
 def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where an example of each different key is, the number of every key's example)."""
     order = np.argsort(key)
@@ -106,10 +115,7 @@ def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def piece_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit key of the bytes of each run, the same wherever the run stands."""
-    up, down, values = _powers(1 << max(16, int(len(data)).bit_length()))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
+    sums, down = rolling(data), _powers(1 << max(16, int(len(data)).bit_length()))[1]
     return (sums[ends] - sums[starts]) * down[starts]
 
 

@@ -14,7 +14,7 @@ construction, on the sample:
 
 Documents lie in a bucketed table by groups of bounded size, so each step reads them in place; only sorted lists of names travel,
 one entry for each different name of a group, and single bits come back. A name that a third of all documents share is one entry
-in each group. Names are 64-bit hashes.
+in each group. Names of grams only choose what is looked at; those that decide have 96 bits, of two rolling hashes.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, raw, scratch, table, whole, written
-from .pieces import _powers
+from .pieces import _powers, rolling
 
 SPAN, GRAM = 50, 24
 GROUP_BYTES = 2_000_000
 #: Names in a list of one bucket, about.
 BUCKET_NAMES = 500_000
-NAMES = "bucket int, g int, names binary, docs binary"
+#: Files of the table of texts at most; more groups share them.
+MOST_FILES = 20_000
+NAMES = "bucket int, g int, names binary, more binary, docs binary"
 REPLIES = "g int, kind int, bucket int, bits binary"
 LAST = (1 << 63) - 1
 
@@ -48,11 +50,8 @@ class Sample:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> None:
         self.data, self.offsets, self.span = data, offsets, span
         n, width = len(data), span - gram + 1
-        up, down, values = _powers(1 << max(16, int(n).bit_length()))
-        self.down = down
-        self.sums = np.empty(n + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(values[data] * up[:n], out=self.sums[1:])
+        down = _powers(1 << max(16, int(n).bit_length()))[1]
+        self.down, self.sums, self.other = down, rolling(data), rolling(data, 1)
         none = np.zeros(0, np.int64)
         self.place, self.first, self.last, self.text, self.name = none, none, none, none, none.astype(np.uint64)
         if n < span:
@@ -94,15 +93,19 @@ class Sample:
             place[part] = first[part] + (grams[first[part][:, None] + np.arange(width)] == least[first[part]][:, None]).argmax(axis=1)
         self.place, self.name = place, mix64(grams[place])
 
-    def key(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
+    def key(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of a name of each run of bytes."""
+        down = self.down[starts]
+        return mix64((self.sums[ends] - self.sums[starts]) * down), (mix64((self.other[ends] - self.other[starts]) * down) >> np.uint64(32)).astype(np.uint32)
 
-    def wide(self, which: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    def wide(self, which: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
         """Names of all bytes that strings through the places can have, and of how many lie before and after."""
         place, text = self.place[which], self.text[which]
         start = np.maximum(self.offsets[text], place - (self.span - gram))
         end = np.minimum(self.offsets[text + 1], place + self.span)
-        return mix64(self.key(start, end) + (place - start).astype(np.uint64) * np.uint64(1_000_003) + (end - place).astype(np.uint64))
+        name, more = self.key(start, end)
+        around = (place - start).astype(np.uint64) * np.uint64(1_000_003) + (end - place).astype(np.uint64)
+        return mix64(name + around), more ^ around.astype(np.uint32)
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the strings that the places stand for, and the place of each."""
@@ -112,12 +115,21 @@ class Sample:
         return self.first[owner] + np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - count, count), owner
 
 
-def least_of(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def least_of(names: tuple[np.ndarray, np.ndarray], docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
     """The different names in order, the smallest document of each, and the number of each given name among them."""
-    found, number = np.unique(names, return_inverse=True)
-    least = np.full(len(found), LAST, np.int64)
+    name, more = names
+    found, number = np.unique(name, return_inverse=True)
+    example = np.empty(len(found), np.int64)
+    example[number] = np.arange(len(name))
+    if not np.array_equal(more[example][number], more):  # two names alike in their first 64 bits
+        order = np.lexsort((more, name))
+        new = np.ones(len(name), bool)
+        new[1:] = (name[order][1:] != name[order][:-1]) | (more[order][1:] != more[order][:-1])
+        number[order] = np.cumsum(new) - 1
+        example = order[new]
+    least = np.full(len(example), LAST, np.int64)
     np.minimum.at(least, number, docs)
-    return found, least, number
+    return (name[example], more[example]), least, number
 
 
 class Group:
@@ -142,7 +154,7 @@ class Group:
         return ((names >> np.uint64(40)) % np.uint64(self.n_buckets)).astype(np.int64)
 
     def said(self, kind: int, names: np.ndarray) -> np.ndarray:
-        """The bits that came back for sorted names."""
+        """The bits that came back for sorted names, by their first 64 bits."""
         out, bucket = np.zeros(len(names), bool), self.bucket(names)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
@@ -151,35 +163,37 @@ class Group:
             out[at] = np.unpackbits(np.frombuffer(self.bits[kind, b], np.uint8), count=len(at)).astype(bool)
         return out
 
-    def lists(self, names: np.ndarray, docs: np.ndarray | None) -> pa.Table:
-        """Sorted names by bucket: 40 bits each, or 64 with the smallest document."""
+    def lists(self, names: np.ndarray, more: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.Table:
+        """Sorted names by bucket: 40 bits each, or 96 with the smallest document."""
         bucket = self.bucket(names)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
-        rows: list[list] = [[], [], []]
+        rows: list[list] = [[], [], [], []]
         for b in np.unique(bucket).tolist():
             at = order[edges[b] : edges[b + 1]]
             own = names[at].astype("<u8")
             rows[0].append(b)
             rows[1].append(own.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() if docs is None else own.tobytes())
-            rows[2].append(b"" if docs is None else docs[at].astype("<i8").tobytes())
-        return pa.table([pa.array(rows[0], pa.int32()), pa.array([self.g] * len(rows[0]), pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "g", "names", "docs"])
+            rows[2].append(b"" if more is None else more[at].astype("<u4").tobytes())
+            rows[3].append(b"" if docs is None else docs[at].astype("<i8").tobytes())
+        columns = [pa.array(rows[0], pa.int32()), pa.array([self.g] * len(rows[0]), pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])]
+        return pa.table(columns, ["bucket", "g", "names", "more", "docs"])
 
     def shared(self) -> np.ndarray:
         """Sampled places whose gram another document has."""
         return np.flatnonzero((self.here | self.said(1, self.names))[self.number])
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def contexts(self) -> tuple:
         which = self.shared()
         return which, *least_of(self.sample.wide(which), self.owner[which])
 
     def split(self) -> tuple[np.ndarray, np.ndarray]:
         """Places covered by an earlier document as a whole, and those whose strings must be looked at one by one."""
         which, names, least, number = self.contexts()
-        later = (self.owner[which] > least[number]) | self.said(2, names)[number]
+        later = (self.owner[which] > least[number]) | self.said(2, names[0])[number]
         return which[later], which[~later]
 
-    def rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def rest(self) -> tuple:
         covered, left = self.split()
         starts, owner = self.sample.strings(left)
         names, least, number = least_of(self.sample.key(starts, starts + self.sample.span), self.owner[owner])
@@ -187,7 +201,7 @@ class Group:
 
     def removed(self) -> np.ndarray:
         covered, starts, owner, names, least, number = self.rest()
-        hit = (self.owner[owner] > least[number]) | self.said(3, names)[number]
+        hit = (self.owner[owner] > least[number]) | self.said(3, names[0])[number]
         change = np.zeros(len(self.sample.data) + 1, np.int32)
         np.add.at(change, self.sample.first[covered], 1)
         np.add.at(change, self.sample.last[covered] + self.sample.span, -1)
@@ -231,7 +245,7 @@ def _answer(lists: pa.Table, kind: int) -> pa.Table:
         _, number, count = np.unique(names, return_inverse=True, return_counts=True)
         bits = count[number] > 1
     else:
-        names = np.frombuffer(b"".join(parts), "<u8")
+        names = np.frombuffer(b"".join(parts), "<u8"), np.frombuffer(b"".join(lists.column("more").to_pylist()), "<u4")
         sizes = [len(p) // 8 for p in parts]
         docs = np.frombuffer(b"".join(lists.column("docs").to_pylist()), "<i8")
         _, least, number = least_of(names, docs)
@@ -251,24 +265,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), whole(text_col).alias("text"))
+    spread = F.xxhash64("doc_id", F.monotonically_increasing_id())
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_groups = max(1, -(-total // GROUP_BYTES))
     n_buckets = max(1, total // 14 // BUCKET_NAMES)
+    n_files = min(n_groups, MOST_FILES, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"repeats_{uuid.uuid4().hex}"
-    grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_groups)).cast("int")).repartition(n_groups, "g")
-    grouped.write.bucketBy(n_groups, "g").option("compression", "zstd").option("path", scratch(spark, "repeats")).saveAsTable(name)
+    grouped = rows.withColumn("g", F.pmod(spread, F.lit(n_groups)).cast("int")).repartition(n_files, "g")
+    grouped.write.bucketBy(n_files, "g").option("compression", "zstd").option("path", scratch(spark, "repeats")).saveAsTable(name)
     here = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and here still reads them
 
     def step(kind: int, replies: DataFrame | None) -> DataFrame:
         def lists(a: pa.Table, b: pa.Table | None = None) -> Iterator[pa.Table]:
             group = Group(a, b, n_buckets)
             if kind == 1:
-                return group.lists(group.names, None)
+                return group.lists(group.names)
             if kind == 2:
                 _, names, least, _ = group.contexts()
             else:
                 _, _, _, names, least, _ = group.rest()
-            return group.lists(names, least)
+            return group.lists(*names, least)
 
         if replies is None:
             sent = here.groupBy("g").applyInArrow(lambda a: lists(a), NAMES)
