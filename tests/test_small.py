@@ -67,6 +67,57 @@ def test_labels_from_texts(spark):
     assert [(r[0]["scenario"], r[0]["action"]) for r in df.select(parsing.parse_prediction_label("t")).collect()] == [("a", "b"), ("error", "error"), ("error", "error"), ("error", "error"), ("p", "q")]
 
 
+def test_rates_of_tokens_against_plain_edits(spark):
+    r = random.Random(3)
+    text = lambda: r.choice([None, "", " ".join(r.choice(["Ab", "c", "é", "dd", "漢字"]) for _ in range(r.randint(0, 6))) + r.choice(["", "  ", "\t\u2003x"])])
+    pairs = [(text(), text()) for _ in range(200)] + [(" ".join(f"w{i}" for i in range(700)), " ".join(f"w{i * 2}" for i in range(600)))]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", distance.wer("a", "b").alias("w")).collect()
+    assert all(abs(x["w"] - distance.error_rate(distance.words(x["a"]), distance.words(x["b"]))) < 1e-12 for x in got)
+    phones = spark.createDataFrame([("tʃ/a", "tʃ a", 0.0), ("[ab]", "/ac/", 0.5), ("/", "", 0.0), ("", "a", 1.0), ("tʃ a o", "tʃ o", 1 / 3), (None, None, 0.0)], "a string, b string, want double")
+    assert all(abs(x["p"] - x["want"]) < 1e-12 for x in phones.select("want", distance.per("a", "b").alias("p")).collect())
+
+
+def test_balanced_subset_covers_and_never_passes_the_cap(spark):
+    r = random.Random(5)
+    table = [(k, r.choice("aaaaaabbbcd"), [s for s in "uvwxyz" if r.random() < 0.2] + (["rare"] if k == 7 else [])) for k in range(300)]
+    df = spark.createDataFrame(table, "key long, gold_intent string, gold_slots array<string>")
+    size = {i: sum(x[1] == i for x in table) for i in "abcd"}
+    for target, cap in ((20, 10), (60, 30), (1000, 12), (3, 5), (40, 2)):
+        got = [x.asDict() for x in corpus.balanced_subset(df, target, cap, 1).collect()]
+        counts = {i: sum(x["gold_intent"] == i for x in got) for i in "abcd"}
+        assert len(got) == min(target, sum(min(cap, n) for n in size.values())) == len({x["key"] for x in got})
+        assert all(n <= cap for n in counts.values())
+        if target >= 20 and cap >= 10:
+            assert all(counts.values()) and {s for x in got for s in x["gold_slots"]} == {s for x in table for s in x[2]}
+        if target == 60:
+            assert max(counts.values()) - min(n for i, n in counts.items() if n < size[i]) <= 1
+    assert corpus.balanced_subset(df.limit(0), 5, 2, 1).count() == 0
+
+
+def test_noisy_forms_are_one_change_away(spark):
+    texts = ["What time is it", "go", "play song", "set the alarm for there", "", None, "x x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 5)], "key long, sentence string")
+    for n in (1, 3, 50):
+        for row in corpus.simulate_nbest(df, n, 2).collect():
+            text = row["sentence"] or ""
+            w, found = text.split(), [h["text"] for h in row["asr_hypotheses"]]
+            forms = {" ".join([*w[:i], x, *w[i + 1 :]]) for i, y in enumerate(w) for x in corpus.HOMOPHONES.get(y.lower(), [])}
+            fixed = len(forms - {text})
+            forms |= {" ".join(w[:i] + w[i + 1 :]) for i in range(len(w)) if len(w) > 2} | {" ".join([*w[: i + 1], *w[i:]]) for i in range(len(w)) if len(w) > 1}
+            sure = [h["confidence"] for h in row["asr_hypotheses"]]
+            assert found[0] == text and set(found[1:]) <= forms - {text} and len(set(found)) == len(found) <= n
+            assert 0.9 <= sure[0] <= 0.99 and all(0.1 <= c <= 0.5 for c in sure[1:]) and sure == sorted(sure, reverse=True)
+            if n == 50 and fixed and len({y.lower() for y in w} & set(corpus.HOMOPHONES)) >= 1:
+                assert len(found) > 1
+
+
+def test_lines_c_r_j(spark):
+    texts = ["C: a\nR: b\nJ: c", "J: x\nR: y\nC: z", "C: 1\nC: 2\nq\nR: b\n\nJ: c\nC: 3\nJ: d", None, "", "C:\nR:\nJ:", "c: a\nR: b\nJ: c"]
+    got = [tuple(x[0]) for x in spark.createDataFrame([(t,) for t in texts], "t string").select(parsing.extract_crj("t")).collect()]
+    none = ("", "", "", False)
+    assert got == [("a", "b", "c", True), none, ("2", "b", "c", True), none, none, ("", "", "", True), none]
+
+
 def test_mojibake(spark):
     df = spark.createDataFrame([(1, "rÃ©veille"), (2, "réveille"), (3, None)], "id int, t string")
     assert sorted(rows(normalise.fix_mojibake(df, "t"))) == [(1, "réveille"), (2, "réveille"), (3, None)]

@@ -1,4 +1,4 @@
-"""Edit distances of words, phones and spans (M4, M5, M8-M10, D19): small helpers inside pandas UDFs."""
+"""Edit distances of words, phones and spans (M4, M5, M8-M10, D19): column functions, and small helpers in pandas UDFs for greedy choices."""
 
 from __future__ import annotations
 
@@ -40,28 +40,35 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def phones(text: str | None) -> list[str]:
-    bare = (text or "").replace("/", "").replace("[", "").replace("]", "").strip()
-    return bare.split() if " " in bare else list(bare)
+def token_rate(reference: Column, hypothesis: Column) -> Column:
+    """Edits between two arrays of tokens over the size of the first; an empty reference gives 0 or, against tokens, 1.
 
+    Each different token of the two becomes one character, so that the JVM's edit distance of texts is that of the tokens.
+    """
+    every = F.array_distinct(F.concat(reference, hypothesis))
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, x) + 0x10000), 8, "0")), "UTF-32")
+    text = lambda tokens: F.array_join(F.transform(tokens, letter), "")
+    return F.when(F.size(reference) == 0, F.when(F.size(hypothesis) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(text(reference), text(hypothesis)) / F.size(reference))
+
+
+def word_tokens(c: str | Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
 
-def _rate(reference: str | Column, hypothesis: str | Column, tokens) -> Column:
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([error_rate(tokens(x), tokens(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return rate(col(reference), col(hypothesis))
+def phone_tokens(c: str | Column) -> Column:
+    """Phones parted by spaces, or else characters; / [ ] part phones, too."""
+    bare = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)[\s/\[\]]+", " "))
+    return F.filter(F.split(bare, F.when(F.contains(bare, F.lit(" ")), F.lit(" ")).otherwise(F.lit(""))), lambda x: x != "")
 
 
 def wer(reference: str | Column, hypothesis: str | Column) -> Column:
     """M8: word error rate, in lower case; an empty reference gives 0 or, against words, 1."""
-    return _rate(reference, hypothesis, words)
+    return token_rate(word_tokens(reference), word_tokens(hypothesis))
 
 
 def per(reference: str | Column, hypothesis: str | Column) -> Column:
-    """M9: phone error rate: phones parted by spaces, or else characters; / [ ] don't count."""
-    return _rate(reference, hypothesis, phones)
+    """M9: phone error rate: phones parted by spaces, or else characters; / [ ] count as spaces."""
+    return token_rate(phone_tokens(reference), phone_tokens(hypothesis))
 
 
 def char_distance(reference: str | Column, hypothesis: str | Column) -> Column:
@@ -74,12 +81,8 @@ def char_distance(reference: str | Column, hypothesis: str | Column) -> Column:
 def nbest_report(df: DataFrame, reference: str = "reference_text", nbest: str = "asr_nbest") -> DataFrame:
     """Rows with top-1 and oracle (least) word error rate of an n-best list; null without hypotheses."""
 
-    @F.pandas_udf("array<double>")
-    def rates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([[error_rate(words(r), words(h)) for h in (n if n is not None else [])] for r, n in zip(a, b, strict=True)])
-
-    found = df.withColumn("__rates", rates(reference, nbest))
+    rates = F.transform(F.coalesce(col(nbest), F.array().cast("array<string>")), lambda h: token_rate(word_tokens(reference), word_tokens(h)))
+    found = df.withColumn("__rates", rates)
     return found.withColumns({"top1_wer": F.get("__rates", F.lit(0)), "oracle_wer": F.array_min("__rates")}).drop("__rates")
 
 

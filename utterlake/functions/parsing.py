@@ -181,13 +181,21 @@ def prefixed_line(c: str | Column, letter: str) -> Column:
 
 
 def extract_crj(c: str | Column) -> Column:
-    """struct(c, r, j, valid): the last lines C, R, J that follow one another in this order; valid if all are there and C isn't empty."""
-    lines = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    at = lambda letter: F.lit(rf"^{letter}\s*[:：]")
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines) - 2, F.lit(1))), lambda i: (F.size(lines) >= 3) & F.get(lines, i - 1).rlike(r"^C\s*[:：]") & F.get(lines, i).rlike(r"^R\s*[:：]") & F.get(lines, i + 1).rlike(r"^J\s*[:：]"))
-    last = F.array_max(places)
-    body = lambda i: F.when(last.isNull(), F.lit("")).otherwise(F.trim(F.regexp_replace(F.get(lines, last - 1 + i), r"^[CRJ]\s*[:：]\s*", "")))
-    return F.struct(body(0).alias("c"), body(1).alias("r"), body(2).alias("j"), (last.isNotNull() & (body(0) != "")).alias("valid"))
+    """struct(c, r, j, valid): the last C line that has an R line and, after that, a J line below it, with the first such lines.
+
+    Other lines may stand between; only `:` is a colon here; valid says whether there are such lines, which may be empty behind it.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")
+    kinds = F.transform(lines, lambda x: F.regexp_extract(x, r"^([CRJ]):", 1))
+    after = lambda i, letter: F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda k: (k > i) & (F.get(kinds, k - 1) == letter)))
+    found = F.filter(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.struct(i.alias("c"), after(i, "R").alias("r"), after(after(i, "R"), "J").alias("j"))),
+        lambda x: (F.get(kinds, x["c"] - 1) == "C") & x["j"].isNotNull(),
+    )
+    body = lambda f: lambda x: F.trim(F.regexp_replace(F.get(lines, x[f] - 1), r"^[CRJ]:\s*", ""))
+    none = F.struct(F.lit("").alias("c"), F.lit("").alias("r"), F.lit("").alias("j"), F.lit(False).alias("valid"))
+    parts = F.transform(found, lambda x: F.struct(body("c")(x).alias("c"), body("r")(x).alias("r"), body("j")(x).alias("j"), F.lit(True).alias("valid")))
+    return F.coalesce(F.get(parts, F.size(parts) - 1), none)
 
 
 def _listed(part: Column, distinct: bool) -> Column:
@@ -288,8 +296,9 @@ def validate_elimination(df: DataFrame, first: str = "stage1", second: str = "st
 
 
 def complete_final(df: DataFrame, fallback: str = "unknown") -> DataFrame:
-    """Intent from final_intent, else the first of topk, else the fallback; scenario and action from it."""
-    intent = F.coalesce(F.nullif(weak_intent("final_intent"), F.lit("")), F.nullif(weak_intent(F.get("topk", F.lit(0))), F.lit("")), F.lit(fallback))
+    """Intent from final_intent, else the first of topk that has one, else the fallback; scenario and action from it."""
+    named = F.get(F.filter("topk", lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0))
+    intent = F.coalesce(F.nullif(weak_intent("final_intent"), F.lit("")), F.nullif(weak_intent(named), F.lit("")), weak_intent(F.lit(fallback)))
     s, a = split_intent(intent)
     return df.withColumns({"intent": intent, "scenario": s, "action": a})
 

@@ -109,12 +109,12 @@ def template_rationale(df: DataFrame, label: str = "gold_intent", candidates: st
 
 
 def hash_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """df with `rank`, the place of each row in seeded order over all rows, from 1: ranks inside hash ranges, and the counts of the ranges before."""
-    rows = df.withColumn("__h", seeded(seed, key)).withColumn("__part", F.substring("__h", 1, 2))
+    """df with `rank`, the place of each row in seeded order over all rows, from 1: ranks inside 65,536 hash ranges, and the counts of the ranges before."""
+    rows = df.withColumn("__h", seeded(seed, key)).withColumn("__part", F.substring("__h", 1, 4))
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
     ranked = rows.withColumn("__own", F.row_number().over(W.partitionBy("__part").orderBy("__h", key)))
-    return ranked.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__own")).drop("__h", "__part", "__n", "__before", "__own")
+    return ranked.join(before, "__part").withColumn("rank", F.col("__before") + F.col("__own")).drop("__h", "__part", "__n", "__before", "__own")
 
 
 def distill_split(df: DataFrame, ratio: float, seed: int, key: str = "key", default: str = "No rationale.") -> DataFrame:
@@ -149,16 +149,21 @@ def cap_per_intent(df: DataFrame, cap: int, seed: int, key: str = "key", intent:
 
 
 def balanced_subset(df: DataFrame, target: int, cap: int, seed: int, key: str = "key", intent: str = "gold_intent", slots: str = "gold_slots") -> DataFrame:
-    """A row for every intent and slot type, then rounds over the intents up to target, rare slots first, at most cap of an intent."""
+    """Up to target rows, never more than cap of an intent: first a row for every intent and slot type, then rounds over the intents.
+
+    In each intent, rows that cover something go first, then those with rare slot types, in seeded order among equals. Within the
+    caps all rows that cover something come before the others; the rounds fill up with the first left of every intent, the second,
+    and so on, so intents are as even as their numbers and the cover allow.
+    """
     order = F.struct(seeded(seed, key), key)
     by_intent = df.groupBy(intent).agg(F.min_by(key, order).alias(key)).select(key)
     each = df.select(key, F.explode(slots).alias("slot"))
     by_slot = each.groupBy("slot").agg(F.min_by(key, order).alias(key), F.count(F.lit(1)).alias("n"))
     must = by_intent.unionByName(by_slot.select(key)).distinct().withColumn("must", F.lit(True))
-    rarity = each.join(F.broadcast(by_slot.select("slot", "n")), "slot").groupBy(key).agg(F.min("n").alias("rarity"))
+    rarity = each.join(by_slot.select("slot", "n"), "slot").groupBy(key).agg(F.min("n").alias("rarity"))
     rows = df.join(must, key, "left").join(rarity, key, "left")
     turn = F.row_number().over(W.partitionBy(intent).orderBy(F.col("must").isNull(), F.coalesce("rarity", F.lit(1 << 40)), seeded(seed, key), key))
-    rows = rows.withColumn("turn", turn).where((F.col("turn") <= cap) | F.col("must"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= cap)
     return rows.orderBy(F.col("must").isNull(), "turn", intent).limit(target).drop("must", "rarity", "turn")
 
 
@@ -221,12 +226,16 @@ def derange_rationales(df: DataFrame, seed: int, key: str = "slurp_id", column:
 
 
 def nbest_tokens(df: DataFrame, stopwords: Sequence[str], key: str = "key", column: str = "nbest", most: int = 6) -> DataFrame:
-    """Tokens that at least 60 % of a row's hypotheses share (stable) and those that at most 40 % do (unstable), most frequent first, six of each."""
-    n = F.size(column)
-    sets = F.flatten(F.transform(column, lambda t: F.array_distinct(F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: (w != "") & ~w.isin(list(stopwords))))))
-    counts = F.transform(F.array_distinct(sets), lambda w: F.struct((-F.size(F.filter(sets, lambda x: x == w))).alias("n"), w.alias("w")))
+    """Tokens (runs of a-z, 0-9 and ') that at least 60 % of a row's hypotheses share (stable), most frequent first, and those
+    that at most 40 % do, or one of them does (unstable), rarest first; six of each, ties by token. Empty hypotheses don't count."""
+    found = F.filter(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != "")
+    n = F.size(found)
+    sets = F.flatten(F.transform(found, lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9']+"), 0), lambda w: ~w.isin(list(stopwords))))))
+    times = lambda w: F.size(F.filter(sets, lambda x: x == w))
+    counts = lambda sign: F.transform(F.array_distinct(sets), lambda w: F.struct((sign * times(w)).alias("n"), w.alias("w")))
     names = lambda c: F.transform(F.slice(F.array_sort(c), 1, most), lambda x: x["w"])
-    return df.withColumns({"stable": names(F.filter(counts, lambda x: -x["n"] >= F.ceil(0.6 * n))), "unstable": names(F.filter(counts, lambda x: -x["n"] <= F.floor(0.4 * n)))})
+    stable = F.filter(counts(-1), lambda x: -x["n"] >= F.greatest(F.lit(1), F.ceil(n * 0.6)))
+    return df.withColumns({"stable": names(stable), "unstable": names(F.filter(counts(1), lambda x: x["n"] <= F.greatest(F.lit(1), F.floor(n * 0.4))))})
 
 
 def nbest_ablation(df: DataFrame, ks: Sequence[int], column: str = "nbest") -> DataFrame:
@@ -234,23 +243,37 @@ def nbest_ablation(df: DataFrame, ks: Sequence[int], column: str = "nbest") -> D
     return df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn(column, F.slice(column, F.lit(1), F.col("k")))
 
 
-#: Words that sound alike.
-HOMOPHONES = {"to": "two", "for": "four", "their": "there", "be": "bee", "by": "buy", "the": "da", "are": "our"}
+#: Words that sound alike, and what may be heard for them.
+HOMOPHONES = {
+    "to": ["two", "too"], "for": ["four"], "see": ["sea"], "weather": ["whether"], "there": ["their", "they're"], "call": ["cold"], "set": ["sent"], "alarm": ["arm"],
+    "play": ["pray"], "add": ["ad"], "song": ["sung"], "what": ["watt"], "time": ["thyme"],
+}
 
 
 def simulate_nbest(df: DataFrame, n: int, seed: int, key: str = "key", column: str = "sentence") -> DataFrame:
-    """The sentence and noisy forms of it (a homophone, a word dropped, a word twice), each once, with falling confidence."""
-    w = F.split(F.trim(column), r"\s+")
-    swap = F.create_map(*[x for k, v in HOMOPHONES.items() for x in (F.lit(k), F.lit(v))])
-    forms = [F.array_join(w, " ")]
-    drop = lambda at: F.filter(w, lambda x, j: j != at)
-    double = lambda at: F.flatten(F.transform(w, lambda x, j: F.when(j == at, F.array(x, x)).otherwise(F.array(x))))
-    for i in range(1, n):
-        at = F.conv(F.substring(seeded(f"{seed}-{i}", key), 1, 6), 16, 10).cast("int") % F.size(w)
-        heard = F.transform(w, lambda x: F.coalesce(F.try_element_at(swap, F.lower(x)), x))
-        forms.append(F.array_join((double(at), heard, drop(at))[i % 3], " "))
-    unique = F.filter(F.array_distinct(F.array(*forms)), lambda t: t != "")
-    return df.withColumn("asr_hypotheses", F.transform(unique, lambda t, i: F.struct(t.alias("text"), F.round(1.0 - 0.1 * i, 2).alias("confidence"))))
+    """The sentence and up to n - 1 noisy forms of it in seeded choice, each once, by falling confidence.
+
+    Noisy forms: one word as one that sounds alike, a form for each such word; one word dropped, of more than two; one word twice,
+    of more than one. The sentence has a confidence from 0.9 to 0.99, the others from 0.1 to 0.5.
+    """
+    text = F.coalesce(col(column), F.lit(""))
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    draw = lambda *parts: F.conv(F.substring(seeded(seed, key, *parts), 1, 8), 16, 10).cast("long")
+    heard = F.create_map(*[x for k, v in HOMOPHONES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    choices = lambda x: F.try_element_at(heard, F.lower(x))
+    pick = lambda x, i: F.get(choices(x), (draw(F.lit("heard"), i) % F.size(choices(x))).cast("int"))
+    places = F.filter(F.transform(w, lambda x, i: F.when(choices(x).isNotNull(), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    swapped = F.transform(places, lambda p: F.array_join(F.transform(w, lambda x, j: F.when(j == p, pick(x, p)).otherwise(x)), " "))
+    place = lambda what: draw(F.lit(what)) % F.greatest(F.size(w), F.lit(1))
+    dropped = F.when(F.size(w) > 2, F.array(F.array_join(F.filter(w, lambda x, j: j != place("drop")), " ")))
+    doubled = F.when(F.size(w) > 1, F.array(F.array_join(F.flatten(F.transform(w, lambda x, j: F.when(j == place("twice"), F.array(x, x)).otherwise(F.array(x)))), " ")))
+    none = F.array().cast("array<string>")
+    noisy = F.array_distinct(F.filter(F.concat(swapped, F.coalesce(dropped, none), F.coalesce(doubled, none)), lambda t: t != text))
+    mixed = F.array_sort(F.transform(noisy, lambda t: F.struct(seeded(seed, key, F.lit("order"), t).alias("h"), t.alias("t"))))
+    unit = lambda *parts: draw(*parts) / float(1 << 32)
+    rest = F.transform(F.slice(mixed, 1, max(0, n - 1)), lambda x: F.struct((-(0.1 + 0.4 * unit(F.lit("sure"), x["t"]))).alias("c"), x["t"].alias("t")))
+    own = F.struct((-(0.9 + 0.09 * unit(F.lit("own")))).alias("c"), text.alias("t"))
+    return df.withColumn("asr_hypotheses", F.transform(F.array_sort(F.concat(F.array(own), rest)), lambda x: F.struct(x["t"].alias("text"), (-x["c"]).alias("confidence"))))
 
 
 def label_view(df: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def in_group_rate(errors: DataFrame, groups: DataFrame, trials: int = 10, seed:
     maps = groups.select(F.lit(-1).alias("trial"), "label", F.col("grp").cast("string").alias("grp")).unionByName(shuffled)
     counted = errors.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
     a, b = maps.select("trial", F.col("label").alias("gold"), F.col("grp").alias("ga")), maps.select("trial", F.col("label").alias("pred"), F.col("grp").alias("gb"))
-    rates = counted.join(F.broadcast(a), "gold").join(F.broadcast(b), ["trial", "pred"]).groupBy("trial").agg((F.sum(F.when(F.col("ga") == F.col("gb"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
+    rates = counted.join(a, "gold").join(b, ["trial", "pred"]).groupBy("trial").agg((F.sum(F.when(F.col("ga") == F.col("gb"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
     found = rates.agg(F.max(F.when(F.col("trial") == -1, F.col("rate"))).alias("rate"), F.avg(F.when(F.col("trial") >= 0, F.col("rate"))).alias("random_rate"))
     return found.withColumn("lift", ratio(F.col("rate"), F.col("random_rate")))
 

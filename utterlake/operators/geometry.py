@@ -31,7 +31,7 @@ def prepare_features(df: DataFrame, least: int = 2) -> DataFrame:
     """G1: unit vectors of labels with at least so many rows, without unknown ones."""
     known = df.where(F.col("label").isNotNull() & (F.col("label").cast("string") != UNKNOWN))
     big = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return known.join(F.broadcast(big.select("label")), "label", "left_semi").withColumn("embedding", unit("embedding"))
+    return known.join(big.select("label"), "label", "left_semi").withColumn("embedding", unit("embedding"))
 
 
 def centroids(df: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def centroid_distances(df: DataFrame) -> DataFrame:
 def distance_stats(df: DataFrame) -> DataFrame:
     """For each label: rows, mean distance to its centroid, nearest other centroid and its distance, and their ratio."""
     c = centroids(df)
-    intra = df.join(F.broadcast(c), "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(distance(doubles(), F.col("centroid"))).alias("intra"))
+    intra = df.join(c, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(distance(doubles(), F.col("centroid"))).alias("intra"))
     near = centroid_distances(df).groupBy(F.col("a").alias("label")).agg(F.min_by("b", F.struct("distance", "b")).alias("nearest"), F.min("distance").alias("nearest_distance"), F.avg("distance").alias("mean_distance"))
     return intra.join(near, "label", "left").withColumn("separation", F.when(F.col("intra") > 0, F.col("nearest_distance") / F.col("intra")))
 
@@ -87,7 +87,7 @@ def fisher_ratio(df: DataFrame) -> DataFrame:
     c = centroids(df)
     mean = df.select(Summarizer.mean(array_to_vector(doubles())).alias("m")).select(vector_to_array("m").alias("mu"))
     between = c.crossJoin(F.broadcast(mean)).agg(F.sum(F.col("n") * F.pow(distance("centroid", "mu"), 2)).alias("between"))
-    within = df.join(F.broadcast(c), "label").agg(F.sum(F.pow(distance(doubles(), F.col("centroid")), 2)).alias("within"))
+    within = df.join(c, "label").agg(F.sum(F.pow(distance(doubles(), F.col("centroid")), 2)).alias("within"))
     return between.crossJoin(within).withColumn("fisher", F.col("between") / F.col("within"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,15 +61,28 @@ def not_predicted(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     return gold.select(F.col(key).cast("string").alias(key)).join(pred.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("not_predicted"))
 
 
-def match_gold_fallback(pred: DataFrame, gold: DataFrame, fields: Sequence[str] = ("file", "slurp_id", "id")) -> DataFrame:
-    """predictions(pos, …) with gold(key, …) by the first field that finds it, each as it is and then by its basename."""
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    keys = [x for f in fields for x in (F.col(f).cast("string"), base(F.col(f).cast("string")))]
-    tries = pred.select("pos", F.posexplode(F.array(*keys)).alias("order", "key")).where("key IS NOT NULL AND key != ''")
+def fallback_key(field: str = "file", others: Sequence[str] = ("slurp_id", "id")) -> Column:
+    """The key of a prediction: the field, also where it is blank; only where it is null the first of the others that isn't blank."""
+    return F.trim(F.coalesce(F.col(field).cast("string"), *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in others], F.lit("")))
+
+
+def match_gold_fallback(pred: DataFrame, gold: DataFrame, field: str = "file", others: Sequence[str] = ("slurp_id", "id")) -> DataFrame:
+    """predictions(pos, …) with gold(key, …) by their one key, as it is or else by its basename."""
+    key = fallback_key(field, others)
+    tries = pred.select("pos", F.posexplode(F.array(key, F.element_at(F.split(key, "/"), -1))).alias("order", "key")).where("key != ''")
     found = tries.join(gold.select("key").distinct(), "key").groupBy("pos").agg(F.min_by("key", "order").alias("key"))
     return pred.join(found, "pos").join(gold, "key")
 
 
+def not_found_fallback(pred: DataFrame, gold: DataFrame, field: str = "file", others: Sequence[str] = ("slurp_id", "id")) -> DataFrame:
+    """Number of predictions that have no key or whose key no gold has."""
+    key = fallback_key(field, others)
+    left = pred.select("pos", key.alias("key"), F.element_at(F.split(key, "/"), -1).alias("base"))
+    known = gold.select("key").distinct()
+    left = left.join(known, "key", "left_anti").join(known.withColumnRenamed("key", "base"), "base", "left_anti")
+    return left.agg(F.count(F.lit(1)).alias("not_found"))
+
+
 def match_embedded(pred: DataFrame) -> DataFrame:
     """Rows with gold from target_label, else parsed from target; those without scenario and action are dropped."""
     label = F.coalesce(F.col("target_label"), extract_json("target", ""))

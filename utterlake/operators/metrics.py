@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.normalise import clean, weak_intent
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole; 0 where whole is 0."""
@@ -131,6 +133,11 @@ def candidate_stats(pairs: DataFrame, by: Sequence[str] = ("model",)) -> DataFra
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(has.cast("int")).alias("with_candidates"), F.avg(hit.cast("int")).alias("gold_in_candidates"), F.avg(F.when(hit, right)).alias("accuracy_given_gold"))
 
 
+def slot_names(c: str) -> Column:
+    """Different slot types in lower case, without blanks and __none__."""
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != "__none__")))
+
+
 def success_score(rows: DataFrame, match: str = "full") -> DataFrame:
     """format_ok + match_ok + gold intent among candidates + slot coverage, and correct from 4 on.
 
@@ -138,7 +145,7 @@ def success_score(rows: DataFrame, match: str = "full") -> DataFrame:
     """
     full = (F.col("gold_scenario") == F.col("pred_scenario")) & (F.col("gold_action") == F.col("pred_action"))
     ok = {"intent": F.col("gold_intent") == F.col("pred_intent"), "full": full, "entities": full & (row_f1(F.col("gold_entities"), F.col("pred_entities")) == 1.0)}[match]
-    slots, gold = F.col("slot_candidates"), F.col("gold_slots")
+    slots, gold = slot_names("slot_candidates"), slot_names("gold_slots")
     coverage = F.when(F.size(gold) == 0, (F.size(slots) == 0).cast("double")).otherwise(F.size(F.array_intersect(gold, slots)) / F.size(F.array_distinct(gold)))
     found = rows.withColumns({"match_ok": ok, "gold_in_candidates": F.array_contains("candidates", F.col("gold_intent")), "slot_coverage": coverage})
     total = F.col("format_ok").cast("int") + F.col("match_ok").cast("int") + F.col("gold_in_candidates").cast("int") + F.col("slot_coverage")
@@ -146,15 +153,32 @@ def success_score(rows: DataFrame, match: str = "full") -> DataFrame:
 
 
 def rationale_coverage(rows: DataFrame) -> DataFrame:
-    """Share of rejected candidates (the gold one excluded) that have a reason; 1 without any."""
-    rejected = F.array_except(F.col("candidates"), F.array("gold_intent"))
-    return rows.withColumn("rationale_coverage", F.when(F.size(rejected) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(rejected, F.col("reasoned"))) / F.size(rejected)))
-
+    """Share of candidates, intents but the gold one and slot types, that have a reason which isn't blank; 1 without any.
 
-def candidate_bonus(rows: DataFrame, target: int = 3, weight: float = 1.0) -> DataFrame:
-    """A bonus for the gold intent among candidates, less the farther their number is from the target."""
+    rows: gold_intent, candidates, slot_candidates, pairs array<struct<label,reason>>. Labels of intents have : as _, those of slot
+    types no parentheses, no `slot:` before them and no upper case.
+    """
+    bare = lambda x: F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, r"\([^)]*\)", ""))), r"^slots?\s*:\s*", "")
+    reasoned = F.filter("pairs", lambda p: F.trim(F.coalesce(p["reason"], F.lit(""))) != "")
+    intents = F.array_except(F.array_distinct("candidates"), F.array("gold_intent"))
+    slots = F.array_distinct(F.filter(F.transform("slot_candidates", lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    covered = F.size(F.array_intersect(intents, F.transform(reasoned, lambda p: weak_intent(p["label"])))) + F.size(F.array_intersect(slots, F.transform(reasoned, lambda p: bare(p["label"]))))
+    total = F.size(intents) + F.size(slots)
+    return rows.withColumn("rationale_coverage", F.when(total == 0, F.lit(1.0)).otherwise(covered / total))
+
+
+def candidate_bonus(rows: DataFrame, intent: float = 1.0, slot: float = 0.0, count: float = 0.0, target: int = 3) -> DataFrame:
+    """Sum of a bonus for the gold intent among the candidates, one for a gold slot type among theirs, and one that falls the farther the number of intents is from the target."""
+    target = max(1, target)
     near = F.greatest(F.lit(0.0), 1.0 - F.abs(F.size("candidates") - target) / float(target))
-    return rows.withColumn("bonus", weight * F.when(F.array_contains("candidates", F.col("gold_intent")), near).otherwise(0.0))
+    hit = F.array_contains("candidates", F.col("gold_intent")) & (clean("gold_intent") != "")
+    shared = F.arrays_overlap(slot_names("gold_slots"), slot_names("slot_candidates"))
+    return rows.withColumn("bonus", intent * hit.cast("int") + slot * F.coalesce(shared, F.lit(False)).cast("int") + max(0.0, count) * near)
+
+
+def format_adjusted(rows: DataFrame, bonus: float, penalty: float, column: str = "reward") -> DataFrame:
+    """The reward and a bonus where format_ok, or less a penalty."""
+    return rows.withColumn(column, F.col(column) + F.when(F.col("format_ok"), F.lit(bonus)).otherwise(F.lit(-penalty)))
 
 
 def run_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -165,16 +189,20 @@ def run_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def boundary_metrics(joined: DataFrame) -> DataFrame:
-    """Accuracy, hierarchical recovery, and the mean log contrast of gold and parent (probabilities from 1e-12 on).
+    """Accuracy, hierarchical recovery, and the mean contrast of the scores of gold and parent, with its number of rows.
 
-    joined: gold_intent, parent_intent, student, baseline, scores map<string,double>.
+    joined: gold_intent, parent_intent, student, baseline, scores map<string,double>. Only rows that have both scores and a parent
+    have a contrast; where both are within 0 and 1, it is one of logs, from 1e-12 on.
     """
-    p = lambda c: F.log(F.greatest(F.coalesce(F.col("scores")[F.col(c)], F.lit(0.0)), F.lit(1e-12)))
-    missed = (F.col("baseline") == F.col("parent_intent")) & (F.col("parent_intent") != F.col("gold_intent"))
+    g, p = F.try_element_at("scores", F.col("gold_intent")), F.try_element_at("scores", F.col("parent_intent"))
+    named = clean("parent_intent") != ""
+    log = lambda x: F.log(F.greatest(x, F.lit(1e-12)))
+    contrast = F.when(named & g.isNotNull() & p.isNotNull(), F.when(g.between(0, 1) & p.between(0, 1), log(g) - log(p)).otherwise(g - p))
+    missed = named & (F.col("baseline") == F.col("parent_intent")) & (F.col("parent_intent") != F.col("gold_intent"))
     right = F.col("student") == F.col("gold_intent")
     return joined.agg(
         F.count(F.lit(1)).alias("n"), F.avg(right.cast("int")).alias("accuracy"), F.count_if(missed).alias("parent_errors"), F.count_if(missed & right).alias("recovered"),
-        F.avg(F.when(missed, right.cast("int"))).alias("recovery_rate"), F.avg(p("gold_intent") - p("parent_intent")).alias("contrast"),
+        F.avg(F.when(missed, right.cast("int"))).alias("recovery_rate"), F.avg(contrast).alias("contrast"), F.count(contrast).alias("contrast_count"),
     )
 
 

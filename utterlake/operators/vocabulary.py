@@ -122,7 +122,7 @@ def load_groups(lines: DataFrame, text: str = "value", pos: str = "pos") -> Data
     ends = rows.groupBy("part").agg(F.max_by("g", F.when(F.col("g").isNotNull(), F.col("__pos"))).alias("end"))
     before = ends.select("part", F.last("end", ignorenulls=True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     own = F.last("g", ignorenulls=True).over(W.partitionBy("part").orderBy("__pos"))
-    rows = rows.withColumn("own", own).where("label != ''").join(F.broadcast(before), "part").withColumn("grp", F.coalesce("own", "before")).where("grp IS NOT NULL").select("label", "grp")
+    rows = rows.withColumn("own", own).where("label != ''").join(before, "part").withColumn("grp", F.coalesce("own", "before")).where("grp IS NOT NULL").select("label", "grp")
     members = rows.groupBy("grp").agg(F.array_sort(F.collect_set("label")).alias("members"))
     return rows.join(members, "grp")
 

@@ -65,6 +65,11 @@ def x8_linear(spark, d):
     return V.rounded(X.wer_bins(V.pairs(spark, d), X.linear_edges(0.25, 1.0)).groupBy("bin", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.min("wer").alias("least"), F.max("wer").alias("most")))
 
 
+def x8_log(spark, d):
+    """A bin for values below 0.013, three geometric ones to 0.9, and what lies above."""
+    return X.wer_bins(V.pairs(spark, d), X.log_edges(0.013, 0.9, 3)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def x9(spark, d):
     return V.rounded(X.bin_metrics(X.wer_bins(V.matched(spark, d), X.linear_edges(0.25, 1.0)), 20))
 
@@ -108,7 +113,7 @@ def x17(spark, d):
 
 
 QUERIES = {
-    "x1_top_confusions": x1, "x2_error_breakdown": x2, "x3_entity_type_confusion": x3, "x4_confusion_clusters": x4, "x5_compare_confusions": x5, "x6_scenario_accuracy": x6, "x7_wer_bands": x7, "x8_wer_bins": x8, "x8_linear_bins": x8_linear,
+    "x1_top_confusions": x1, "x2_error_breakdown": x2, "x3_entity_type_confusion": x3, "x4_confusion_clusters": x4, "x5_compare_confusions": x5, "x6_scenario_accuracy": x6, "x7_wer_bands": x7, "x8_wer_bins": x8, "x8_linear_bins": x8_linear, "x8_log_bins": x8_log,
     "x9_bin_metrics": x9, "x10_absorption": x10, "x11_frequency_bias": x11, "x12_error_graph": x12, "x13_in_group_rate": x13, "x14_in_group_confusions": x14, "x15_neighbor_ranks": x15, "x15_neighbor_summary": x15_summary, "x16_selection_errors": x16, "x17_expand_groups": x17,
 }
 
@@ -128,6 +133,7 @@ SQL = {
     "x7_wer_bands": f"WITH {V.PAIRS}, b AS (SELECT *, CASE WHEN wer = 0 THEN '0' WHEN wer <= 0.2 THEN '0-0.2' WHEN wer <= 0.5 THEN '0.2-0.5' ELSE '>0.5' END AS band FROM pairs WHERE wer IS NOT NULL), u AS (SELECT * FROM b UNION ALL SELECT * REPLACE ('ALL' AS band) FROM b) SELECT model, band, {V.ACCURACIES}, {_BREAK} FROM u GROUP BY model, band",
     "x8_wer_bins": f"""WITH {V.PAIRS}, q AS (SELECT list_concat([0.0], quantile_cont(wer, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]), [max(wer)]) AS e FROM pairs), r AS (SELECT unnest(range(0, 8)) AS bin, e FROM q), k AS (SELECT bin, e[bin + 1] AS low, e[bin + 2] AS high FROM r)
     SELECT CAST(bin AS INT) AS bin, round(low, 6) AS low, round(high, 6) AS high, count(*) AS n FROM pairs JOIN k ON wer >= low AND (wer < high OR (bin = 7 AND wer <= high)) GROUP BY ALL""",
+    "x8_log_bins": f"WITH {V.PAIRS}, b AS (SELECT CASE WHEN wer < 0.013 THEN 0 WHEN wer < 0.013 * pow(0.9 / 0.013, 1 / 3.0) THEN 1 WHEN wer < 0.013 * pow(0.9 / 0.013, 2 / 3.0) THEN 2 WHEN wer <= 0.9 THEN 3 ELSE 4 END AS bin FROM pairs WHERE wer IS NOT NULL) SELECT CAST(bin AS INT) AS bin, count(*) AS n FROM b GROUP BY 1",
     "x8_linear_bins": f"WITH {V.PAIRS}, m AS (SELECT * FROM pairs), {_LINEAR} SELECT bin, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, count(*) AS n, round(min(wer), 6) AS least, round(max(wer), 6) AS most FROM l2 GROUP BY ALL",
     "x9_bin_metrics": f"WITH {V.MATCHED}, {_LINEAR}, a AS (SELECT model, bin, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, {V.ACCURACIES}, {V.SUMS} FROM l2 GROUP BY ALL HAVING count(*) >= 20) SELECT *, {V.PRF6} FROM a",
     "x10_absorption": f"""WITH {_W}, c AS (SELECT pred, gold, count(*) AS n FROM w WHERE pred IN ('click_a0', 'view_a1', 'unknown_a2') GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY pred) AS share, count(*) OVER (PARTITION BY pred) AS victims, CAST(row_number() OVER (PARTITION BY pred ORDER BY n DESC, gold) AS INT) AS rank FROM c),

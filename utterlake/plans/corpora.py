@@ -41,7 +41,7 @@ def s1(spark, d):
 FILE_RECORDS = 5000
 
 
-def s2(spark, d):
+def _read_again(spark, d):
     """Events as arrays, wrapped arrays, objects one after another and maps of records, a form for each remainder of the identifier, read again."""
     path = _folder(spark, "records")
     i = F.col("event_id")
@@ -51,7 +51,24 @@ def s2(spark, d):
     listed = F.array_join("x", ",")
     text = F.when(F.col("form") == 0, F.concat(F.lit("["), listed, F.lit("]"))).when(F.col("form") == 1, F.concat(F.lit('{"data": ['), listed, F.lit("]}"))).when(F.col("form") == 2, F.concat(F.lit("junk "), F.array_join("x", "\n"))).otherwise(F.concat(F.lit("{"), listed, F.lit("}")))
     groups.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return S.read_records(spark, path, "id long, kind string").groupBy("kind").agg(F.count("id").alias("n"))
+    return S.read_records(spark, path, "id long, kind string")
+
+
+def s2(spark, d):
+    return _read_again(spark, d).groupBy("kind").agg(F.count("id").alias("n"))
+
+
+def s2_every(spark, d):
+    return _read_again(spark, d)
+
+
+def s5(spark, d):
+    """Rows with nested cells as CSV, read as plain text: the header and JSON in the cells."""
+    e = V.table(spark, d, "events")
+    path = _folder(spark, "cells")
+    S.write_csv_json(e.select("event_id", F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("t")).alias("who"), F.array("event_type", F.lit("b")).alias("tags"), F.when(F.col("event_id") % 2 == 0, 'say "x", y').alias("note")), path)
+    rows = spark.read.schema("event_id long, who string, tags string, note string").option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"').csv(path)
+    return rows.select("event_id", "who", "tags", "note")
 
 
 def s3(spark, d):
@@ -115,6 +132,21 @@ def j2(spark, d):
     return J.match_gold_fallback(pred, gold).select("pos", "key", "size")
 
 
+def _unknown(spark, d):
+    """Predictions with an unknown or blank file and a known id, or without a file."""
+    e, i = V.table(spark, d, "events"), F.col("event_id")
+    pred = e.select(i.alias("pos"), F.when(i % 3 == 0, F.format_string("zz/none-%s", i)).when(i % 3 == 2, "").alias("file"), F.when(i % 3 == 0, F.col("event_type")).otherwise("").alias("slurp_id"), F.format_string("x/%s", "event_type").alias("id"))
+    return pred, e.select(F.col("event_type").alias("key")).distinct()
+
+
+def j2_unknown(spark, d):
+    return J.match_gold_fallback(*_unknown(spark, d)).select("pos", "key")
+
+
+def j2_not_found(spark, d):
+    return J.not_found_fallback(*_unknown(spark, d))
+
+
 def j3(spark, d):
     p = V.pairs(spark, d)
     label = F.struct(F.col("gold_scenario").alias("scenario"), F.col("gold_action").alias("action"), F.array().cast(f"array<{ENTITY}>").alias("entities"))
@@ -280,7 +312,7 @@ def d17_all(spark, d):
     rows = spark.read.parquet(path).withColumns({"part": part, "own": F.col("at") - F.shiftleft(part, 33)})
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select("key", "score", "reward", (F.col("before") + F.col("own") + 1).alias("rank")).orderBy("rank")
+    return rows.join(before, "part").select("key", "score", "reward", (F.col("before") + F.col("own") + 1).alias("rank")).orderBy("rank")
 
 
 def d18(spark, d):
@@ -296,6 +328,15 @@ def d20(spark, d):
     return D.nbest_tokens(_hypotheses(spark, d), ["the", "a"]).select("key", F.array_join("stable", ",").alias("stable"), F.array_join("unstable", ",").alias("unstable"))
 
 
+def d20_signs(spark, d):
+    """Hypotheses with signs, upper case, empty and null ones; every other row has two only."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    first, second = F.format_string("The %s, NOW!", kind), F.format_string("%s it's u%s", kind, F.col("user_id") % 3)
+    every = F.array(first, F.lit(""), F.lit(None).cast("string"), second, F.format_string("a %s now", kind), F.format_string("b %s", kind))
+    rows = V.table(spark, d, "events").select(i.alias("key"), F.when(i % 2 == 0, F.array(first, second)).otherwise(every).alias("nbest"))
+    return D.nbest_tokens(rows, ["the", "a"]).select("key", F.array_join("stable", ",").alias("stable"), F.array_join("unstable", ",").alias("unstable"))
+
+
 def d21(spark, d):
     return D.nbest_ablation(_hypotheses(spark, d), [1, 2, 5]).select("key", "k", F.size("nbest").alias("n"))
 
@@ -419,10 +460,10 @@ def g9(spark, d):
 
 
 QUERIES = {
-    "s1_read_jsonl": s1, "s2_read_records": s2, "s3_write_jsonl": s3, "s4_csv_json": s4, "s6_read_corpus": s6, "s7_merge_shards": s7, "s8_pending": s8, "s9_resolve_files": s9,
-    "j1_match_gold": j1, "j1_not_predicted": j1_missing, "j2_match_gold_fallback": j2, "j3_match_embedded": j3, "j4_enrich_recordings": j4, "j5_attach_manifest": j5, "j6_join_runs": j6, "j7_pair_runs": j7, "j8_resolve_intent": j8, "j9_fill_from": j9, "j10_attach_nbest": j10,
+    "s1_read_jsonl": s1, "s2_read_records": s2, "s2_every_record": s2_every, "s5_csv_cells": s5, "s3_write_jsonl": s3, "s4_csv_json": s4, "s6_read_corpus": s6, "s7_merge_shards": s7, "s8_pending": s8, "s9_resolve_files": s9,
+    "j1_match_gold": j1, "j1_not_predicted": j1_missing, "j2_match_gold_fallback": j2, "j2_match_unknown_file": j2_unknown, "j2_not_found": j2_not_found, "j3_match_embedded": j3, "j4_enrich_recordings": j4, "j5_attach_manifest": j5, "j6_join_runs": j6, "j7_pair_runs": j7, "j8_resolve_intent": j8, "j9_fill_from": j9, "j10_attach_nbest": j10,
     "d1_select_recordings": d1, "d2_build_items": d2, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d7_add_distractors": d7, "d8_candidate_list": d8, "d9_format_nbest": d9, "d9_db_definitions": d9_definitions, "d9_template_rationale": d9_template, "d10_distill_split": d10, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
-    "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d17_order_by_difficulty_all": d17_all, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
+    "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d17_order_by_difficulty_all": d17_all, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d20_nbest_tokens_signs": d20_signs, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
     "v1_label_inventory": v1, "v2_similar_pairs": v2, "v3_nearest_labels": v3, "v3_rule_neighbors": v3_rules, "v4_soft_clusters": v4, "v5_kmeans_groups": v5, "v6_agglomerative_groups": v6, "v7_load_groups": v7,
     "v2_similar_pairs_all": v2_all, "v3_nearest_labels_all": v3_all, "v4_soft_clusters_all": v4_all,
     "g1_prepare_features": g1, "g2_distance_stats": g2, "g3_spherical_stats": g3, "g4_margin_stats": g4, "g5_fisher_ratio": g5, "g6_silhouette_cosine": g6, "g6_silhouette_euclidean": g6_euclidean, "g7_mean_distance_ranks": g7, "g7_distance_table": g7_table, "g8_pca_2d": g8, "g9_paired_test": g9,
@@ -441,6 +482,12 @@ def _rank(rows: str, key: str, seed: int) -> str:
 
 SQL = {
     "s1_read_jsonl": "SELECT event_id AS id, event_type AS kind, CAST(user_id AS VARCHAR) AS tags FROM events WHERE event_id % 10 NOT IN (3, 4, 5)",
+    "s2_read_records": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1",
+    "s2_every_record": "SELECT event_id AS id, event_type AS kind FROM events",
+    "s5_csv_cells": """SELECT event_id, '{"u":' || user_id || ',"t":"' || event_type || '"}' AS who, '["' || event_type || '","b"]' AS tags, CASE WHEN event_id % 2 = 0 THEN 'say "x", y' END AS note FROM events""",
+    "j2_match_unknown_file": "SELECT event_id AS pos, event_type AS key FROM events WHERE event_id % 3 = 1",
+    "j2_not_found": "SELECT count(*) FILTER (event_id % 3 <> 1) AS not_found FROM events",
+    "d20_nbest_tokens_signs": "SELECT event_id AS key, event_type AS stable, CASE WHEN event_id % 2 = 0 THEN 'it''s,now,u' || (user_id % 3) ELSE 'b,it''s,u' || (user_id % 3) END AS unstable FROM events",
     "s3_write_jsonl": f"WITH {_P} SELECT key, gold_intent, wer FROM pairs",
     "s4_csv_json": f"WITH {V.ENTITIES}, g AS (SELECT key, count_if(pos <= 4) AS k FROM l GROUP BY key) SELECT key, CAST(k AS INT) AS n, CASE WHEN k > 2 THEN length('say \"x\", y' || chr(10) || 'z') ELSE 5 END AS note FROM g",
     "s6_read_corpus": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier",

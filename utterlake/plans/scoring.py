@@ -50,18 +50,48 @@ def m13(spark, d):
     return V.rounded(M.success_score(V.candidates(spark, d)).select("key", "match_ok", "gold_in_candidates", "slot_coverage", "score", "correct"))
 
 
+def m13_slots(spark, d):
+    """Slot types in any case, blank or __none__."""
+    n, none = F.col("n"), F.array().cast("array<string>")
+    gold = F.when(n % 3 == 0, F.array(F.lit("__none__"))).otherwise(F.array(F.lit("Time"), F.lit("Place")))
+    said = F.when(n % 4 == 0, F.array(F.lit("__NONE__"), F.lit(" "))).when(n % 4 == 1, F.array(F.lit(" time"))).when(n % 4 == 2, F.array(F.lit("PLACE"), F.lit("time"), F.lit("x"))).otherwise(none)
+    return V.rounded(M.success_score(V.candidates(spark, d).withColumns({"gold_slots": gold, "slot_candidates": said})).select("key", "slot_coverage"))
+
+
+def _reasons(spark, d):
+    n, pair = F.col("n"), lambda label, reason: F.struct(label.alias("label"), reason.alias("reason"))
+    said = lambda c, text: F.when(c, text).otherwise(" ")
+    pairs = F.array(
+        pair(F.replace("pred_intent", F.lit("_"), F.lit(":")), said(n % 5 != 0, "not said")), pair(F.lit("other_a0"), said(n % 6 != 0, "too far")),
+        pair(F.lit("Slot: R (2)"), said(n % 4 != 0, "unused")), pair(F.lit("X"), F.lit("unused")), pair(F.lit("nobody"), F.lit("unused")),
+    )
+    return V.candidates(spark, d).withColumn("pairs", pairs)
+
+
 def m14(spark, d):
-    return V.rounded(M.candidate_bonus(M.rationale_coverage(V.candidates(spark, d))).select("key", "rationale_coverage", "bonus"))
+    rows = M.candidate_bonus(M.rationale_coverage(_reasons(spark, d)), intent=0.5, slot=0.25, count=0.1)
+    return V.rounded(M.format_adjusted(rows.withColumn("reward", F.lit(1.0)), 0.2, 0.3).select("key", "rationale_coverage", "bonus", "reward"))
 
 
 def m15(spark, d):
-    return V.rounded(M.run_summary(M.rationale_coverage(M.reward(V.candidates(spark, d))), ["model"]))
+    """Coverage of intents alone: the rows name no slot types."""
+    rows = V.candidates(spark, d).withColumns({"slot_candidates": F.array().cast("array<string>"), "pairs": F.transform("reasoned", lambda x: F.struct(x.alias("label"), F.lit("why").alias("reason")))})
+    return V.rounded(M.run_summary(M.rationale_coverage(M.reward(rows)), ["model"]))
 
 
 def m16(spark, d):
     p = V.pairs(spark, d).withColumns({"parent_intent": F.concat_ws("_", "gold_scenario", F.lit("a0")), "student": F.col("pred_intent"), "baseline": F.when(F.col("n") % 2 == 0, F.concat_ws("_", "gold_scenario", F.lit("a0"))).otherwise(F.col("gold_intent"))})
     p = p.withColumn("scores", F.map_from_arrays(F.array_distinct(F.array("gold_intent", "parent_intent")), F.when(F.col("gold_intent") == F.col("parent_intent"), F.array((F.col("n") + 1) / 200.0)).otherwise(F.array((F.col("n") + 1) / 200.0, F.lit(0.25)))))
-    return V.rounded(M.boundary_metrics(p))
+    return V.rounded(M.boundary_metrics(p).drop("contrast_count"))
+
+
+def m16_contrast(spark, d):
+    """Score maps without gold or parent, and scores that are no probabilities."""
+    n = F.col("n")
+    p = V.pairs(spark, d).select("gold_intent", F.when(n % 11 == 0, "").otherwise("up_a0").alias("parent_intent"), F.col("pred_intent").alias("student"), F.when(n % 2 == 0, "up_a0").alias("baseline"), "n")
+    entry = lambda k, v: F.struct(k.alias("k"), v.cast("double").alias("v"))
+    found = F.array_compact(F.array(F.when(n % 3 != 0, entry(F.col("gold_intent"), F.when(n % 7 == 0, 1.5 + n).otherwise((n % 2) * 0.5))), F.when(n % 5 != 0, entry(F.lit("up_a0"), F.lit(0.25)))))
+    return V.rounded(M.boundary_metrics(p.withColumn("scores", F.map_from_entries(found))).select("n", "parent_errors", "contrast", "contrast_count"))
 
 
 def m17(spark, d):
@@ -126,7 +156,7 @@ def w1(spark, d):
 
 QUERIES = {
     "w1_evaluate": w1, "m1_label_f1": m1, "m1_label_f1_macro": m1_macro, "m2_span_f1": m2, "m3_entity_set_f1": m3, "m3_row_entity_f1": m3_row, "m6_evaluate": m6, "m7_compare_label_f1": m7, "m11_reward": m11,
-    "m12_candidate_stats": m12, "m13_success_score": m13, "m14_rationale_coverage": m14, "m15_run_summary": m15, "m16_boundary_metrics": m16, "m16_rationale_overlap": m16_overlap, "m17_crj_report": m17, "m17_crj_candidates": m17_candidates, "m17_failing_ids": m17_failing, "m18_rank_runs": m18, "m18_expand_grid": m18_grid,
+    "m12_candidate_stats": m12, "m13_success_score": m13, "m13_slot_names": m13_slots, "m16_boundary_contrast": m16_contrast, "m14_rationale_coverage": m14, "m15_run_summary": m15, "m16_boundary_metrics": m16, "m16_rationale_overlap": m16_overlap, "m17_crj_report": m17, "m17_crj_candidates": m17_candidates, "m17_failing_ids": m17_failing, "m18_rank_runs": m18, "m18_expand_grid": m18_grid,
     "m19_group_advantage": m19, "m19_group_diversity": m19_diversity,
 }
 
@@ -167,8 +197,15 @@ SQL = {
       CASE WHEN coalesce(g, 0) = 0 THEN CAST(coalesce(p, 0) = 0 AS INT) * 1.0 ELSE b / g END AS slot_coverage FROM c LEFT JOIN cov USING (key)),
     s AS (SELECT *, CAST(format_ok AS INT) + CAST(match_ok AS INT) + CAST(gold_in_candidates AS INT) + slot_coverage AS score FROM f)
     SELECT key, match_ok, gold_in_candidates, CAST(round(slot_coverage, 6) AS DOUBLE) AS slot_coverage, CAST(round(score, 6) AS DOUBLE) AS score, score >= 4 AS correct FROM s""",
-    "m14_rationale_coverage": f"""WITH {V.CANDIDATES}, r AS (SELECT key, list_contains(candidates, gold_intent) AS hit, len(candidates) AS k, list_filter(candidates, lambda x: x <> gold_intent) AS rejected, reasoned FROM c)
-    SELECT key, CAST(round(CASE WHEN len(rejected) = 0 THEN 1.0 ELSE len(list_filter(rejected, lambda x: list_contains(reasoned, x))) / len(rejected) END, 6) AS DOUBLE) AS rationale_coverage, CAST(round(CASE WHEN hit THEN greatest(0.0, 1 - abs(k - 3) / 3.0) ELSE 0.0 END, 6) AS DOUBLE) AS bonus FROM r""",
+    "m13_slot_names": f"WITH {V.PAIRS} SELECT key, CAST(CASE WHEN n % 3 = 0 THEN CASE WHEN n % 4 IN (0, 3) THEN 1 ELSE 0 END ELSE CASE n % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 1 ELSE 0 END END AS DOUBLE) AS slot_coverage FROM pairs",
+    "m16_boundary_contrast": f"""WITH {V.PAIRS}, j AS (SELECT *, CASE WHEN n % 11 = 0 THEN '' ELSE 'up_a0' END AS parent, CASE WHEN n % 3 <> 0 THEN CASE WHEN n % 7 = 0 THEN 1.5 + n ELSE (n % 2) * 0.5 END END AS g, CASE WHEN n % 5 <> 0 THEN 0.25 END AS p FROM pairs),
+    f AS (SELECT parent <> '' AND n % 2 = 0 AND parent <> gold_intent AS missed, CASE WHEN parent <> '' AND g IS NOT NULL AND p IS NOT NULL THEN CASE WHEN g <= 1 THEN ln(greatest(g, 1e-12)) - ln(p) ELSE g - p END END AS contrast FROM j)
+    SELECT count(*) AS n, count_if(missed) AS parent_errors, round(avg(contrast), 6) AS contrast, count(contrast) AS contrast_count FROM f""",
+    "m14_rationale_coverage": f"""WITH {V.CANDIDATES}, pt AS (SELECT key, list(DISTINCT lower(type)) AS slots FROM pe GROUP BY key), gt AS (SELECT key, list(DISTINCT lower(type)) AS golds FROM ge GROUP BY key),
+    r AS (SELECT c.key, n, format_ok, list_contains(candidates, gold_intent) AS hit, len(candidates) AS k, list_filter(candidates, lambda x: x <> gold_intent) AS rejected, pred_intent, coalesce(slots, []) AS slots, coalesce(golds, []) AS golds FROM c LEFT JOIN pt USING (key) LEFT JOIN gt USING (key)),
+    v AS (SELECT *, len(rejected) + len(slots) AS total, len(list_filter(rejected, lambda x: (x = pred_intent AND n % 5 <> 0) OR (x = 'other_a0' AND n % 6 <> 0))) + len(list_filter(slots, lambda x: (x = 'r' AND n % 4 <> 0) OR x = 'x')) AS covered FROM r)
+    SELECT key, CAST(round(CASE WHEN total = 0 THEN 1.0 ELSE covered / total END, 6) AS DOUBLE) AS rationale_coverage,
+      CAST(round(CASE WHEN hit THEN 0.5 ELSE 0 END + CASE WHEN len(list_intersect(slots, golds)) > 0 THEN 0.25 ELSE 0 END + 0.1 * greatest(0.0, 1 - abs(k - 3) / 3.0), 6) AS DOUBLE) AS bonus, CAST(CASE WHEN format_ok THEN 1.2 ELSE 0.7 END AS DOUBLE) AS reward FROM v""",
     "m15_run_summary": f"""WITH {V.CANDIDATES}, r AS (SELECT *, CAST(gold_scenario = pred_scenario AS INT) + CAST(gold_action = pred_action AS INT) + 0.5 * CAST(gold_intent = pred_intent AS INT) + entity_f1 AS reward, list_filter(candidates, lambda x: x <> gold_intent) AS rejected FROM c),
     v AS (SELECT *, CASE WHEN len(rejected) = 0 THEN 1.0 ELSE len(list_filter(rejected, lambda x: list_contains(reasoned, x))) / len(rejected) END AS cov FROM r),
     a AS (SELECT model, {V.ACCURACIES}, round(avg(reward), 6) AS reward, round(avg(cov), 6) AS rationale_coverage, {V.SUMS} FROM v GROUP BY model) SELECT *, {V.PRF6} FROM a""",

@@ -186,6 +186,14 @@ def p6(spark, d):
     return rendered(spark, d).withColumn("x", P.extract_crj("text")).select("key", "x.c", "x.r", F.length("x.j").alias("j_length"), "x.valid")
 
 
+def p6_apart(spark, d):
+    """C, R and J lines with others between them, in two runs, and in wrong order."""
+    n = F.col("n")
+    second = F.when(n % 3 == 0, "C: second\nso\nR: \nR: later\nJ: j2").when(n % 3 == 1, "C: open\nR: only").otherwise("C： wide\nR: r3\nJ: j3")
+    text = F.when(n % 5 == 0, "R: a\nC: b\nJ: c").otherwise(F.concat(F.format_string("C: first %s\nnote\n\nR: r1\nmore\n J: j1\n", "key"), second))
+    return V.pairs(spark, d).withColumn("x", P.extract_crj(text)).select("key", "x.*")
+
+
 def p7(spark, d):
     return rendered(spark, d).select("key", P.prefixed_line("text", "C").alias("c"), P.prefixed_line("text", "R").alias("r"))
 
@@ -231,6 +239,13 @@ def p16(spark, d):
     return P.complete_final(c).select("key", "intent", "scenario", "action")
 
 
+def p16_later(spark, d):
+    """Labels whose first candidates have no intent, or that have no candidates."""
+    n = F.col("n")
+    topk = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.lit(None).cast("string"), F.lit(""), F.col("gold_intent"))).otherwise(F.array(F.lit(""), F.concat_ws(":", "pred_scenario", "pred_action"), F.lit("z_z")))
+    return P.complete_final(V.pairs(spark, d).select("key", F.when(n % 3 == 0, " ").alias("final_intent"), topk.alias("topk")), "alarm:set").select("key", "intent", "scenario", "action")
+
+
 def p17(spark, d):
     return V.table(spark, d, "events").select("event_id", P.scrub_phones(F.format_string("say  AH0 K %s IY1 CH NOTAH x", "event_type")).alias("text"))
 
@@ -248,6 +263,14 @@ def m9(spark, d):
     return V.rounded(_spoken(spark, d).select("event_id", D.per(F.concat(F.lit("/"), F.substring("ref", 1, 4), F.lit("/")), F.substring("hyp", 1, 4)).alias("per")))
 
 
+def m9_phones(spark, d):
+    """Phones of several characters between slashes, brackets and spaces."""
+    e, i, u = V.table(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    ref = F.concat(F.lit("/tʃ a/["), F.when(i % 3 == 0, "dʒ").when(i % 3 == 1, "o").otherwise(""), F.lit("]"))
+    hyp = F.when(i % 10 == 9, "").otherwise(F.concat(F.when(i % 2 == 0, "tʃ/a/").otherwise("a"), F.when(u % 2 == 0, "  dʒ ").otherwise("")))
+    return V.rounded(e.select("event_id", D.per(ref, hyp).alias("per")))
+
+
 def m10(spark, d):
     rows = _spoken(spark, d).select("event_id", F.col("ref").alias("reference_text"), F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("array<string>")).otherwise(F.array("hyp", F.lower("ref"))).alias("asr_nbest"))
     return V.rounded(D.nbest_summary(D.nbest_report(rows)))
@@ -270,7 +293,7 @@ QUERIES = {
     "n1_span_filler_whole": n1_whole, "n2_gold_by_file_whole": n2_whole, "n8_fix_mojibake_whole": n8_whole,
     "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n7_to_utterances": n7, "n8_fix_mojibake": n8, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
     "n12_sample_id": n12, "n13_conversation_pair": n13, "n13_bullet_candidates": n13_bullets, "n14_standard_entities": n14, "n15_select_input_text": n15, "p1_extract_json": p1, "p2_parse_j": p2, "p3_parse_prediction_label": p3, "p4_extract_final": p4, "p5_recover_predictions": p5,
-    "p6_extract_crj": p6, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
+    "p6_extract_crj": p6, "p6_extract_crj_apart": p6_apart, "p16_complete_final_later": p16_later, "m9_per_phones": m9_phones, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
     "m4_span_distance_f1": m4, "m5_slu_f1": m5, "m8_wer": m8, "m9_per": m9, "m10_nbest_report": m10, "d19_diverse_nbest": d19,
 }
 
@@ -313,6 +336,11 @@ SQL = {
     "p13_format_output": f"WITH {V.PAIRS} SELECT key, n % 13 <> 0 AND n % 7 <> 0 AS format_ok, 'C: ' || {_C} || chr(10) || 'R: ' || {_R} AS head FROM pairs",
     "p14_parse_metrics": "SELECT event_id, CAST(event_id AS DOUBLE) AS loss, CAST('0.' || user_id AS DOUBLE) AS acc, 3 AS n FROM events",
     "p15_validate_topk": f"WITH {V.CANDIDATES}, r AS (SELECT key, CASE WHEN len(candidates) <> 2 THEN 'count' WHEN len(list_filter(candidates, lambda x: x NOT IN (gold_intent, pred_intent, 'other_a0'))) > 0 THEN 'outside' WHEN NOT list_contains(candidates, gold_intent) THEN 'missing_reference' ELSE 'ok' END AS reason FROM c) SELECT key, reason, reason = 'ok' AS valid FROM r",
+    "p6_extract_crj_apart": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 5 = 0 THEN '' WHEN n % 3 = 0 THEN 'second' ELSE 'first ' || key END AS c, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN '' ELSE 'r1' END AS r, CASE WHEN n % 5 = 0 THEN '' WHEN n % 3 = 0 THEN 'j2' ELSE 'j1' END AS j, n % 5 <> 0 AS valid FROM pairs",
+    "p12_extract_answer_json": f"""WITH {V.PAIRS} SELECT key, CAST(CASE WHEN n % 13 = 0 THEN length('{{"type": "Time", "filler": " N' || n || ' "}}') WHEN n % 11 = 0 THEN length('{{"scenario": "", "action": "", "entities": [{{"type": "Time", "filler": " N "}}, {{"place": "P"}}]}}') + length(pred_scenario) + length(pred_action) + length(CAST(n AS VARCHAR)) + 1 ELSE length('{{"place": "P' || (n % 3) || '"}}') END AS INT) AS size FROM pairs""",
+    "p16_complete_final_later": f"WITH {V.PAIRS}, r AS (SELECT key, CASE WHEN n % 4 = 0 THEN 'alarm_set' WHEN n % 4 = 1 THEN gold_intent ELSE pred_intent END AS intent FROM pairs) SELECT key, intent, split_part(intent, '_', 1) AS scenario, split_part(intent, '_', 2) AS action FROM r",
+    "m9_per_phones": r"""WITH t AS (SELECT event_id, '/tʃ a/[' || CASE event_id % 3 WHEN 0 THEN 'dʒ' WHEN 1 THEN 'o' ELSE '' END || ']' AS r, CASE WHEN event_id % 10 = 9 THEN '' ELSE CASE WHEN event_id % 2 = 0 THEN 'tʃ/a/' ELSE 'a' END || CASE WHEN user_id % 2 = 0 THEN '  dʒ ' ELSE '' END END AS h FROM events),
+    p AS (SELECT event_id, regexp_replace(replace(replace(r, 'tʃ', 'T'), 'dʒ', 'D'), '[\s/\[\]]+', '', 'g') AS r, regexp_replace(replace(replace(h, 'tʃ', 'T'), 'dʒ', 'D'), '[\s/\[\]]+', '', 'g') AS h FROM t) SELECT event_id, round(levenshtein(r, h) / length(r), 6) AS per FROM p""",
     "p16_complete_final": f"WITH {V.CANDIDATES}, r AS (SELECT key, CASE WHEN n % 3 = 0 THEN gold_intent ELSE coalesce(CASE WHEN n % 4 <> 0 THEN gold_intent END, CASE WHEN n % 3 <> 0 THEN pred_intent END, CASE WHEN n % 2 = 0 THEN 'other_a0' END, CASE WHEN n % 7 = 0 THEN 'other_a1' END, 'unknown') END AS intent FROM c) SELECT key, intent, CASE WHEN contains(intent, '_') THEN split_part(intent, '_', 1) ELSE '' END AS scenario, CASE WHEN contains(intent, '_') THEN split_part(intent, '_', 2) ELSE intent END AS action FROM r",
     "p17_scrub_phones": "SELECT event_id, 'say K ' || event_type || ' NOTAH x' AS text FROM events",
     "m8_wer": "SELECT event_id, round((CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4, 6) AS wer, round(levenshtein(r, h) / greatest(length(r), length(h)), 6) AS char_distance FROM (SELECT event_id, user_id, lower(event_type || ' the user ' || user_id) AS r, CASE WHEN event_id % 2 = 0 THEN event_type || ' ' ELSE '' END || 'the user ' || (user_id % 7) AS h FROM events)",
