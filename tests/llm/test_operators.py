@@ -173,6 +173,59 @@ def test_mixing(spark):
     assert mixing.mixed(docs(spark)).columns == docs(spark).columns
 
 
+def test_mixing_word_by_word(spark, monkeypatch):
+    """Targets, quotas seat by seat and taken words again from the rule, with several shards in every source."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 700)
+    rnd, block, most, seed = random.Random(3), 8, 3, 17
+    table = [(i, " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.choice([0, 3, 40, 90]))), rnd.choice(["a", "b", "b", "b", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(df, block=block).collect()}
+    order, weights = ["a", "b", "c", None], [1.0, 2.0, 3.0, 1.0]
+    size = {s: sum(len(t.split()) for _, t, x in table if x == s) for s in order}
+    left, target, open_ = float(sum(size.values())), {}, list(order)
+    while True:
+        share = {s: left * weights[order.index(s)] / sum(weights[order.index(x)] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > most * size[s]]
+        target |= {s: most * size[s] for s in over} if over else share
+        if not over:
+            break
+        open_, left = [s for s in open_ if s not in over], left - sum(most * size[s] for s in over)
+
+    def seats(ideal, n, limits):
+        given = [0] * len(ideal)
+        for _ in range(n):
+            free = [i for i in range(len(ideal)) if given[i] < limits[i]]
+            if free:
+                given[max(free, key=lambda i: (ideal[i] / (2 * given[i] + 1), -i))] += 1
+        return given
+
+    quota = dict(zip(order, seats([target[s] for s in order], round(sum(target.values()) / block), [most * -(-size[s] // block) for s in order])))
+    keys = df.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("a"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("b")).collect()
+    n_shards = {s: max(1, -(-size[s] // 700)) for s in order}
+    assert min(n_shards.values()) > 1
+    source = {i: (s, len(t.split())) for i, t, s in table}
+    shards = {}
+    for r in sorted(keys, key=lambda r: (r["b"], r["doc_id"])):
+        s, n = source[r["doc_id"]]
+        shards.setdefault((s, r["a"] % n_shards[s]), []).append((r["doc_id"], n))
+    for s in order:
+        names = sorted(k for x, k in shards if x == s)
+        words = [sum(n for _, n in shards[s, k]) for k in names]
+        given = seats([quota[s] * w / size[s] for w in words], quota[s], [most * -(-w // block) for w in words])
+        for k, n_words, share in zip(names, words, given):
+            offset = spark.range(1).select(F.xxhash64(F.lit(s).cast("string"), F.lit(k).cast("long"), F.lit(seed + 2))).head()[0]
+            full, goal = n_words // block, share * block
+            rounds = min(most, goal // n_words) if n_words else 0
+            more = 0 if rounds >= most or not n_words else int((goal - rounds * n_words) / block + 0.5)
+            ranks = {b: (b * mixing.STRIDE + offset % max(full, 1)) % max(full, 1) for b in range(full)}
+            at = 0
+            for i, n in shards[s, k]:
+                want = sum(rounds + (ranks[w // block] < more if w // block < full else more > full) for w in range(at, at + n))
+                at += n
+                assert (got[i]["taken"], got[i]["size"], got[i]["source_size"]) == (want, n, size[s]), (s, k, i)
+                assert abs(got[i]["target"] - target[s]) < 1e-6
+
+
 def test_highest_quotients_seat_by_seat():
     rnd = random.Random(4)
     for _ in range(50):

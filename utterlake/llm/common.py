@@ -32,6 +32,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ behind it as it takes to be no column of df."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def whole(text: str | Column) -> Column:
     """The text; null is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, scratch, table, whole, written
+from .common import SPACES, free, scratch, table, whole, written
 
 #: State on disk; many small stores share an executor, so none reserves files ahead, and commits send changes instead of files.
 STATE = {
@@ -90,12 +90,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; of rows repeated with one identifier and text, one."""
-    kept = written(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "dedup-kept")
-    keyed = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_sha": F.sha2(normalised(text_col), 256)})
-    rows = keyed.join(kept, (F.col("__own_sha") == F.col("__sha")) & F.col("__own_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that exact_dedup keeps, with all their columns; of rows repeated with one identifier and text, one.
+
+    Of texts that only rows with a null identifier have, one row stays.
+    """
+    own_id, own_sha, kept_id, kept_sha = free(docs, "__own_id", "__own_sha", "__id", "__sha")
+    kept = written(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)), "dedup-kept")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_sha: F.sha2(normalised(text_col), 256)})
+    rows = keyed.join(kept, (F.col(own_sha) == F.col(kept_sha)) & F.col(own_id).eqNullSafe(F.col(kept_id)), "left_semi")
     repeated = docs.groupBy(F.col(id_col).cast("long")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
-    return (rows.dropDuplicates(["__own_id", "__own_sha"]) if repeated else rows).drop("__own_id", "__own_sha")
+    return (rows.dropDuplicates([own_id, own_sha]) if repeated else rows).drop(own_id, own_sha)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, whole, written
+from .common import SPACES, free, table, whole, written
 
 BLOCK = 64
 #: Words of a shard at least, and shards over all at most: neither a shard nor their table grows into one task's burden.
@@ -129,10 +129,12 @@ def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
 
     Documents without words stay once. Rows of one identifier are taken alike, by the first of them.
     """
+    own_id, times, copy = free(docs, "__id", "__times", "__copy")
     found = mix(docs, seed=seed, **how)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = found.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int").alias("__times")).where("__times > 0")
-    return docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    often = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int")
+    taken = found.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select(F.col("doc_id").alias(own_id), often.alias(times)).where(F.col(times) > 0)
+    return docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

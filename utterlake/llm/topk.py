@@ -53,7 +53,8 @@ def best_of(query: np.ndarray, columns: np.ndarray, own: int, k: int, step: int
 def _matrix(block: pa.Table) -> np.ndarray:
     flat = block.column("values").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return np.asarray(flat.flatten(), np.float64).reshape(block.num_rows, -1)
+    values = np.asarray(flat.flatten(), np.float64)
+    return values.reshape(block.num_rows, len(values) // max(1, block.num_rows))
 
 
 def _pair(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
@@ -75,11 +76,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """query_id, rank (from 1), vec_id, score: the k rows with the highest inner products for each row whose id is divisible by `every`.
 
     Components become floor(scale * x). A row is no candidate for itself; ties go to the smaller id, a null id last, and rows that
-    repeat an id are rows of their own. Vectors that are null or empty or hold null or non-finite components take no part; only
-    vectors of one length are compared. Sums up to 2**53 are exact. Fewer than k candidates give fewer rows.
+    repeat an id are rows of their own. Vectors that are null or hold null or non-finite components take no part; only vectors
+    of one length are compared, so empty ones score 0 among each other. Sums up to 2**53 are exact. Fewer than k candidates give fewer rows.
     """
     x = F.col(vector_col)
-    sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.where(sound).select(
         F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("values"),
         F.size(x).alias("dims"), F.monotonically_increasing_id().alias("at"),
