@@ -329,6 +329,11 @@ def test_repeated_spans_in_few_files(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
 
 
+def test_identifiers_of_lists():
+    for docs in ([], [0, 5, 2**32 - 2], [3, suffix_dedup.LAST], [2**32 - 1, 1], [-1, 4], [2**60, suffix_dedup.LAST]):
+        assert suffix_dedup.longer(suffix_dedup.short(np.array(docs, np.int64)), len(docs)).tolist() == docs
+
+
 def test_names_alike_in_64_bits():
     names = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1], np.uint32)
     (found, more), least, number = suffix_dedup.least_of(names, np.array([4, 3, 2, 1]))

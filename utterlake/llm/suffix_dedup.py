@@ -14,7 +14,7 @@ construction, on the sample:
 
 Documents lie in a bucketed table by groups of bounded size, so each step reads them in place; only sorted lists of names travel,
 one entry for each different name of a group, and single bits come back. A name that a third of all documents share is one entry
-in each group. Names of grams only choose what is looked at; those that decide have 96 bits, of two rolling hashes.
+in each group. Names of grams only choose what is looked at; those that decide have 88 bits, of two rolling hashes.
 """
 
 from __future__ import annotations
@@ -94,9 +94,9 @@ class Sample:
         self.place, self.name = place, mix64(grams[place])
 
     def key(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64 and 32 bits of a name of each run of bytes."""
+        """64 and 24 bits of a name of each run of bytes."""
         down = self.down[starts]
-        return mix64((self.sums[ends] - self.sums[starts]) * down), (mix64((self.other[ends] - self.other[starts]) * down) >> np.uint64(32)).astype(np.uint32)
+        return mix64((self.sums[ends] - self.sums[starts]) * down), (mix64((self.other[ends] - self.other[starts]) * down) >> np.uint64(40)).astype(np.uint32)
 
     def wide(self, which: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
         """Names of all bytes that strings through the places can have, and of how many lie before and after."""
@@ -105,7 +105,7 @@ class Sample:
         end = np.minimum(self.offsets[text + 1], place + self.span)
         name, more = self.key(start, end)
         around = (place - start).astype(np.uint64) * np.uint64(1_000_003) + (end - place).astype(np.uint64)
-        return mix64(name + around), more ^ around.astype(np.uint32)
+        return mix64(name + around), (more ^ around.astype(np.uint32)) & np.uint32(0xFFFFFF)
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the strings that the places stand for, and the place of each."""
@@ -132,6 +132,21 @@ def least_of(names: tuple[np.ndarray, np.ndarray], docs: np.ndarray) -> tuple[tu
     return (name[example], more[example]), least, number
 
 
+def short(docs: np.ndarray) -> bytes:
+    """Identifiers in four bytes each where all fit, the null one as the largest of them, or else in eight."""
+    null = docs == LAST
+    if ((docs >= 0) & (docs < 0xFFFFFFFF) | null).all():
+        return np.where(null, 0xFFFFFFFF, docs).astype("<u4").tobytes()
+    return docs.astype("<i8").tobytes()
+
+
+def longer(data: bytes, n: int) -> np.ndarray:
+    if len(data) == 8 * n:
+        return np.frombuffer(data, "<i8")
+    docs = np.frombuffer(data, "<u4").astype(np.int64)
+    return np.where(docs == 0xFFFFFFFF, LAST, docs)
+
+
 class Group:
     """The documents of one group, with what the rounds so far have said about their names."""
 
@@ -164,7 +179,7 @@ class Group:
         return out
 
     def lists(self, names: np.ndarray, more: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.Table:
-        """Sorted names by bucket: 40 bits each, or 96 with the smallest document."""
+        """Sorted names by bucket: 40 bits each, or 88 with the smallest document."""
         bucket = self.bucket(names)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
@@ -174,8 +189,8 @@ class Group:
             own = names[at].astype("<u8")
             rows[0].append(b)
             rows[1].append(own.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() if docs is None else own.tobytes())
-            rows[2].append(b"" if more is None else more[at].astype("<u4").tobytes())
-            rows[3].append(b"" if docs is None else docs[at].astype("<i8").tobytes())
+            rows[2].append(b"" if more is None else more[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+            rows[3].append(b"" if docs is None else short(docs[at]))
         columns = [pa.array(rows[0], pa.int32()), pa.array([self.g] * len(rows[0]), pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])]
         return pa.table(columns, ["bucket", "g", "names", "more", "docs"])
 
@@ -245,9 +260,11 @@ def _answer(lists: pa.Table, kind: int) -> pa.Table:
         _, number, count = np.unique(names, return_inverse=True, return_counts=True)
         bits = count[number] > 1
     else:
-        names = np.frombuffer(b"".join(parts), "<u8"), np.frombuffer(b"".join(lists.column("more").to_pylist()), "<u4")
+        more = np.zeros((sum(map(len, parts)) // 8, 4), np.uint8)
+        more[:, :3] = np.frombuffer(b"".join(lists.column("more").to_pylist()), np.uint8).reshape(-1, 3)
+        names = np.frombuffer(b"".join(parts), "<u8"), more.view("<u4").reshape(-1)
         sizes = [len(p) // 8 for p in parts]
-        docs = np.frombuffer(b"".join(lists.column("docs").to_pylist()), "<i8")
+        docs = np.concatenate([longer(d, n) for d, n in zip(lists.column("docs").to_pylist(), sizes, strict=True)])
         _, least, number = least_of(names, docs)
         bits = docs > least[number]
     ends = np.cumsum(sizes).tolist()
