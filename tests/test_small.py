@@ -1,6 +1,7 @@
 """Hand-computed answers on small frames, and helpers against plain recomputation."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -123,6 +124,32 @@ def test_mojibake(spark):
     assert sorted(rows(normalise.fix_mojibake(df, "t"))) == [(1, "réveille"), (2, "réveille"), (3, None)]
 
 
+def test_mojibake_by_locale(spark):
+    broken = lambda t: t.encode().decode("latin-1")
+    table = [("fr-FR", broken("漢字"), broken("漢字")), ("ja-JP", broken("漢字"), "漢字"), (None, broken("漢字"), "漢字"), ("fr", broken(broken("né")), "né"), ("fr", "Â plain", "Â plain"), ("fr", "", ""), ("fr", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(table)], "id int, lang string, t string, want string")
+    assert all(r["t"] == r["want"] for r in normalise.fix_mojibake(df, "t", "lang").collect())
+
+
+def test_targets_of_odd_labels(spark):
+    e = "array<struct<type:string,filler:string>>"
+    df = spark.createDataFrame([("s", "a", [("t", 'x "y"\n'), ("t", None), (None, "z")]), (None, "a", None), ("é", "", [])], f"scenario string, action string, entities {e}")
+    groups = spark.createDataFrame([("scenario", "s", ["r", "s"]), ("slot", "t", ["t", "u"]), ("intent", "s_a", ["s_a", "s_b"])], "kind string, label string, members array<string>")
+    answer = lambda s, a, e: json.dumps({"scenario": s, "action": a, "entities": [{"type": t, "filler": f} for t, f in e]}, ensure_ascii=False)
+    assert [r["target"] for r in corpus.render_level_target(df, groups).select("target").collect()] == [
+        "Intent Group: ['s_a', 's_b'] Selection: s_a\nScenario Group: ['r', 's'] Selection: s\nAction Group: ['a'] Selection: a\nSlot Group ['t', 'u'] Selection: t\nAnswer: " + answer("s", "a", [("t", 'x "y"\n'), ("t", ""), ("", "z")]),
+        "Scenario Group: [''] Selection: \nAction Group: ['a'] Selection: a\nSlot: None\nAnswer: " + answer("", "a", []),
+        "Scenario Group: ['é'] Selection: é\nAction Group: [''] Selection: \nSlot: None\nAnswer: " + answer("é", "", []),
+    ]
+    assert corpus.render_level_target(df, groups.limit(0)).count() == 3 and corpus.render_level_target(df, groups, False).where("target LIKE 'Intent%'").count() == 0
+
+
+def test_slot_types_of_gold_come_first(spark):
+    df = spark.createDataFrame([(1, ["b", "b", None, "z"]), (2, []), (3, None)], "key long, gold_slots array<string>")
+    assert [r["candidates"] for r in corpus.slot_candidate_list(df, ["a", "b"]).collect()] == [["b", "z", "a"], ["a", "b"], ["a", "b"]]
+    assert [len(r["candidates"]) for r in corpus.slot_candidate_list(df, ["a", "b"], 1).collect()] == [1, 1, 1]
+
+
 def test_nobody_keeps_its_own_rationale(spark):
     df = spark.createDataFrame([(i, f"r{i}") for i in range(50)], "slurp_id long, rationale_text string")
     found = corpus.derange_rationales(df, 3)
@@ -160,10 +187,10 @@ def test_whole_texts(spark, tmp_path):
     words = [f"W{i}é" for i in range(400)]
     texts = {1: " ".join(words), 2: " ".join(words[:350]), 3: "Plain", 4: "x " * 300 + "né", 5: "", 602: " \t".join(words[:9])}
     spark.createDataFrame([(i, t, "fr", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    digests = dict(rows(catalog.QUERIES["n8_fix_mojibake_whole"](spark, str(tmp_path))))
+    digests = dict(rows(catalog.QUERIES["n8_fix_mojibake"](spark, str(tmp_path))))
     assert digests == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
-    fillers = {r["slurp_id"]: (r["indexed"], r["cased"], r["range"]) for r in catalog.QUERIES["n1_span_filler_whole"](spark, str(tmp_path)).collect()}
-    files = {r["file"]: r for r in catalog.QUERIES["n2_gold_by_file_whole"](spark, str(tmp_path)).collect()}
+    fillers = {r["slurp_id"]: (r["indexed"], r["cased"], r["range"]) for r in catalog.QUERIES["n1_span_filler"](spark, str(tmp_path)).collect()}
+    files = {r["file"]: r for r in catalog.QUERIES["n2_gold_by_file"](spark, str(tmp_path)).collect()}
     assert set(files) == {f"g{i}" for i in texts} | {f"f{i % 600}" for i in texts} and files["f2"]["slurp_id"] == 602
     for i, t in texts.items():
         w = re.split(r"[ \t]+", t.strip(" "))
@@ -182,13 +209,13 @@ def test_label_vectors_are_means_of_all_rows(spark, tmp_path):
     mean = np.array([vectors[label == k].astype(float).mean(axis=0) for k in range(8)])
     near = unit(mean) @ unit(mean).T
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    pairs = {(int(x["a"]), int(x["b"])): x["similarity"] for x in run("v2_similar_pairs_all")}
+    pairs = {(int(x["a"]), int(x["b"])): x["similarity"] for x in run("v2_similar_pairs")}
     assert set(pairs) == {(a, b) for a in range(8) for b in range(a + 1, 8) if near[a, b] >= 0.3} and all(abs(near[k] - x) < 1e-4 for k, x in pairs.items())
-    ranked = {(int(x["a"]), x["rank"]): int(x["b"]) for x in run("v3_nearest_labels_all")}
+    ranked = {(int(x["a"]), x["rank"]): int(x["b"]) for x in run("v3_nearest_labels")}
     assert ranked == {(a, k + 1): b for a in range(8) for k, b in enumerate(sorted(set(range(8)) - {a}, key=lambda b: -near[a, b])[:3])}
     centre = unit(np.array([unit(mean)[[k for k in range(8) if k % 6 == c]].mean(axis=0) for c in range(6)]))
     soft = unit(mean) @ centre.T
-    found = {(int(x["label"]), x["cluster"]): x["similarity"] for x in run("v4_soft_clusters_all")}
+    found = {(int(x["label"]), x["cluster"]): x["similarity"] for x in run("v4_soft_clusters")}
     assert set(found) == {(a, c) for a in range(8) for c in range(6) if soft[a, c] >= 0.25} and all(abs(soft[k] - x) < 1e-4 for k, x in found.items())
     groups = {}
     for x in run("v6_agglomerative_groups"):
@@ -204,7 +231,7 @@ def test_label_vectors_are_means_of_all_rows(spark, tmp_path):
 def test_all_rows_are_put_in_order(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = rows(catalog.QUERIES["d17_order_by_difficulty_all"](spark, SF))
+        found = rows(catalog.QUERIES["d17_order_by_difficulty"](spark, SF))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     scored = {r["key"]: r for r in corpora._scored(spark, SF).collect()}

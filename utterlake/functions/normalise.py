@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -173,40 +174,52 @@ def to_utterances(df: DataFrame, config: str, numeric_id: bool = False) -> DataF
     return df.select(key.alias("slurp_id"), F.col("utt").alias("sentence"), s.alias("scenario"), a.alias("action"), F.concat_ws("_", s, a).alias("intent"), F.transform("tokens", lambda t: F.struct(t.alias("surface"))).alias("tokens"), bio_spans("tokens", "labels").alias("entities"), recordings.alias("recordings"))
 
 
-#: Two-letter beginnings that UTF-8 read as Latin-1 or Windows-1252 shows.
-MARKERS = "[ÃÂâÐÑ][\\u0080-\\u00BF€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸž]"
+#: What UTF-8 read as Latin-1 or Windows-1252 shows, each of which counts.
+MARKERS = ("Ã", "Â", "â€", "â€™", "â€œ", "â€\x9d", "ã\x81", "ã\x82", "ã\x83", "ð\x9f", "\ufffd")
+#: Only texts with one of the marks that a repair can take away may get better.
+MARKED = "[ÃÂ\\u0080-\\u009F]|â€"
+_CONTROLS, _C1 = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), re.compile(r"[\x80-\x9f]")
+_JAPANESE, _LATIN = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]"), re.compile(r"[A-Za-z]")
 
 
-def _repair(text: str) -> str:
-    import re
+def _damage(text: str, language: str) -> int:
+    """How damaged a text looks: marks of wrong decoding, control characters, and Japanese signs in another language."""
+    marks = 4 * (sum(text.count(m) for m in MARKERS) + len(_C1.findall(text))) + 6 * text.count("\ufffd") + 2 * len(_CONTROLS.findall(text))
+    if language in ("", "ja"):
+        return marks
+    return marks + len(_JAPANESE.findall(text)) * (5 if _LATIN.search(text) else 3)
 
-    marks = re.compile(MARKERS)
-    best = (len(marks.findall(text)) + text.count("�"), 0, text)
-    now = text
+
+def _repair(text: str, language: str) -> str:
+    readings = found = {text: 0}
     for turn in (1, 2):
-        options = []
-        for coding in ("latin-1", "cp1252"):
-            try:
-                options.append(now.encode(coding).decode("utf-8"))
-            except UnicodeError:
-                continue
-        if not options:
-            break
-        now = min(options, key=lambda t: (len(marks.findall(t)), len(t)))
-        best = min(best, (len(marks.findall(now)) + now.count("�"), turn, now))
-    return best[2]
-
-
-def fix_mojibake(df: DataFrame, column: str) -> DataFrame:
-    """UTF-8 that was read as Latin-1 or Windows-1252 is put right, up to two rounds; rows without its marks don't reach Python."""
+        again = {}
+        for t in readings:
+            for coding in ("latin-1", "cp1252"):
+                try:
+                    again.setdefault(t.encode(coding).decode("utf-8"), turn)
+                except UnicodeError:
+                    pass
+        readings = {t: turn for t in again if t not in found}
+        found = found | readings
+    return min(found, key=lambda t: (_damage(t, language), abs(len(t) - len(text))))
+
+
+def fix_mojibake(df: DataFrame, column: str, locale: str | None = None) -> DataFrame:
+    """UTF-8 that was read as Latin-1 or Windows-1252 is put right, up to two rounds, where the result looks less damaged.
+
+    Of equally damaged readings, that nearest in length stays, so one without a gain changes nothing. locale names a column such as
+    fr-FR: Japanese signs count as damage in languages but ja; null or no locale: they don't. Rows without the marks don't reach Python.
+    """
 
     @F.pandas_udf("string")
-    def repaired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: None if t is None else _repair(t))
+    def repaired(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, languages in batches:
+            yield pd.Series([None if t is None else _repair(t, n) for t, n in zip(texts, languages)], dtype="object")
 
-    marked = F.coalesce(F.col(column).rlike(MARKERS), F.lit(False))
-    return df.where(marked).withColumn(column, repaired(F.col(column))).unionByName(df.where(~marked))
+    marked = F.coalesce(F.col(column).rlike(MARKED), F.lit(False))
+    language = F.lower(F.substring_index(clean(locale), "-", 1)) if locale else F.lit("")
+    return df.where(marked).withColumn(column, repaired(F.col(column), language)).unionByName(df.where(~marked))
 
 
 def sample_id(df: DataFrame, columns: tuple[str, ...] = ("slurp_id", "id", "uid"), text: str | None = None, pos: str = "pos") -> DataFrame:

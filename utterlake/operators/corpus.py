@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normalise import clean, col, first_of
+from ..functions.normalise import ENTITY, clean, col, first_of
+from .matching import resolve_files
 
 
 def seeded(seed: int | str, *parts: str | Column) -> Column:
@@ -26,15 +27,37 @@ def select_recordings(df: DataFrame, use_all: bool = False) -> DataFrame:
     return df.where(F.size("recordings") > 0).withColumn("recording", ranked["r"]).drop("recordings")
 
 
-def build_items(df: DataFrame, text: bool = True, audio: bool = True) -> DataFrame:
-    """A text item for each utterance and an audio item for its best recording."""
+def build_items(df: DataFrame, text: bool = True, audio: bool = True, manifest: DataFrame | None = None, recordings: str = "best") -> DataFrame:
+    """A text item for each utterance, and audio items: for its best recording, for all selected ones, or for the first that exists.
+
+    With manifest(path), files are resolved against it (S9) and those it lacks give no item; missing_recordings counts them. `first`
+    needs a manifest, looks at all recordings in their order, and takes a slurp_id as one utterance.
+    """
     out = df.select("slurp_id", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("file"), F.col("sentence").alias("transcript")) if text else None
     if audio:
-        spoken = select_recordings(df).select("slurp_id", F.lit("audio").alias("kind"), F.col("recording.file").alias("file"), F.col("sentence").alias("transcript"))
+        spoken = _spoken(df, manifest, recordings).where(F.lit(manifest is None) | F.col("file").isNotNull()).drop("place")
+        if recordings == "first":
+            spoken = _spoken(df, manifest, recordings).where("file IS NOT NULL").groupBy("slurp_id").agg(F.min_by(F.struct("file", "transcript"), "place").alias("r")).select("slurp_id", "r.*")
+        spoken = spoken.select("slurp_id", F.lit("audio").alias("kind"), "file", "transcript")
         out = spoken if out is None else out.unionByName(spoken)
     return out
 
 
+def _spoken(df: DataFrame, manifest: DataFrame | None, recordings: str) -> DataFrame:
+    """slurp_id, file, transcript, place of the recordings looked at; file is its path in the manifest, or null."""
+    if recordings == "first":
+        rows = df.select("*", F.posexplode("recordings").alias("place", "recording"))
+    else:
+        rows = select_recordings(df, recordings == "all").withColumn("place", F.lit(0))
+    rows = rows.select("slurp_id", F.col("recording.file").alias("file"), F.col("sentence").alias("transcript"), "place")
+    return rows if manifest is None else resolve_files(rows, manifest).drop("file").withColumnRenamed("resolved", "file")
+
+
+def missing_recordings(df: DataFrame, manifest: DataFrame, recordings: str = "best") -> DataFrame:
+    """How many of the recordings looked at are not in the manifest."""
+    return _spoken(df, manifest, recordings).agg(F.count_if(F.col("file").isNull()).alias("missing"))
+
+
 def prepare_sft(df: DataFrame, method: str | None = None, dedup: bool = True, limit: int | None = None) -> DataFrame:
     """D3: gold_label as final; a method may override the rows' own, and vanilla has no rationale; one row for each (slurp_id, mode, method)."""
     out = df.withColumn("final", F.coalesce("final", "gold_label")).withColumn("method", F.lit(method) if method else F.col("method"))
@@ -71,23 +94,85 @@ def render_group_target(df: DataFrame, groups: DataFrame, label: str, name: str)
     return out.withColumn("target", F.concat(F.lit(f"{name} Group "), F.coalesce("grp", F.col(label)), F.lit(": "), F.coalesce("members", F.col(label)), F.lit(". Selection: "), F.col(label), F.lit("."))).drop("grp", "members")
 
 
-def add_distractors(df: DataFrame, labels: DataFrame, n: int = 2, seed: int = 0, key: str = "key", label: str = "gold_intent") -> DataFrame:
-    """Gold and n other labels(label) in seeded order. The labels are a bounded vocabulary: they go along as one array."""
+def json_text(c: str | Column) -> Column:
+    """A text as a JSON string; null is empty."""
+    whole = F.to_json(F.struct(F.coalesce(col(c), F.lit("")).alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def answer_json(scenario: str | Column, action: str | Column, entities: str | Column) -> Column:
+    """JSON of a label with single spaces after signs, as targets spell it."""
+    each = F.transform(F.coalesce(col(entities), F.array().cast(f"array<{ENTITY}>")), lambda e: F.concat(F.lit('{"type": '), json_text(e["type"]), F.lit(', "filler": '), json_text(e["filler"]), F.lit("}")))
+    return F.concat(F.lit('{"scenario": '), json_text(scenario), F.lit(', "action": '), json_text(action), F.lit(', "entities": ['), F.array_join(each, ", "), F.lit("]}"))
+
+
+def _quoted(members: Column) -> Column:
+    return F.concat(F.lit("['"), F.array_join(members, "', '"), F.lit("']"))
+
+
+def _groups(df: DataFrame, groups: DataFrame) -> tuple[DataFrame, Callable[[str, Column], Column]]:
+    """df with groups(kind, label, members) as a map, a label vocabulary in size, and what reads the members of a label: itself if unknown."""
+    found = groups.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "label"), "members"))).alias("__groups"))
+    of = lambda kind, x: _quoted(F.coalesce(F.try_element_at("__groups", F.struct(F.lit(kind).alias("kind"), x.alias("label"))), F.array(x)))
+    return df.crossJoin(found), of
+
+
+def render_answer_target(df: DataFrame, groups: DataFrame, label: str = "intent") -> DataFrame:
+    """D6, one level: `Group: [members]`, `Selection: label` and `Answer: JSON` lines of rows(scenario, action, entities, label); groups(kind, label, members)."""
+    rows, of = _groups(df, groups.where(F.col("kind") == "intent"))
+    lines = F.concat(F.lit("Group: "), of("intent", F.col(label)), F.lit("\nSelection: "), F.col(label), F.lit("\nAnswer: "), answer_json("scenario", "action", "entities"))
+    return rows.withColumn("target", lines).drop("__groups")
+
+
+def render_level_target(df: DataFrame, groups: DataFrame, intent: bool = True) -> DataFrame:
+    """D6, more levels: group and selection of intent (where both parts are there), scenario, action and each slot type in order, then the answer.
+
+    rows(scenario, action, entities) and groups(kind, label, members) of the kinds intent, scenario, action and slot; null labels are empty.
+    """
+    rows, of = _groups(df.withColumns({"__s": clean("scenario"), "__a": clean("action")}), groups)
+    s, a, none = F.col("__s"), F.col("__a"), F.array().cast(f"array<{ENTITY}>")
+    level = lambda name, kind, x: F.concat(F.lit(f"{name} Group: "), of(kind, x), F.lit(" Selection: "), x, F.lit("\n"))
+    both = F.concat_ws("_", s, a)
+    head = F.when((s != "") & (a != ""), level("Intent", "intent", both)).otherwise(F.lit("")) if intent else F.lit("")
+    types = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("entities", none), lambda e: F.coalesce(e["type"], F.lit(""))), lambda t: t != "")))
+    slots = F.array_join(F.transform(types, lambda t: F.concat(F.lit("Slot Group "), of("slot", t), F.lit(" Selection: "), t)), " | ")
+    lines = F.concat(head, level("Scenario", "scenario", s), level("Action", "action", a), F.when(slots != "", slots).otherwise(F.lit("Slot: None")), F.lit("\nAnswer: "), answer_json(s, a, "entities"))
+    return rows.withColumn("target", lines).drop("__groups", "__s", "__a")
+
+
+def add_distractors(df: DataFrame, labels: DataFrame, n: int = 2, seed: int = 0, key: str = "key", label: str = "gold_intent", neighbors: DataFrame | None = None, nearest: int = 5) -> DataFrame:
+    """Gold and n other labels(label) in seeded order. The labels are a bounded vocabulary: they go along as one array.
+
+    With neighbors(label, neighbors), nearest first, the others come from the nearest ones, and at random where these are fewer than n.
+    """
     vocabulary = labels.agg(F.array_sort(F.collect_set("label")).alias("__all"))
     out = df.crossJoin(F.broadcast(vocabulary))
-    others = F.array_sort(F.transform(F.array_remove("__all", F.col(label)), lambda x: F.struct(seeded(seed, key, x).alias("order"), x.alias("x"))))
+    near = F.array().cast("array<string>")
+    if neighbors is not None:
+        out = out.join(neighbors.select(F.col("label").alias(label), F.slice("neighbors", 1, nearest).alias("__near")), label, "left")
+        near = F.coalesce("__near", near)
+    others = F.array_sort(F.transform(F.array_remove("__all", F.col(label)), lambda x: F.struct((~F.array_contains(near, x)).alias("far"), seeded(seed, key, x).alias("order"), x.alias("x"))))
     chosen = F.concat(F.array(label), F.transform(F.slice(others, 1, n), lambda r: r["x"]))
     mixed = F.array_sort(F.transform(chosen, lambda x: F.struct(seeded(f"{seed}-order", key, x).alias("order"), x.alias("x"))))
-    return out.withColumn("candidates", F.transform(mixed, lambda r: r["x"])).drop("__all")
+    return out.withColumn("candidates", F.transform(mixed, lambda r: r["x"])).drop("__all", "__near")
 
 
 def candidate_list(df: DataFrame, vocabulary: Sequence[str], k: int | None = None, seed: int = 0, key: str = "key", label: str = "gold_intent") -> DataFrame:
     """Gold first, then the vocabulary in its order, or a seeded sample to k."""
+    return _candidates(df, F.array(label), vocabulary, k, seed, key)
+
+
+def slot_candidate_list(df: DataFrame, vocabulary: Sequence[str], k: int | None = None, seed: int = 0, key: str = "key", slots: str = "gold_slots") -> DataFrame:
+    """D8 of slot types: all gold types first, each once, then the vocabulary in its order, or a seeded sample to k; k cuts gold types too."""
+    return _candidates(df, F.filter(F.array_distinct(F.coalesce(slots, F.array().cast("array<string>"))), lambda x: F.coalesce(x, F.lit("")) != ""), vocabulary, k, seed, key)
+
+
+def _candidates(df: DataFrame, gold: Column, vocabulary: Sequence[str], k: int | None, seed: int, key: str) -> DataFrame:
     words = F.array(*[F.lit(v) for v in vocabulary])
     if k is not None:
-        ranked = F.array_sort(F.transform(F.array_remove(words, F.col(label)), lambda x: F.struct(seeded(seed, key, x).alias("order"), x.alias("x"))))
-        words = F.transform(F.slice(ranked, 1, k - 1), lambda r: r["x"])
-    return df.withColumn("candidates", F.array_distinct(F.concat(F.array(label), words)))
+        words = F.transform(F.array_sort(F.transform(words, lambda x: F.struct(seeded(seed, key, x).alias("order"), x.alias("x")))), lambda r: r["x"])
+    found = F.array_distinct(F.concat(gold, words))
+    return df.withColumn("candidates", found if k is None else F.slice(found, 1, max(1, k)))
 
 
 def format_nbest(c: str | Column, most: int = 5) -> Column:
@@ -117,9 +202,14 @@ def hash_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
     return ranked.join(before, "__part").withColumn("rank", F.col("__before") + F.col("__own")).drop("__h", "__part", "__n", "__before", "__own")
 
 
-def distill_split(df: DataFrame, ratio: float, seed: int, key: str = "key", default: str = "No rationale.") -> DataFrame:
-    """Rows with audio, a target with rationale, and a split with exactly floor(n * ratio) eval rows."""
+def distill_split(df: DataFrame, ratio: float, seed: int, key: str = "key", default: str = "No rationale.", intents: Sequence[str] = ()) -> DataFrame:
+    """Rows with audio, a target with rationale, and a split with exactly floor(n * ratio) eval rows.
+
+    intents names columns of which the first that is there goes, with the rationale, into target_text, a JSON object.
+    """
     kept = df.where(clean("audio_path") != "").withColumn("rationale", first_of("rationale", F.lit(default)))
+    if intents:
+        kept = kept.withColumn("target_text", F.concat(F.lit('{"rationale": '), json_text("rationale"), F.lit(', "intent": '), json_text(first_of(*intents)), F.lit("}")))
     total = kept.agg(F.floor(F.count(F.lit(1)) * ratio).alias("n_eval"))
     out = hash_rank(kept, key, seed).crossJoin(F.broadcast(total))
     return out.withColumn("split", F.when(F.col("rank") <= F.col("n_eval"), "eval").otherwise("train")).drop("rank", "n_eval")

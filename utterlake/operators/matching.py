@@ -47,6 +47,11 @@ def resolve_files(df: DataFrame, manifest: DataFrame, column: str = "file", fold
     return rows.drop("__row").join(found, column, "left")
 
 
+def missing_files(resolved: DataFrame) -> DataFrame:
+    """How many rows of resolve_files found no path."""
+    return resolved.agg(F.count_if(F.col("resolved").isNull()).alias("missing"))
+
+
 def match_gold(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     """Gold with the last prediction of its key; a prediction without scenario or action says `unknown`."""
     p = last_of(pred.select(F.col(key).cast("string").alias(key), "pos", "scenario", "action", "entities"), [key]).drop("pos")

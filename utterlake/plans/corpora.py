@@ -101,11 +101,19 @@ def s8(spark, d):
     return J.pending(p.select("key", "gold_intent"), p.where("n % 3 = 0").select("key"), "key")
 
 
-def s9(spark, d):
+def _resolved(spark, d):
     p = V.table(spark, d, "part").select("p_partkey")
     k = F.col("p_partkey")
     manifest = p.select(F.when(k % 4 == 0, F.format_string("f%s.flac", k)).when(k % 4 == 1, F.format_string("slurp_real/f%s.flac", k)).when(k % 4 == 2, F.format_string("other/x/f%s.flac", k)).otherwise(F.format_string("gone-%s", k)).alias("path"))
-    return J.resolve_files(p.select("p_partkey", F.format_string("some/where/f%s.flac", k).alias("file")), manifest).select("p_partkey", "resolved")
+    return J.resolve_files(p.select("p_partkey", F.format_string("some/where/f%s.flac", k).alias("file")), manifest)
+
+
+def s9(spark, d):
+    return _resolved(spark, d).select("p_partkey", "resolved")
+
+
+def s9_missing(spark, d):
+    return J.missing_files(_resolved(spark, d))
 
 
 def _gold(spark, d):
@@ -166,7 +174,7 @@ def j5(spark, d):
     e = V.table(spark, d, "events")
     rows = e.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).alias("id"), F.when(F.col("event_id") % 2 == 0, F.lit("own.wav")).alias("file"))
     manifest = e.where("user_id % 3 != 0").select(F.col("user_id").cast("string").alias("id"), F.when(F.col("user_id") % 5 == 0, F.lit("")).otherwise(F.format_string("m%s.wav", "event_id")).alias("file"), F.col("event_id").alias("pos"))
-    return J.attach_manifest(rows, manifest).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
+    return J.attach_manifest(rows, manifest).select("event_id", "id", "file", "state")
 
 
 def j6(spark, d):
@@ -214,6 +222,24 @@ def d2(spark, d):
     return D.build_items(_utts(spark, d))
 
 
+def _stored(spark, d):
+    """Paths of the recordings of events: a quarter is not there, a quarter in a folder."""
+    i = F.col("event_id")
+    return V.table(spark, d, "events").where(i % 4 != 1).select(F.when(i % 4 == 2, F.format_string("slurp_real/f%s", i)).otherwise(F.format_string("f%s", i)).alias("path"))
+
+
+def d2_stored(spark, d):
+    return D.build_items(_utts(spark, d), False, True, _stored(spark, d))
+
+
+def d2_first(spark, d):
+    return D.build_items(_utts(spark, d), False, True, _stored(spark, d), "first")
+
+
+def d2_missing(spark, d):
+    return D.missing_recordings(_utts(spark, d), _stored(spark, d), "all")
+
+
 def d3(spark, d):
     p = V.pairs(spark, d).select((F.col("key") % 3000).alias("slurp_id"), F.col("key").alias("pos"), F.col("model").alias("mode"), F.when(F.col("n") % 2 == 0, "vanilla").otherwise("cot").alias("method"), F.when(F.col("n") % 3 == 0, F.col("pred_intent")).alias("final"), F.col("gold_intent").alias("gold_label"), F.lit("why").alias("rationale_text"))
     return D.prepare_sft(p)
@@ -234,6 +260,26 @@ def d6(spark, d):
     return D.render_group_target(V.pairs(spark, d).select("key", "gold_intent"), groups, "gold_intent", "Intent").select("key", "target")
 
 
+def _members(spark, d):
+    """Groups of each kind: intents of one action, scenarios by first letter, and all but one of the slot types."""
+    p = V.pairs(spark, d)
+    listed = lambda rows, kind, label, by: rows.select(F.col(label).alias("label"), by.alias("g")).distinct().withColumn("members", F.array_sort(F.collect_set("label").over(W.partitionBy("g")))).select(F.lit(kind).alias("kind"), "label", "members")
+    slots = V.entities(spark, d).select(F.explode("gold_entities").alias("e")).select("e.type").where("type != 'N'")
+    return listed(p, "intent", "gold_intent", F.col("gold_action")).unionByName(listed(p, "scenario", "gold_scenario", F.substring("gold_scenario", 1, 1))).unionByName(listed(slots, "slot", "type", F.lit(1)))
+
+
+def _levels(spark, d):
+    return V.matched(spark, d).select("key", "n", F.col("gold_scenario").alias("scenario"), F.when(F.col("n") % 6 != 0, F.col("gold_action")).alias("action"), F.col("gold_entities").alias("entities"), F.col("gold_intent").alias("intent"))
+
+
+def d6_answer(spark, d):
+    return D.render_answer_target(_levels(spark, d), _members(spark, d)).select("key", "target")
+
+
+def d6_levels(spark, d):
+    return D.render_level_target(_levels(spark, d), _members(spark, d)).select("key", "target")
+
+
 def _labels(spark, d):
     return V.pairs(spark, d).select(F.col("gold_intent").alias("label")).distinct()
 
@@ -242,6 +288,20 @@ def d7(spark, d):
     return D.add_distractors(V.pairs(spark, d).select("key", "gold_intent"), _labels(spark, d)).select("key", F.array_join("candidates", "|").alias("candidates"))
 
 
+def d7_near(spark, d):
+    """Distractors from the nearest labels by rule; labels of the action a4 have one neighbour only, those of a3 none."""
+    near = B.rule_neighbors(_labels(spark, d)).where("a NOT LIKE '%a3'")
+    ranked = near.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("score").desc(), "b"))).where("r = 1 OR a NOT LIKE '%a4'")
+    table = ranked.groupBy(F.col("a").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("neighbors"))
+    return D.add_distractors(V.pairs(spark, d).select("key", "gold_intent"), _labels(spark, d), neighbors=table).select("key", F.array_join("candidates", "|").alias("candidates"))
+
+
+def d8_slots(spark, d):
+    rows = V.candidates(spark, d).select("key", "gold_slots")
+    full = D.slot_candidate_list(rows, ["A", "N", "R", "X", "Y"]).withColumnRenamed("candidates", "full")
+    return D.slot_candidate_list(full, ["A", "N", "R", "X", "Y"], 3).select("key", F.array_join("full", "|").alias("full"), F.array_join("candidates", "|").alias("sampled"))
+
+
 def d8(spark, d):
     vocabulary = [f"{s}_a{k}" for s in ("click", "error", "view") for k in range(3)]
     return D.candidate_list(V.pairs(spark, d).select("key", "gold_intent"), vocabulary).select("key", F.array_join("candidates", "|").alias("candidates"))
@@ -265,6 +325,13 @@ def d10(spark, d):
     return D.distill_split(p, 0.1, 7).select("key", "rationale", "split")
 
 
+def d10_target(spark, d):
+    """Targets with quotes and line ends in the rationale, and with the gold intent where there is no final one."""
+    n = F.col("n")
+    p = V.pairs(spark, d).select("key", F.lit("a.wav").alias("audio_path"), F.when(n % 2 == 0, F.lit('é "why"\n\\ so')).alias("rationale"), F.when(n % 3 == 0, F.col("pred_intent")).otherwise(" ").alias("final_intent"), "gold_intent")
+    return D.distill_split(p, 0.1, 7, intents=["final_intent", "gold_intent"]).select("key", "target_text", "split")
+
+
 def d11(spark, d):
     return D.sample_by_id(V.table(spark, d, "events").select("event_id", F.col("user_id").alias("slurp_id")), 0.2, 3)
 
@@ -278,8 +345,7 @@ def d13(spark, d):
 
 
 def d13_balanced(spark, d):
-    got = D.balanced_subset(V.candidates(spark, d).select("key", "gold_intent", "gold_slots"), 300, 20, 1)
-    return got.groupBy("gold_intent").agg(F.count(F.lit(1)).alias("n"))
+    return D.balanced_subset(V.candidates(spark, d).select("key", "gold_intent", "gold_slots"), 300, 20, 1).select("key", "gold_intent", F.array_join("gold_slots", ",").alias("slots"))
 
 
 def d14(spark, d):
@@ -288,7 +354,7 @@ def d14(spark, d):
 
 
 def d15(spark, d):
-    return D.shard(V.pairs(spark, d).select("key"), 7, "key").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return D.shard(V.pairs(spark, d).select("key"), 7, "key")
 
 
 def _scored(spark, d):
@@ -301,10 +367,6 @@ def d16(spark, d):
 
 
 def d17(spark, d):
-    return D.order_by_difficulty(_scored(spark, d)).limit(50).select("key", "score", "reward")
-
-
-def d17_all(spark, d):
     """All rows in order with their rank: places in sorted partitions, which are written once, and the counts of the partitions before."""
     path = _folder(spark, "ordered")
     D.order_by_difficulty(_scored(spark, d)).select("key", "score", "reward", F.monotonically_increasing_id().alias("at")).write.parquet(path)
@@ -354,49 +416,31 @@ def v1(spark, d):
     return B.label_inventory(V.candidates(spark, d), {"scenario": "gold_scenario", "action": "gold_action", "intent": "gold_intent"}, "gold_slots", "key")
 
 
-def _vectors(spark, d):
-    """A vector for each of a hundred labels: the embeddings of the least ids, by rank; ids are dense from 0."""
-    return V.table(spark, d, "embeddings").groupBy((F.col("vec_id") % 60).cast("string").alias("label")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-
-
-def v2(spark, d):
-    return V.rounded(B.similar_pairs(_vectors(spark, d), 0.3), 5)
-
-
-def v3(spark, d):
-    return V.rounded(B.nearest_labels(_vectors(spark, d), 3), 5)
-
-
 def _label_vectors(spark, d):
     """The mean vector of each label, over all its embeddings."""
     rows = V.table(spark, d, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
     return B.mean_vectors(rows.select(F.col("label").cast("string").alias("label"), "embedding"))
 
 
-def v2_all(spark, d):
+def v2(spark, d):
     return V.rounded(B.similar_pairs(_label_vectors(spark, d), 0.3), 5)
 
 
-def v3_all(spark, d):
+def v3(spark, d):
     return V.rounded(B.nearest_labels(_label_vectors(spark, d), 3), 5)
 
 
-def v4_all(spark, d):
-    v = _label_vectors(spark, d)
-    return V.rounded(B.soft_clusters(v, v.select("label", F.pmod(F.col("label").cast("int"), F.lit(6)).alias("cluster")), 0.25), 5)
-
-
 def v3_rules(spark, d):
     return B.rule_neighbors(_labels(spark, d))
 
 
 def v4(spark, d):
-    v = _vectors(spark, d)
-    return V.rounded(B.soft_clusters(v, v.select("label", (F.col("label").cast("int") % 6).alias("cluster")), 0.25), 5)
+    v = _label_vectors(spark, d)
+    return V.rounded(B.soft_clusters(v, v.select("label", F.pmod(F.col("label").cast("int"), F.lit(6)).alias("cluster")), 0.25), 5)
 
 
 def v5(spark, d):
-    return B.kmeans_groups(_label_vectors(spark, d), 5, 1).select("grp", F.size("labels").alias("n"))
+    return B.kmeans_groups(_label_vectors(spark, d), 5, 1).select("grp", F.size("labels").alias("n"), F.array_join("labels", ",").alias("labels"))
 
 
 def v6(spark, d):
@@ -460,27 +504,41 @@ def g9(spark, d):
 
 
 QUERIES = {
-    "s1_read_jsonl": s1, "s2_read_records": s2, "s2_every_record": s2_every, "s5_csv_cells": s5, "s3_write_jsonl": s3, "s4_csv_json": s4, "s6_read_corpus": s6, "s7_merge_shards": s7, "s8_pending": s8, "s9_resolve_files": s9,
+    "s1_read_jsonl": s1, "s2_read_records": s2, "s2_every_record": s2_every, "s5_csv_cells": s5, "s3_write_jsonl": s3, "s4_csv_json": s4, "s6_read_corpus": s6, "s7_merge_shards": s7, "s8_pending": s8, "s9_resolve_files": s9, "s9_missing_files": s9_missing,
     "j1_match_gold": j1, "j1_not_predicted": j1_missing, "j2_match_gold_fallback": j2, "j2_match_unknown_file": j2_unknown, "j2_not_found": j2_not_found, "j3_match_embedded": j3, "j4_enrich_recordings": j4, "j5_attach_manifest": j5, "j6_join_runs": j6, "j7_pair_runs": j7, "j8_resolve_intent": j8, "j9_fill_from": j9, "j10_attach_nbest": j10,
-    "d1_select_recordings": d1, "d2_build_items": d2, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d7_add_distractors": d7, "d8_candidate_list": d8, "d9_format_nbest": d9, "d9_db_definitions": d9_definitions, "d9_template_rationale": d9_template, "d10_distill_split": d10, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
-    "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d17_order_by_difficulty_all": d17_all, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d20_nbest_tokens_signs": d20_signs, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
+    "d1_select_recordings": d1, "d2_build_items": d2, "d2_stored_items": d2_stored, "d2_first_existing": d2_first, "d2_missing_recordings": d2_missing, "d3_prepare_sft": d3, "d4_render_target": d4, "d5_multitask": d5, "d6_render_group_target": d6, "d6_answer_target": d6_answer, "d6_level_target": d6_levels, "d7_add_distractors": d7, "d7_nearest_distractors": d7_near, "d8_candidate_list": d8, "d8_slot_candidates": d8_slots, "d9_format_nbest": d9, "d9_db_definitions": d9_definitions, "d9_template_rationale": d9_template, "d10_distill_split": d10, "d10_target_text": d10_target, "d11_sample_by_id": d11, "d12_sample_per_combo": d12,
+    "d13_cap_per_intent": d13, "d13_balanced_subset": d13_balanced, "d14_epoch_batches": d14, "d15_shard": d15, "d16_success_filter": d16, "d17_order_by_difficulty": d17, "d18_derange_rationales": d18, "d20_nbest_tokens": d20, "d20_nbest_tokens_signs": d20_signs, "d21_nbest_ablation": d21, "d22_simulate_nbest": d22, "d23_label_view": d23,
     "v1_label_inventory": v1, "v2_similar_pairs": v2, "v3_nearest_labels": v3, "v3_rule_neighbors": v3_rules, "v4_soft_clusters": v4, "v5_kmeans_groups": v5, "v6_agglomerative_groups": v6, "v7_load_groups": v7,
-    "v2_similar_pairs_all": v2_all, "v3_nearest_labels_all": v3_all, "v4_soft_clusters_all": v4_all,
     "g1_prepare_features": g1, "g2_distance_stats": g2, "g3_spherical_stats": g3, "g4_margin_stats": g4, "g5_fisher_ratio": g5, "g6_silhouette_cosine": g6, "g6_silhouette_euclidean": g6_euclidean, "g7_mean_distance_ranks": g7, "g7_distance_table": g7_table, "g8_pca_2d": g8, "g9_paired_test": g9,
 }
 
 _P = V.PAIRS
-_VEC = "w0 AS (SELECT CAST(vec_id % 60 AS VARCHAR) AS label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY 1), v AS (SELECT label, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(e, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM w0), s AS (SELECT a.label AS a, b.label AS b, list_dot_product(a.u, b.u) AS similarity FROM v a CROSS JOIN v b)"
+_VEC = "y0 AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), y1 AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM y0 GROUP BY ALL), w0 AS (SELECT CAST(label AS VARCHAR) AS label, list(m ORDER BY i) AS e FROM y1 GROUP BY 1), v AS (SELECT label, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(e, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM w0), s AS (SELECT a.label AS a, b.label AS b, list_dot_product(a.u, b.u) AS similarity FROM v a CROSS JOIN v b)"
 _F = "f0 AS (SELECT vec_id, label, embedding AS e, count(*) OVER (PARTITION BY label) AS k FROM embeddings WHERE label IS NOT NULL), f AS (SELECT vec_id, label, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(e, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM f0 WHERE k >= 2), x AS (SELECT vec_id, label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM f), c0 AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM c0 GROUP BY label), nn AS (SELECT label, count(*) AS n FROM f GROUP BY label), dd AS (SELECT a.label AS a, b.label AS b, list_distance(a.c, b.c) AS d FROM c a JOIN c b ON a.label <> b.label)"
 _M = "mg0 AS (SELECT vec_id, f.label, c.label AS other, list_distance(u, c) AS d FROM f CROSS JOIN c), mg AS (SELECT vec_id, label, min(d) FILTER (other = label) AS own, min(d) FILTER (other <> label) AS oth FROM mg0 GROUP BY ALL), ms AS (SELECT *, oth - own AS margin, (oth - own) / greatest(oth + own, 1e-12) AS normalised FROM mg)"
 _Q = ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(median({c}), 5) AS {c}_median, round(quantile_cont({c}, 0.1), 5) AS {c}_p10, round(quantile_cont({c}, 0.9), 5) AS {c}_p90" for c in ("margin", "normalised"))
 
+_REC = "r AS (SELECT user_id, event_id, CASE WHEN event_id % 5 <> 0 THEN round(value % 1, 1) END AS wer, event_id % 3 = 0 AS ok, CASE event_id % 4 WHEN 1 THEN NULL WHEN 2 THEN 'slurp_real/f' || event_id ELSE 'f' || event_id END AS path FROM events)"
+_LEV = f"""{V.MATCHED}, li AS (SELECT gold_action AS t, '[''' || string_agg(DISTINCT gold_intent, ''', ''' ORDER BY gold_intent) || ''']' AS i FROM pairs GROUP BY 1), ls AS (SELECT gold_scenario[1] AS c, '[''' || string_agg(DISTINCT gold_scenario, ''', ''' ORDER BY gold_scenario) || ''']' AS s FROM pairs GROUP BY 1),
+lt AS (SELECT '[''' || string_agg(DISTINCT type, ''', ''' ORDER BY type) || ''']' AS m FROM ge WHERE type <> 'N'), ty AS (SELECT key, string_agg('Slot Group ' || CASE WHEN type = 'N' THEN '[''N'']' ELSE m END || ' Selection: ' || type, ' | ' ORDER BY type) AS slots FROM (SELECT DISTINCT key, type FROM ge) CROSS JOIN lt GROUP BY key),
+en AS (SELECT key, string_agg('{{"type": "' || gt || '", "filler": "' || filler || '"}}', ', ' ORDER BY pos, l_partkey, gt, filler) AS es FROM l WHERE pos <= 4 GROUP BY key),
+lev AS (SELECT p.key, p.gold_intent, p.gold_scenario, CASE WHEN n % 6 <> 0 THEN p.gold_action ELSE '' END AS a, i, s, slots, '{{"scenario": "' || p.gold_scenario || '", "action": "' || CASE WHEN n % 6 <> 0 THEN p.gold_action ELSE '' END || '", "entities": [' || coalesce(es, '') || ']}}' AS answer FROM pairs p JOIN li ON t = p.gold_action JOIN ls ON c = p.gold_scenario[1] LEFT JOIN ty USING (key) LEFT JOIN en USING (key))"""
+
 
 def _rank(rows: str, key: str, seed: int) -> str:
     return f"(SELECT *, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR) || '|{seed}'), {key}) AS rank FROM {rows})"
 
 
 SQL = {
+    "s9_missing_files": "SELECT count(*) FILTER (p_partkey % 4 = 3) AS missing FROM part",
+    "d2_stored_items": f"WITH {_REC}, p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ok DESC, coalesce(wer, 1e9), event_id) AS k FROM r) SELECT user_id AS slurp_id, 'audio' AS kind, path AS file, CAST(user_id AS VARCHAR) AS transcript FROM p WHERE k = 1 AND path IS NOT NULL",
+    "d2_first_existing": f"WITH {_REC} SELECT user_id AS slurp_id, 'audio' AS kind, arg_min(path, event_id) AS file, CAST(user_id AS VARCHAR) AS transcript FROM r WHERE path IS NOT NULL GROUP BY user_id",
+    "d2_missing_recordings": f"WITH {_REC} SELECT count(*) AS missing FROM (SELECT *, bool_or(ok) OVER (PARTITION BY user_id) AS any_ok FROM r) WHERE path IS NULL AND (ok OR NOT any_ok)",
+    "d6_answer_target": f"WITH {_LEV} SELECT key, 'Group: ' || i || chr(10) || 'Selection: ' || gold_intent || chr(10) || 'Answer: ' || answer AS target FROM lev",
+    "d6_level_target": f"WITH {_LEV} SELECT key, CASE WHEN a <> '' THEN 'Intent Group: ' || i || ' Selection: ' || gold_intent || chr(10) ELSE '' END || 'Scenario Group: ' || s || ' Selection: ' || gold_scenario || chr(10) || 'Action Group: [''' || a || '''] Selection: ' || a || chr(10) || coalesce(slots, 'Slot: None') || chr(10) || 'Answer: ' || answer AS target FROM lev",
+    "d7_nearest_distractors": f"WITH {_P}, l AS (SELECT DISTINCT gold_intent AS label, gold_scenario AS s, gold_action AS t FROM pairs), nb AS (SELECT x.label AS a, y.label AS b, row_number() OVER (PARTITION BY x.label ORDER BY CASE WHEN x.s = y.s THEN 10 ELSE 0 END + CASE WHEN x.t = y.t THEN 5 ELSE 0 END DESC, y.label) AS r FROM l x JOIN l y ON x.label <> y.label AND (x.s = y.s OR x.t = y.t) WHERE x.t <> 'a3'), o AS (SELECT key, label FROM pairs JOIN l ON label <> gold_intent LEFT JOIN nb ON nb.a = gold_intent AND nb.b = label AND r <= CASE WHEN gold_action = 'a4' THEN 1 ELSE 5 END QUALIFY row_number() OVER (PARTITION BY key ORDER BY r IS NULL, md5(key || '|' || label || '|0'), label) <= 2), u AS (SELECT key, label FROM o UNION ALL SELECT key, gold_intent FROM pairs) SELECT key, string_agg(label, '|' ORDER BY md5(key || '|' || label || '|0-order'), label) AS candidates FROM u GROUP BY key",
+    "d8_slot_candidates": f"WITH {_P}, {V.ENTITIES}, g AS (SELECT key, gt AS x, row_number() OVER (PARTITION BY key ORDER BY min((pos, l_partkey, gt, filler))) AS r FROM l WHERE pos <= 4 GROUP BY key, gt), w AS (SELECT pairs.key, x.x, x.i, md5(pairs.key || '|' || x.x || '|0') AS h, r FROM pairs CROSS JOIN (VALUES ('A', 1), ('N', 2), ('R', 3), ('X', 4), ('Y', 5)) x(x, i) LEFT JOIN g ON g.key = pairs.key AND g.x = x.x) SELECT key, string_agg(x, '|' ORDER BY coalesce(r, 10), i) AS full, array_to_string(list_slice(list(x ORDER BY coalesce(r, 10), h, x), 1, 3), '|') AS sampled FROM w GROUP BY key",
+    "d10_target_text": f"WITH {_P}, k AS (SELECT * FROM pairs) SELECT key, '{{\"rationale\": \"' || CASE WHEN n % 2 = 0 THEN 'é \\\"why\\\"\\n\\\\ so' ELSE 'No rationale.' END || '\", \"intent\": \"' || CASE WHEN n % 3 = 0 THEN pred_intent ELSE gold_intent END || '\"}}' AS target_text, CASE WHEN rank <= floor((SELECT count(*) FROM k) * 0.1) THEN 'eval' ELSE 'train' END AS split FROM {_rank('k', 'key', 7)}",
     "s1_read_jsonl": "SELECT event_id AS id, event_type AS kind, CAST(user_id AS VARCHAR) AS tags FROM events WHERE event_id % 10 NOT IN (3, 4, 5)",
     "s2_read_records": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1",
     "s2_every_record": "SELECT event_id AS id, event_type AS kind FROM events",
@@ -499,7 +557,7 @@ SQL = {
     "j2_match_gold_fallback": "WITH k AS (SELECT event_id AS pos, CASE event_id % 3 WHEN 0 THEN user_id || '.flac' WHEN 1 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS key FROM events) SELECT pos, key, CAST(length(key) AS INT) AS size FROM k",
     "j3_match_embedded": f"WITH {_P} SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario ELSE pred_scenario END AS gold_scenario, CASE WHEN n % 2 = 0 THEN gold_action ELSE pred_action END AS gold_action FROM pairs WHERE n % 2 = 0 OR n % 5 <> 0",
     "j4_enrich_recordings": "WITH u AS (SELECT user_id, arg_min(event_id, event_id) AS e, arg_min(event_type, event_id) AS t FROM events GROUP BY user_id), r AS (SELECT event_id, e, t, event_id % 2 = 0 AS own, event_id % 4 = 1 AS blank, event_id % 2 <> 0 AND user_id % 3 <> 0 AS enriched FROM events JOIN u USING (user_id)) SELECT event_id, CASE WHEN own THEN 'f' || event_id WHEN enriched THEN 'f' || e END AS file, CASE WHEN NOT blank THEN 'own' WHEN enriched THEN t ELSE '' END AS sentence, enriched FROM r",
-    "j5_attach_manifest": "WITH m AS (SELECT user_id, min(event_id) AS e FROM events WHERE user_id % 3 <> 0 GROUP BY user_id), r AS (SELECT event_id, event_id % 2 = 0 AS has, CASE WHEN event_id % 7 <> 0 THEN user_id END AS id FROM events), s AS (SELECT CASE WHEN has THEN 'kept' WHEN m.user_id IS NULL THEN 'missing_id' WHEN m.user_id % 5 = 0 THEN 'missing_file' ELSE 'attached' END AS state, CASE WHEN has THEN 'own.wav' WHEN m.user_id % 5 <> 0 THEN 'm' || e || '.wav' END AS file FROM r LEFT JOIN m ON r.id = m.user_id) SELECT state, count(*) AS n, count(DISTINCT file) AS files FROM s GROUP BY state",
+    "j5_attach_manifest": "WITH m AS (SELECT user_id, min(event_id) AS e FROM events WHERE user_id % 3 <> 0 GROUP BY user_id), r AS (SELECT event_id, event_id % 2 = 0 AS has, CASE WHEN event_id % 7 <> 0 THEN user_id END AS id FROM events) SELECT event_id, CAST(id AS VARCHAR) AS id, CASE WHEN has THEN 'own.wav' WHEN m.user_id % 5 <> 0 THEN 'm' || e || '.wav' END AS file, CASE WHEN has THEN 'kept' WHEN m.user_id IS NULL THEN 'missing_id' WHEN m.user_id % 5 = 0 THEN 'missing_file' ELSE 'attached' END AS state FROM r LEFT JOIN m ON r.id = m.user_id",
     "j6_join_runs": f"WITH {_P} SELECT key AS id, gold_intent, pred_intent AS student, CASE WHEN n % 3 = 0 THEN gold_action END AS baseline FROM pairs WHERE n % 2 = 0",
     "j7_pair_runs": f"WITH {_P}, a AS (SELECT key % 2000 AS id, arg_min(wer, key) AS a FROM pairs WHERE key % 3 <> 0 GROUP BY 1), b AS (SELECT key % 2000 AS id, arg_min(wer, key) AS b FROM pairs WHERE key % 3 <> 1 GROUP BY 1) SELECT 'id=' || id || '|file=' AS key, a, b FROM a JOIN b USING (id)",
     "j8_resolve_intent": f"WITH {_P}, g AS (SELECT key % 100 AS f, arg_min(gold_intent, key) AS i FROM pairs WHERE key % 2 = 0 GROUP BY 1) SELECT key, CASE WHEN n % 4 = 0 THEN gold_intent WHEN n % 4 = 1 THEN pred_intent WHEN n % 4 = 2 AND key % 2 = 0 THEN gold_intent ELSE coalesce(i, '__unknown__') END AS resolved FROM pairs LEFT JOIN g ON f = key % 100",
@@ -521,12 +579,12 @@ SQL = {
     "d12_sample_per_combo": f"WITH {V.MATCHED}, gt AS (SELECT DISTINCT key, type FROM ge), r AS (SELECT pairs.key, gold_intent, coalesce(type, '__none__') AS slot FROM pairs LEFT JOIN gt USING (key)) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY gold_intent, slot ORDER BY md5(key || '|' || slot || '|1'), key) <= 5",
     "d13_cap_per_intent": f"WITH {_P} SELECT key, gold_intent FROM pairs QUALIFY row_number() OVER (PARTITION BY gold_intent ORDER BY md5(key || '|1'), key) <= 20",
     "d14_epoch_batches": f"WITH {_P}, a AS (SELECT key, 'audio' AS kind FROM pairs WHERE n % 3 <> 0), t AS (SELECT key, 'text' AS kind FROM pairs WHERE n % 3 = 0), u AS (SELECT key, kind, CAST(floor((rank - 1) / 4) + 1 AS BIGINT) AS rank FROM {_rank('a', 'key', 0)} WHERE (rank - 1) % 4 = 1 UNION ALL SELECT key, kind, rank FROM {_rank('t', 'key', 0)}) SELECT *, CAST(floor((rank - 1) / 64) AS BIGINT) AS batch FROM u",
-    "d15_shard": "SELECT event_id % 7 AS shard, count(*) AS n FROM events GROUP BY 1",
+    "d15_shard": "SELECT event_id AS key, event_id % 7 AS shard FROM events",
     "d16_success_filter": f"""WITH {V.MATCHED}, gt AS (SELECT DISTINCT key, type FROM ge), z AS (SELECT key, gold_intent, n % 9 = 0 AND gold_action <> 'a3' AS correct, n % 5 AS score, round(wer, 4) AS reward, md5(key || '|ties') AS h FROM pairs),
     mi AS (SELECT key FROM z WHERE gold_intent NOT IN (SELECT gold_intent FROM z WHERE correct) QUALIFY row_number() OVER (PARTITION BY gold_intent ORDER BY correct DESC, score DESC, reward DESC, h DESC, key DESC) = 1), ch AS (SELECT key FROM z WHERE correct UNION SELECT key FROM mi),
     cov AS (SELECT DISTINCT type FROM gt WHERE key IN (SELECT key FROM ch)), ms AS (SELECT z.key FROM z JOIN gt USING (key) WHERE type NOT IN (SELECT type FROM cov) QUALIFY row_number() OVER (PARTITION BY type ORDER BY correct DESC, score DESC, reward DESC, h DESC, z.key DESC) = 1)
     SELECT key, correct, false AS coverage_fallback FROM z WHERE correct UNION ALL SELECT key, correct, true FROM z WHERE NOT correct AND key IN (SELECT key FROM mi UNION SELECT key FROM ms)""",
-    "d17_order_by_difficulty": f"WITH {_P} SELECT key, CAST(n % 5 AS DOUBLE) AS score, round(wer, 4) AS reward FROM pairs ORDER BY n % 5, round(wer, 4), (n % 9 = 0 AND gold_action <> 'a3'), key LIMIT 50",
+    "d17_order_by_difficulty": f"WITH {_P} SELECT key, CAST(n % 5 AS DOUBLE) AS score, round(wer, 4) AS reward, row_number() OVER (ORDER BY n % 5, round(wer, 4), (n % 9 = 0 AND gold_action <> 'a3'), key) AS rank FROM pairs",
     "d18_derange_rationales": f"WITH r AS (SELECT * FROM {_rank('(SELECT c_custkey AS slurp_id, c_name FROM customer)', 'slurp_id', 5)}), n AS (SELECT count(*) AS n FROM r) SELECT a.slurp_id, b.c_name AS rationale_text, b.slurp_id AS rationale_source FROM r a CROSS JOIN n JOIN r b ON a.rank = (b.rank - 2 + n.n) % n.n + 1",
     "d20_nbest_tokens": "SELECT event_id AS key, event_type || ',now' AS stable, CAST(user_id % 3 AS VARCHAR) AS unstable FROM events",
     "d21_nbest_ablation": "SELECT event_id AS key, k, CAST(least(k, 3) AS INT) AS n FROM events CROSS JOIN (SELECT unnest([1, 2, 5]) AS k)",

@@ -22,29 +22,6 @@ def rendered(spark, d):
 
 
 def _utterances(spark, d):
-    """Documents as utterances: the first words as tokens, spans and recordings from numbers."""
-    docs = V.table(spark, d, "documents").withColumn("tokens", F.slice(F.split(F.trim(F.col("text")), r"[\x20\x09-\x0D]+"), 1, 6))
-    i = F.col("doc_id").cast("int")
-    span = lambda a, b, t: F.struct(F.lit(t).alias("type"), F.array(a, b).alias("span"))
-    rec = lambda name, w: F.struct(name.alias("file"), w.alias("wer"), w.alias("ent_wer"), F.lit("correct").alias("status"))
-    return docs.select(
-        F.col("doc_id").alias("slurp_id"), F.col("doc_id").alias("pos"), F.substring("text", 1, 20).alias("sentence"), F.col("lang").alias("scenario"), F.col("source").alias("action"), F.transform("tokens", lambda t: F.struct(t.alias("surface"))).alias("tokens"),
-        F.array(span(i % 3, i % 3 + 2, "time"), span(i % 7, F.lit(99), "place")).alias("entities"),
-        F.array(rec(F.concat(F.lit("f"), (F.col("doc_id") % 600).cast("string")), (i % 10) / 10.0), rec(F.concat(F.lit("g"), F.col("doc_id").cast("string")), F.lit(0.5))).alias("recordings"),
-    )
-
-
-def n1(spark, d):
-    u = _utterances(spark, d)
-    modes = {m: N.span_filler("tokens", F.col("entities")[0]["span"], m) for m in ("indexed", "cased", "range")}
-    return u.select("slurp_id", *[c.alias(m) for m, c in modes.items()])
-
-
-def n2(spark, d):
-    return N.gold_by_file(_utterances(spark, d), "cased").select("file", "slurp_id", "scenario", "wer", F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["type"], e["filler"])), ";").alias("entities"))
-
-
-def _whole_utterances(spark, d):
     """Documents as utterances: all words as tokens, the whole text as sentence, spans anywhere in it."""
     docs = V.table(spark, d, "documents").withColumn("tokens", F.split(F.trim(F.col("text")), r"[\x20\x09-\x0D]+"))
     i, n = F.col("doc_id"), F.greatest(F.size("tokens"), F.lit(1))
@@ -58,13 +35,14 @@ def _whole_utterances(spark, d):
     )
 
 
-def n1_whole(spark, d):
-    u = _whole_utterances(spark, d)
-    return u.select("slurp_id", *[N.span_filler("tokens", F.col("entities")[0]["span"], m).alias(m) for m in ("indexed", "cased", "range")])
+def n1(spark, d):
+    u = _utterances(spark, d)
+    modes = {m: N.span_filler("tokens", F.col("entities")[0]["span"], m) for m in ("indexed", "cased", "range")}
+    return u.select("slurp_id", *[c.alias(m) for m, c in modes.items()])
 
 
-def n2_whole(spark, d):
-    return N.gold_by_file(_whole_utterances(spark, d), "cased").select("file", "slurp_id", "scenario", "sentence", "wer", _flat(F.col("entities")).alias("entities"))
+def n2(spark, d):
+    return N.gold_by_file(_utterances(spark, d), "cased").select("file", "slurp_id", "scenario", "sentence", "wer", _flat(F.col("entities")).alias("entities"))
 
 
 def _bio(spark, d):
@@ -104,17 +82,23 @@ def n7(spark, d):
     return N.to_utterances(b, "fr-FR", True).select("slurp_id", "scenario", "action", "intent", F.size("tokens").alias("tokens"), _flat(F.col("entities")).alias("entities"), F.get("recordings", F.lit(0))["file"].alias("file"))
 
 
+def _damaged(spark, d):
+    """Texts, those of even identifiers damaged from end to end."""
+    docs = V.table(spark, d, "documents").select("doc_id", "lang", "text")
+    return docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
+
+
 def n8(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
-    broken = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
-    return N.fix_mojibake(broken, "text").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return N.fix_mojibake(_damaged(spark, d), "text").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-def n8_whole(spark, d):
-    """Whole texts, those of even identifiers damaged from end to end."""
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
-    broken = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
-    return N.fix_mojibake(broken, "text").select("doc_id", F.sha2("text", 256).alias("digest"))
+def n8_locale(spark, d):
+    """Kana, kanji and Latin damaged once or twice, under three locales: in French the kanji look worse than their damaged form."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    broken = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    text = F.when(i % 4 == 0, F.concat(F.lit("\u304b\u306a "), kind)).when(i % 4 == 1, F.concat(F.lit("\u00e9t\u00e9 "), kind)).when(i % 4 == 2, F.concat(kind, F.lit(" plain"))).otherwise(F.lit("\u6f22\u5b57"))
+    rows = V.table(spark, d, "events").select("event_id", F.when(i % 3 == 0, "ja-JP").when(i % 3 == 1, "fr-FR").alias("locale"), F.when(i % 5 == 0, broken(broken(text))).otherwise(broken(text)).alias("text"))
+    return N.fix_mojibake(rows, "text", "locale").select("event_id", "text")
 
 
 def n9(spark, d):
@@ -290,14 +274,13 @@ def d19(spark, d):
 
 
 QUERIES = {
-    "n1_span_filler_whole": n1_whole, "n2_gold_by_file_whole": n2_whole, "n8_fix_mojibake_whole": n8_whole,
-    "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n7_to_utterances": n7, "n8_fix_mojibake": n8, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
+    "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n7_to_utterances": n7, "n8_fix_mojibake": n8, "n8_fix_mojibake_locale": n8_locale, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
     "n12_sample_id": n12, "n13_conversation_pair": n13, "n13_bullet_candidates": n13_bullets, "n14_standard_entities": n14, "n15_select_input_text": n15, "p1_extract_json": p1, "p2_parse_j": p2, "p3_parse_prediction_label": p3, "p4_extract_final": p4, "p5_recover_predictions": p5,
     "p6_extract_crj": p6, "p6_extract_crj_apart": p6_apart, "p16_complete_final_later": p16_later, "m9_per_phones": m9_phones, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
     "m4_span_distance_f1": m4, "m5_slu_f1": m5, "m8_wer": m8, "m9_per": m9, "m10_nbest_report": m10, "d19_diverse_nbest": d19,
 }
 
-_TOK = r"t AS (SELECT doc_id, lang, source, text, list_slice(string_split_regex(trim(text), '[\x20\x09-\x0D]+'), 1, 6) AS w FROM documents)"
+_TOK = r"t AS (SELECT *, doc_id * 31 % len(w) + 1 AS lo, doc_id * 7 % len(w) + 1 AS other FROM (SELECT doc_id, lang, text, string_split_regex(trim(text), '[\x20\x09-\x0D]+') AS w FROM documents))"
 _ENT = "'time=n' || n || ';place=p' || (n % 3)"
 _C = "'Intent candidates: ' || gold_intent || ' | ' || pred_intent || ' | none; Slot candidates: time(a|b) | place' || (n % 2)"
 _R = "CASE WHEN n % 7 = 0 THEN '' ELSE pred_intent || '!not said; other:a0!too far!off' END"
@@ -306,14 +289,15 @@ _RUNS = """x AS (SELECT l_orderkey AS key, row_number() OVER (PARTITION BY l_ord
 y AS (SELECT *, CASE WHEN k IS NOT NULL AND (lag(k) OVER w IS DISTINCT FROM k {open}) THEN 1 ELSE 0 END AS s FROM x WINDOW w AS (PARTITION BY key ORDER BY i)), z AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY i) AS g FROM y),
 r AS (SELECT key, g, k, string_agg(tok, ' ' ORDER BY i) AS f FROM z WHERE k IS NOT NULL GROUP BY key, g, k), o AS (SELECT key, string_agg(k || '=' || f, ';' ORDER BY g) AS spans FROM r GROUP BY key) SELECT key, coalesce(spans, '') AS spans FROM (SELECT DISTINCT key FROM x) LEFT JOIN o USING (key)"""
 SQL = {
-    "n1_span_filler": f"WITH {_TOK} SELECT doc_id AS slurp_id, lower(concat_ws(' ', w[doc_id % 3 + 1], w[doc_id % 3 + 3])) AS indexed, concat_ws(' ', w[doc_id % 3 + 1], w[doc_id % 3 + 3]) AS cased, CASE WHEN doc_id % 3 >= len(w) THEN '' ELSE array_to_string(list_slice(w, doc_id % 3 + 1, doc_id % 3 + 3), ' ') END AS range FROM t",
-    "n2_gold_by_file": f"WITH {_TOK}, u AS (SELECT 'f' || (doc_id % 600) AS file, doc_id, lang, (doc_id % 10) / 10.0 AS wer, w, 0 AS rp FROM t UNION ALL SELECT 'g' || doc_id, doc_id, lang, 0.5, w, 1 FROM t), l AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id DESC, rp DESC) AS r FROM u) SELECT file, doc_id AS slurp_id, lang AS scenario, CAST(wer AS DOUBLE) AS wer, 'time=' || concat_ws(' ', w[doc_id % 3 + 1], w[doc_id % 3 + 3]) || ';place=' || coalesce(w[doc_id % 7 + 1], '') AS entities FROM l WHERE r = 1",
+    "n1_span_filler": f"WITH {_TOK} SELECT doc_id AS slurp_id, lower(w[lo] || ' ' || w[len(w)]) AS indexed, w[lo] || ' ' || w[len(w)] AS cased, array_to_string(list_slice(w, lo, len(w)), ' ') AS range FROM t",
+    "n2_gold_by_file": f"WITH {_TOK}, u AS (SELECT 'f' || (doc_id % 600) AS file, (doc_id % 10) / 10.0 AS wer, 0 AS rp, t.* FROM t UNION ALL SELECT 'g' || doc_id, 0.5, 1, t.* FROM t) SELECT file, doc_id AS slurp_id, lang AS scenario, text AS sentence, CAST(wer AS DOUBLE) AS wer, 'time=' || w[lo] || ' ' || w[len(w)] || ';place=' || w[other] AS entities FROM u QUALIFY row_number() OVER (PARTITION BY file ORDER BY doc_id DESC, rp DESC) = 1",
     "n3_bio_spans": "WITH " + _RUNS.format(open="OR b"),
     "n4_label_runs": "WITH " + _RUNS.format(open=""),
     "n5_label_from_record": f"WITH {V.PAIRS}, r AS (SELECT *, CASE WHEN n % 2 = 0 THEN gold_intent WHEN n % 5 = 0 THEN 'solo' ELSE pred_intent END AS i FROM pairs) SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 1) ELSE '' END AS scenario, CASE WHEN n % 3 = 0 THEN 'own' WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 2) ELSE i END AS action, 0 AS entities FROM r",
     "n6_split_massive_intent": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN n % 3 = 0 THEN '' ELSE gold_scenario END AS scenario, gold_action AS action FROM pairs",
     "n7_to_utterances": "WITH " + _RUNS.format(open="OR b").replace("SELECT key, coalesce(spans, '') AS spans FROM (SELECT DISTINCT key FROM x) LEFT JOIN o USING (key)", "SELECT q.key AS slurp_id, 's' AS scenario, 'a' || (q.key % 3) AS action, 's_a' || (q.key % 3) AS intent, q.n AS tokens, coalesce(spans, '') AS entities, CASE WHEN q.key % 2 = 0 THEN CAST(q.key AS VARCHAR) END AS file FROM (SELECT key, CAST(count(*) AS INT) AS n FROM x GROUP BY key) q LEFT JOIN o ON o.key = q.key"),
-    "n8_fix_mojibake": "SELECT doc_id, sha256(substring(text, 1, 300)) AS digest FROM documents",
+    "n8_fix_mojibake": "SELECT doc_id, sha256(text) AS digest FROM documents",
+    "n8_fix_mojibake_locale": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'かな ' || event_type WHEN 1 THEN 'été ' || event_type WHEN 2 THEN event_type || ' plain' ELSE CASE WHEN event_id % 3 = 1 THEN 'æ¼¢å' || chr(173) || chr(151) ELSE '漢字' END END AS text FROM events",
     "n9_normalize_massive_id": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer",
     "n10_normalize_entity": f"WITH {V.ENTITIES}, a AS (SELECT key, string_agg(lower(gt) || '=' || lower(filler) || ' b', ';' ORDER BY pos, l_partkey, gt, filler) AS entities FROM l WHERE pos <= 4 GROUP BY key) SELECT key, coalesce(entities, '') AS entities FROM (SELECT DISTINCT key FROM l) LEFT JOIN a USING (key)",
     "n11_normalize_intent": "SELECT event_id, event_type || '_' || user_id AS weak, event_type || '_' || user_id AS strong, event_type || '_' || user_id AS clean FROM events",
