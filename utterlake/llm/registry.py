@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, simhash, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_top_k": topk.op8_top_k,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_files": token_files.op10_token_files,
+    "op11_simhash": simhash.op11_simhash,
 }
 SQL = {**url_filter.SQL, **mixing.SQL, **exact_dedup.SQL, **topk.SQL}
