@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, prefix_trie, simhash, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
+from . import alignment, bpe, exact_dedup, mixing, near_dedup, prefix_trie, simhash, suffix_dedup, token_counts, token_files, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
     "op11_simhash": simhash.op11_simhash,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 SQL = {**url_filter.SQL, **mixing.SQL, **exact_dedup.SQL, **topk.SQL, **prefix_trie.SQL}
