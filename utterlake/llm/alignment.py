@@ -26,7 +26,7 @@ from .pieces import Encoder
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of the distinct texts of a group, about, of what a task collapses at once, and of what is tokenised at once.
-GROUP_BYTES, COLLAPSE_BYTES, BATCH_BYTES = 4_000_000, 32_000_000, 1_000_000
+GROUP_BYTES, COLLAPSE_BYTES, BATCH_BYTES = 2_000_000, 16_000_000, 1_000_000
 #: Files of the table of ids at most; more groups share them.
 MOST_FILES = 20_000
 TOKENS = "g int, digest binary, copies long, a binary, b binary"
