@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENTITY = "struct<type:string,filler:string>"
 
@@ -21,6 +22,16 @@ def clean(c: str | Column) -> Column:
     return F.coalesce(F.trim(col(c).cast("string")), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ behind it as it takes to be no column of df."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def first_of(*columns: str | Column) -> Column:
     """The first that is neither null nor blank, else empty."""
     return F.coalesce(*[F.nullif(clean(c), F.lit("")) for c in columns], F.lit(""))
@@ -137,12 +148,40 @@ def standard_entities(text: str | Column) -> Column:
     return F.coalesce(F.flatten(F.transform(objects, one)), F.array().cast(f"array<{ENTITY}>"))
 
 
+def _entity(df: DataFrame, entities: Column, kind: T.DataType) -> Column:
+    """Entities with the first of filler, filter and value that is not null, else the words of their span in lower case."""
+    names = kind.elementType.names if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else []
+    words = lambda e: F.filter(F.transform(F.filter(e["span"], lambda i: (i >= 0) & (i < F.size("tokens"))), lambda i: F.lower(F.get("tokens", i.cast("int"))["surface"])), lambda w: w != "")
+    spanned = "span" in names and "tokens" in df.columns
+
+    def one(e: Column) -> Column:
+        options = [e[k] for k in ("filler", "filter", "value") if k in names] + ([F.when(F.size(e["span"]) > 0, F.array_join(words(e), " "))] if spanned else [])
+        return F.struct(clean(e["type"]).alias("type"), F.coalesce(*options, F.lit("")).alias("filler"))
+
+    none = F.array().cast(f"array<{ENTITY}>")
+    return F.coalesce(F.transform(entities, one), none) if names else none
+
+
 def label_from_record(df: DataFrame) -> DataFrame:
-    """Label struct of records(final, scenario, action, intent, entities): what `final` has first, gaps filled from the intent."""
-    field = lambda n: first_of(F.col("final")[n], F.col(n))
-    s, a = split_intent(field("intent"))
-    entities = F.when(F.size(F.col("final")["entities"]) > 0, F.col("final")["entities"]).otherwise(F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")))
-    return df.withColumn("label", F.struct(first_of(field("scenario"), s).alias("scenario"), first_of(field("action"), a).alias("action"), entities.alias("entities")))
+    """Label struct of records(final, scenario, action, intent, entities): what `final` has, and where there is none the record's own.
+
+    Gaps in scenario and action are filled from the same place's intent. Entities may name their words by a span of tokens.
+    """
+    schema = df.schema
+    inner = schema["final"].dataType if "final" in df.columns else T.StructType()
+
+    def label(field, names: list[str], kinds: dict[str, T.DataType]) -> Column:
+        text = lambda n: clean(field(n)) if n in names else F.lit("")
+        s, a = split_intent(text("intent"))
+        entities = _entity(df, field("entities"), kinds["entities"]) if "entities" in names else F.array().cast(f"array<{ENTITY}>")
+        return F.struct(first_of(text("scenario"), s).alias("scenario"), first_of(text("action"), a).alias("action"), entities.alias("entities"))
+
+    own = label(F.col, df.columns, {f.name: f.dataType for f in schema})
+    if not len(inner):
+        return df.withColumn("label", own)
+    final = label(lambda n: F.col("final")[n], inner.names, {f.name: f.dataType for f in inner})
+    given = F.coalesce(*[F.when(F.col("final")[n].isNotNull(), F.lit(True)) for n in inner.names], F.lit(False))
+    return df.withColumn("label", F.when(given, final).otherwise(own))
 
 
 def split_massive_intent(scenario: str | Column, intent: str | Column) -> tuple[Column, Column]:
@@ -155,13 +194,13 @@ def split_massive_intent(scenario: str | Column, intent: str | Column) -> tuple[
 
 
 def normalize_massive_id(c: str | Column, config: str = "") -> Column:
-    """Identifier without quotes and corpus prefixes."""
-    text = F.regexp_replace(clean(c), r"^[\"']+|[\"']+$", "")
+    """Identifier without quotes around it and without `massive-<language>-<region>-` before it, with - or _ alike; others stay."""
+    text = F.regexp_replace(clean(c), r"^[\"'` ]+|[\"'` ]+$", "")
+    patterns = (r"^massive-[^-]+-[^-]+-(.+)$", r"^massive_[^_]+_[^_]+_(.+)$", r"^massive-[^-]+_[^-]+-(.+)$", r"^massive_[^_]+-[^_]+_(.+)$")
+    found = F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 1)) for p in patterns], text)
     if config:
-        text = F.regexp_replace(text, rf"^massive-{config}-", "")
-    for prefix in (r"^massive-[A-Za-z]{2}-[A-Za-z]{2}-", r"^massive[-_:]", r"^[a-z]{2}-[A-Z]{2}[-_:]", r"^id[-_:]"):
-        text = F.regexp_replace(text, prefix, "")
-    return F.trim(text)
+        found = F.when(text.startswith(f"massive-{config}-"), F.substr(text, F.lit(len(config) + 10))).otherwise(found)
+    return F.trim(found)
 
 
 def to_utterances(df: DataFrame, config: str, numeric_id: bool = False) -> DataFrame:
@@ -222,18 +261,45 @@ def fix_mojibake(df: DataFrame, column: str, locale: str | None = None) -> DataF
     return df.where(marked).withColumn(column, repaired(F.col(column), language)).unionByName(df.where(~marked))
 
 
-def sample_id(df: DataFrame, columns: tuple[str, ...] = ("slurp_id", "id", "uid"), text: str | None = None, pos: str = "pos") -> DataFrame:
-    """The first identifier that is there, then digits after `id` in a text, then row_<position>."""
-    found = [c for c in columns if c in df.columns]
-    more = [F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?i)\bid\"?\s*[:=]\s*\"?([\w.-]+)", 1)] if text else []
-    return df.withColumn("sample_id", first_of(*found, *more, F.concat(F.lit("row_"), F.col(pos).cast("string"))))
+def _given(df: DataFrame, *names: str) -> list[Column]:
+    return [F.col(c) for c in names if c in df.columns]
+
+
+def _fields(df: DataFrame, name: str, texts: bool = True) -> Column | None:
+    """The fields of a struct column, or of a column of JSON objects; null where it has none."""
+    if name not in df.columns:
+        return None
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return F.from_json(F.trim(name), "map<string,string>") if texts else None
+    return F.from_json(F.to_json(name), "map<string,string>")
+
+
+def _meta(df: DataFrame, keys: tuple[str, ...], texts: bool) -> list[Column]:
+    """What meta, the rationale's JSON and that one's meta say under the keys."""
+    meta, rationale = _fields(df, "meta", texts), _fields(df, "rationale_text")
+    inner = None if rationale is None else F.from_json(F.try_element_at(rationale, F.lit("meta")), "map<string,string>")
+    of = lambda m, names: [] if m is None else [F.try_element_at(m, F.lit(k)) for k in names]
+    return of(meta, keys) + of(rationale, keys if texts else keys[:1]) + of(inner, keys)
+
+
+def sample_id(df: DataFrame, columns: tuple[str, ...] = ("id", "slurp_id", "uid", "uuid"), pos: str = "pos") -> DataFrame:
+    """The first identifier that is there, in the columns, in the struct meta, or in the JSON of rationale_text and its meta; else row_<position>."""
+    return df.withColumn("sample_id", first_of(*_given(df, *columns), *_meta(df, ("id", "slurp_id"), False), F.concat(F.lit("row_"), F.col(pos).cast("string"))))
+
+
+#: How a text names a file.
+FILE_PATTERNS = (r'"filename"\s*:\s*"([^"]+)"', r'\\"filename\\"\s*:\s*\\"([^\\"]+)\\"', r"'filename'\s*:\s*'([^']+)'", r"""filename\s*[:=]\s*["']([^"']+)["']""", r"(audio-[A-Za-z0-9_-]+\.(?:flac|wav|mp3|m4a|ogg))")
 
 
-def sample_file(df: DataFrame, columns: tuple[str, ...] = ("file", "audio_path", "path"), text: str | None = None) -> DataFrame:
-    """The first file name that is there, then one ending like audio in a text."""
-    found = [c for c in columns if c in df.columns]
-    more = [F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"([\w./-]+\.(?:flac|wav|mp3))", 1)] if text else []
-    return df.withColumn("sample_file", first_of(*found, *more))
+def sample_file(df: DataFrame, columns: tuple[str, ...] = ("filename", "file", "audio_filename", "audio_file"), user_text: str = "user_text") -> DataFrame:
+    """The first file name that is there: in the columns, in meta (a struct or JSON), in the JSON of rationale_text and its meta, in
+    the first of recordings and audios; else one that a text names: rationale_text, rationale, meta, the user's text, the whole row."""
+    lists = [F.get("recordings", F.lit(0))["file"]] * ("recordings" in df.columns) + [F.get("audios", F.lit(0))] * ("audios" in df.columns)
+    texts = [c if isinstance(df.schema[c].dataType, T.StringType) else F.to_json(c) for c in ("rationale_text", "rationale", "meta", user_text) if c in df.columns]
+    texts = [F.coalesce(col(t), F.lit("")) for t in (*texts, F.to_json(F.struct(*df.columns)))]
+    named = [first_of(*[F.regexp_extract(t, p, 1) for p in FILE_PATTERNS]) for t in texts]
+    return df.withColumn("sample_file", first_of(*_given(df, *columns), *_meta(df, ("filename", "file"), True), *lists, *named))
 
 
 def conversation_pair(turns: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -243,12 +309,16 @@ def conversation_pair(turns: DataFrame, key: str = "conv_id", turn: str = "turn"
 
 
 def bullet_candidates(c: str | Column, most: int = 10) -> Column:
-    """Bulleted or numbered lines of two words or more."""
-    lines = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(?m)^[ \t]*(?:[-*•]|\d+[.)])[ \t]+(.+?)[ \t]*$"), F.lit(1))
-    return F.slice(F.filter(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")) >= 2), 1, most)
+    """Bulleted or numbered lines of two words or more, without the bullet, with or without a blank after it."""
+    lines = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\R"), lambda x: F.regexp_extract(F.regexp_replace(x, r"^\s+|\s+$", ""), r"^(?:[-*]|\d+[.)])\s*(.+)$", 1))
+    return F.slice(F.filter(lines, lambda x: F.size(F.split(x, r"\s+")) >= 2), 1, most)
 
 
 def select_input_text(df: DataFrame, use_asr: bool = True) -> DataFrame:
-    """The best hypothesis, or the gold sentence where there is none, with its source."""
-    best = first_of(F.get("asr_hypotheses", F.lit(0))) if use_asr else F.lit("")
-    return df.withColumns({"input_text": F.when(best != "", best).otherwise(clean("sentence")), "source": F.when(best != "", F.lit("asr")).otherwise(F.lit("gold"))})
+    """The first of asr_hypotheses, which are texts or structs with a text, transcript, hypothesis or value, and may be empty;
+    without use_asr the sentence or else the text. source says which: asr_1best or gold_transcript."""
+    if not use_asr:
+        return df.withColumns({"input_text": first_of(*_given(df, "sentence", "text")), "source": F.lit("gold_transcript")})
+    first, kind = F.get("asr_hypotheses", F.lit(0)), df.schema["asr_hypotheses"].dataType.elementType
+    found = first_of(*[first[k] for k in ("text", "transcript", "hypothesis", "value") if k in kind.names]) if isinstance(kind, T.StructType) else first_of(first)
+    return df.withColumns({"input_text": found, "source": F.lit("asr_1best")})

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .normalise import ENTITY, clean, col, first_of, normalize_intent, split_intent, standard_entities, weak_intent
+from .normalise import ENTITY, clean, col, free_names, split_intent, standard_entities, weak_intent
+from .objects import apart, bound, fields, first_object, is_object, objects, stripped, typed_entities, value, value_any_case
 
 LABEL = f"struct<scenario:string,action:string,entities:array<{ENTITY}>>"
 NONE = F.array
@@ -29,11 +27,18 @@ def _label(text: Column, default: str) -> Column:
 
 
 def extract_json(c: str | Column, default: str = "none") -> Column:
-    """Label in the outermost braces; where that is no JSON, quoted or else loose scenario and action without entities."""
+    """Label from the first { to the last }; where that is no JSON, quoted or else loose scenario and action, without entities.
+
+    Without both braces there is nothing to read, and all fields have the default.
+    """
     text = F.coalesce(col(c), F.lit(""))
-    pick = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, rf"[\"']{k}[\"']\s*:\s*[\"']([^\"']*)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract(text, rf"(?i)\b{k}\b\s*[:=]\s*[\"']?([\w-]+)", 1), F.lit("")), F.lit(default))
-    loose = F.struct(pick("scenario").alias("scenario"), pick("action").alias("action"), F.array().cast(f"array<{ENTITY}>").alias("entities"))
-    return F.coalesce(_label(_object(text), default), loose)
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    part = F.substr(text, first, F.greatest(last - first + 1, F.lit(0)))
+    none = F.array().cast(f"array<{ENTITY}>")
+    pick = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, rf'"{k}":\s*"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(text, rf"{k}[^\p{{L}}\p{{N}}_]+([a-zA-Z_]+)", 1), F.lit("")), F.lit(default))
+    loose = F.struct(pick("scenario").alias("scenario"), pick("action").alias("action"), none.alias("entities"))
+    nothing = F.struct(F.lit(default).alias("scenario"), F.lit(default).alias("action"), none.alias("entities"))
+    return F.when(~text.contains("{") | ~text.contains("}"), nothing).when(is_object(part), _label(part, default)).otherwise(loose)
 
 
 def fenced(text: Column) -> Column:
@@ -46,133 +51,182 @@ def parse_j(c: str | Column) -> Column:
     return _label(F.coalesce(fenced(tail), _object(tail)), "")
 
 
-def _decoded(text: str) -> list[dict]:
-    """All JSON objects in a text, in order."""
-    decoder, found, at = json.JSONDecoder(), [], text.find("{")
-    while at >= 0:
-        try:
-            value, end = decoder.raw_decode(text, at)
-        except ValueError:
-            at = text.find("{", at + 1)
-            continue
-        if isinstance(value, dict):
-            found.append(value)
-        at = text.find("{", end)
-    return found
-
-
-WRAPPERS = ("final", "j", "output", "prediction", "result")
-
-
-def _unwrapped(value: dict) -> dict:
-    value = {str(k).lower(): v for k, v in value.items()}
-    for key in WRAPPERS:
-        if isinstance(value.get(key), dict):
-            return _unwrapped(value[key])
-    return value
-
-
-def _entities(value) -> list[dict]:
-    out = []
-    for e in value if isinstance(value, list) else []:
-        if not isinstance(e, dict):
-            continue
-        if "type" in e:
-            filler = next((str(e[k]) for k in ("filler", "filter", "value") if e.get(k) not in (None, "")), "")
-            out.append({"type": str(e["type"]).strip().lower(), "filler": filler.strip().lower()})
-        else:
-            out += [{"type": str(k).strip().lower(), "filler": str(v).strip().lower()} for k, v in e.items()]
-    return out
-
-
-def _robust(text: str | None, default: str) -> dict:
-    text = (text or "").replace("{{", "{").replace("}}", "}")
-    tails = [text[m.end():] for m in re.finditer(r"(?i)(?:^|\n)\s*(?:J|SLU|FINAL|Output)\s*[:：]", text)]
-    for part in [*reversed(tails), text]:
-        for value in map(_unwrapped, _decoded(part)):
-            scenario, action, intent = (str(value.get(k) or "").strip() for k in ("scenario", "action", "intent"))
-            intent = intent.replace(":", "_")
-            if intent and not (scenario and action):
-                head, _, tail = intent.partition("_")
-                scenario, action = scenario or (head if tail else ""), action or (tail or head)
-            if scenario or action or value.get("entities"):
-                return {"scenario": scenario or default, "action": action or default, "entities": _entities(value.get("entities"))}
-    return {"scenario": default, "action": default, "entities": []}
+#: Heads before a label, in the order they are looked for, and the fields an object may be wrapped in.
+HEADS = ("J", "SLU", "FINAL", "Output")
+WRAPPERS = ("final", "Final", "j", "J", "output", "prediction", "result")
+
+
+def _tail(text: Column) -> Column:
+    """What follows the first head of the first kind that stands at the start of a line; empty without one."""
+    pattern = lambda head: rf"(?is)(?:^|\n)\s*{head}\s*[:：]\s*(.+)$"
+    options = [F.when(text.rlike(pattern(h)), stripped(F.regexp_extract(text, pattern(h), 1))) for h in HEADS]
+    return F.coalesce(*options, F.lit(""))
+
+
+def _readings(text: Column) -> Column:
+    """The fenced part or else the text, and the text, each also with doubled braces made single; blank ones hold nothing."""
+    fence = lambda t, p: F.when(t.rlike(p), F.regexp_extract(t, p, 1))
+    inner = F.coalesce(fence(text, r"(?s)```json\s*(.*?)\s*```"), fence(text, r"(?s)```\s*(.*?)\s*```"), text)
+    return F.flatten(F.transform(F.array(inner, text), lambda t: F.array(t, F.replace(F.replace(t, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")))))
+
+
+def _predicted(text: Column) -> Column:
+    """P3's label; null where no object is found."""
+    readings = F.flatten(F.transform(F.array(_tail(text), text), lambda t: _readings(stripped(t))))
+    found = F.aggregate(readings, F.lit(None).cast("string"), lambda acc, t: F.when(acc.isNotNull(), acc).otherwise(first_object(t)))
+    inside = lambda o, key: bound(F.try_element_at(fields(o), key), lambda v: F.when(is_object(v), v).otherwise(o))
+    unwrapped = F.aggregate(F.array(*map(F.lit, WRAPPERS)), found, inside)
+
+    def label(m: Column) -> Column:
+        s, a = (F.coalesce(value_any_case(m, k), F.lit("")) for k in ("scenario", "action"))
+        intent = stripped(F.coalesce(value_any_case(m, "intent"), F.lit("")))
+        split, bare = intent.contains("_"), (s == "") & (a == "")
+        scenario = F.when(bare, F.when(split, F.substring_index(intent, "_", 1)).otherwise(F.lit(""))).otherwise(s)
+        action = F.when(bare, F.when(split, F.regexp_replace(intent, "^[^_]*_", "")).otherwise(intent)).otherwise(a)
+        return F.struct(stripped(scenario).alias("scenario"), stripped(action).alias("action"), typed_entities(value_any_case(m, "entities", "slots")).alias("entities"))
+
+    return bound(fields(unwrapped), lambda m: F.when(m.isNotNull(), label(m)))
 
 
 def parse_prediction_label(c: str | Column, default: str = "error") -> Column:
-    """Label of the first object after a J, SLU, FINAL or Output head, or anywhere; doubled braces, wrappers and key case don't matter."""
-
-    @F.pandas_udf(LABEL)
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([_robust(t, default) for t in s], columns=["scenario", "action", "entities"])
-
-    return parsed(col(c))
-
-
-def _final(text: str | None) -> dict:
-    """Label and how it was found: final, top, embedded, pattern or none."""
-    text = text or ""
-    empty = {"scenario": "", "action": "", "entities": []}
-    bad = {"", "none", "error", "unknown", "null"}
-    best, method = dict(empty), "none"
-
-    def take(value: dict, how: str) -> None:
-        nonlocal method
-        found = _robust(json.dumps(value), "")
-        for k, v in found.items():
-            if v and (not best[k] or (isinstance(best[k], str) and best[k].lower() in bad)):
-                best[k] = v
-                method = how if method == "none" else method
-
-    if m := list(re.finditer(r"(?i)[\"']?final[\"']?\s*[:：]", text)):
-        for value in _decoded(text[m[-1].end():])[:1]:
-            take(value, "final")
-    if text.strip().startswith("{"):
-        for value in _decoded(text.strip())[:1]:
-            take(value, "top")
-    for value in reversed(_decoded(text)):
-        take(value, "embedded")
-    if not (best["scenario"] and best["action"]):
-        for k in ("scenario", "action"):
-            if not best[k] and (m := re.search(rf"(?i)[\"']?{k}[\"']?\s*[:=]\s*[\"']?([\w-]+)", text)):
-                best[k], method = m[1], "pattern" if method == "none" else method
-    return {"label": best, "method": method}
+    """Label of the first JSON object after the first J, SLU, FINAL or Output head (of the first kind there is), or else in the text.
 
+    Fences and doubled braces don't matter; wrappers are opened one in another; names of fields may be in any case, and slots stands in
+    for entities. An intent is split at its first _ where there is neither scenario nor action. Blank fields stay blank; only a text
+    without an object has the default.
+    """
+    nothing = F.struct(F.lit(default).alias("scenario"), F.lit(default).alias("action"), F.array().cast(f"array<{ENTITY}>").alias("entities"))
+    return bound(F.coalesce(col(c), F.lit("")), lambda text: F.coalesce(_predicted(text), nothing))
 
-def extract_final(c: str | Column) -> Column:
-    """struct(label, method): the object after final:, else the text's own, else embedded ones from the last, else patterns; gaps are filled in that order."""
 
-    @F.pandas_udf(f"struct<label:{LABEL},method:string>")
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([_final(t) for t in s], columns=["label", "method"])
+#: What counts as no label.
+MISSING = ("", "error", "err", "unknown", "none", "null", "n/a", "na")
+_FINAL = r"(?i)\bfinal(?:_prediction)?\b\s*[:=]\s*"
+
+
+def missing(c: Column) -> Column:
+    return F.lower(stripped(F.coalesce(c, F.lit("")))).isin(*MISSING)
+
+
+def _parted(intent: Column) -> tuple[Column, Column]:
+    """Scenario and action of an intent, at its first _, else at its first :, else all action."""
+    i = stripped(intent)
+    at = lambda sign: (stripped(F.substring_index(i, sign, 1)), stripped(F.regexp_replace(i, f"^[^{sign}]*{sign}", "")))
+    (s1, a1), (s2, a2) = at("_"), at(":")
+    return F.when(i.contains("_"), s1).when(i.contains(":"), s2).otherwise(F.lit("")), F.when(i.contains("_"), a1).when(i.contains(":"), a2).otherwise(i)
+
+
+def _filled(scenario: Column, action: Column, intent: Column, entities: Column) -> Column:
+    """A label whose missing scenario or action comes from the intent."""
+    s, a = _parted(intent)
+    either = lambda own, other: F.when(missing(own) & (other != ""), other).otherwise(own)
+    return F.struct(either(scenario, s).alias("scenario"), either(action, a).alias("action"), entities.alias("entities"))
+
+
+def _object_label(o: Column) -> Column:
+    """Label of a JSON object's own fields; null where it is none or all of it is empty."""
+    label = bound(fields(o), lambda m: F.when(m.isNotNull(), _filled(stripped(value(m, "scenario")), stripped(value(m, "action")), value(m, "intent"), typed_entities(F.try_element_at(m, F.lit("entities"))))))
+    return bound(label, lambda x: F.when((x["scenario"] != "") | (x["action"] != "") | (F.size(x["entities"]) > 0), x))
+
+
+def _options(o: Column, where: str, own: str) -> Column:
+    """The labels an object may give, the likeliest first: of its final, of its final_prediction, its own."""
+    inner = lambda k: bound(F.try_element_at(fields(o), F.lit(k)), lambda v: F.when(is_object(v), v))
+    entry = lambda x, name: F.struct(_object_label(x).alias("label"), F.lit(name).alias("method"))
+    return F.array(entry(inner("final"), f"{where}_final"), entry(inner("final_prediction"), f"{where}_final_prediction"), entry(F.when(is_object(o), o), own))
+
+
+def _pattern_label(text: Column) -> Column:
+    """Scenario and action of the last quoted or bare assignments after the last final, or in the whole text."""
+    marks = F.size(F.split(text, r"(?i)\bfinal(?:_prediction)?\b")) - 1
+    part = F.when(marks > 0, F.regexp_extract(text, r"(?is).*\bfinal(?:_prediction)?\b(.*)", 1)).otherwise(text)
+
+    def last(k: str) -> Column:
+        kinds = (rf'"{k}"\s*[:=]\s*"([^"]+)"', rf"'{k}'\s*[:=]\s*'([^']+)'", rf"{k}\s*[:=]\s*([A-Za-z0-9_:-]+)")
+        return F.coalesce(*[F.nullif(stripped(F.try_element_at(F.regexp_extract_all(part, F.lit(f"(?is){p}"), F.lit(1)), F.lit(-1))), F.lit("")) for p in kinds], F.lit(""))
+
+    return _filled(last("scenario"), last("action"), last("intent"), F.array().cast(f"array<{ENTITY}>"))
+
+
+def _final(text: Column) -> Column:
+    fence = r"(?s)```(?:json)?\s*(.*?)\s*```"
+    return bound(F.when(text.rlike(fence), stripped(F.regexp_extract(text, fence, 1))).otherwise(stripped(text)), lambda t: bound(objects(t), lambda braces: _chosen(text, t, braces)))
+
+
+def _chosen(raw: Column, text: Column, braces: Column) -> Column:
+    parts, marks = F.split(text, _FINAL), F.regexp_extract_all(text, F.lit(_FINAL), F.lit(0))
+    ends = F.transform(marks, lambda _, k: F.length(F.array_join(F.slice(parts, F.lit(1), k + 1), "")) + F.length(F.array_join(F.slice(marks, F.lit(1), k + 1), "")))
+    after = F.transform(F.reverse(ends), lambda end: F.get(F.filter(braces, lambda b: b["at"] >= end), F.lit(0))["object"])
+    named = F.transform(after, lambda o: F.struct(_object_label(F.when(is_object(o), o)).alias("label"), F.lit("final_keyword_object").alias("method")))
+    quoted = F.when(text.startswith('"') & text.endswith('"'), stripped(F.get_json_object(F.concat(F.lit('{"x":'), text, F.lit("}")), "$.x")))
+    whole = bound(F.coalesce(quoted, text), lambda t: F.when(is_object(t), t))
+    inner = F.flatten(F.transform(F.reverse(apart(braces)), lambda o: _options(o, "embedded", "embedded_object")))
+    first = F.get(F.filter(F.concat(named, _options(whole, "top_level", "top_level"), inner), lambda x: x["label"].isNotNull()), F.lit(0))
+    nothing = F.struct(F.struct(F.lit("").alias("scenario"), F.lit("").alias("action"), F.array().cast(f"array<{ENTITY}>").alias("entities")).alias("label"), F.lit("not_found").alias("method"))
+
+    def patched(x: Column) -> Column:
+        def merge(p: Column) -> Column:
+            fill = lambda k: F.when(missing(x["label"][k]) & ~missing(p[k]), p[k]).otherwise(x["label"][k])
+            return F.struct(F.struct(fill("scenario").alias("scenario"), fill("action").alias("action"), x["label"]["entities"].alias("entities")).alias("label"), x["method"].alias("method"))
 
-    return parsed(col(c))
+        return F.when(missing(x["label"]["scenario"]) | missing(x["label"]["action"]), bound(_pattern_label(raw), merge)).otherwise(x)
+
+    return bound(F.coalesce(first, nothing), patched)
+
+
+def extract_final(c: str | Column) -> Column:
+    """struct(label, method): the first of these that gives a scenario, action or entities, with all its own fields.
+
+    final_keyword_object: the object after the last `final:` or `final_prediction =` that has one; top_level_final,
+    top_level_final_prediction, top_level: the text as a whole; embedded_final, embedded_final_prediction, embedded_object: objects in
+    it, the last first; not_found. A missing or error-like scenario or action is then filled from the last `name = value` patterns.
+    """
+    return bound(F.coalesce(col(c), F.lit("")), _final)
 
 
 def information(label: Column) -> Column:
     """How many of scenario, action and entities a label has."""
-    has = lambda c: (~F.lower(clean(c)).isin("", "none", "error", "unknown", "null")).cast("int")
-    return has(label["scenario"]) + has(label["action"]) + (F.size(label["entities"]) > 0).cast("int")
+    return (clean(label["scenario"]) != "").cast("int") + (clean(label["action"]) != "").cast("int") + (F.size(label["entities"]) > 0).cast("int")
 
 
 def recover_predictions(df: DataFrame, texts: Sequence[str]) -> DataFrame:
-    """P5: the most informative label of all text fields and the row's own, with changed, recovered and unresolved flags."""
-    own = F.struct(clean("scenario").alias("scenario"), clean("action").alias("action"), F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")).alias("entities"))
-    rows = df.withColumns({f"__label{k}": parse_prediction_label(c, "") for k, c in enumerate(texts)} | {"__own": own})
-    options = [F.col("__own"), *[F.col(f"__label{k}") for k in range(len(texts))]]
-    ranked = F.array_max(F.array(*[F.struct(information(x).alias("score"), F.lit(-k).alias("order"), x.alias("label")) for k, x in enumerate(options)]))
-    found = rows.withColumn("__best", ranked)
+    """P5: the most informative label that is read from the text fields or from the whole row as JSON, the first of equals.
+
+    The row's own scenario, action and entities fill what that label lacks. changed: any of the three is another now; recovered: there
+    was neither scenario nor action before, and is now; unresolved: one of the two is missing or error-like still.
+    """
+    none = F.array().cast(f"array<{ENTITY}>")
+    own = F.struct(stripped(clean("scenario")).alias("scenario"), stripped(clean("action")).alias("action"), F.coalesce("entities", none).alias("entities"))
+    read = lambda text: bound(parse_prediction_label(text), lambda x: F.when((F.lower(x["scenario"]) != "error") | (F.lower(x["action"]) != "error") | (F.size(x["entities"]) > 0), x))
+    parsed = F.filter(F.array(*[read(F.nullif(stripped(clean(c)), F.lit(""))) for c in texts], read(F.to_json(F.struct(*df.columns)))), lambda x: x.isNotNull())
+    best = F.array_max(F.transform(parsed, lambda x, k: F.struct(information(x).alias("score"), (-k).alias("order"), x.alias("label"))))["label"]
+
+    def merged(row: Column) -> Column:
+        o, b = row["own"], row["best"]
+        text = lambda k: F.coalesce(F.nullif(b[k], F.lit("")), o[k]).alias(k)
+        return F.struct(text("scenario"), text("action"), F.when(F.size(b["entities"]) > 0, b["entities"]).otherwise(o["entities"]).alias("entities"))
+
+    own_, new_ = free_names(df, "own", "new")
+    found = df.withColumn(own_, own).withColumn(new_, bound(F.struct(F.col(own_).alias("own"), best.alias("best")), merged))
+    o, x = F.col(own_), F.col(new_)
     return found.select(
-        *[c for c in df.columns if c not in ("scenario", "action", "entities")], F.col("__best.label.scenario").alias("scenario"), F.col("__best.label.action").alias("action"), F.col("__best.label.entities").alias("entities"),
-        (F.col("__best.order") != 0).alias("changed"), ((information(F.col("__own")) < 2) & (F.col("__best.score") >= 2)).alias("recovered"), (F.col("__best.score") < 2).alias("unresolved"),
+        *[c for c in df.columns if c not in ("scenario", "action", "entities")], x["scenario"].alias("scenario"), x["action"].alias("action"), x["entities"].alias("entities"), (o != x).alias("changed"),
+        ((o["scenario"] == "") & (o["action"] == "") & ((x["scenario"] != "") | (x["action"] != ""))).alias("recovered"), (missing(x["scenario"]) | missing(x["action"])).alias("unresolved"),
     )
 
 
+RECOVERY = ("changed", "recovered", "unresolved")
+
+
 def recovery_stats(recovered: DataFrame) -> DataFrame:
-    return recovered.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c)).alias(c) for c in ("changed", "recovered", "unresolved")])
+    """P5's counts, where the rows themselves are not wanted."""
+    return recovered.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c)).alias(c) for c in RECOVERY])
+
+
+def observed_recovery(recovered: DataFrame, name: str = "recovery") -> tuple[DataFrame, Observation]:
+    """P5's rows, and its counts as an observation that is filled by the one job which reads or writes the rows."""
+    seen = Observation(name)
+    return recovered.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c)).alias(c) for c in RECOVERY]), seen
 
 
 def prefixed_line(c: str | Column, letter: str) -> Column:
@@ -198,53 +252,103 @@ def extract_crj(c: str | Column) -> Column:
     return F.coalesce(F.get(parts, F.size(parts) - 1), none)
 
 
-def _listed(part: Column, distinct: bool) -> Column:
-    items = F.transform(F.split(F.regexp_replace(part, r"\([^)]*\)", ""), r"\|"), lambda x: F.trim(x))
-    kept = F.filter(items, lambda x: (x != "") & ~F.lower(x).isin("none", "(none)", "__none__"))
-    return F.array_distinct(kept) if distinct else kept
+#: Heads of the parts of a C line; the first that fits goes.
+INTENT_HEADS = ("intent candidates:", "intent candidate:", "intent:", "intents:")
+SLOT_HEADS = ("slot candidates:", "slot candidate:", "slots:", "slot:")
+
+
+def _headless(part: Column, heads: Sequence[str]) -> Column:
+    return stripped(F.regexp_replace(stripped(part), f"(?i)^(?:{'|'.join(heads)})", ""))
+
+
+def _items(part: Column) -> Column:
+    return F.filter(F.transform(F.split(part, r"\|"), stripped), lambda x: x != "")
 
 
-def _part(line: Column, kind: str) -> Column:
-    return F.regexp_extract(line, rf"(?i){kind}\s+candidates?\s*[:：]\s*([^;]*)", 1)
+def _second(line: Column) -> Column:
+    """What follows the first ; of a line."""
+    return stripped(F.regexp_replace(F.when(line.contains(";"), line), r"(?s)^[^;]*;", ""))
 
 
 def intent_candidates(line: str | Column, distinct: bool = True) -> Column:
-    """Intent candidates of a C line."""
-    text = clean(line)
-    part = F.when(text.rlike(r"(?i)intent\s+candidates?\s*[:：]"), _part(text, "intent")).otherwise(F.get(F.split(text, ";"), F.lit(0)))
-    return F.transform(_listed(part, distinct), weak_intent)
+    """Intent candidates of what follows C: up to the first ;. distinct: each once, and without none; else only without (none)."""
+    found = F.transform(_items(_headless(F.substring_index(clean(line), ";", 1), INTENT_HEADS)), weak_intent)
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin("", "(none)", "none"))) if distinct else F.filter(found, lambda x: ~x.isin("", "(none)"))
 
 
 def slot_candidates(line: str | Column, distinct: bool = True) -> Column:
-    """Slot candidates of a C line, without their values."""
-    return _listed(_part(clean(line), "slot"), distinct)
+    """Slot candidates in lower case, without their values, of what follows the first ;, or else of the whole line."""
+    text = clean(line)
+    part = F.regexp_replace(_headless(F.coalesce(F.nullif(_second(text), F.lit("")), text), SLOT_HEADS), r"\([^)]*\)", "")
+    found = F.filter(F.transform(_items(part), F.lower), lambda x: ~x.isin("(none)", "none"))
+    return F.array_distinct(found) if distinct else found
 
 
-def c_block_candidates(df: DataFrame, texts: Sequence[str]) -> DataFrame:
-    """Candidates of the C block (to a blank line or an R or J line), strongly normalised, from the field that gives the most."""
+def _c_block(text: Column) -> Column:
+    """The first C line and the lines after it to a blank or another head, in one line; a text that only speaks of intent candidates is whole; null without either."""
+    lines = F.split(text, r"\R")
+    head = r"^\s*[cC]\s*[:：]\s*(.*)$"
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(head)), True).cast("int")
+    rest = F.transform(F.slice(lines, at + 1, F.size(lines)), stripped)
+    stop = F.array_position(F.transform(rest, lambda x: (x == "") | x.rlike(r"^\s*[cCrRjJ]\s*[:：]")), True).cast("int")
+    own = stripped(F.regexp_extract(F.get(lines, at - 1), head, 1))
+    block = F.array_join(F.filter(F.concat(F.array(own), F.slice(rest, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(rest)))), lambda x: x != ""), " ")
+    return F.when(at > 0, block).when(text.rlike(r"(?i)\bintent\s*candidates?\b"), stripped(text))
+
 
-    def of(c: str) -> Column:
-        block = F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"(?sm)^[ \t]*C[ \t]*[:：](.*?)(?=^[ \t]*[RJ][ \t]*[:：]|\n[ \t]*\n|\z)", 1)
-        part = F.regexp_replace(F.regexp_replace(block, r"(?i)intent\s+candidates?\s*[:：]", ""), r"(?is)slot\s+candidates?\s*[:：].*", "")
-        names = F.transform(F.split(F.regexp_replace(part, r"\([^)]*\)", ""), r"[|;,\n]"), lambda x: normalize_intent(x, "strong"))
-        return F.array_distinct(F.filter(names, lambda x: (x != "") & (x != "none")))
+def _strong(name: Column) -> Column:
+    """A name in lower case, without quotes and brackets around it, other signs and spaces as single _."""
+    bare = F.regexp_replace(F.lower(stripped(name)), r"^[`\"'\[\](){}]+|[`\"'\[\](){}]+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
-    options = F.array(*[F.struct(F.size(of(c)).alias("n"), F.lit(-k).alias("order"), of(c).alias("found")) for k, c in enumerate(texts)])
-    return df.withColumn("candidates", F.array_max(options)["found"])
+
+def _block_candidates(block: Column) -> Column:
+    names = lambda items: F.array_distinct(F.filter(F.transform(items, _strong), lambda x: x.contains("_")))
+    part = F.get(F.split(block, r"(?i)\n\s*[rj]\s*[:：]"), F.lit(0))
+    part = F.get(F.split(F.get(F.split(part, r"(?i);\s*slot\s*candidates?\s*[:：]"), F.lit(0)), r"(?i)\bslot\s*candidates?\s*[:：]"), F.lit(0))
+    part = F.regexp_replace(part, r"(?i)^\s*(?:intent\s*candidates?|intents?)\s*[:：\-]?\s*", "")
+    listed = names(F.transform(F.split(part, r"[|,;\n]+"), lambda x: F.regexp_replace(stripped(x), r"^\s*\d+\s*[).:\-]?\s*", "")))
+    loose = names(F.regexp_extract_all(part, F.lit(r"[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+"), F.lit(0)))
+    return F.when(F.size(listed) > 0, listed).otherwise(loose)
+
+
+def c_block_candidates(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """has_c, and the candidates of the C block of the field that gives the most, the first of equals.
+
+    Candidates are strongly normalised names with a _ in them, without numbers before them; where the block lists none, all
+    identifiers with _ or - in it.
+    """
+    of = lambda c: bound(_c_block(F.coalesce(F.col(c), F.lit(""))), lambda block: F.when(block.isNotNull(), _block_candidates(block)))
+    found = F.filter(F.transform(F.array(*[of(c) for c in texts]), lambda x, k: F.struct(F.size(x).alias("n"), (-k).alias("order"), x.alias("found"))), lambda x: x["found"].isNotNull())
+    best = F.array_max(found)["found"]
+    return df.withColumns({"has_c": best.isNotNull(), "candidates": F.coalesce(best, F.array().cast("array<string>"))})
 
 
 def rationale_pairs(line: str | Column) -> Column:
-    """P10: (label, reason) of an R line `label!reason; …`."""
-    items = F.filter(F.split(clean(line), ";"), lambda x: F.instr(x, "!") > 0)
-    pairs = F.transform(items, lambda x: F.struct(weak_intent(F.substring_index(x, "!", 1)).alias("label"), F.trim(F.regexp_replace(x, "^[^!]*!", "")).alias("reason")))
-    return F.filter(pairs, lambda p: p["label"] != "")
+    """P10: (label, reason) of an R line `label!reason; …`; a part without ! is a label with an empty reason."""
+    parts = F.filter(F.transform(F.split(F.nullif(clean(line), F.lit("(none)")), ";"), stripped), lambda x: x != "")
+    pair = lambda x: F.struct(stripped(F.substring_index(x, "!", 1)).alias("label"), F.when(x.contains("!"), stripped(F.regexp_replace(x, "(?s)^[^!]*!", ""))).otherwise(F.lit("")).alias("reason"))
+    return F.coalesce(F.transform(parts, pair), F.array().cast("array<struct<label:string,reason:string>>"))
+
+
+def _tidy(candidate: Column) -> Column:
+    """A candidate without quotes and heads, colons and spaces as single _, in its own case; empty where only a head is left."""
+    bare = F.regexp_replace(stripped(candidate), "^[`'\" ]+|[`'\" ]+$", "")
+    bare = F.regexp_replace(bare, r"(?i)^\s*(?:intent\s*candidates?|intents?)\s*[:：\-]?\s*", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r":|\s+", "_"), r"(?i)^(?:intent_?candidates?|intents?)_+", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, "_+", "_"), "^[_ ]+|[_ ]+$", "")
+    return F.when(F.lower(bare).isin("intent", "intents", "intentcandidate", "intentcandidates"), F.lit("")).otherwise(bare)
 
 
 def sanitize_c_line(line: str | Column) -> Column:
-    """A C line with normalised candidates, each once."""
-    intents, slots = F.array_distinct(F.transform(intent_candidates(line), lambda x: normalize_intent(x, "strong"))), slot_candidates(line)
-    text = lambda a: F.when(F.size(a) > 0, F.array_join(a, " | ")).otherwise(F.lit("(none)"))
-    return F.concat(F.lit("Intent candidates: "), text(intents), F.lit("; Slot candidates: "), text(slots))
+    """A line that starts with C:, with tidy intent candidates, each once in any case, and its slot part as it is; other lines stay."""
+    whole = F.coalesce(col(line), F.lit(""))
+    body = stripped(F.substr(whole, F.lit(3)))
+    tidy = F.filter(F.transform(_items(_headless(F.substring_index(body, ";", 1), INTENT_HEADS)), _tidy), lambda x: x != "")
+    once = F.aggregate(tidy, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    slots = F.coalesce(_headless(_second(body), ("slot candidates:", "slot candidate:", "slot:", "slots:")), F.lit(""))
+    again = bound(once, lambda names: F.concat(F.lit("C: Intent candidates: "), F.when(F.size(names) > 0, F.array_join(names, " | ")).otherwise(F.lit("(none)")), F.when(slots != "", F.concat(F.lit("; Slot candidates: "), slots)).otherwise(F.lit(""))))
+    return F.when(~whole.startswith("C:"), whole).when(body == "", F.lit("C: (none)")).otherwise(again)
 
 
 def reorder_candidates(candidates: str | Column, vocabulary: Sequence[str]) -> Column:
@@ -255,11 +359,12 @@ def reorder_candidates(candidates: str | Column, vocabulary: Sequence[str]) -> C
 
 
 def extract_answer_json(c: str | Column) -> Column:
-    """JSON text: fenced, after Answer:, or in the last braces; null without any."""
-    text = F.coalesce(col(c), F.lit(""))
-    answer = F.nullif(F.regexp_extract(text, r"(?is)answer\s*[:：]\s*(\{.*\})", 1), F.lit(""))
-    last = F.nullif(F.regexp_extract(text, r"(?s).*(\{[^{}]*\})", 1), F.lit(""))
-    return F.coalesce(fenced(text), answer, last)
+    """JSON text: fenced as json; else after the first Answer:, its outermost braces or all of it; else the outermost braces; else the text."""
+    text = stripped(F.coalesce(col(c), F.lit("")))
+    fence, braces = r"(?s)```json\s*(.*?)\s*```", r"(?s)(\{.*\})"
+    outer = lambda t: F.when(t.rlike(braces), F.regexp_extract(t, braces, 1)).otherwise(t)
+    answer = stripped(F.regexp_replace(text, r"(?s)^.*?Answer:", ""))
+    return F.when(text.rlike(fence), stripped(F.regexp_extract(text, fence, 1))).when(text.contains("Answer:"), outer(answer)).otherwise(outer(text))
 
 
 def format_output(df: DataFrame, column: str, mode: str = "CRJ") -> DataFrame:
@@ -303,14 +408,10 @@ def complete_final(df: DataFrame, fallback: str = "unknown") -> DataFrame:
     return df.withColumns({"intent": intent, "scenario": s, "action": a})
 
 
-#: ARPAbet phones, vowels with an optional stress digit.
-PHONES = r"(?:AA|AE|AH|AO|AW|AY|EH|ER|EY|IH|IY|OW|OY|UH|UW)[0-2]?|CH|DH|HH|JH|NG|SH|TH|ZH"
+#: ARPAbet phones, without stress.
+PHONES = "AA|AE|AH|AO|AW|AY|B|CH|D|DH|EH|ER|EY|F|G|HH|IH|IY|JH|K|L|M|N|NG|OW|OY|P|R|S|SH|T|TH|UH|UW|V|W|Y|Z|ZH"
 
 
 def scrub_phones(c: str | Column) -> Column:
     """Text without phone symbols and with single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"\b(?:{PHONES})\b", ""), r"\s+", " "))
-
-
-def first_text(*columns: str) -> Column:
-    return first_of(*columns)

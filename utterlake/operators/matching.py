@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalise import ENTITY, clean, first_of
-from ..functions.parsing import extract_json, information
+from ..functions.parsing import extract_json
 
 
 def last_of(df: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
@@ -150,7 +150,3 @@ def attach_nbest(rows: DataFrame, cache: DataFrame, seed: int = 0) -> DataFrame:
     out = rows.join(found, "id", "left")
     some = F.coalesce(F.size("nbest") > 0, F.lit(False))
     return out.withColumn("transcript", F.when(some, F.get("nbest", (pick % F.greatest(F.size("nbest"), F.lit(1))).cast("int"))).otherwise(F.col("transcript")))
-
-
-def best_label(labels: list) -> F:
-    return F.array_max(F.array(*[F.struct(information(x).alias("score"), x.alias("label")) for x in labels]))

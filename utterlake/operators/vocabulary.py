@@ -130,7 +130,3 @@ def load_groups(lines: DataFrame, text: str = "value", pos: str = "pos") -> Data
 def with_own_groups(labels: DataFrame, groups: DataFrame) -> DataFrame:
     """V7: labels with their group and members, those without one alone in their own."""
     return labels.join(groups, "label", "left").withColumns({"grp": F.coalesce("grp", "label"), "members": F.coalesce("members", F.array("label"))})
-
-
-def columns_of(names: Sequence[str]) -> dict[str, str]:
-    return {n: n for n in names}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpora, scoring, text
+from . import analysis, corpora, readings, scoring, text
 
 
 
@@ -25,5 +25,5 @@ def long_counts(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES, **analysis.QUERIES, **text.QUERIES, **corpora.QUERIES}
-SQL: dict[str, str] = {k: long_counts(v) for k, v in {**scoring.SQL, **analysis.SQL, **text.SQL, **corpora.SQL}.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES, **analysis.QUERIES, **text.QUERIES, **readings.QUERIES, **corpora.QUERIES}
+SQL: dict[str, str] = {k: long_counts(v) for k, v in {**scoring.SQL, **analysis.SQL, **text.SQL, **readings.SQL, **corpora.SQL}.items()}

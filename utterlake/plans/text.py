@@ -117,8 +117,9 @@ def n11(spark, d):
 
 
 def n12(spark, d):
-    e = V.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.lit(" ")).alias("slurp_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), "user_id")).alias("id"), F.when(F.col("event_id") % 5 == 0, F.format_string('see "id": %s and a/b-%s.flac', "user_id", "event_id")).alias("text"))
-    return N.sample_file(N.sample_id(e, text="text", pos="event_id"), text="text").select("event_id", "sample_id", "sample_file")
+    i = F.col("event_id")
+    e = V.table(spark, d, "events").select("event_id", F.when(i % 2 == 0, i.cast("string")).otherwise(F.lit(" ")).alias("slurp_id"), F.when(i % 3 == 0, F.concat(F.lit("x"), "user_id")).alias("id"), F.when(i % 5 == 0, F.format_string('see {"filename": "a/b-%s"}', i)).alias("rationale"))
+    return N.sample_file(N.sample_id(e, pos="event_id")).select("event_id", "sample_id", "sample_file")
 
 
 def n13(spark, d):
@@ -197,7 +198,7 @@ def p10(spark, d):
 
 def p11(spark, d):
     c = P.prefixed_line("text", "C")
-    return rendered(spark, d).select("key", P.sanitize_c_line(c).alias("line"), F.array_join(P.reorder_candidates(P.intent_candidates(c), ["view_a1", "click_a0", "error_a3", "purchase_a2", "signup_a4"]), "|").alias("ordered"))
+    return rendered(spark, d).select("key", P.sanitize_c_line(F.concat(F.lit("C: "), c)).alias("line"), F.array_join(P.reorder_candidates(P.intent_candidates(c), ["view_a1", "click_a0", "error_a3", "purchase_a2", "signup_a4"]), "|").alias("ordered"))
 
 
 def p12(spark, d):
@@ -293,7 +294,7 @@ SQL = {
     "n2_gold_by_file": f"WITH {_TOK}, u AS (SELECT 'f' || (doc_id % 600) AS file, (doc_id % 10) / 10.0 AS wer, 0 AS rp, t.* FROM t UNION ALL SELECT 'g' || doc_id, 0.5, 1, t.* FROM t) SELECT file, doc_id AS slurp_id, lang AS scenario, text AS sentence, CAST(wer AS DOUBLE) AS wer, 'time=' || w[lo] || ' ' || w[len(w)] || ';place=' || w[other] AS entities FROM u QUALIFY row_number() OVER (PARTITION BY file ORDER BY doc_id DESC, rp DESC) = 1",
     "n3_bio_spans": "WITH " + _RUNS.format(open="OR b"),
     "n4_label_runs": "WITH " + _RUNS.format(open=""),
-    "n5_label_from_record": f"WITH {V.PAIRS}, r AS (SELECT *, CASE WHEN n % 2 = 0 THEN gold_intent WHEN n % 5 = 0 THEN 'solo' ELSE pred_intent END AS i FROM pairs) SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 1) ELSE '' END AS scenario, CASE WHEN n % 3 = 0 THEN 'own' WHEN i LIKE '%#_%' ESCAPE '#' THEN split_part(i, '_', 2) ELSE i END AS action, 0 AS entities FROM r",
+    "n5_label_from_record": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN n % 5 = 0 THEN '' ELSE pred_scenario END AS scenario, CASE WHEN n % 2 = 0 THEN gold_action WHEN n % 3 = 0 THEN 'own' WHEN n % 5 = 0 THEN 'solo' ELSE pred_action END AS action, 0 AS entities FROM pairs",
     "n6_split_massive_intent": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 2 = 0 THEN gold_scenario WHEN n % 3 = 0 THEN '' ELSE gold_scenario END AS scenario, gold_action AS action FROM pairs",
     "n7_to_utterances": "WITH " + _RUNS.format(open="OR b").replace("SELECT key, coalesce(spans, '') AS spans FROM (SELECT DISTINCT key FROM x) LEFT JOIN o USING (key)", "SELECT q.key AS slurp_id, 's' AS scenario, 'a' || (q.key % 3) AS action, 's_a' || (q.key % 3) AS intent, q.n AS tokens, coalesce(spans, '') AS entities, CASE WHEN q.key % 2 = 0 THEN CAST(q.key AS VARCHAR) END AS file FROM (SELECT key, CAST(count(*) AS INT) AS n FROM x GROUP BY key) q LEFT JOIN o ON o.key = q.key"),
     "n8_fix_mojibake": "SELECT doc_id, sha256(text) AS digest FROM documents",
@@ -301,32 +302,32 @@ SQL = {
     "n9_normalize_massive_id": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer",
     "n10_normalize_entity": f"WITH {V.ENTITIES}, a AS (SELECT key, string_agg(lower(gt) || '=' || lower(filler) || ' b', ';' ORDER BY pos, l_partkey, gt, filler) AS entities FROM l WHERE pos <= 4 GROUP BY key) SELECT key, coalesce(entities, '') AS entities FROM (SELECT DISTINCT key FROM l) LEFT JOIN a USING (key)",
     "n11_normalize_intent": "SELECT event_id, event_type || '_' || user_id AS weak, event_type || '_' || user_id AS strong, event_type || '_' || user_id AS clean FROM events",
-    "n12_sample_id": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 0 THEN 'x' || user_id WHEN event_id % 5 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'row_' || event_id END AS sample_id, CASE WHEN event_id % 5 = 0 THEN 'a/b-' || event_id || '.flac' ELSE '' END AS sample_file FROM events",
+    "n12_sample_id": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' || user_id WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'row_' || event_id END AS sample_id, CASE WHEN event_id % 5 = 0 THEN 'a/b-' || event_id ELSE '' END AS sample_file FROM events",
     "n13_conversation_pair": "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS user_text, arg_min(text, turn) FILTER (role = 'assistant') AS assistant_text FROM conversations GROUP BY conv_id",
     "n13_bullet_candidates": "SELECT event_id, event_type || ' now|one ' || user_id || ' two' AS found FROM events",
     "n14_standard_entities": "SELECT event_id, 'time=' || event_type || ';place=p' || user_id AS entities FROM events",
-    "n15_select_input_text": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'gold text' ELSE event_type END AS input_text, CASE WHEN event_id % 3 = 0 THEN 'gold' ELSE 'asr' END AS source FROM events",
+    "n15_select_input_text": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS input_text, 'asr_1best' AS source FROM events",
     "p1_extract_json": f"WITH {V.PAIRS} SELECT key, pred_scenario AS scenario, pred_action AS action, CASE WHEN n % 13 = 0 THEN '' ELSE {_ENT} END AS entities FROM pairs",
     "p2_parse_j": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 13 <> 0 THEN pred_scenario END AS scenario, CASE WHEN n % 13 <> 0 THEN pred_action END AS action, CASE WHEN n % 13 = 0 THEN NULL ELSE {_ENT} END AS entities FROM pairs",
-    "p3_parse_prediction_label": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 13 <> 0 THEN pred_scenario ELSE 'error' END AS scenario, CASE WHEN n % 13 <> 0 THEN pred_action ELSE 'error' END AS action, CASE WHEN n % 13 = 0 THEN '' ELSE {_ENT} END AS entities FROM pairs",
-    "p4_extract_final": f"WITH {V.PAIRS} SELECT key, gold_scenario AS scenario, gold_action AS action, CASE n % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'top' ELSE 'pattern' END AS method FROM pairs",
-    "p5_recover_predictions": f"WITH {V.PAIRS}, i AS (SELECT CAST(n % 2 = 0 AND gold_scenario <> 'error' AS INT) + CAST(n % 4 = 0 AS INT) AS own, CASE WHEN n % 13 = 0 THEN 0 ELSE 2 + CAST(pred_scenario NOT IN ('error', 'unknown') AS INT) END AS parsed FROM pairs) SELECT count(*) AS rows, count_if(parsed > own) AS changed, count_if(own < 2 AND parsed >= 2) AS recovered, count_if(own < 2 AND parsed < 2) AS unresolved FROM i",
+    "p3_parse_prediction_label": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 13 <> 0 THEN pred_scenario ELSE '' END AS scenario, CASE WHEN n % 13 <> 0 THEN pred_action ELSE '' END AS action, CASE WHEN n % 13 = 0 THEN '' ELSE 'Time= N' || n || ' ;=' END AS entities FROM pairs",
+    "p4_extract_final": f"WITH {V.PAIRS} SELECT key, CASE WHEN gold_scenario = 'error' AND n % 3 <> 0 THEN '' ELSE gold_scenario END AS scenario, gold_action AS action, CASE n % 3 WHEN 0 THEN 'final_keyword_object' WHEN 1 THEN 'embedded_object' ELSE 'not_found' END AS method FROM pairs",
+    "p5_recover_predictions": f"WITH {V.PAIRS}, i AS (SELECT *, n % 13 <> 0 AS parsed, n % 2 = 0 AS scenario, n % 4 = 0 AS action FROM pairs) SELECT count(*) AS rows, count_if(parsed) AS changed, count_if(parsed AND NOT scenario) AS recovered, count_if(CASE WHEN parsed THEN pred_scenario IN ('error', 'unknown') ELSE NOT action OR gold_scenario = 'error' END) AS unresolved FROM i",
     "p6_extract_crj": f"""WITH {V.PAIRS}, s AS (SELECT *, length('{{"scenario": "", "action": "", "entities": [{{"type": "Time", "filler": " N "}}, {{"place": "P"}}]}}') + length(pred_scenario) + length(pred_action) + length(CAST(n AS VARCHAR)) + 1 AS size FROM pairs) SELECT key, CASE WHEN n % 7 = 0 THEN '' ELSE {_C} END AS c, {_R} AS r, CAST(CASE WHEN n % 7 = 0 THEN 0 WHEN n % 13 = 0 THEN size - 3 WHEN n % 11 = 0 THEN 7 ELSE size END AS INT) AS j_length, n % 7 <> 0 AS valid FROM s""",
     "p7_prefixed_line": f"WITH {V.PAIRS} SELECT key, {_C} AS c, {_R} AS r FROM pairs",
     "p8_candidates": f"WITH {V.PAIRS} SELECT key, {_I} AS intents, 'time|place' || (n % 2) AS slots FROM pairs",
-    "p9_c_block_candidates": f"WITH {V.PAIRS} SELECT key, CASE WHEN gold_intent = pred_intent THEN 'x' ELSE {_I} END AS found FROM pairs",
-    "p10_rationale_pairs": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 7 = 0 THEN '' ELSE pred_intent || '=not said|other_a0=too far!off' END AS pairs FROM pairs",
-    "p11_sanitize_c_line": f"WITH {V.PAIRS}, v(x, r) AS (VALUES ('view_a1', 0), ('click_a0', 1), ('error_a3', 2), ('purchase_a2', 3), ('signup_a4', 4)) SELECT key, 'Intent candidates: ' || replace({_I}, '|', ' | ') || '; Slot candidates: time | place' || (n % 2) AS line, CASE WHEN gold_intent = pred_intent THEN gold_intent WHEN coalesce(b.r, 6) < coalesce(a.r, 5) THEN pred_intent || '|' || gold_intent ELSE gold_intent || '|' || pred_intent END AS ordered FROM pairs LEFT JOIN v a ON a.x = gold_intent LEFT JOIN v b ON b.x = pred_intent",
+    "p9_c_block_candidates": f"WITH {V.PAIRS} SELECT key, {_I} AS found FROM pairs",
+    "p10_rationale_pairs": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 7 = 0 THEN '' ELSE pred_intent || '=not said|other:a0=too far!off' END AS pairs FROM pairs",
+    "p11_sanitize_c_line": f"WITH {V.PAIRS}, v(x, r) AS (VALUES ('view_a1', 0), ('click_a0', 1), ('error_a3', 2), ('purchase_a2', 3), ('signup_a4', 4)) SELECT key, 'C: Intent candidates: ' || replace({_I}, '|', ' | ') || ' | none; Slot candidates: time(a|b) | place' || (n % 2) AS line, CASE WHEN gold_intent = pred_intent THEN gold_intent WHEN coalesce(b.r, 6) < coalesce(a.r, 5) THEN pred_intent || '|' || gold_intent ELSE gold_intent || '|' || pred_intent END AS ordered FROM pairs LEFT JOIN v a ON a.x = gold_intent LEFT JOIN v b ON b.x = pred_intent",
     "p13_format_output": f"WITH {V.PAIRS} SELECT key, n % 13 <> 0 AND n % 7 <> 0 AS format_ok, 'C: ' || {_C} || chr(10) || 'R: ' || {_R} AS head FROM pairs",
     "p14_parse_metrics": "SELECT event_id, CAST(event_id AS DOUBLE) AS loss, CAST('0.' || user_id AS DOUBLE) AS acc, 3 AS n FROM events",
     "p15_validate_topk": f"WITH {V.CANDIDATES}, r AS (SELECT key, CASE WHEN len(candidates) <> 2 THEN 'count' WHEN len(list_filter(candidates, lambda x: x NOT IN (gold_intent, pred_intent, 'other_a0'))) > 0 THEN 'outside' WHEN NOT list_contains(candidates, gold_intent) THEN 'missing_reference' ELSE 'ok' END AS reason FROM c) SELECT key, reason, reason = 'ok' AS valid FROM r",
     "p6_extract_crj_apart": f"WITH {V.PAIRS} SELECT key, CASE WHEN n % 5 = 0 THEN '' WHEN n % 3 = 0 THEN 'second' ELSE 'first ' || key END AS c, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN '' ELSE 'r1' END AS r, CASE WHEN n % 5 = 0 THEN '' WHEN n % 3 = 0 THEN 'j2' ELSE 'j1' END AS j, n % 5 <> 0 AS valid FROM pairs",
-    "p12_extract_answer_json": f"""WITH {V.PAIRS} SELECT key, CAST(CASE WHEN n % 13 = 0 THEN length('{{"type": "Time", "filler": " N' || n || ' "}}') WHEN n % 11 = 0 THEN length('{{"scenario": "", "action": "", "entities": [{{"type": "Time", "filler": " N "}}, {{"place": "P"}}]}}') + length(pred_scenario) + length(pred_action) + length(CAST(n AS VARCHAR)) + 1 ELSE length('{{"place": "P' || (n % 3) || '"}}') END AS INT) AS size FROM pairs""",
+    "p12_extract_answer_json": f"""WITH {V.PAIRS}, s AS (SELECT *, length('{{"scenario": "", "action": "", "entities": [{{"type": "Time", "filler": " N "}}, {{"place": "P"}}]}}') + length(pred_scenario) + length(pred_action) + length(CAST(n AS VARCHAR)) + 1 AS size FROM pairs) SELECT key, CAST(CASE WHEN n % 13 = 0 THEN size - length(', {{"place": "P0"}}]}}') ELSE size END AS INT) AS size FROM s""",
     "p16_complete_final_later": f"WITH {V.PAIRS}, r AS (SELECT key, CASE WHEN n % 4 = 0 THEN 'alarm_set' WHEN n % 4 = 1 THEN gold_intent ELSE pred_intent END AS intent FROM pairs) SELECT key, intent, split_part(intent, '_', 1) AS scenario, split_part(intent, '_', 2) AS action FROM r",
     "m9_per_phones": r"""WITH t AS (SELECT event_id, '/tʃ a/[' || CASE event_id % 3 WHEN 0 THEN 'dʒ' WHEN 1 THEN 'o' ELSE '' END || ']' AS r, CASE WHEN event_id % 10 = 9 THEN '' ELSE CASE WHEN event_id % 2 = 0 THEN 'tʃ/a/' ELSE 'a' END || CASE WHEN user_id % 2 = 0 THEN '  dʒ ' ELSE '' END END AS h FROM events),
     p AS (SELECT event_id, regexp_replace(replace(replace(r, 'tʃ', 'T'), 'dʒ', 'D'), '[\s/\[\]]+', '', 'g') AS r, regexp_replace(replace(replace(h, 'tʃ', 'T'), 'dʒ', 'D'), '[\s/\[\]]+', '', 'g') AS h FROM t) SELECT event_id, round(levenshtein(r, h) / length(r), 6) AS per FROM p""",
     "p16_complete_final": f"WITH {V.CANDIDATES}, r AS (SELECT key, CASE WHEN n % 3 = 0 THEN gold_intent ELSE coalesce(CASE WHEN n % 4 <> 0 THEN gold_intent END, CASE WHEN n % 3 <> 0 THEN pred_intent END, CASE WHEN n % 2 = 0 THEN 'other_a0' END, CASE WHEN n % 7 = 0 THEN 'other_a1' END, 'unknown') END AS intent FROM c) SELECT key, intent, CASE WHEN contains(intent, '_') THEN split_part(intent, '_', 1) ELSE '' END AS scenario, CASE WHEN contains(intent, '_') THEN split_part(intent, '_', 2) ELSE intent END AS action FROM r",
-    "p17_scrub_phones": "SELECT event_id, 'say K ' || event_type || ' NOTAH x' AS text FROM events",
+    "p17_scrub_phones": "SELECT event_id, 'say AH0 ' || event_type || ' IY1 NOTAH x' AS text FROM events",
     "m8_wer": "SELECT event_id, round((CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4, 6) AS wer, round(levenshtein(r, h) / greatest(length(r), length(h)), 6) AS char_distance FROM (SELECT event_id, user_id, lower(event_type || ' the user ' || user_id) AS r, CASE WHEN event_id % 2 = 0 THEN event_type || ' ' ELSE '' END || 'the user ' || (user_id % 7) AS h FROM events)",
     "m10_nbest_report": "WITH w AS (SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4 AS w FROM events WHERE event_id % 10 <> 0) SELECT (SELECT count(*) FROM events) AS n, count(*) AS scored, round(avg(w), 6) AS top1_wer, 0.0::DOUBLE AS oracle_wer, round(avg(w), 6) AS gap FROM w",
 }
