@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from utterlake.functions import distance, normalise, parsing
+from utterlake.functions import normalise, parsing
 from utterlake.operators import corpus, errors, geometry, metrics, vocabulary
 from utterlake.plans import catalog, corpora
 
@@ -35,27 +35,6 @@ def test_spans_are_multisets_and_sets(spark):
     assert [r["entity_f1"] for r in metrics.row_entity_f1(m).collect()] == [1.0, 1.0]
 
 
-def test_greedy_distance_takes_the_nearest_left(spark):
-    gold = [{"type": "t", "filler": "a b"}, {"type": "t", "filler": "c"}]
-    assert distance.greedy_counts(gold, [{"type": "t", "filler": "c"}, {"type": "t", "filler": "a"}], "word") == [("t", 1.0, 0.0, 0.0), ("t", 1.0, 0.5, 0.5)]
-    assert distance.greedy_counts([], [{"type": "u", "filler": "x"}], "char") == [("u", 0.0, 1.0, 0.0)]
-
-
-def test_edits_against_the_plain_table():
-    def plain(a, b):
-        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        return d[-1][-1]
-
-    r = random.Random(1)
-    for _ in range(300):
-        a, b = ([r.choice("abc") for _ in range(r.randint(0, 7))] for _ in range(2))
-        assert distance.edits(a, b) == plain(a, b)
-    assert distance.error_rate([], []) == 0.0 and distance.error_rate([], ["x"]) == 1.0
-
-
 def test_spans_of_tags(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["I-x", "B-x", "I-y", "Other", "I_y"])], "t array<string>, l array<string>")
     assert [tuple(e) for e in df.select(normalise.bio_spans("t", "l")).head()[0]] == [("x", "a"), ("x", "b"), ("y", "c"), ("y", "e")]
@@ -68,16 +47,6 @@ def test_labels_from_texts(spark):
     assert [(r[0]["scenario"], r[0]["action"]) for r in df.select(parsing.parse_prediction_label("t")).collect()] == [("a", "b"), ("error", "error"), ("error", "error"), ("error", "error"), ("", "p:q")]
 
 
-def test_rates_of_tokens_against_plain_edits(spark):
-    r = random.Random(3)
-    text = lambda: r.choice([None, "", " ".join(r.choice(["Ab", "c", "é", "dd", "漢字"]) for _ in range(r.randint(0, 6))) + r.choice(["", "  ", "\t\u2003x"])])
-    pairs = [(text(), text()) for _ in range(200)] + [(" ".join(f"w{i}" for i in range(700)), " ".join(f"w{i * 2}" for i in range(600)))]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", distance.wer("a", "b").alias("w")).collect()
-    assert all(abs(x["w"] - distance.error_rate(distance.words(x["a"]), distance.words(x["b"]))) < 1e-12 for x in got)
-    phones = spark.createDataFrame([("tʃ/a", "tʃ a", 0.0), ("[ab]", "/ac/", 0.5), ("/", "", 0.0), ("", "a", 1.0), ("tʃ a o", "tʃ o", 1 / 3), (None, None, 0.0)], "a string, b string, want double")
-    assert all(abs(x["p"] - x["want"]) < 1e-12 for x in phones.select("want", distance.per("a", "b").alias("p")).collect())
-
-
 def test_balanced_subset_covers_and_never_passes_the_cap(spark):
     r = random.Random(5)
     table = [(k, r.choice("aaaaaabbbcd"), [s for s in "uvwxyz" if r.random() < 0.2] + (["rare"] if k == 7 else [])) for k in range(300)]

@@ -1,58 +1,17 @@
-"""Edit distances of words, phones and spans (M4, M5, M8-M10, D19): column functions, and small helpers in pandas UDFs for greedy choices."""
+"""Edit distances of words, phones and spans (M4, M5, M8-M10), as column functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import overall, with_prf
 from .normalise import col
-
-
-def edits(a: list | str, b: list | str) -> int:
-    """Levenshtein distance of two sequences; equal ends are passed over first."""
-    if a == b:
-        return 0
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) + len(b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
-def error_rate(reference: list, hypothesis: list) -> float:
-    if not reference:
-        return 0.0 if not hypothesis else 1.0
-    return edits(reference, hypothesis) / len(reference)
-
-
-def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def token_rate(reference: Column, hypothesis: Column) -> Column:
-    """Edits between two arrays of tokens over the size of the first; an empty reference gives 0 or, against tokens, 1.
-
-    Each different token of the two becomes one character, so that the JVM's edit distance of texts is that of the tokens.
-    """
-    every = F.array_distinct(F.concat(reference, hypothesis))
-    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, x) + 0x10000), 8, "0")), "UTF-32")
-    text = lambda tokens: F.array_join(F.transform(tokens, letter), "")
-    return F.when(F.size(reference) == 0, F.when(F.size(hypothesis) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(text(reference), text(hypothesis)) / F.size(reference))
+from .spans import BLANKS, greedy_counts, slu_counts, token_rate
 
 
 def word_tokens(c: str | Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), BLANKS), lambda x: x != "")
 
 
 def phone_tokens(c: str | Column) -> Column:
@@ -91,68 +50,18 @@ def nbest_summary(report: DataFrame) -> DataFrame:
     return report.agg(F.count(F.lit(1)).alias("n"), F.count("top1_wer").alias("scored"), F.avg("top1_wer").alias("top1_wer"), F.avg("oracle_wer").alias("oracle_wer"), (F.avg("top1_wer") - F.avg("oracle_wer")).alias("gap"))
 
 
-def _distance(gold: str, pred: str, kind: str) -> float:
-    if kind == "char":
-        return edits(gold, pred) / max(len(gold), len(pred)) if gold or pred else 0.0
-    return error_rate(gold.split(), pred.split())
-
-
-def greedy_counts(gold: list, pred: list, kind: str) -> list[tuple]:
-    """(type, tp, fp, fn) of one row: each prediction takes the nearest unused gold entity of its type."""
-    left, out = list(gold), []
-    for p in pred:
-        options = [(_distance(g["filler"] or "", p["filler"] or "", kind), k) for k, g in enumerate(left) if g["type"] == p["type"]]
-        if options:
-            d, k = min(options)
-            left.pop(k)
-            out.append((p["type"], 1.0, d, d))
-        else:
-            out.append((p["type"], 0.0, 1.0, 0.0))
-    return out + [(g["type"], 0.0, 0.0, 1.0) for g in left]
-
-
-def distance_counts(matched: DataFrame, kind: str, gold: str = "gold_entities", pred: str = "pred_entities") -> DataFrame:
-    """Counts by type of the greedy matching by word or char distance."""
-
-    @F.pandas_udf("array<struct<label:string,tp:double,fp:double,fn:double>>")
-    def counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([[dict(zip(("label", "tp", "fp", "fn"), c, strict=True)) for c in greedy_counts(list(g), list(p), kind)] for g, p in zip(a, b, strict=True)])
-
-    rows = matched.where((F.size(gold) > 0) | (F.size(pred) > 0)).select(F.explode(counts(gold, pred)).alias("e"))
-    return rows.groupBy(F.col("e.label").alias("label")).agg(*[F.sum(f"e.{c}").alias(c) for c in ("tp", "fp", "fn")])
+def distance_counts(matched: DataFrame, counts: Column) -> DataFrame:
+    """Sums by type of what greedy_counts gives for each row."""
+    return matched.select(F.explode(counts).alias("e")).groupBy(F.col("e.label").alias("label")).agg(*[F.sum(f"e.{c}").alias(c) for c in ("tp", "fp", "fn")])
 
 
 def span_distance_f1(matched: DataFrame, kind: str = "word", gold: str = "gold_entities", pred: str = "pred_entities") -> DataFrame:
     """M4: entity scores where a match counts 1 right and its distance wrong on either side, by type and overall."""
-    counts = distance_counts(matched, kind, gold, pred)
+    counts = distance_counts(matched, greedy_counts(gold, pred, kind))
     return with_prf(counts).unionByName(overall(counts))
 
 
 def slu_f1(matched: DataFrame, gold: str = "gold_entities", pred: str = "pred_entities") -> DataFrame:
-    """M5: scores of the summed word and char counts."""
-    both = distance_counts(matched, "word", gold, pred).unionByName(distance_counts(matched, "char", gold, pred))
-    counts = both.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    """M5: scores of the summed word and char counts, both from one pass over the rows."""
+    counts = distance_counts(matched, slu_counts(gold, pred))
     return with_prf(counts).unionByName(overall(counts))
-
-
-def diverse(found: list[str], k: int) -> list[str]:
-    """The first, then again and again the one whose nearest chosen is farthest; ties to the earlier."""
-    unique = list({" ".join(words(t)): t for t in reversed(found)}.items())[::-1]
-    chosen = unique[:1]
-    rest = unique[1:]
-    while rest and len(chosen) < k:
-        best = max(range(len(rest)), key=lambda i: (min(edits(rest[i][0], c[0]) for c in chosen), -i))
-        chosen.append(rest.pop(best))
-    return [t for _, t in chosen]
-
-
-def diverse_nbest(c: str | Column, k: int) -> Column:
-    """Up to k hypotheses, far from each other."""
-
-    @F.pandas_udf("array<string>")
-    def picked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([diverse([t for t in x if t], k) if x is not None else [] for x in s])
-
-    return picked(col(c))

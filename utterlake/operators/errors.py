@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import accuracies, ratio, set_counts, with_prf
+from .metrics import accuracies, count_of, ratio
+from .quantiles import exact_quantiles
 
 
 def wrong(pairs: DataFrame, level: str = "intent") -> DataFrame:
@@ -68,30 +69,66 @@ def band(wer: Column) -> Column:
     return F.when(wer == 0, "0").when(wer <= 0.2, "0-0.2").when(wer <= 0.5, "0.2-0.5").otherwise(">0.5")
 
 
+def bin_stats(rows: DataFrame) -> list[Column]:
+    """What bands and bins report: accuracies, and, where rows have entities or candidates, f1 of the summed multiset counts of entities,
+    how many rows have candidates, how many of those the gold intent among them, and how many of these are right."""
+    stats = accuracies(rows)
+    if "gold_entities" in rows.columns:
+        g, p = F.col("gold_entities"), F.col("pred_entities")
+        shared = F.aggregate(F.array_distinct(g), F.lit(0), lambda n, e: n + F.least(count_of(g, e), count_of(p, e)))
+        tp, golds, preds = F.sum(shared), F.sum(F.size(g)), F.sum(F.size(p))
+        stats += [tp.alias("tp"), (preds - tp).alias("fp"), (golds - tp).alias("fn"), ratio(2.0 * tp, golds + preds).alias("slu_f1")]
+    if "candidates" in rows.columns:
+        has = F.col("has_c") if "has_c" in rows.columns else F.size("candidates") > 0
+        hit = has & F.array_contains("candidates", F.col("gold_intent"))
+        n, hits, right = F.count_if(has), F.count_if(hit), F.count_if(hit & (F.col("gold_intent") == F.col("pred_intent")))
+        stats += [n.alias("c_present_n"), hits.alias("c_hit_n"), F.when(n > 0, hits / n).alias("c_hit_rate"), right.alias("c_hit_correct_n"), F.when(hits > 0, right / hits).alias("c_correct_given_hit")]
+    return stats
+
+
 def wer_bands(pairs: DataFrame) -> DataFrame:
-    """Accuracies and errors by model and fixed band of word error rate, and in ALL; rows without a rate are left out."""
+    """bin_stats and errors by model and fixed band of word error rate, and in ALL; rows without a rate are left out."""
     s, a = F.col("gold_scenario") == F.col("pred_scenario"), F.col("gold_action") == F.col("pred_action")
     rows = pairs.where(F.col("wer").isNotNull()).withColumn("band", band(F.col("wer")))
     found = rows.withColumn("band", F.explode(F.array("band", F.lit("ALL")))).groupBy("model", "band")
-    return found.agg(*accuracies(rows), F.count_if(s & ~a).alias("action_only"), F.count_if(~s & a).alias("scenario_only"), F.count_if(~s & ~a).alias("both"))
+    return found.agg(*bin_stats(rows), F.count_if(s & ~a).alias("action_only"), F.count_if(~s & a).alias("scenario_only"), F.count_if(~s & ~a).alias("both"))
+
 
+def quantile_edges(values: DataFrame, column: str, bins: int, limit: float = 1.0) -> list[float]:
+    """Edges of bins of equal numbers: exact, linearly interpolated quantiles of the values up to the limit, the ends put to 0 and the limit.
 
-def quantile_edges(values: DataFrame, column: str, bins: int) -> list[float]:
-    """Exact, linearly interpolated quantile edges of a column, from its counts; the ends are 0 and the largest value."""
-    at = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    edges = counted.agg(F.percentile(column, at, F.col("n")).alias("edges")).head()["edges"]
-    return [] if edges is None else [0.0, *edges[1:-1], edges[-1]]
+    No more bins than values; no edge lies below the one before it; no values give no edges.
+    """
+    within = values.where(F.col(column) <= limit)
+    n = within.where(F.col(column).isNotNull()).count()
+    if not n:
+        return []
+    bins = min(bins, n)
+    found = exact_quantiles(within, [column], [k / bins for k in range(bins + 1)]).head()["values"]
+    edges = [0.0, *found[1:-1], float(limit)]
+    for k in range(1, len(edges)):
+        edges[k] = max(edges[k], edges[k - 1])
+    return edges
 
 
-def linear_edges(width: float, limit: float) -> list[float]:
-    return [round(k * width, 12) for k in range(round(limit / width) + 1)]
+def linear_edges(width: float, limit: float = 1.0) -> list[float]:
+    """Edges of one width in whole percents; the last bin ends at the limit and may be narrower."""
+    step, last = round(width * 100), round(limit * 100)
+    return [*[k / 100 for k in range(0, last, step)], last / 100]
 
 
-def log_edges(least: float, limit: float, bins: int) -> list[float]:
-    """A bin for 0, then geometric ones."""
-    step = (limit / least) ** (1 / bins)
-    return [0.0, *[least * step**k for k in range(bins)], limit]
+def log_edges(values: DataFrame, column: str, bins: int, limit: float = 1.0, least: float = 1e-4) -> list[float]:
+    """A bin for zero and what lies below the start, then bins - 1 geometric ones up to the limit.
+
+    The start is the least positive value up to the limit, but not below `least`; where there is none, or it is not below the limit,
+    one bin holds all.
+    """
+    found = values.where((F.col(column) > 0) & (F.col(column) <= limit)).agg(F.min(column).alias("start")).head()["start"]
+    start = limit if found is None else max(least, float(found))
+    if start >= limit:
+        return [0.0, float(limit)]
+    n = max(1, bins - 1)
+    return [0.0, *[start * (limit / start) ** (k / n) for k in range(n)], float(limit)]
 
 
 def wer_bins(pairs: DataFrame, edges: Sequence[float], column: str = "wer", overflow: bool = True) -> DataFrame:
@@ -107,11 +144,29 @@ def wer_bins(pairs: DataFrame, edges: Sequence[float], column: str = "wer", over
     return pairs.withColumn("bin", index).where("bin IS NOT NULL").withColumns({"low": low, "high": high})
 
 
-def bin_metrics(binned: DataFrame, least: int = 1) -> DataFrame:
-    """Accuracies and entity scores by model and bin with at least so many rows."""
-    counted = binned.withColumns(dict(zip(("tp", "fp", "fn"), set_counts(F.col("gold_entities"), F.col("pred_entities")), strict=True)))
-    found = counted.groupBy("model", "bin", "low", "high").agg(*accuracies(binned), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return with_prf(found.where(F.col("n") >= least))
+def bin_metrics(binned: DataFrame, least: int = 1, edges: Sequence[float] = ()) -> DataFrame:
+    """bin_stats by model and bin with at least so many rows. With edges, every model has a row for each of their bins: where it has
+    too few rows, n says how many, and scores are null."""
+    by = ["model", "bin", "low", "high"]
+    found = binned.groupBy(*by).agg(*bin_stats(binned))
+    if not edges:
+        return found.where(F.col("n") >= least)
+    grid = F.array(*[F.struct(F.lit(k).alias("bin"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+    every = binned.select("model").distinct().select("model", F.explode(grid).alias("b")).select("model", "b.*")
+    stats = [c for c in found.columns if c not in (*by, "n")]
+    full = every.join(found.drop("low", "high"), ["model", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = [c for c in stats if c.endswith("_n")]
+    return full.select(*by, "n", *[F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.when(F.col("n") >= least, F.col(c)).alias(c) for c in stats])
+
+
+def bin_table(metrics: DataFrame) -> DataFrame:
+    """The metrics as text cells, ready to be written as CSV: edges with four digits (inf for none), scores with six, empty where null."""
+    percent = lambda c: F.regexp_replace(F.format_string("%.1f", F.col(c) * 100), r"\.0$", "")
+    label = F.when(F.col("high").isNull(), F.concat(F.lit(">"), percent("low"))).otherwise(F.concat_ws("-", percent("low"), percent("high")))
+    score = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c))), F.lit("")).alias(c)
+    scores = [c for c, t in metrics.dtypes if t == "double" and c not in ("low", "high")]
+    rest = [score(c) if c in scores else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in metrics.columns if c not in ("model", "bin", "low", "high")]
+    return metrics.select("model", label.alias("bin_label"), F.format_string("%.4f", "low").alias("bin_lo"), F.coalesce(F.when(F.col("high").isNotNull(), F.format_string("%.4f", F.col("high"))), F.lit("inf")).alias("bin_hi"), *rest)
 
 
 def absorption(pairs: DataFrame, suspects: Sequence[str], level: str = "intent", n: int = 10) -> DataFrame:
@@ -124,19 +179,19 @@ def absorption(pairs: DataFrame, suspects: Sequence[str], level: str = "intent",
 
 
 def frequency_bias(pairs: DataFrame, level: str = "intent", n: int = 15) -> DataFrame:
-    """X11: share of a label among gold and among wrong predictions; their ratio is infinite for labels that are never gold."""
+    """X11: share of a label among gold and among wrong predictions, the largest of the latter first; their ratio is infinite for labels that are never gold."""
     gold = pairs.groupBy(F.col(f"gold_{level}").alias("label")).agg(F.count(F.lit(1)).alias("golds"))
     bad = wrong(pairs, level).groupBy(F.col("pred").alias("label")).agg(F.count(F.lit(1)).alias("errors"))
     totals = gold.agg(F.sum("golds").alias("all_golds")).crossJoin(bad.agg(F.sum("errors").alias("all_errors")))
     both = gold.join(bad, "label", "full_outer").na.fill(0, ["golds", "errors"]).crossJoin(F.broadcast(totals))
     shares = both.select("label", (F.col("golds") / F.col("all_golds")).alias("gold_share"), ratio(F.col("errors").cast("double"), F.col("all_errors")).alias("error_share"))
-    return shares.withColumn("ratio", F.when(F.col("gold_share") > 0, F.col("error_share") / F.col("gold_share")).otherwise(F.lit(float("inf")))).orderBy(F.col("ratio").desc(), "label").limit(n)
+    return shares.withColumn("ratio", F.when(F.col("gold_share") > 0, F.col("error_share") / F.col("gold_share")).otherwise(F.lit(float("inf")))).orderBy(F.col("error_share").desc(), "label").limit(n)
 
 
 def error_graph(pairs: DataFrame, level: str = "intent") -> DataFrame:
-    """Edges gold -> pred of at least max(5, 0.5 % of errors), with the weight that reaches pred, and whether pred is a hub."""
+    """Edges gold -> pred of at least max(5, 0.5 % of errors, rounded down), with the weight that reaches pred, and whether pred is a hub."""
     edges = wrong(pairs, level).groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("weight"))
-    least = edges.agg(F.greatest(F.lit(5.0), 0.005 * F.sum("weight")).alias("least"))
+    least = edges.agg(F.greatest(F.lit(5), F.floor(F.sum("weight") * F.lit(0.005))).alias("least"))
     edges = edges.crossJoin(F.broadcast(least)).where("weight >= least").drop("least")
     into = edges.groupBy("pred").agg(F.sum("weight").alias("in_weight"))
     most = into.agg(F.max("in_weight").alias("most"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .vocabulary import dot, mean_vectors, unit
 
 UNKNOWN = "__unknown__"
@@ -76,10 +77,13 @@ def with_margins(df: DataFrame) -> DataFrame:
 
 
 def margin_stats(df: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
-    """Mean, median and positive share of margins and normalised margins, and their 10 and 90 % points."""
-    m = with_margins(df)
-    stats = [f for c in ("margin", "normalised") for f in (F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.percentile(c, F.lit(0.1)).alias(f"{c}_p10"), F.percentile(c, F.lit(0.9)).alias(f"{c}_p90"))]
-    return m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("margin") > 0).cast("int")).alias("positive"), *stats)
+    """Mean, median and positive share of margins and normalised margins, and their 10 and 90 % points, all exact."""
+    names = ("margin", "normalised")
+    m = with_margins(df).select(*by, *names)
+    means = m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("margin") > 0).cast("int")).alias("positive"), *[F.avg(c).alias(f"{c}_mean") for c in names])
+    points = exact_quantiles(m, names, (0.5, 0.1, 0.9), by)
+    wide = points.groupBy(*by).agg(*[F.max(F.when(F.col("name") == c, F.col("values")[k])).alias(f"{c}_{p}") for c in names for k, p in enumerate(("median", "p10", "p90"))])
+    return means.join(wide, list(by), "left") if by else means.crossJoin(wide)
 
 
 def fisher_ratio(df: DataFrame) -> DataFrame:
@@ -156,25 +160,45 @@ def pca_2d(df: DataFrame) -> tuple[DataFrame, list[float]]:
     return out.select(*df.columns, F.col("p")[0].alias("x"), F.col("p")[1].alias("y")), model.explainedVariance.toArray().tolist()
 
 
+#: Signs that one hash of a row gives.
+SIGNS = 64
+
+
+def sign_sums(key: np.ndarray, d: np.ndarray, iters: int, seed: int) -> np.ndarray:
+    """Sums of d under each iteration's signs, which are bits of a hash of the row's key and of a block of SIGNS iterations."""
+    out = np.empty(-(-iters // SIGNS) * SIGNS)
+    for block in range(len(out) // SIGNS):
+        x = key + np.uint64(((seed << 20) + block + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[block * SIGNS : (block + 1) * SIGNS] = 2.0 * (d @ bits) - d.sum()
+    return out[:iters]
+
+
 def paired_test(pairs: DataFrame, iters: int = 200, seed: int = 0, t: float = 0.95) -> DataFrame:
-    """pairs(key, a, b): means, medians, points of the ratio a/b, shares, and the sign-flip p-value of the mean difference.
+    """pairs(key, a, b): means, medians, points of the ratio a/b, shares, and sign-flip p-values of the mean difference.
 
-    Every partition adds up its own differences under each iteration's seeded signs; only the sums meet.
+    p_value is two-sided, p_lower counts flipped means no larger than the one seen, p_upper none smaller. Every batch adds up its
+    own differences under each iteration's signs, which only depend on key, seed and iteration; only the sums meet.
     """
-    stats = pairs.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.median("a").alias("median_a"), F.median("b").alias("median_b"),
-        F.percentile(F.col("a") / F.col("b"), F.lit(0.1)).alias("ratio_p10"), F.percentile(F.col("a") / F.col("b"), F.lit(0.9)).alias("ratio_p90"),
-        F.avg((F.col("a") < F.col("b")).cast("int")).alias("share_less"), F.avg((F.col("a") <= t * F.col("b")).cast("int")).alias("share_t"), F.avg(F.col("a") - F.col("b")).alias("difference"),
+    rows = pairs.select("key", "a", "b", (F.col("a") / F.greatest("b", F.lit(1e-12))).alias("ratio"), (F.col("a") - F.col("b")).alias("d"))
+    stats = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("ratio").alias("ratio_mean"),
+        F.avg((F.col("a") < F.col("b")).cast("int")).alias("share_less"), F.avg((F.col("a") <= t * F.col("b")).cast("int")).alias("share_t"), F.avg("d").alias("difference"),
     )
+    points = exact_quantiles(rows, ["a", "b", "ratio", "d"], (0.5, 0.1, 0.9))
+    value = lambda name, k: F.max(F.when(F.col("name") == name, F.col("values")[k]))
+    wide = points.agg(value("a", 0).alias("median_a"), value("b", 0).alias("median_b"), value("d", 0).alias("difference_median"), value("ratio", 0).alias("ratio_median"), value("ratio", 1).alias("ratio_p10"), value("ratio", 2).alias("ratio_p90"))
 
     def flipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(iters)
         for b in batches:
-            d = (b["a"] - b["b"]).to_numpy()
-            for key, x in zip(b["h"].to_numpy().astype(np.uint64), d, strict=True):
-                total += x * (2.0 * np.random.default_rng([seed, int(key)]).integers(0, 2, iters) - 1.0)
+            total += sign_sums(b["h"].to_numpy().astype(np.uint64), b["d"].to_numpy(), iters, seed)
         yield pd.DataFrame({"i": np.arange(iters), "s": total})
 
-    sums = pairs.select("a", "b", F.xxhash64("key").alias("h")).mapInPandas(flipped, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))
-    p = sums.crossJoin(F.broadcast(stats.select("difference", "n"))).agg(((F.count_if(F.abs(F.col("s") / F.col("n")) >= F.abs("difference") - 1e-12) + 1) / F.lit(float(iters + 1))).alias("p_value"))
-    return stats.crossJoin(p)
+    sums = rows.select("d", F.xxhash64("key").alias("h")).mapInPandas(flipped, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    mean, seen = F.col("s") / F.col("n"), F.col("difference")
+    p = lambda c: ((F.count_if(c) + 1) / F.lit(float(iters + 1)))
+    tests = sums.crossJoin(F.broadcast(stats.select("difference", "n"))).agg(p(F.abs(mean) >= F.abs(seen) - 1e-12).alias("p_value"), p(mean <= seen + 1e-12).alias("p_lower"), p(mean >= seen - 1e-12).alias("p_upper"))
+    return stats.crossJoin(wide).crossJoin(tests)

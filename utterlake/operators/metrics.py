@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalise import clean, weak_intent
+from ..functions.spans import slu_counts
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -182,10 +183,19 @@ def format_adjusted(rows: DataFrame, bonus: float, penalty: float, column: str =
 
 
 def run_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Means of reward, accuracies and coverage, and f1 of the summed entity counts."""
-    counted = rows.withColumns(dict(zip(("tp", "fp", "fn"), set_counts(F.col("gold_entities"), F.col("pred_entities")), strict=True)))
-    means = [F.avg(c).alias(c) for c in ("reward", "rationale_coverage")]
-    return with_prf(counted.groupBy(*by).agg(*accuracies(rows), *means, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    """Means of reward, accuracies, the rows' entity f1 and coverage, the share of rows of full coverage, and SLU-F1 of the summed
+    word and char counts of the greedy matching by distance. No rows at all give one row of zeros, unless by groups."""
+    sums = {f"slu_{c}": _summed("__slu", c) for c in ("tp", "fp", "fn")}
+    counted = row_entity_f1(rows).withColumn("__slu", slu_counts("gold_entities", "pred_entities")).withColumns(sums)
+    means = [F.avg(c).alias(name) for c, name in (("reward", "reward"), ("entity_f1", "entity_f1"), ("rationale_coverage", "rationale_coverage"))]
+    found = counted.groupBy(*by).agg(*accuracies(rows), *means, F.avg((F.col("rationale_coverage") == 1).cast("int")).alias("rationale_full"), *[F.sum(c).alias(c) for c in sums])
+    found = found.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in found.columns if c not in by])
+    p, r = (ratio(F.col("slu_tp"), F.col("slu_tp") + F.col(c)) for c in ("slu_fp", "slu_fn"))
+    return found.withColumn("slu_f1", ratio(2 * p * r, p + r))
+
+
+def _summed(counts: str, field: str) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda n, x: n + x[field])
 
 
 def boundary_metrics(joined: DataFrame) -> DataFrame:
@@ -241,15 +251,16 @@ def crj_candidates(rows: DataFrame, strict_r: bool = False) -> DataFrame:
     return found.select(F.inline(F.array(*subsets)))
 
 
-def crj_report(rows: DataFrame, optional_r: bool = True) -> DataFrame:
-    """rows(has_c, has_r, has_j, valid_j booleans, n_candidates): counts, ratios and candidate numbers."""
-    whole = F.col("has_c") & F.col("has_j") & (F.lit(optional_r) | F.col("has_r"))
-    flags = {"c": F.col("has_c"), "r": F.col("has_r"), "j": F.col("has_j"), "crj": whole, "strict": F.col("has_c") & F.col("has_r") & F.col("has_j"), "valid": F.col("valid_j")}
-    counts = rows.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()], F.avg("n_candidates").alias("mean_candidates"),
-        F.median("n_candidates").alias("median_candidates"), F.min("n_candidates").alias("least_candidates"), F.max("n_candidates").alias("most_candidates"),
-    )
-    return counts.withColumn("n_crj_valid", F.least("n_crj", "n_valid")).withColumns({f"{k}_ratio": ratio(F.col(f"n_{k}").cast("double"), F.col("n")) for k in flags})
+def crj_report(rows: DataFrame, strict_r: bool = False) -> DataFrame:
+    """rows(has_c, has_r, has_j, valid_j booleans, n_intents, n_slots): how many have each part, R in its own right (r_nonempty) or
+    because it may be missing (r), all three lines (strict), all that is needed (crj), a valid J, and the lesser of the last two; with shares."""
+    single = F.col("has_c") & (F.col("n_intents") <= 1) & (F.col("n_slots") <= 1)
+    flags = {
+        "c": F.col("has_c"), "r_nonempty": F.col("has_r"), "r": F.col("has_r") | (single & F.lit(not strict_r)), "j": F.col("has_j"), "r_optional": single, "strict": F.col("has_c") & F.col("has_r") & F.col("has_j"),
+        "crj": is_crj(strict_r), "valid": F.col("valid_j"),
+    }
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()]).withColumn("n_crj_valid", F.least("n_crj", "n_valid"))
+    return counts.withColumns({f"{k}_ratio": ratio(F.col(f"n_{k}").cast("double"), F.col("n")) for k in (*flags, "crj_valid")})
 
 
 def failing(rows: DataFrame, condition: Column, n: int, pos: str = "pos", key: str = "key") -> DataFrame:

@@ -95,9 +95,11 @@ def m16_contrast(spark, d):
 
 
 def m17(spark, d):
-    n = F.col("n")
-    rows = V.candidates(spark, d).select((n % 10 != 0).alias("has_c"), (n % 4 != 0).alias("has_r"), (n % 7 != 0).alias("has_j"), (n % 14 != 1).alias("valid_j"), F.size("candidates").alias("n_candidates"))
-    return V.rounded(M.crj_report(rows))
+    return V.rounded(M.crj_report(_crj(spark, d)))
+
+
+def m17_strict(spark, d):
+    return V.rounded(M.crj_report(_crj(spark, d), strict_r=True))
 
 
 def m16_overlap(spark, d):
@@ -156,7 +158,7 @@ def w1(spark, d):
 
 QUERIES = {
     "w1_evaluate": w1, "m1_label_f1": m1, "m1_label_f1_macro": m1_macro, "m2_span_f1": m2, "m3_entity_set_f1": m3, "m3_row_entity_f1": m3_row, "m6_evaluate": m6, "m7_compare_label_f1": m7, "m11_reward": m11,
-    "m12_candidate_stats": m12, "m13_success_score": m13, "m13_slot_names": m13_slots, "m16_boundary_contrast": m16_contrast, "m14_rationale_coverage": m14, "m15_run_summary": m15, "m16_boundary_metrics": m16, "m16_rationale_overlap": m16_overlap, "m17_crj_report": m17, "m17_crj_candidates": m17_candidates, "m17_failing_ids": m17_failing, "m18_rank_runs": m18, "m18_expand_grid": m18_grid,
+    "m12_candidate_stats": m12, "m13_success_score": m13, "m13_slot_names": m13_slots, "m16_boundary_contrast": m16_contrast, "m14_rationale_coverage": m14, "m15_run_summary": m15, "m16_boundary_metrics": m16, "m16_rationale_overlap": m16_overlap, "m17_crj_report": m17, "m17_crj_report_strict": m17_strict, "m17_crj_candidates": m17_candidates, "m17_failing_ids": m17_failing, "m18_rank_runs": m18, "m18_expand_grid": m18_grid,
     "m19_group_advantage": m19, "m19_group_diversity": m19_diversity,
 }
 
@@ -206,15 +208,19 @@ SQL = {
     v AS (SELECT *, len(rejected) + len(slots) AS total, len(list_filter(rejected, lambda x: (x = pred_intent AND n % 5 <> 0) OR (x = 'other_a0' AND n % 6 <> 0))) + len(list_filter(slots, lambda x: (x = 'r' AND n % 4 <> 0) OR x = 'x')) AS covered FROM r)
     SELECT key, CAST(round(CASE WHEN total = 0 THEN 1.0 ELSE covered / total END, 6) AS DOUBLE) AS rationale_coverage,
       CAST(round(CASE WHEN hit THEN 0.5 ELSE 0 END + CASE WHEN len(list_intersect(slots, golds)) > 0 THEN 0.25 ELSE 0 END + 0.1 * greatest(0.0, 1 - abs(k - 3) / 3.0), 6) AS DOUBLE) AS bonus, CAST(CASE WHEN format_ok THEN 1.2 ELSE 0.7 END AS DOUBLE) AS reward FROM v""",
-    "m15_run_summary": f"""WITH {V.CANDIDATES}, r AS (SELECT *, CAST(gold_scenario = pred_scenario AS INT) + CAST(gold_action = pred_action AS INT) + 0.5 * CAST(gold_intent = pred_intent AS INT) + entity_f1 AS reward, list_filter(candidates, lambda x: x <> gold_intent) AS rejected FROM c),
-    v AS (SELECT *, CASE WHEN len(rejected) = 0 THEN 1.0 ELSE len(list_filter(rejected, lambda x: list_contains(reasoned, x))) / len(rejected) END AS cov FROM r),
-    a AS (SELECT model, {V.ACCURACIES}, round(avg(reward), 6) AS reward, round(avg(cov), 6) AS rationale_coverage, {V.SUMS} FROM v GROUP BY model) SELECT *, {V.PRF6} FROM a""",
+    "m15_run_summary": f"""WITH RECURSIVE {V.CANDIDATES}, {V.GREEDY}, r AS (SELECT *, CAST(gold_scenario = pred_scenario AS INT) + CAST(gold_action = pred_action AS INT) + 0.5 * CAST(gold_intent = pred_intent AS INT) + entity_f1 AS reward, list_filter(candidates, lambda x: x <> gold_intent) AS rejected FROM c),
+    v AS (SELECT *, CASE WHEN len(rejected) = 0 THEN 1.0 ELSE len(list_filter(rejected, lambda x: list_contains(reasoned, x))) / len(rejected) END AS cov FROM r), k AS (SELECT key, sum(tp) AS st, sum(fp) AS sf, sum(fn) AS sn FROM gc GROUP BY key),
+    a AS (SELECT model, {V.ACCURACIES}, round(avg(reward), 6) AS reward, round(avg(entity_f1), 6) AS entity_f1, round(avg(cov), 6) AS rationale_coverage, round(avg(CAST(cov = 1 AS INT)), 6) AS rationale_full, round(sum(coalesce(st, 0)), 6) AS slu_tp, round(sum(coalesce(sf, 0)), 6) AS slu_fp, round(sum(coalesce(sn, 0)), 6) AS slu_fn FROM v LEFT JOIN k USING (key) GROUP BY model)
+    SELECT *, round(CASE WHEN slu_tp > 0 THEN 2 * slu_tp / (2 * slu_tp + slu_fp + slu_fn) ELSE 0.0 END, 6) AS slu_f1 FROM a""",
     "m16_boundary_metrics": f"""WITH {V.PAIRS}, j AS (SELECT *, gold_scenario || '_a0' AS parent, CASE WHEN n % 2 = 0 THEN gold_scenario || '_a0' ELSE gold_intent END AS baseline FROM pairs),
     f AS (SELECT baseline = parent AND parent <> gold_intent AS missed, pred_intent = gold_intent AS ok, ln((n + 1) / 200.0) - CASE WHEN gold_intent = parent THEN ln((n + 1) / 200.0) ELSE ln(0.25) END AS contrast FROM j)
     SELECT count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS accuracy, count_if(missed) AS parent_errors, count_if(missed AND ok) AS recovered, round(avg(CAST(ok AS INT)) FILTER (missed), 6) AS recovery_rate, round(avg(contrast), 6) AS contrast FROM f""",
-    "m17_crj_report": f"""WITH {V.CANDIDATES}, f AS (SELECT n % 10 <> 0 AS c_, n % 4 <> 0 AS r_, n % 7 <> 0 AS j_, n % 14 <> 1 AS v_, len(candidates) AS k FROM c),
-    a AS (SELECT count(*) AS n, count_if(c_) AS n_c, count_if(r_) AS n_r, count_if(j_) AS n_j, count_if(c_ AND j_) AS n_crj, count_if(c_ AND r_ AND j_) AS n_strict, count_if(v_) AS n_valid, round(avg(k), 6) AS mean_candidates, CAST(median(k) AS DOUBLE) AS median_candidates, CAST(min(k) AS INT) AS least_candidates, CAST(max(k) AS INT) AS most_candidates FROM f)
-    SELECT *, least(n_crj, n_valid) AS n_crj_valid, round(n_c / n, 6) AS c_ratio, round(n_r / n, 6) AS r_ratio, round(n_j / n, 6) AS j_ratio, round(n_crj / n, 6) AS crj_ratio, round(n_strict / n, 6) AS strict_ratio, round(n_valid / n, 6) AS valid_ratio FROM a""",
+    "m17_crj_report": f"""WITH {V.PAIRS}, f AS (SELECT n % 10 <> 0 AS c_, n % 4 <> 0 AS r_, n % 7 <> 0 AS j_, n % 14 <> 1 AS v_, n % 10 <> 0 AND n % 3 <= 1 AND n % 2 <= 1 AS o_ FROM pairs),
+    a AS (SELECT count(*) AS n, count_if(c_) AS n_c, count_if(r_) AS n_r_nonempty, count_if(r_ OR o_) AS n_r, count_if(j_) AS n_j, count_if(o_) AS n_r_optional, count_if(c_ AND r_ AND j_) AS n_strict, count_if(c_ AND j_ AND (r_ OR o_)) AS n_crj, count_if(v_) AS n_valid FROM f), b AS (SELECT *, least(n_crj, n_valid) AS n_crj_valid FROM a)
+    SELECT *, {", ".join(f"round(n_{k} / n, 6) AS {k}_ratio" for k in ("c", "r_nonempty", "r", "j", "r_optional", "strict", "crj", "valid", "crj_valid"))} FROM b""",
+    "m17_crj_report_strict": f"""WITH {V.PAIRS}, f AS (SELECT n % 10 <> 0 AS c_, n % 4 <> 0 AS r_, n % 7 <> 0 AS j_, n % 14 <> 1 AS v_, n % 10 <> 0 AND n % 3 <= 1 AND n % 2 <= 1 AS o_ FROM pairs),
+    a AS (SELECT count(*) AS n, count_if(c_) AS n_c, count_if(r_) AS n_r_nonempty, count_if(r_) AS n_r, count_if(j_) AS n_j, count_if(o_) AS n_r_optional, count_if(c_ AND r_ AND j_) AS n_strict, count_if(c_ AND j_ AND r_) AS n_crj, count_if(v_) AS n_valid FROM f), b AS (SELECT *, least(n_crj, n_valid) AS n_crj_valid FROM a)
+    SELECT *, {", ".join(f"round(n_{k} / n, 6) AS {k}_ratio" for k in ("c", "r_nonempty", "r", "j", "r_optional", "strict", "crj", "valid", "crj_valid"))} FROM b""",
     "m18_rank_runs": f"WITH {V.PAIRS}, r AS (SELECT n % 20 AS index, round(avg(wer), 6) AS w FROM pairs GROUP BY 1), g AS (SELECT index, CASE WHEN index % 5 = 4 THEN NULL ELSE w END AS value FROM r WHERE index % 6 <> 5) SELECT index, value, CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, index) AS INT) AS rank FROM g",
     "m18_expand_grid": "SELECT a, b, CAST(row_number() OVER (ORDER BY a, b) AS INT) AS index FROM (SELECT DISTINCT event_type AS a FROM events) CROSS JOIN (SELECT DISTINCT user_id % 4 AS b FROM events)",
     "m19_group_advantage": f"WITH {V.PAIRS}, s AS (SELECT key, key % 500 AS prompt_id, CAST(n % 4 AS DOUBLE) AS reward FROM pairs), w AS (SELECT *, avg(reward) OVER (PARTITION BY prompt_id) AS mu, stddev_pop(reward) OVER (PARTITION BY prompt_id) AS sd FROM s) SELECT key, prompt_id, round((reward - mu) / (CASE WHEN sd = 0 THEN 1 ELSE sd END + 1e-6), 5) AS advantage FROM w",

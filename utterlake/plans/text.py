@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions import normalise as N
 from ..functions import parsing as P
+from ..functions import spans as SP
 from . import views as V
 
 
@@ -269,16 +270,23 @@ def m5(spark, d):
     return V.rounded(D.slu_f1(V.entities(spark, d)))
 
 
+def d19_far(spark, d):
+    """Two of up to five texts: the first, and the farthest from it, the first of equals."""
+    i = F.col("event_id")
+    t = V.table(spark, d, "events").select("event_id", F.array("event_type", F.concat(F.lit(" "), F.upper("event_type")), F.when(i % 3 == 0, F.concat_ws(" ", "event_type", "user_id")), F.when(i % 2 == 0, F.lit("Four  ")).otherwise(F.lit("")), F.lit("some"), F.lit("other")).alias("n"))
+    return t.select("event_id", F.array_join(SP.diverse_nbest("n", 2), "|").alias("chosen"))
+
+
 def d19(spark, d):
     t = V.table(spark, d, "events").select("event_id", F.array("event_type", F.upper("event_type"), F.concat_ws(" ", "event_type", "user_id"), F.lit("something else")).alias("n"))
-    return t.select("event_id", F.array_join(D.diverse_nbest("n", 3), "|").alias("chosen"))
+    return t.select("event_id", F.array_join(SP.diverse_nbest("n", 3), "|").alias("chosen"))
 
 
 QUERIES = {
     "n1_span_filler": n1, "n2_gold_by_file": n2, "n3_bio_spans": n3, "n4_label_runs": n4, "n5_label_from_record": n5, "n6_split_massive_intent": n6, "n7_to_utterances": n7, "n8_fix_mojibake": n8, "n8_fix_mojibake_locale": n8_locale, "n9_normalize_massive_id": n9, "n10_normalize_entity": n10, "n11_normalize_intent": n11,
     "n12_sample_id": n12, "n13_conversation_pair": n13, "n13_bullet_candidates": n13_bullets, "n14_standard_entities": n14, "n15_select_input_text": n15, "p1_extract_json": p1, "p2_parse_j": p2, "p3_parse_prediction_label": p3, "p4_extract_final": p4, "p5_recover_predictions": p5,
     "p6_extract_crj": p6, "p6_extract_crj_apart": p6_apart, "p16_complete_final_later": p16_later, "m9_per_phones": m9_phones, "p7_prefixed_line": p7, "p8_candidates": p8, "p9_c_block_candidates": p9, "p10_rationale_pairs": p10, "p11_sanitize_c_line": p11, "p12_extract_answer_json": p12, "p13_format_output": p13, "p14_parse_metrics": p14, "p15_validate_topk": p15, "p16_complete_final": p16, "p17_scrub_phones": p17,
-    "m4_span_distance_f1": m4, "m5_slu_f1": m5, "m8_wer": m8, "m9_per": m9, "m10_nbest_report": m10, "d19_diverse_nbest": d19,
+    "m4_span_distance_f1": m4, "m5_slu_f1": m5, "m8_wer": m8, "m9_per": m9, "m10_nbest_report": m10, "d19_diverse_nbest": d19, "d19_diverse_nbest_far": d19_far,
 }
 
 _TOK = r"t AS (SELECT *, doc_id * 31 % len(w) + 1 AS lo, doc_id * 7 % len(w) + 1 AS other FROM (SELECT doc_id, lang, text, string_split_regex(trim(text), '[\x20\x09-\x0D]+') AS w FROM documents))"
@@ -330,4 +338,9 @@ SQL = {
     "p17_scrub_phones": "SELECT event_id, 'say AH0 ' || event_type || ' IY1 NOTAH x' AS text FROM events",
     "m8_wer": "SELECT event_id, round((CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4, 6) AS wer, round(levenshtein(r, h) / greatest(length(r), length(h)), 6) AS char_distance FROM (SELECT event_id, user_id, lower(event_type || ' the user ' || user_id) AS r, CASE WHEN event_id % 2 = 0 THEN event_type || ' ' ELSE '' END || 'the user ' || (user_id % 7) AS h FROM events)",
     "m10_nbest_report": "WITH w AS (SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4 AS w FROM events WHERE event_id % 10 <> 0) SELECT (SELECT count(*) FROM events) AS n, count(*) AS scored, round(avg(w), 6) AS top1_wer, 0.0::DOUBLE AS oracle_wer, round(avg(w), 6) AS gap FROM w",
+    "m4_span_distance_f1": f"WITH RECURSIVE {V.ENTITIES}, {V.GREEDY}, a AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM gc WHERE kind = 'word' GROUP BY GROUPING SETS ((label), ())) SELECT coalesce(label, 'overall') AS label, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, {V.PRF6} FROM a",
+    "m5_slu_f1": f"WITH RECURSIVE {V.ENTITIES}, {V.GREEDY}, a AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM gc GROUP BY GROUPING SETS ((label), ())) SELECT coalesce(label, 'overall') AS label, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, {V.PRF6} FROM a",
+    "d19_diverse_nbest": "SELECT event_id, event_type || '|' || event_type || ' ' || user_id || '|something else' AS chosen FROM events",
+    "d19_diverse_nbest_far": """WITH t AS (SELECT event_id, event_type AS first, list_filter([CASE WHEN event_id % 3 = 0 THEN event_type || ' ' || user_id END, CASE WHEN event_id % 2 = 0 THEN 'Four  ' ELSE '' END, 'some', 'other'], lambda x: x IS NOT NULL) AS r FROM events),
+    d AS (SELECT event_id, first, unnest(r) AS x, generate_subscripts(r, 1) AS i FROM t) SELECT event_id, first || '|' || arg_max(x, levenshtein(lower(trim(x)), first) * 10 - i) AS chosen FROM d GROUP BY event_id, first""",
 }

@@ -84,6 +84,23 @@ CANDIDATES = f"""{MATCHED},
 c AS (SELECT *, list_distinct(list_filter([CASE WHEN n % 4 <> 0 THEN gold_intent END, CASE WHEN n % 3 <> 0 THEN pred_intent END, CASE WHEN n % 2 = 0 THEN 'other_a0' END, CASE WHEN n % 7 = 0 THEN 'other_a1' END], lambda x: x IS NOT NULL)) AS candidates,
   list_filter([CASE WHEN n % 5 <> 0 THEN pred_intent END, CASE WHEN n % 6 <> 0 THEN 'other_a0' END], lambda x: x IS NOT NULL) AS reasoned, n % 10 <> 0 AS format_ok FROM m)"""
 
+#: Shared, gold and predicted entities of each key, entities that repeat counted as often; s.n and the like are null for keys without any.
+MULTISETS = """gm AS (SELECT key, type, filler, count(*) AS n FROM ge GROUP BY ALL), pm AS (SELECT key, type, filler, count(*) AS n FROM pe GROUP BY ALL),
+ms AS (SELECT key, sum(g) AS golds, sum(p) AS preds, sum(least(g, p)) AS shared FROM (SELECT coalesce(gm.key, pm.key) AS key, coalesce(gm.n, 0) AS g, coalesce(pm.n, 0) AS p FROM gm FULL JOIN pm ON gm.key = pm.key AND gm.type = pm.type AND gm.filler = pm.filler) GROUP BY key)"""
+
+#: Greedy matching by distance, a prediction a step: label, tp, fp, fn of every step and of every gold entity left. Needs WITH RECURSIVE.
+GREEDY = """gl AS (SELECT key, coalesce(list({'t': gt, 'f': filler} ORDER BY pos, l_partkey, gt, filler) FILTER (pos <= 4), []) AS g, coalesce(list({'t': pt, 'f': filler} ORDER BY pos, l_partkey, pt, filler) FILTER (pos BETWEEN 2 AND 6), []) AS p FROM l GROUP BY key),
+wk AS (
+  SELECT key, kind, 0 AS i, range(1, len(g) + 1) AS rest, CAST(NULL AS STRUCT(d DOUBLE, i BIGINT)) AS best FROM gl CROSS JOIN (SELECT unnest(['word', 'char']) AS kind)
+  UNION ALL
+  SELECT key, kind, i, list_filter(rest, lambda x: b IS NULL OR x <> b.i), b FROM (
+    SELECT w.key, kind, w.i + 1 AS i, rest, list_min(list_transform(list_filter(rest, lambda x: g[x].t = p[w.i + 1].t), lambda x: {'d': CASE WHEN kind = 'word' THEN CAST(g[x].f <> p[w.i + 1].f AS INT)::DOUBLE ELSE levenshtein(g[x].f, p[w.i + 1].f) / greatest(length(g[x].f), length(p[w.i + 1].f)) END, 'i': x})) AS b
+    FROM wk AS w JOIN gl ON gl.key = w.key WHERE w.i < len(p))),
+gc AS (
+  SELECT key, kind, p[i].t AS label, CASE WHEN best IS NULL THEN 0.0 ELSE 1.0 END AS tp, CASE WHEN best IS NULL THEN 1.0 ELSE best.d END AS fp, CASE WHEN best IS NULL THEN 0.0 ELSE best.d END AS fn FROM wk JOIN gl USING (key) WHERE i > 0
+  UNION ALL
+  SELECT key, kind, g[x].t, 0.0, 0.0, 1.0 FROM (SELECT key, kind, unnest(rest) AS x, g FROM wk JOIN gl USING (key) WHERE i = len(p)))"""
+
 #: Scores of a table of counts, as columns.
 PRF = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1"""
 PRF6 = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1"""
