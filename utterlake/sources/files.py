@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import read_records
+
+__all__ = ["read_corpus", "read_csv_json", "read_jsonl", "read_records", "write_csv_json", "write_jsonl"]
+
 
 def _schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -24,53 +26,6 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str | T.S
     return found.where("r._bad IS NULL").select("r.*").select(*schema.names)
 
 
-WRAPPERS = ("data", "items", "records", "examples")
-
-
-def records_of(text: str, keys: Sequence[str]) -> Iterator[dict]:
-    """Record-like objects (with one of the keys) of an array, a wrapper, a map of records, or objects one after another."""
-    decoder, at, end = json.JSONDecoder(), 0, len(text)
-
-    def walk(value) -> Iterator[dict]:
-        if isinstance(value, list):
-            for x in value:
-                yield from walk(x)
-        elif isinstance(value, dict):
-            if any(k in value for k in keys):
-                yield value
-            elif wrapped := [value[w] for w in WRAPPERS if isinstance(value.get(w), list)]:
-                yield from walk(wrapped[0])
-            else:
-                for x in value.values():
-                    if isinstance(x, dict):
-                        yield from walk(x)
-
-    while at < end:
-        if text[at] not in "{[":
-            at += 1
-            continue
-        try:
-            value, at = decoder.raw_decode(text, at)
-        except ValueError:
-            at += 1
-            continue
-        yield from walk(value)
-
-
-def read_records(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, keys: Sequence[str] | None = None) -> DataFrame:
-    """Records of files in any of the forms of records_of; a file is read as one text, files are dealt to tasks."""
-    schema = _schema(schema)
-    keys = list(keys or schema.names)
-
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for text in b["value"]:
-                yield pd.DataFrame({"value": [json.dumps(r, ensure_ascii=False) for r in records_of(text, keys)]}, dtype="object")
-
-    lines = spark.read.text(path, wholetext=True).mapInPandas(parsed, "value string")
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     """S3: a JSON object for each row, in UTF-8; null fields are left out."""
     df.write.mode("overwrite").json(path, encoding="UTF-8")
