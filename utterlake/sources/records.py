@@ -7,6 +7,7 @@ strings hold no raw line breaks, so a line break ends a broken string. A piece t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,11 @@ from pyspark.sql import types as T
 from ..functions.objects import bound, fields, is_object
 
 WRAPPERS = ("data", "items", "records", "examples")
-#: A string, closed or cut off by a line break or the end; a field whose value is no container.
-_STRING = r'"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|$)'
+#: A string without escapes, closed or cut off by a line break or the end; a field whose value is no container.
+_STRING = r'"[^"\n]*+(?:"|(?=\n)|$)'
 _PLAIN = r'\s*"(?:[^"\\]|\\.)*"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[^\s"{}\[\],]+)\s*,'
 #: How a file may start: an array, a wrapped array, an object of objects.
-HEADS = {"array": (r"^\s*\[", 1), "wrapper": rf"^\s*\{{(?:{_PLAIN})*\s*\"(?:{'|'.join(WRAPPERS)})\"\s*:\s*\[", "map": r'^\s*\{(?=\s*"(?:[^"\\]|\\.)*"\s*:\s*\{)'}
+HEADS = {"array": r"^\s*\[", "wrapper": rf"^\s*\{{(?:{_PLAIN})*\s*\"(?:{'|'.join(WRAPPERS)})\"\s*:\s*\[", "map": r'^\s*\{(?=\s*"(?:[^"\\]|\\.)*"\s*:\s*\{)'}
 
 
 def _since_reset(rows: DataFrame, by: Sequence[str], order: str, value: Column, reset: Column, name: str) -> DataFrame:
@@ -31,14 +32,22 @@ def _since_reset(rows: DataFrame, by: Sequence[str], order: str, value: Column,
     return marked.withColumn(f"{name}_end", F.sum(value).over(W.partitionBy(*by, "__resets").orderBy(order))).withColumn(f"{name}_open", F.col("__resets") == 0).drop("__resets")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the folder that all tasks share, and read from there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _carried(rows: DataFrame, value: Column, reset: Column, name: str) -> DataFrame:
     """name_start and name_end of each piece of rows(file, block, pos): sums of value since the last reset, over ranges too."""
     by = ["file", "block"]
     inside = _since_reset(rows, by, "pos", value, reset, name).withColumn(f"{name}_start", F.lag(f"{name}_end").over(W.partitionBy(*by).orderBy("pos")))
-    inside = inside.withColumn(f"{name}_before", F.coalesce(F.lag(f"{name}_open").over(W.partitionBy(*by).orderBy("pos")), F.lit(True)))
-    blocks = rows.groupBy(*by).agg(F.max_by(F.lit(1), "pos").alias("one")).drop("one")
+    inside = settled(inside.withColumn(f"{name}_before", F.coalesce(F.lag(f"{name}_open").over(W.partitionBy(*by).orderBy("pos")), F.lit(True))))
     last = inside.groupBy(*by).agg(F.max_by(F.struct(F.col(f"{name}_end").alias("v"), F.col(f"{name}_open").alias("open")), "pos").alias("last"))
-    summed = _since_reset(blocks.join(last, by), ["file"], "block", F.col("last.v"), ~F.col("last.open"), "carry")
+    summed = _since_reset(last, ["file"], "block", F.col("last.v"), ~F.col("last.open"), "carry")
     carry = summed.withColumn("carry", F.coalesce(F.lag("carry_end").over(W.partitionBy("file").orderBy("block")), F.lit(0))).select(*by, "carry")
     out = inside.join(carry, by)
     start = F.coalesce(f"{name}_start", F.lit(0)) + F.when(F.col(f"{name}_before"), F.col("carry")).otherwise(F.lit(0))
@@ -46,17 +55,16 @@ def _carried(rows: DataFrame, value: Column, reset: Column, name: str) -> DataFr
     return out.withColumns({f"{name}_start": start, f"{name}_end": end}).drop("carry", f"{name}_open", f"{name}_before")
 
 
-def _outside(text: Column, quoted: Column) -> Column:
-    """The text without strings; quoted: whether it starts inside one."""
-    return F.regexp_replace(F.concat(F.when(quoted, F.lit('"')).otherwise(F.lit("")), text), _STRING, "")
-
-
 def _balance(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[{\[]")) - F.regexp_count(text, F.lit(r"[}\]]"))
 
 
-def _quotes(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r'(?<!\\)(?:\\\\)*"'))
+def _seen(plain: Column, quoted: bool) -> Column:
+    """How much deeper a piece without escapes leads, whether a line starts a value anew, and how much deeper it leads from there on."""
+    bare = F.regexp_replace(F.concat(F.lit('"'), plain) if quoted else plain, _STRING, "")
+    anew = bare.rlike(r"\n[{\[]")
+    left = F.when(anew, F.element_at(F.split(bare, r"\n(?=[{\[])"), -1)).otherwise(bare)
+    return bound(F.struct(bare.alias("bare"), anew.alias("anew"), left.alias("left")), lambda x: F.struct(_balance(x["bare"]).alias("delta"), x["anew"].alias("anew"), _balance(x["left"]).alias("left")))
 
 
 def pieces_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -69,37 +77,41 @@ def objects_of(spark: SparkSession, path: str | Sequence[str], keys: Sequence[st
     """The text of each object at the depth of records, by form of the file:
 
     an array; one object with the array under one of WRAPPERS, behind plain fields at most; one object of objects, none of whose own
-    fields is one of the keys; and else objects one after another, where a line that starts with { or [ starts anew.
+    fields is one of the keys; and else objects one after another, where a line that starts with { or [ starts anew. Only numbers
+    about the pieces go through windows; their texts are shuffled to their number, and again to their record.
     """
-    rows = pieces_of(spark, path)
-    heads = rows.groupBy("file").agg(F.min_by("text", F.struct("block", "pos")).alias("head"), F.min(F.struct("block", "pos")).alias("at"))
-    form = F.when(F.col("head").rlike(HEADS["wrapper"]), "wrapper").when(F.col("head").rlike(HEADS["array"][0]), "array").when(F.col("head").rlike(HEADS["map"]), "map").otherwise("stream")
-    heads = heads.select("file", "at", form.alias("form"))
-    after = F.substring_index("text", "\n", -1)
-    broken = F.col("text").contains("\n")
-    quoted = _carried(rows, F.when(broken, _quotes(after)).otherwise(_quotes(F.col("text"))), broken, "quote")
-    # An opening quote is the state of a piece, whatever the number of quotes before.
-    states = quoted.join(heads, "file").withColumns({"in_string": F.col("quote_start") % 2 == 1, "ends_in_string": F.col("quote_end") % 2 == 1})
-    bare = _outside(F.col("text"), F.col("in_string"))
-    anew = (F.col("form") == "stream") & bare.rlike(r"\n[{\[]")
-    left = F.when(anew, F.regexp_replace(bare, r"(?s)^.*\n(?=[{\[])", "")).otherwise(bare)
-    closing = F.when(F.col("ends_in_string"), 0).otherwise(1)
-    deep = _carried(states.select("file", "block", "pos", "text", "form", "at", "in_string", "ends_in_string", (_balance(left) - closing).alias("delta"), anew.alias("anew"), bare.alias("bare")), F.col("delta"), F.col("anew"), "depth")
-    # An object of objects with a field of a record beside them is a record itself.
+    rows, at = pieces_of(spark, path), ["file", "block", "pos"]
+    heads = rows.groupBy("file").agg(F.min_by("text", F.struct("block", "pos")).alias("head"), F.min(F.struct("block", "pos")).alias("first"))
+    form = F.when(F.col("head").rlike(HEADS["wrapper"]), "wrapper").when(F.col("head").rlike(HEADS["array"]), "array").when(F.col("head").rlike(HEADS["map"]), "map").otherwise("stream")
+    named = F.regexp_extract("head", r'^\s*\{\s*"([^"\\]*)"', 1).isin(list(keys))
+    heads = heads.select("file", form.alias("form"), ((form == "map") & named).alias("named"))
     own = F.regexp_extract("text", r"(?s)^([^{]*)", 1).rlike(f'"(?:{"|".join(map(_quoted, keys))})"\\s*:')
-    single = deep.groupBy("file").agg(F.max((F.col("form") == "map") & (((F.col("depth_start") == 1) & ~F.col("in_string") & own) | ((F.struct("block", "pos") == F.col("at")) & F.regexp_extract("text", r'^\s*\{\s*"([^"\\]*)"', 1).isin(list(keys))))).alias("single"), F.count_if((F.col("depth_end") == 0) & ~F.col("ends_in_string")).alias("tops"))
-    deep = deep.join(single, "file")
+    plain = F.regexp_replace("text", r"(?s)\\.", "")  # escapes stand in strings only
+    quotes = lambda c: F.regexp_count(c, F.lit('"'))
+    stats = rows.select(*at, plain.alias("plain"), own.alias("own")).select(
+        *at, "own", F.col("plain").contains("\n").alias("broken"), F.when(F.col("plain").contains("\n"), quotes(F.substring_index("plain", "\n", -1))).otherwise(quotes(F.col("plain"))).alias("quotes"),
+        _seen(F.col("plain"), False).alias("free"), _seen(F.col("plain"), True).alias("held"),
+    )
+    quoted = _carried(stats, F.col("quotes"), F.col("broken"), "quote").join(heads, "file")
+    inside, ends_inside = F.col("quote_start") % 2 == 1, F.col("quote_end") % 2 == 1
+    quoted = quoted.withColumn("seen", F.when(inside, F.col("held")).otherwise(F.col("free")))
+    anew = (F.col("form") == "stream") & F.col("seen.anew")
+    delta = F.when(anew, F.col("seen.left")).otherwise(F.col("seen.delta")) - F.when(ends_inside, 0).otherwise(1)
+    deep = _carried(quoted.select(*at, "form", "named", (F.col("own") & ~inside).alias("own"), ends_inside.alias("ends_inside"), delta.alias("delta"), anew.alias("anew")), F.col("delta"), F.col("anew"), "depth")
+    # An object of objects with a field of a record beside them is a record itself, as are objects that follow each other.
+    files = deep.groupBy("file").agg(F.max(F.col("named") | ((F.col("form") == "map") & (F.col("depth_start") == 1) & F.col("own"))).alias("single"), F.count_if((F.col("depth_end") == 0) & ~F.col("ends_inside")).alias("tops"))
+    deep = deep.join(files, "file")
     alone = ~F.col("single") & (F.col("tops") <= 1)
     level = F.when((F.col("form") == "wrapper") & alone, 2).when((F.col("form") == "array") | ((F.col("form") == "map") & alone), 1).otherwise(0)
-    ends = deep.withColumn("level", level).withColumn("ends", (F.col("depth_end") == F.col("level")) & ~F.col("ends_in_string"))
-    numbered = _carried(ends.select("file", "block", "pos", "text", "form", "level", F.col("ends").cast("long").alias("e")), F.col("e"), F.lit(False), "record")
-    joined = numbered.groupBy("file", "record_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "pos", "text"))), lambda p: p["text"]), "}").alias("text"), F.max("form").alias("form"), F.max("level").alias("level"), F.max("e").alias("whole"))
-    text = F.concat("text", F.lit("}"))
-    first = F.col("record_start") == 0
-    text = F.when(first & (F.col("level") == 2), F.regexp_replace(text, HEADS["wrapper"], "")).when(first & (F.col("form") == "array"), F.regexp_replace(text, HEADS["array"][0], "")).when(first & (F.col("level") == 1), F.regexp_replace(text, HEADS["map"], "")).otherwise(text)
-    text = F.when(F.col("form") == "stream", F.regexp_replace(text, r"(?s)^.*\n(?=[{\[])", "")).otherwise(text)
-    opened = F.regexp_replace(text, r'^(?:[^{"]|"(?:[^"\\]|\\.)*")*(?=\{)', "")
-    return joined.where("whole = 1").select(F.when(opened.startswith("{"), opened).otherwise(F.regexp_replace(text, r"^[^{]*", "")).alias("text"))
+    ends = deep.select(*at, "form", level.alias("level"), ((F.col("depth_end") == level) & ~F.col("ends_inside")).cast("long").alias("e"))
+    numbered = _carried(ends, F.col("e"), F.lit(False), "record").select(*at, "form", "level", "e", F.col("record_start").alias("record"))
+    whole = numbered.join(rows, at).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "text"))).alias("parts"), F.max("form").alias("form"), F.max("level").alias("level"), F.max("e").alias("e")).where("e = 1")
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), "}"), F.lit("}"))
+    joined = whole.select("record", "form", "level", text.alias("text"))
+    headless = F.when(F.col("level") == 2, F.regexp_replace("text", HEADS["wrapper"], "")).when(F.col("form") == "array", F.regexp_replace("text", HEADS["array"], "")).otherwise(F.regexp_replace("text", HEADS["map"], ""))
+    part = F.when((F.col("level") > 0) & (F.col("record") == 0), headless).when(F.col("form") == "stream", F.element_at(F.split("text", r"\n(?=[{\[])"), -1)).otherwise(F.col("text"))
+    opened = F.regexp_replace("part", r'^[^{"]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^{"]*+)*+(?=\{)', "")
+    return joined.withColumn("part", part).select(F.when(opened.startswith("{"), opened).otherwise(F.regexp_replace("part", r"^[^{]*", "")).alias("text"))
 
 
 def _quoted(name: str) -> str:
