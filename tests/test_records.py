@@ -75,7 +75,9 @@ def forms(r, found, indent):
 def test_all_forms_in_many_ranges(spark, tmp_path, small_ranges, indent):
     r = random.Random(indent or 0)
     found = [record(r, k) for k in range(50)]
-    for name, text in forms(r, found, indent):
+    for k, (name, text) in enumerate(forms(r, found, indent)):
+        if indent and k not in (0, 2, 3, 7):  # the other forms have no layout
+            continue
         path = tmp_path / f"{name}.json"
         path.write_text(text, encoding="utf-8")
         want = [(x.get("id"), x.get("text")) for x in records_of(text, ["id", "text"])]

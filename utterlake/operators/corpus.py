@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalise import ENTITY, clean, col, first_of
 from .matching import resolve_files
@@ -238,23 +239,65 @@ def cap_per_intent(df: DataFrame, cap: int, seed: int, key: str = "key", intent:
     return df.withColumn("__r", F.row_number().over(W.partitionBy(intent).orderBy(seeded(seed, key), key))).where(F.col("__r") <= cap).drop("__r")
 
 
+def _cover(df: DataFrame, cap: int, seed: int, key: str, intent: str, slots: str) -> DataFrame:
+    """key, score: rows that a greedy cover picks, with what each gained when it was picked; no more than cap of an intent.
+
+    Rows of one intent and one set of slot types are one kind, of which the first in seeded order would be picked. A kind gains 1000 for
+    an intent that is not covered, 100 for each such slot type, and less for rarity. In a round, those kinds are picked that are the
+    best of all that share an intent or an uncovered slot type with them: picks don't touch each other's gains, so they are the ones
+    that picking one by one, the best first, comes to. Only the labels covered so far pass through the driver, as bounded as their sets.
+    """
+    kinds = df.select(key, F.col(intent).alias("i"), F.array_sort(F.array_distinct(F.coalesce(slots, F.array().cast("array<string>")))).alias("s")).groupBy("i", "s").agg(F.min_by(key, F.struct(seeded(seed, key), key)).alias(key), F.count(F.lit(1)).alias("n"))
+    by_intent = kinds.groupBy("i").agg(F.sum("n").alias("i_n"))
+    by_slot = kinds.select(F.explode("s").alias("x"), "n").groupBy("x").agg(F.sum("n").alias("x_n"))
+    rare = kinds.select("i", "s", F.explode("s").alias("x")).join(by_slot, "x").groupBy("i", "s").agg(F.sum(1.0 / F.col("x_n")).alias("rare"))
+    kinds = kinds.join(by_intent, "i").join(rare, ["i", "s"], "left").select(key, "i", "s", (1.0 / F.col("i_n") + F.coalesce("rare", F.lit(0.0))).alias("rarity")).persist()
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    picked: list[tuple] = []
+    try:
+        while True:
+            counts: dict[str, int] = {}
+            for row in picked:
+                counts[row["i"]] = counts.get(row["i"], 0) + 1
+            full, seen = [i for i, n in counts.items() if n >= cap], {x for row in picked for x in row["s"]}
+            fresh, left = ~F.array_contains(strings(counts), F.col("i").cast("string")) if counts else F.lit(True), F.array_except(F.col("s").cast("array<string>"), strings(sorted(map(str, seen))))
+            live = kinds.where(~F.array_contains(strings(full), F.col("i").cast("string")) if full else F.lit(True)).withColumns({"fresh": fresh, "left": left})
+            live = live.where(F.col("fresh") | (F.size("left") > 0)).withColumn("score", 1000.0 * F.col("fresh").cast("int") + 100.0 * F.size("left") + F.col("rarity"))
+            rank = F.struct("score", seeded(seed, key).alias("order"), F.col(key).cast("string").alias("k"))
+            ranked = live.select(key, "i", "s", "score", rank.alias("rank"), F.explode(F.concat(F.array(F.concat(F.lit("i:"), F.col("i").cast("string"))), F.transform("left", lambda x: F.concat(F.lit("s:"), x)))).alias("label"))
+            best = ranked.groupBy("label").agg(F.max("rank").alias("best"))
+            won = ranked.join(best, "label").groupBy(key, "i", "s", "score").agg(F.bool_and(F.col("rank") == F.col("best")).alias("won")).where("won").drop("won").collect()
+            if not won:
+                break
+            picked += won
+    finally:
+        kinds.unpersist()
+    schema = T.StructType([df.schema[key], T.StructField("score", T.DoubleType())])
+    return df.sparkSession.createDataFrame([(row[key], row["score"]) for row in picked], schema)
+
+
 def balanced_subset(df: DataFrame, target: int, cap: int, seed: int, key: str = "key", intent: str = "gold_intent", slots: str = "gold_slots") -> DataFrame:
-    """Up to target rows, never more than cap of an intent: first a row for every intent and slot type, then rounds over the intents.
+    """Up to target rows, never more than cap of an intent (0: no cap; a target of 0: all that the cap allows).
 
-    In each intent, rows that cover something go first, then those with rare slot types, in seeded order among equals. Within the
-    caps all rows that cover something come before the others; the rounds fill up with the first left of every intent, the second,
-    and so on, so intents are as even as their numbers and the cover allow.
+    First a greedy cover of all intents and slot types that the caps let be covered (_cover), by falling gain where the target is
+    smaller than the cover; then rows of the intents that have the fewest, those with the most rows left first. In an intent, rows
+    take turns over their rarest slot types. Rows that repeat a key are one; null slots are none. Ties go by seeded order.
     """
-    order = F.struct(seeded(seed, key), key)
-    by_intent = df.groupBy(intent).agg(F.min_by(key, order).alias(key)).select(key)
-    each = df.select(key, F.explode(slots).alias("slot"))
-    by_slot = each.groupBy("slot").agg(F.min_by(key, order).alias(key), F.count(F.lit(1)).alias("n"))
-    must = by_intent.unionByName(by_slot.select(key)).distinct().withColumn("must", F.lit(True))
-    rarity = each.join(by_slot.select("slot", "n"), "slot").groupBy(key).agg(F.min("n").alias("rarity"))
-    rows = df.join(must, key, "left").join(rarity, key, "left")
-    turn = F.row_number().over(W.partitionBy(intent).orderBy(F.col("must").isNull(), F.coalesce("rarity", F.lit(1 << 40)), seeded(seed, key), key))
-    rows = rows.withColumn("turn", turn).where(F.col("turn") <= cap)
-    return rows.orderBy(F.col("must").isNull(), "turn", intent).limit(target).drop("must", "rarity", "turn")
+    once = df.dropDuplicates([key])
+    most = cap if cap > 0 else 1 << 40
+    cover = _cover(once, most, seed, key, intent, slots)
+    if target > 0:
+        cover = cover.orderBy(F.col("score").desc(), seeded(seed, key), key).limit(target)
+    each = once.select(key, F.explode(F.array_distinct(slots)).alias("slot"))
+    numbers = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(numbers, "slot").groupBy(key).agg(F.min(F.struct("n", "slot")).alias("rarest"))
+    pool = once.groupBy(intent).agg(F.count(F.lit(1)).alias("pool"))
+    rows = once.join(rarest, key, "left").join(cover.select(key, F.lit(True).alias("must")), key, "left").withColumn("must", F.coalesce("must", F.lit(False)))
+    order = (F.col("must").desc(), seeded(seed, key), key)
+    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy(intent, "rarest.slot").orderBy(*order))).where(F.col("turn") <= most)
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy(intent).orderBy(F.col("must").desc(), "turn", F.coalesce("rarest.n", F.lit(1 << 40)), *order[1:]))).where(F.col("at") <= most)
+    out = rows.join(pool, intent).orderBy(F.col("must").desc(), "at", F.col("pool").desc(), seeded(seed, intent), intent)
+    return (out.limit(target) if target > 0 else out).select(*df.columns)
 
 
 def epoch_batches(df: DataFrame, epochs: int, epoch: int, batch: int, seed: int = 0, key: str = "key", drop_last: bool = False) -> DataFrame:

@@ -55,16 +55,24 @@ def _carried(rows: DataFrame, value: Column, reset: Column, name: str) -> DataFr
     return out.withColumns({f"{name}_start": start, f"{name}_end": end}).drop("carry", f"{name}_open", f"{name}_before")
 
 
+def _count(text: Column, signs: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, signs, ""))
+
+
 def _balance(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[{\[]")) - F.regexp_count(text, F.lit(r"[}\]]"))
+    """How much deeper a text without strings leads."""
+    return _count(text, "{[") - _count(text, "}]")
 
 
 def _seen(plain: Column, quoted: bool) -> Column:
     """How much deeper a piece without escapes leads, whether a line starts a value anew, and how much deeper it leads from there on."""
-    bare = F.regexp_replace(F.concat(F.lit('"'), plain) if quoted else plain, _STRING, "")
-    anew = bare.rlike(r"\n[{\[]")
-    left = F.when(anew, F.element_at(F.split(bare, r"\n(?=[{\[])"), -1)).otherwise(bare)
-    return bound(F.struct(bare.alias("bare"), anew.alias("anew"), left.alias("left")), lambda x: F.struct(_balance(x["bare"]).alias("delta"), x["anew"].alias("anew"), _balance(x["left"]).alias("left")))
+
+    def numbers(bare: Column) -> Column:
+        anew = bare.contains("\n") & bare.rlike(r"\n[{\[]")
+        deeper = _balance(bare)
+        return F.struct(deeper.alias("delta"), anew.alias("anew"), F.when(anew, _balance(F.element_at(F.split(bare, r"\n(?=[{\[])"), -1))).otherwise(deeper).alias("left"))
+
+    return bound(F.regexp_replace(F.concat(F.lit('"'), plain) if quoted else plain, _STRING, ""), numbers)
 
 
 def pieces_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -86,10 +94,9 @@ def objects_of(spark: SparkSession, path: str | Sequence[str], keys: Sequence[st
     named = F.regexp_extract("head", r'^\s*\{\s*"([^"\\]*)"', 1).isin(list(keys))
     heads = heads.select("file", form.alias("form"), ((form == "map") & named).alias("named"))
     own = F.regexp_extract("text", r"(?s)^([^{]*)", 1).rlike(f'"(?:{"|".join(map(_quoted, keys))})"\\s*:')
-    plain = F.regexp_replace("text", r"(?s)\\.", "")  # escapes stand in strings only
-    quotes = lambda c: F.regexp_count(c, F.lit('"'))
+    plain = F.when(F.col("text").contains("\\"), F.regexp_replace("text", r"(?s)\\.", "")).otherwise(F.col("text"))  # escapes stand in strings only
     stats = rows.select(*at, plain.alias("plain"), own.alias("own")).select(
-        *at, "own", F.col("plain").contains("\n").alias("broken"), F.when(F.col("plain").contains("\n"), quotes(F.substring_index("plain", "\n", -1))).otherwise(quotes(F.col("plain"))).alias("quotes"),
+        *at, "own", F.col("plain").contains("\n").alias("broken"), F.when(F.col("plain").contains("\n"), _count(F.substring_index("plain", "\n", -1), '"')).otherwise(_count(F.col("plain"), '"')).alias("quotes"),
         _seen(F.col("plain"), False).alias("free"), _seen(F.col("plain"), True).alias("held"),
     )
     quoted = _carried(stats, F.col("quotes"), F.col("broken"), "quote").join(heads, "file")
