@@ -27,6 +27,8 @@ from .pieces import Encoder
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of the distinct texts of a group, about, of what a task collapses at once, and of what is tokenised at once.
 GROUP_BYTES, COLLAPSE_BYTES, BATCH_BYTES = 2_000_000, 16_000_000, 1_000_000
+#: Rows that go to and from a Python worker at once, so that both sides hold few whole texts.
+BATCH_ROWS = 1000
 #: Files of the table of ids at most; more groups share them.
 MOST_FILES = 20_000
 TOKENS = "g int, digest binary, copies long, a binary, b binary"
@@ -247,7 +249,13 @@ def token_table(docs: DataFrame, text_col: str, first: str, second: str, group_b
     distinct = dealt.groupBy("g", "text").agg(F.sum("copies").alias("copies")).select("g", "text", "copies", F.unhex(F.sha2("text", 256)).alias("digest"))
     coded = distinct.mapInArrow(lambda batches: _ids_of(batches, first, second), TOKENS)
     name = f"aligned_{uuid.uuid4().hex}"
-    coded.where("octet_length(a) > 0").write.bucketBy(n_files, "g").option("compression", "zstd").option("path", scratch(spark, "align-tokens")).saveAsTable(name)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(rows)
+    spark.conf.set(rows, BATCH_ROWS)
+    try:
+        coded.where("octet_length(a) > 0").write.bucketBy(n_files, "g").option("compression", "zstd").option("path", scratch(spark, "align-tokens")).saveAsTable(name)
+    finally:
+        spark.conf.set(rows, held)
     here = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, and here still reads them
     return here
