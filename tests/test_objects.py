@@ -61,6 +61,12 @@ def test_the_first_object_is_the_one_a_reader_finds(spark):
     assert [r["o"] for r in got] == [plain(r["t"]) for r in got] and sum(r["o"] is not None for r in got) > 100
 
 
+def test_only_whole_objects_count(spark):
+    texts = ['{"a": 1}', ' {"a": {"b": []}} ', '{"a": 1}] {"b": 2}', '{"a": 1}} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1} x', "[{}]", "{'a': 1}", "", None, '{"a": 1}]: 3}', '{"a": 1}, "y": 2}']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(objects.is_object(F.col("t"))).collect()]
+    assert got == [True, True] + [False] * 10
+
+
 def test_no_python_worker_reads_labels(spark):
     df = spark.createDataFrame([("x",)], "raw_output string").withColumns({"scenario": F.lit(""), "action": F.lit(""), "entities": F.array().cast("array<struct<type:string,filler:string>>")})
     for found in (df.select(parsing.parse_prediction_label("raw_output")), df.select(parsing.extract_final("raw_output")), parsing.recover_predictions(df, ["raw_output"])):

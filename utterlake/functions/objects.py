@@ -28,9 +28,15 @@ def fields(text: Column) -> Column:
 
 
 def is_object(text: Column) -> Column:
-    """Whether a text as a whole is a JSON object."""
-    whole = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
-    return F.coalesce(stripped(text).startswith("{") & (F.size(whole) == 1), F.lit(False))
+    """Whether a text as a whole is a JSON object.
+
+    The reader stops behind the first value, so the text is read inside an array and inside an object: what comes after a first object
+    can close one of them early, but not both.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
+    held = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "map<string,string>", _STRICT)
+    bare = stripped(text)
+    return F.coalesce(bare.startswith("{") & bare.endswith("}") & (F.size(listed) == 1) & held.isNotNull(), F.lit(False))
 
 
 def _last(m: Column, is_name: Callable[[Column], Column]) -> Column:
@@ -97,13 +103,14 @@ def object_at(pieces: Column, at: Column) -> Column:
 
 
 def first_object(text: Column) -> Column:
-    """The first JSON object that starts at a brace of the text, as text; null without one. Each brace is looked at until one is found."""
+    """The first JSON object that starts at a brace of the text, as text; null without one. Each brace is looked at until one is found,
+    but in a text that is an object as a whole."""
 
     def look(pieces: Column) -> Column:
         found = lambda at: bound(object_at(pieces, at), lambda o: F.when(is_object(o), o))
         return F.aggregate(opened(pieces), F.lit(None).cast("string"), lambda acc, at: F.when(acc.isNotNull(), acc).otherwise(found(at)))
 
-    return bound(signs(text), look)
+    return F.when(is_object(text), stripped(text)).otherwise(bound(signs(text), look))
 
 
 def objects(text: Column) -> Column:

@@ -21,9 +21,12 @@ def _object(text: Column) -> Column:
 
 def _label(text: Column, default: str) -> Column:
     """Label of a JSON object; null where it is no object."""
-    m = F.from_json(text, "map<string,string>")
-    field = lambda k: F.coalesce(F.nullif(clean(F.try_element_at(m, F.lit(k))), F.lit("")), F.lit(default))
-    return F.when(m.isNotNull(), F.struct(field("scenario").alias("scenario"), field("action").alias("action"), standard_entities(F.try_element_at(m, F.lit("entities"))).alias("entities")))
+
+    def label(m: Column) -> Column:
+        field = lambda k: F.coalesce(F.nullif(clean(F.try_element_at(m, F.lit(k))), F.lit("")), F.lit(default))
+        return F.when(m.isNotNull(), F.struct(field("scenario").alias("scenario"), field("action").alias("action"), standard_entities(F.try_element_at(m, F.lit("entities"))).alias("entities")))
+
+    return bound(F.from_json(text, "map<string,string>"), label)
 
 
 def extract_json(c: str | Column, default: str = "none") -> Column:
@@ -38,7 +41,8 @@ def extract_json(c: str | Column, default: str = "none") -> Column:
     pick = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, rf'"{k}":\s*"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(text, rf"{k}[^\p{{L}}\p{{N}}_]+([a-zA-Z_]+)", 1), F.lit("")), F.lit(default))
     loose = F.struct(pick("scenario").alias("scenario"), pick("action").alias("action"), none.alias("entities"))
     nothing = F.struct(F.lit(default).alias("scenario"), F.lit(default).alias("action"), none.alias("entities"))
-    return F.when(~text.contains("{") | ~text.contains("}"), nothing).when(is_object(part), _label(part, default)).otherwise(loose)
+    read = bound(part, lambda t: F.when(is_object(t), _label(t, default)))
+    return F.when(~text.contains("{") | ~text.contains("}"), nothing).otherwise(F.coalesce(read, loose))
 
 
 def fenced(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 #: Different values of a range that are put in order in one task, and ranges that a larger one is cut into.
 MOST, CUTS = 200_000, 1024
 LARGEST = sys.float_info.max
@@ -49,7 +51,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
     finite = {c: F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST))) for c, x in number.items()}
     each = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), finite[c].alias("value")) for c in columns])).alias("e")).select(*by, "e.*").where("value IS NOT NULL")
     keys = [*by, "name"]
-    counted = each.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = settled(each.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), "values")  # every round reads them
     sizes = counted.groupBy(*keys).agg(F.sum("n").alias("size"))
     at = F.array(*[F.struct(F.lit(i).alias("point"), (F.lit(float(p)) * (F.col("size") - 1)).alias("at")) for i, p in enumerate(points)])
     wanted = sizes.select(*keys, F.explode(at).alias("w")).select(*keys, "w.*").withColumn("low", F.floor("at")).withColumn("share", F.col("at") - F.col("low"))

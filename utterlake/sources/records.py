@@ -7,7 +7,6 @@ strings hold no raw line breaks, so a line break ends a broken string. A piece t
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.objects import bound, fields, is_object
+from .scratch import settled
 
 WRAPPERS = ("data", "items", "records", "examples")
 #: A string without escapes, closed or cut off by a line break or the end; a field whose value is no container.
@@ -32,20 +32,11 @@ def _since_reset(rows: DataFrame, by: Sequence[str], order: str, value: Column,
     return marked.withColumn(f"{name}_end", F.sum(value).over(W.partitionBy(*by, "__resets").orderBy(order))).withColumn(f"{name}_open", F.col("__resets") == 0).drop("__resets")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder that all tasks share, and read from there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _carried(rows: DataFrame, value: Column, reset: Column, name: str) -> DataFrame:
     """name_start and name_end of each piece of rows(file, block, pos): sums of value since the last reset, over ranges too."""
     by = ["file", "block"]
     inside = _since_reset(rows, by, "pos", value, reset, name).withColumn(f"{name}_start", F.lag(f"{name}_end").over(W.partitionBy(*by).orderBy("pos")))
-    inside = settled(inside.withColumn(f"{name}_before", F.coalesce(F.lag(f"{name}_open").over(W.partitionBy(*by).orderBy("pos")), F.lit(True))))
+    inside = settled(inside.withColumn(f"{name}_before", F.coalesce(F.lag(f"{name}_open").over(W.partitionBy(*by).orderBy("pos")), F.lit(True))), "records")
     last = inside.groupBy(*by).agg(F.max_by(F.struct(F.col(f"{name}_end").alias("v"), F.col(f"{name}_open").alias("open")), "pos").alias("last"))
     summed = _since_reset(last, ["file"], "block", F.col("last.v"), ~F.col("last.open"), "carry")
     carry = summed.withColumn("carry", F.coalesce(F.lag("carry_end").over(W.partitionBy("file").orderBy("block")), F.lit(0))).select(*by, "carry")
