@@ -2,8 +2,9 @@
 
 A character trigram model is counted over all documents. Words that could hide others (digits and signs among letters, letters
 repeated) become lattices of the letters they may stand for; a Viterbi search under the character model and the costs of the channel
-restores them. A run of one-character words is one lattice, with an optional word break after each letter. Signs at the edges of a
-word or run may be punctuation or letters: it is read both ways. Restored texts are scored: of the words and word beginnings of
+restores them. A run of one-character words is one lattice, with an optional word break after each letter; it is also read as the
+likeliest words of the corpus in a row, priced by their counts over all documents. Signs at the edges of a word or run may be
+punctuation or letters: it is read both ways. Restored texts are scored: of the words and word beginnings of
 labelled documents, those that mark label 1 form a bounded lexicon, and a logistic regression weighs a document's marks.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,9 @@ _THRICE = re.compile(rb"(.)\1\1")
 #: Runs of so many one-character words are read as spaced out.
 LEAST_SPACED = 3
 LETTERS = 27
+#: Spaced-out letters are read as words of this bounded dictionary: the commonest of the corpus (all words are counted) and the lexicon's
+#: own, of at most so many letters. A character that no word takes costs more than any word.
+MOST_WORDS, LONGEST_WORD, STRAY_COST = 20_000, 64, 30.0
 #: Letters with marks count as those below the marks.
 MARKED = {chr(c): base for c in range(0xC0, 0x100) if "a" <= (base := unicodedata.normalize("NFD", chr(c).lower())[0]) <= "z"} | {"ß": "s"}
 #: What stands for a word of one character among the marks of words.
@@ -70,11 +75,21 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Channel:
-    """Viterbi search over what a hidden word may stand for; costs: -log of the trigrams of letters, 0 being no letter."""
+    """Viterbi search over what a hidden word may stand for; costs: -log of the trigrams of letters, 0 being no letter, and of words."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, said: Mapping[str, int] | None = None) -> None:
         grid = counts.reshape(LETTERS, LETTERS, LETTERS) + 0.5
         self.cost = (-np.log(grid / grid.sum(axis=2, keepdims=True))).tolist()
+        self.said = dict(said or {})
+        self.price_words()
+
+    def price_words(self, more: Iterator[str] | list[str] = ()) -> None:
+        """Prices the dictionary by its counts; more words join it as seen once."""
+        for word in more:
+            self.said.setdefault(word, 1)
+        total = sum(self.said.values())
+        self.price = {w: math.log(total / n) for w, n in self.said.items()}
+        self.ordered = sorted(self.price)
 
     def restored(self, word: str) -> str:
         """The likeliest letters behind the word, in lower case; a word without signs or repetitions is itself."""
@@ -91,15 +106,70 @@ class Channel:
         return found
 
     def spaced(self, tokens: list[str]) -> list[str]:
-        """The words that one-character words in a row may spell, with and without breaks between them."""
+        """The words that one-character words in a row may spell, with and without breaks between them, and as words of the dictionary."""
         bare = [t.strip(_EDGES) or t.strip(_PLAIN) for t in tokens]
-        found: list[str] = []
+        found: list[str] = self.known_words("".join(t.strip(_PLAIN) for t in tokens))
         for text in dict.fromkeys(("".join(bare), "".join(t.strip(_PLAIN) for t in tokens))):
             for breaks in (True, False):
                 for reading in self.likeliest(text, edges=_OUTSIDE, breaks=breaks):
                     found += reading.split()
         return list(dict.fromkeys(found))
 
+    def known_words(self, run: str) -> list[str]:
+        """The cheapest row of the dictionary's words that the run may spell; a stretch that no word takes comes out as it is.
+
+        A sign is one of its letters, or nothing; of a character three times or more in a row, one or two may be meant. From each
+        place where a word may begin, only beginnings of words of the dictionary are followed.
+        """
+        if not self.price:
+            return []
+        n = len(run)
+        cells: list[list[tuple[str, float, int]]] = []
+        for at, c in enumerate(run):
+            next_ = at + 1
+            while next_ < n and next_ - at < 3 and run[next_] == c:
+                next_ += 1
+            ways = [(c, 0.0, at + 1)] if c.isalpha() else [*((x, SIGN_COST, at + 1) for x in SIGNS.get(c, "")), ("", DROP_COST, at + 1)]
+            if c.isalpha() and next_ - at > 2:
+                ways.append(("", DROP_COST, at + 1))
+            cells.append(ways)
+        best: list[tuple[float, tuple | None]] = [(0.0, None)] + [(math.inf, None)] * n
+        for at in range(n):
+            cost, text = best[at]
+            if cost + STRAY_COST < best[at + 1][0]:
+                best[at + 1] = (cost + STRAY_COST, (text, run[at], False))
+            ahead: dict[tuple[int, str], float] = {(at, ""): cost}
+            while ahead:
+                following: dict[tuple[int, str], float] = {}
+                for (to, word), spent in ahead.items():
+                    for out, more, then in cells[to] if to < n else []:
+                        grown = word + out
+                        if out:
+                            first = bisect_left(self.ordered, grown)
+                            if first == len(self.ordered) or not self.ordered[first].startswith(grown):
+                                continue
+                        total = spent + more
+                        price = self.price.get(grown)
+                        if not grown:
+                            if total < best[then][0]:
+                                best[then] = (total, text)
+                        elif total < following.get((then, grown), math.inf):
+                            following[then, grown] = total
+                        if price is not None and total + price < best[then][0]:
+                            best[then] = (total + price, (text, grown, True))
+                ahead = following
+        found: list[str] = []
+        stray = ""
+        _, text = best[n]
+        while text is not None:
+            text, word, known = text
+            if known:
+                found += [w for w in (stray, word) if w]
+                stray = ""
+            else:
+                stray = word + stray
+        return [*reversed(found + [stray] * bool(stray))]
+
     def likeliest(self, word: str, edges: str = "", breaks: bool = False) -> list[str]:
         """The likeliest reading that drops all signs of `edges` at both ends, then the likeliest that reads one of them at least as a letter.
 
@@ -157,23 +227,43 @@ class Channel:
         return found
 
 
-def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of letter trigrams over all whole texts: 27**3 numbers, whatever the corpus."""
+def corpus_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, dict[str, int]]:
+    """Counts of letter trigrams over all whole texts, 27**3 numbers whatever the corpus, and the MOST_WORDS commonest words.
+
+    All words of letters alone are counted, in lower case and without punctuation around them, in the pass that counts trigrams;
+    the counts go to the shared folder, and a bounded part of them to the driver. Words of over LONGEST_WORD letters are not counted.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LETTERS**3, np.int64)
+        total, said = np.zeros(LETTERS**3, np.int64), {}
+
+        def out(names: list, counts: list | np.ndarray, said_of: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(said_of, pa.string()), pa.array(counts, pa.int64())], ["trigram", "word", "n"])
+
         for batch in pieces(batches, "text", BATCH_BYTES):
-            kind = letters_of(*raw(batch.column(0)))
+            data, offsets = raw(batch.column(0))
+            kind = letters_of(data, offsets)
             if len(kind) > 2:
                 total += np.bincount((kind[:-2] * LETTERS + kind[1:-1]) * LETTERS + kind[2:], minlength=LETTERS**3)
+            data = lowered(data)
+            starts, ends, _ = words(data, offsets)
+            if len(starts):
+                found, number = distinct(data, starts, ends)
+                for word, n in zip(found, np.bincount(number).tolist(), strict=True):
+                    if len(word) <= 4 * LONGEST_WORD and (w := word.decode("utf-8", "replace").lower().strip(_EDGES)).isalpha() and len(w) <= LONGEST_WORD:
+                        said[w] = said.get(w, 0) + n
+            if len(said) > 100_000:
+                yield out([None] * len(said), list(said.values()), list(said))
+                said.clear()
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["trigram", "n"])
+        yield out(seen.tolist() + [None] * len(said), total[seen].tolist() + list(said.values()), [None] * len(seen) + list(said))
 
-    found = docs.select(whole(text_col).alias("text")).mapInArrow(counted, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+    found = docs.select(whole(text_col).alias("text")).mapInArrow(counted, "trigram long, word string, n long")
+    found = written(found.groupBy("trigram", "word").agg(F.sum("n").alias("n")), "toxic-counts")
     total = np.zeros(LETTERS**3, np.int64)
-    for row in found.collect():
+    for row in found.where("word IS NULL").collect():
         total[row["trigram"]] = row["n"]
-    return total
+    return total, {r["word"]: r["n"] for r in found.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()}
 
 
 class Reader:
@@ -378,8 +468,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Without labelled rows of label 1 the lexicon is empty and all have one score, about the share of label 1. Rows that repeat an identifier are each scored; a
     null identifier is not held out. Columns but identifier and text are not read.
     """
-    channel = Channel(trigram_counts(docs, text_col))
+    channel = Channel(*corpus_counts(docs, text_col))
     weights, base = learned(docs, labels, channel, id_col, text_col)
+    channel.price_words([w for f in weights if f[0] == "=" and (w := f[1:]).isalpha()])
     found = score(docs, weights, base, channel, id_col, text_col)
     return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
