@@ -381,3 +381,109 @@ def test_channel_breaks_runs_of_any_length():
     assert channel.spaced(list("m0ronid1ot"))[:2] == ["moron", "idiot"]
     assert channel.spaced(list("idiot" * 4000))[:4000].count("idiot") == 1
     assert channel.readings("!diot") == ["diot", "idiot"] and channel.readings("idiot") == ["idiot"]
+
+
+def cheapest_row(channel, run):
+    """All ways to spell the run as words of the dictionary and strays, one by one."""
+    best = (float("inf"), None)
+
+    def go(at, word, cost, found):
+        nonlocal best
+        if at == len(run):
+            if not word and cost < best[0]:
+                best = (cost, found)
+            return
+        c = run[at]
+        if not word:
+            go(at + 1, "", cost + toxicity.STRAY_COST, [*found, (c, False)])
+        ways = [(c, 0.0)] if c.isalpha() else [*((x, toxicity.SIGN_COST) for x in toxicity.SIGNS.get(c, "")), ("", toxicity.DROP_COST)]
+        if run[at : at + 3] == c * 3 and c.isalpha():
+            ways.append(("", toxicity.DROP_COST))
+        for out, more in ways:
+            grown = word + out
+            if any(w.startswith(grown) for w in channel.price):
+                go(at + 1, grown, cost + more, found)
+                if grown in channel.price:
+                    go(at + 1, "", cost + more + channel.price[grown], [*found, (grown, True)])
+
+    go(0, "", 0.0, [])
+    return best[0], best[1]
+
+
+@pytest.mark.parametrize("run", ["aloser", "xaloser", "loserq", "1d1ot", "id!ooot", "a.loser", "qqq", "!", "", "al0ser2", "idioteidiot"])
+def test_known_words_are_the_cheapest_row(run):
+    channel = toxicity.Channel(np.zeros(27**3), {"a": 50, "loser": 2, "los": 9, "er": 9, "idiot": 2, "e": 5, "idi": 1})
+    _, row = cheapest_row(channel, run)
+    joined, stray = [], ""
+    for word, known in row:
+        if known:
+            joined += [w for w in (stray, word) if w]
+        stray = "" if known else stray + word
+    assert channel.known_words(run) == joined + [stray] * bool(stray)
+
+
+def test_channel_breaks_by_words_of_the_documents(spark):
+    """With the counts of the documents table: marks among other one-letter words, and next to each other."""
+    channel = toxicity.Channel(*toxicity.corpus_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    for text, hidden in [("a l o s e r", ["a", "loser"]), ("y o u i d 1 o t", ["idiot"]), ("s t u p i d f o o l", ["stupid", "fool"]), ("1 d 1 o t !", ["idiot"])]:
+        assert set(hidden) <= set(channel.spaced(text.split())), text
+    long = channel.known_words("aloser" * 3000)
+    assert long == ["a", "loser"] * 3000
+
+
+def test_counts_are_those_of_all_whole_texts(spark):
+    texts = ["The the, (THE) x1 tired", None, "", "the " * 5000, "ñu ÑU naïve", "a" * 70]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    trigrams, said = toxicity.corpus_counts(frame)
+    plain, letters = collections.Counter(), collections.Counter()
+    for t in texts:
+        for w in (t or "").split():
+            w = w.lower().strip(toxicity._EDGES)
+            if w.isalpha() and len(w) <= toxicity.LONGEST_WORD:
+                plain[w] += 1
+        at = [0, *(toxicity.letter(c.lower()) for c in t or ""), 0]
+        letters.update((x * 27 + y) * 27 + z for x, y, z in zip(at, at[1:], at[2:], strict=False))
+    assert said == plain
+    for x in range(27):
+        for y in range(27):
+            a = trigrams[(x * 27 + y) * 27 : (x * 27 + y + 1) * 27].tolist()
+            if x and y:  # trigrams that no text's edge takes part in
+                assert a == [letters[(x * 27 + y) * 27 + z] for z in range(27)]
+
+
+def test_scores_recomputed_word_by_word(spark):
+    """Scores of documents from the learned weights, by a plain loop over words, runs and features."""
+    import math
+    import re
+
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "y o u i d 1 o t"), (-4, "!d1ot, (the) l o s e r"), (-5, "é " * 3000), (-5, "idiot")], frame.schema)
+    frame = frame.unionByName(odd)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    teachers = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    channel = toxicity.Channel(*toxicity.corpus_counts(teachers))
+    weights, base = toxicity.learned(teachers, labels, channel)
+    channel.price_words([f[1:] for f in weights if f[0] == "=" and f[1:].isalpha()])
+    assert weights
+
+    def plain(text):
+        names, run = set(), []
+        tokens = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0d]+", text or "")]
+        for token in [*tokens, ""]:
+            low = token.lower()
+            one = low.strip(toxicity._EDGES) or low.strip(toxicity._PLAIN)
+            if len(one) == 1 and (one.isalpha() or one in toxicity.SIGNS):
+                run.append(low)
+            else:
+                if len(run) >= toxicity.LEAST_SPACED and any(map(str.isalpha, "".join(run))):
+                    names |= set(channel.spaced(run))
+                run = []
+            names |= set(channel.readings(low)) if token else set()
+        marks = {f for n in names if n for f in [f"={n}", *[n[:k] for k in (4, 5, 6) if len(n) > k]] if f in weights}
+        return 1 / (1 + math.exp(-(base + sum(weights[f] for f in marks))))
+
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(frame, weights, base, channel).collect())
+    wanted = sorted((r["doc_id"], plain(r["text"])) for r in frame.collect())
+    assert [i for i, _ in got] == [i for i, _ in wanted]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, wanted, strict=True))
+    assert sum(s > 1 / (1 + math.exp(-base)) + 1e-9 for _, s in wanted) > 5
