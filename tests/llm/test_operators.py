@@ -487,3 +487,19 @@ def test_scores_recomputed_word_by_word(spark):
     assert [i for i, _ in got] == [i for i, _ in wanted]
     assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, wanted, strict=True))
     assert sum(s > 1 / (1 + math.exp(-base)) + 1e-9 for _, s in wanted) > 5
+
+
+def test_mixing_spreads_rows_without_an_identifier(spark, monkeypatch):
+    """10,000 rows of null identifier and one text in one source: they are dealt over its shards, and the source meets its target."""
+    rows = [(None, "one two three four five six seven eight nine ten", "a")] * 10_000 + [(i, f"v{i} " * 30, "b") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    placed = frame.withColumn("at", F.monotonically_increasing_id()).groupBy("doc_id", F.pmod(mixing.drawn(mixing.SEED), F.lit(20)).alias("shard")).count()
+    assert max(r["count"] for r in placed.collect()) < 700  # 500 on average
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        # Quotas are whole blocks, and each shard rounds what it takes to the nearest block.
+        shards = -(-mine[0]["source_size"] // 5000)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= mixing.BLOCK * (1 + shards / 2)

@@ -73,13 +73,19 @@ def highest_quotients(targets: Sequence[float], seats: int, limits: Sequence[int
     return got
 
 
+def drawn(seed: int) -> Column:
+    """A seeded hash of the identifier doc_id; of the row's place `at` where that is null, as very many rows may have none."""
+    return F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("at")), F.lit(seed))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target (of its source), taken (words the mix takes).
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating. A shard's blocks run over its documents' words in a seeded
     order; a block is taken as often as the shard's quota goes round its blocks, at most `most` times. A document takes the words
     it has in taken blocks, repeats counted, so never more than `most` times its size. The same seed gives the same mix. Empty
-    texts have size 0 and take nothing; an empty table gives no rows. Rows repeated with one identifier each count. Only the table
+    texts have size 0 and take nothing; an empty table gives no rows. Rows repeated with one identifier each count; rows without one
+    are dealt by their place in the input, so that many of them spread over shards as others do. Only the table
     of sources, whose number is that of distinct source names, comes to the driver.
     """
     spark = docs.sparkSession
@@ -96,8 +102,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source string, source_size long, target double, quota long, shards long",
     )
     own = F.col("sized.source").eqNullSafe(F.col("plan.source"))
-    dealt = sized.alias("sized").join(F.broadcast(plan).alias("plan"), own).select("doc_id", "sized.source", "size", "at", "source_size", "target", "quota", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).alias("shard"))
-    dealt = dealt.withColumn("order", F.xxhash64("doc_id", F.lit(seed + 1)))
+    dealt = sized.alias("sized").join(F.broadcast(plan).alias("plan"), own).select("doc_id", "sized.source", "size", "at", "source_size", "target", "quota", F.pmod(drawn(seed), F.col("shards")).alias("shard"))
+    dealt = dealt.withColumn("order", drawn(seed + 1))
     # Quotas of shards: the same rule within each source; its shards are few, and their quotients are ranked with a window.
     shards = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
     shards = shards.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("all", F.sum("words").over(W.partitionBy("source")))
