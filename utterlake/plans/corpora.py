@@ -514,6 +514,10 @@ QUERIES = {
 
 _P = V.PAIRS
 _VEC = "y0 AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), y1 AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM y0 GROUP BY ALL), w0 AS (SELECT CAST(label AS VARCHAR) AS label, list(m ORDER BY i) AS e FROM y1 GROUP BY 1), v AS (SELECT label, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(e, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM w0), s AS (SELECT a.label AS a, b.label AS b, list_dot_product(a.u, b.u) AS similarity FROM v a CROSS JOIN v b)"
+def _draw(text: str) -> str:
+    return f"CAST('0x' || substring(md5({text}), 1, 8) AS BIGINT)"
+
+
 _F = "f0 AS (SELECT vec_id, label, embedding AS e, count(*) OVER (PARTITION BY label) AS k FROM embeddings WHERE label IS NOT NULL), f AS (SELECT vec_id, label, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(e, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM f0 WHERE k >= 2), x AS (SELECT vec_id, label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM f), c0 AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM c0 GROUP BY label), nn AS (SELECT label, count(*) AS n FROM f GROUP BY label), dd AS (SELECT a.label AS a, b.label AS b, list_distance(a.c, b.c) AS d FROM c a JOIN c b ON a.label <> b.label)"
 _M = "mg0 AS (SELECT vec_id, f.label, c.label AS other, list_distance(u, c) AS d FROM f CROSS JOIN c), mg AS (SELECT vec_id, label, min(d) FILTER (other = label) AS own, min(d) FILTER (other <> label) AS oth FROM mg0 GROUP BY ALL), ms AS (SELECT *, oth - own AS margin, (oth - own) / greatest(oth + own, 1e-12) AS normalised FROM mg)"
 _Q = ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(median({c}), 5) AS {c}_median, round(quantile_cont({c}, 0.1), 5) AS {c}_p10, round(quantile_cont({c}, 0.9), 5) AS {c}_p90" for c in ("margin", "normalised"))
@@ -601,7 +605,12 @@ SQL = {
     "g4_margin_stats": f"WITH {_F}, {_M} SELECT label, count(*) AS n, round(avg(CAST(margin > 0 AS INT)), 5) AS positive, {_Q} FROM ms GROUP BY label",
     "g5_fisher_ratio": f"WITH {_F}, o AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x) AS m FROM x GROUP BY i)), b AS (SELECT sum(n * pow(list_distance(c, mu), 2)) AS between_ FROM c JOIN nn USING (label) CROSS JOIN o), w AS (SELECT sum(pow(list_distance(u, c), 2)) AS within_ FROM f JOIN c USING (label)) SELECT round(between_, 4) AS \"between\", round(within_, 4) AS within, round(between_ / within_, 4) AS fisher FROM b CROSS JOIN w",
     "g6_silhouette_cosine": f"WITH {_F}, q AS (SELECT f.vec_id, f.label, c.label AS other, n, list_dot_product(u, c) * n AS dt FROM f CROSS JOIN c JOIN nn ON nn.label = c.label), r AS (SELECT vec_id, label, min((n - dt) / (n - 1)) FILTER (other = label) AS a, min(1 - dt / n) FILTER (other <> label) AS b FROM q GROUP BY ALL) SELECT label, count(*) AS n, round(avg((b - a) / greatest(a, b, 1e-12)), 5) AS silhouette FROM r GROUP BY label",
-    "g6_silhouette_euclidean": f"WITH {_F}, q AS (SELECT f.vec_id, f.label, g.label AS other, sum(list_distance(f.u, g.u)) AS d, count(*) AS n FROM f CROSS JOIN f g GROUP BY ALL), r AS (SELECT vec_id, label, min(d / (n - 1)) FILTER (other = label) AS a, min(d / n) FILTER (other <> label) AS b FROM q GROUP BY ALL) SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, round(avg((b - a) / greatest(a, b, 1e-12)), 5) AS silhouette FROM r GROUP BY label",
+    "g6_silhouette_euclidean": f"""WITH {_F}, o AS (SELECT *, md5(vec_id || '|0') AS h FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS r FROM o), s AS (SELECT * FROM k ORDER BY r > 1, h LIMIT 4000),
+    q AS (SELECT f.vec_id, f.label, g.label AS other, sum(list_distance(f.u, g.u)) AS d, count(*) AS n FROM s AS f CROSS JOIN s AS g GROUP BY ALL), r AS (SELECT vec_id, label, min(d / greatest(n - 1, 1)) FILTER (other = label) AS a, min(d / n) FILTER (other <> label) AS b, min(n) FILTER (other = label) AS own FROM q GROUP BY ALL)
+    SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, round(avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b, 1e-12) ELSE 0 END), 5) AS silhouette FROM r GROUP BY label""",
+    "d22_simulate_nbest": f"""WITH t AS (SELECT event_id AS key, 'go to the ' || event_type AS first, ['go', 'to', 'the', event_type] AS w, {_draw("event_id || '|heard|1|1'")} % 2 AS h, {_draw("event_id || '|drop|1'")} % 4 AS d, {_draw("event_id || '|twice|1'")} % 4 AS x FROM events),
+    f AS (SELECT key, first, unnest([replace(first, ' to ', CASE h WHEN 0 THEN ' two ' ELSE ' too ' END), array_to_string(list_concat(w[1:d], w[d + 2:]), ' '), array_to_string(list_concat(w[1:x + 1], w[x + 1:]), ' ')]) AS form FROM t)
+    SELECT key, CAST(1 + count(*) AS INT) AS n, first, arg_max(form, {_draw("key || '|sure|' || form || '|1'")}) AS second FROM f GROUP BY key, first""",
     "g7_mean_distance_ranks": f"WITH {_F}, k AS (SELECT a AS label, min(d) AS nd, avg(d) AS md FROM dd GROUP BY a), r AS (SELECT label, n, md, CAST(row_number() OVER (ORDER BY md, nd, n DESC, label) AS INT) AS rank, count(*) OVER () AS k FROM k JOIN nn USING (label)) SELECT label, n, round(md, 5) AS mean_distance, rank FROM r WHERE rank = 1 OR rank = k OR (rank - 1) % 3 = 0",
     "g7_distance_table": f"WITH {_F} SELECT a, " + ", ".join(f"round(coalesce(max(d) FILTER (b = {k}), 0), 5) AS \"{k}\"" for k in range(4)) + " FROM dd WHERE a < 4 AND b < 4 GROUP BY a",
 }

@@ -177,6 +177,15 @@ def _with_overall(counts: str) -> str:
     return f"SELECT label, tp, fp, fn, {V.PRF6} FROM ({counts}) UNION ALL SELECT 'overall', tp, fp, fn, {V.PRF6} FROM (SELECT {V.SUMS} FROM ({counts}))"
 
 
+def _known(c: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9'']+'), lambda x: NOT list_contains([{', '.join(f"'{x}'" for x in M.STOPWORDS)}], x)))"
+
+
+_CRJ = "n % 10 <> 0 AND n % 7 <> 0 AND (n % 4 <> 0 OR (n % 3 <= 1 AND n % 2 <= 1))"
+_SUBSETS = (
+    ("intent_all", "i", "true"), ("slot_all", "s", "true"), ("intent_crj", "i", "ok"), ("slot_crj", "s", "ok"), ("slot_gold_has_slots_all", "s", "slots"), ("slot_gold_has_slots_crj", "s", "ok AND slots"),
+)
+
 SQL = {
     "w1_evaluate": f"WITH {V.MATCHED}, ks AS (SELECT DISTINCT key AS k FROM pairs), {_SPANS.replace('FROM ge', 'FROM ge JOIN ks ON key = k').replace('FROM pe', 'FROM pe JOIN ks ON key = k')} "
     + " UNION ALL ".join(f"SELECT *, '{c}' AS level FROM ({_with_overall(_labels(c))})" for c in ("scenario", "action", "intent"))
@@ -221,6 +230,12 @@ SQL = {
     "m17_crj_report_strict": f"""WITH {V.PAIRS}, f AS (SELECT n % 10 <> 0 AS c_, n % 4 <> 0 AS r_, n % 7 <> 0 AS j_, n % 14 <> 1 AS v_, n % 10 <> 0 AND n % 3 <= 1 AND n % 2 <= 1 AS o_ FROM pairs),
     a AS (SELECT count(*) AS n, count_if(c_) AS n_c, count_if(r_) AS n_r_nonempty, count_if(r_) AS n_r, count_if(j_) AS n_j, count_if(o_) AS n_r_optional, count_if(c_ AND r_ AND j_) AS n_strict, count_if(c_ AND j_ AND r_) AS n_crj, count_if(v_) AS n_valid FROM f), b AS (SELECT *, least(n_crj, n_valid) AS n_crj_valid FROM a)
     SELECT *, {", ".join(f"round(n_{k} / n, 6) AS {k}_ratio" for k in ("c", "r_nonempty", "r", "j", "r_optional", "strict", "crj", "valid", "crj_valid"))} FROM b""",
+    "m16_rationale_overlap": f"""WITH {V.PAIRS}, t AS (SELECT 'The ' || gold_intent || ' is not for ' || pred_action AS a, gold_scenario || ' with ' || gold_action AS b FROM pairs), w AS (SELECT {_known("a")} AS a, {_known("b")} AS b FROM t)
+    SELECT count(*) AS n, round(avg(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END), 6) AS overlap FROM w""",
+    "m17_crj_candidates": f"""WITH {V.MATCHED}, f AS (SELECT n % 3 AS i, n % 2 AS s, {_CRJ} AS ok, EXISTS (SELECT 1 FROM ge WHERE ge.key = pairs.key) AS slots FROM pairs),
+    u AS ({" UNION ALL ".join(f"SELECT '{k}' AS subset, {c} AS x FROM f WHERE {w}" for k, c, w in _SUBSETS)})
+    SELECT subset, count(x) AS n, {", ".join(f"round(coalesce(CAST({a}(x) AS DOUBLE), 0), 6) AS {k}" for k, a in (("mean", "avg"), ("median", "median"), ("least", "min"), ("most", "max")))} FROM (SELECT unnest([{", ".join(f"'{k}'" for k, _, _ in _SUBSETS)}]) AS subset) LEFT JOIN u USING (subset) GROUP BY subset""",
+    "m17_failing_ids": f"WITH {V.PAIRS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS check, key FROM pairs WHERE NOT ({c}) ORDER BY key LIMIT 20)" for k, c in (("missing_crj", _CRJ), ("invalid_j", "n % 14 <> 1"))),
     "m18_rank_runs": f"WITH {V.PAIRS}, r AS (SELECT n % 20 AS index, round(avg(wer), 6) AS w FROM pairs GROUP BY 1), g AS (SELECT index, CASE WHEN index % 5 = 4 THEN NULL ELSE w END AS value FROM r WHERE index % 6 <> 5) SELECT index, value, CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, index) AS INT) AS rank FROM g",
     "m18_expand_grid": "SELECT a, b, CAST(row_number() OVER (ORDER BY a, b) AS INT) AS index FROM (SELECT DISTINCT event_type AS a FROM events) CROSS JOIN (SELECT DISTINCT user_id % 4 AS b FROM events)",
     "m19_group_advantage": f"WITH {V.PAIRS}, s AS (SELECT key, key % 500 AS prompt_id, CAST(n % 4 AS DOUBLE) AS reward FROM pairs), w AS (SELECT *, avg(reward) OVER (PARTITION BY prompt_id) AS mu, stddev_pop(reward) OVER (PARTITION BY prompt_id) AS sd FROM s) SELECT key, prompt_id, round((reward - mu) / (CASE WHEN sd = 0 THEN 1 ELSE sd END + 1e-6), 5) AS advantage FROM w",

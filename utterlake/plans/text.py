@@ -336,6 +336,7 @@ SQL = {
     p AS (SELECT event_id, regexp_replace(replace(replace(r, 'tʃ', 'T'), 'dʒ', 'D'), '[\s/\[\]]+', '', 'g') AS r, regexp_replace(replace(replace(h, 'tʃ', 'T'), 'dʒ', 'D'), '[\s/\[\]]+', '', 'g') AS h FROM t) SELECT event_id, round(levenshtein(r, h) / length(r), 6) AS per FROM p""",
     "p16_complete_final": f"WITH {V.CANDIDATES}, r AS (SELECT key, CASE WHEN n % 3 = 0 THEN gold_intent ELSE coalesce(CASE WHEN n % 4 <> 0 THEN gold_intent END, CASE WHEN n % 3 <> 0 THEN pred_intent END, CASE WHEN n % 2 = 0 THEN 'other_a0' END, CASE WHEN n % 7 = 0 THEN 'other_a1' END, 'unknown') END AS intent FROM c) SELECT key, intent, CASE WHEN contains(intent, '_') THEN split_part(intent, '_', 1) ELSE '' END AS scenario, CASE WHEN contains(intent, '_') THEN split_part(intent, '_', 2) ELSE intent END AS action FROM r",
     "p17_scrub_phones": "SELECT event_id, 'say AH0 ' || event_type || ' IY1 NOTAH x' AS text FROM events",
+    "m9_per": "SELECT event_id, round(levenshtein(r, h) / length(r), 6) AS per FROM (SELECT event_id, substring(event_type, 1, 4) AS r, CASE WHEN event_id % 2 = 0 THEN substring(event_type, 1, 4) ELSE 'the' END AS h FROM events)",
     "m8_wer": "SELECT event_id, round((CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4, 6) AS wer, round(levenshtein(r, h) / greatest(length(r), length(h)), 6) AS char_distance FROM (SELECT event_id, user_id, lower(event_type || ' the user ' || user_id) AS r, CASE WHEN event_id % 2 = 0 THEN event_type || ' ' ELSE '' END || 'the user ' || (user_id % 7) AS h FROM events)",
     "m10_nbest_report": "WITH w AS (SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN user_id < 7 THEN 0 ELSE 1 END) / 4 AS w FROM events WHERE event_id % 10 <> 0) SELECT (SELECT count(*) FROM events) AS n, count(*) AS scored, round(avg(w), 6) AS top1_wer, 0.0::DOUBLE AS oracle_wer, round(avg(w), 6) AS gap FROM w",
     "m4_span_distance_f1": f"WITH RECURSIVE {V.ENTITIES}, {V.GREEDY}, a AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM gc WHERE kind = 'word' GROUP BY GROUPING SETS ((label), ())) SELECT coalesce(label, 'overall') AS label, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, {V.PRF6} FROM a",
