@@ -148,11 +148,11 @@ def add_distractors(df: DataFrame, labels: DataFrame, n: int = 2, seed: int = 0,
     """
     vocabulary = labels.agg(F.array_sort(F.collect_set("label")).alias("__all"))
     out = df.crossJoin(F.broadcast(vocabulary))
-    near = F.array().cast("array<string>")
+    far = lambda x: []
     if neighbors is not None:
         out = out.join(neighbors.select(F.col("label").alias(label), F.slice("neighbors", 1, nearest).alias("__near")), label, "left")
-        near = F.coalesce("__near", near)
-    others = F.array_sort(F.transform(F.array_remove("__all", F.col(label)), lambda x: F.struct((~F.array_contains(near, x)).alias("far"), seeded(seed, key, x).alias("order"), x.alias("x"))))
+        far = lambda x: [(~F.coalesce(F.array_contains("__near", x), F.lit(False))).alias("far")]
+    others = F.array_sort(F.transform(F.array_remove("__all", F.col(label)), lambda x: F.struct(*far(x), seeded(seed, key, x).alias("order"), x.alias("x"))))
     chosen = F.concat(F.array(label), F.transform(F.slice(others, 1, n), lambda r: r["x"]))
     mixed = F.array_sort(F.transform(chosen, lambda x: F.struct(seeded(f"{seed}-order", key, x).alias("order"), x.alias("x"))))
     return out.withColumn("candidates", F.transform(mixed, lambda r: r["x"])).drop("__all", "__near")

@@ -514,6 +514,8 @@ QUERIES = {
 
 _P = V.PAIRS
 _VEC = "y0 AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), y1 AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM y0 GROUP BY ALL), w0 AS (SELECT CAST(label AS VARCHAR) AS label, list(m ORDER BY i) AS e FROM y1 GROUP BY 1), v AS (SELECT label, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(e, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM w0), s AS (SELECT a.label AS a, b.label AS b, list_dot_product(a.u, b.u) AS similarity FROM v a CROSS JOIN v b)"
+
+
 def _draw(text: str) -> str:
     return f"CAST('0x' || substring(md5({text}), 1, 8) AS BIGINT)"
 
