@@ -9,9 +9,8 @@ No bucket of candidates is turned into its pairs. First every bucket compares it
 comparisons can reach the wanted similarity, and those are verified exactly. One minus the probability Jaccard similarity is a
 metric (it is the chance that two registers differ), so members of one class need no more links among each other, and of the
 pivot's class only those stay that could reach a member outside it. What stays of a bucket goes to tasks with its shingles, in
-blocks of bounded rows and bytes, a task for each two blocks: there the members outside the most common class are verified against
-the likeliest others, and only links that join two classes come out. A bucket of many blocks is dealt anew by two bands together
-first, since documents of the wanted similarity share several.
+blocks of bounded rows and bytes, a task for each two blocks that are not both of the pivot's class: there the members outside the
+most common class are verified against the likeliest others, and only links that join two classes come out.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 SEED = 0x5EED
 BATCH_BYTES = 1_000_000
-#: Members of a block, and bytes of their shingles, about; buckets of more blocks than WIDEST are dealt by two bands.
-BLOCK, BLOCK_BYTES, WIDEST = 4096, 8_000_000, 4
+#: Members of a block, and bytes of their shingles, about.
+BLOCK, BLOCK_BYTES = 4096, 8_000_000
 #: Estimates from signatures stray by less than this, but for a chance of 1e-5 at the worst and 1e-8 at a similarity of 0.8.
 STRAY = 0.2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -231,11 +230,11 @@ class Shingled:
 def _links(rows: pa.Table, threshold: float, likely: float, bands: int) -> pa.Table:
     """Links that join the classes of a task's texts; the pairs of two blocks, or of one with itself, that a bucket stands for.
 
-    A pair is looked at in the first bucket (or first two bands together) that it shares. Likeliest candidates come first, and
-    those that have joined a text's class meanwhile need no look.
+    A pair is looked at in the first bucket that it shares. Likeliest candidates come first, and those that have joined a text's
+    class meanwhile need no look.
     """
     signature, label, own, doc = _matrix(rows.column("signature")), *(np.array(rows.column(c).to_pylist(), np.int64) for c in ("label", "own", "doc"))
-    one, two, low, high = (rows.column(c)[0].as_py() for c in ("one", "two", "low", "high"))
+    one, low, high = (rows.column(c)[0].as_py() for c in ("one", "low", "high"))
     texts, label = Shingled(rows), np.unique(label, return_inverse=True)[1]
     common = np.bincount(label).argmax()
     found: list[tuple[int, int]] = []
@@ -248,7 +247,7 @@ def _links(rows: pa.Table, threshold: float, likely: float, bands: int) -> pa.Ta
         estimate = equal.mean(axis=1)
         near, estimate, equal = near[estimate >= likely], estimate[estimate >= likely], equal[estimate >= likely]
         alike = equal.reshape(len(near), bands, equal.shape[1] // bands).all(axis=2)
-        mine = alike[:, one] & (alike[:, :one].sum(axis=1) == 0) if two < 0 else alike[:, one] & alike[:, two] & (alike[:, :two].sum(axis=1) == 1)
+        mine = alike[:, one] & (alike[:, :one].sum(axis=1) == 0)
         near = near[mine][np.argsort(-estimate[mine], kind="stable")]
         step = 8
         while len(near):
@@ -278,10 +277,10 @@ def classes(edges: DataFrame, label: str = "near-classes") -> DataFrame:
 
 
 def near_links(docs: DataFrame, shingled_of: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) that hold the classes of docs(doc_id, bands, signature); shingled_of(ids) gives doc_id, keys, counts of documents."""
+    """Verified links (a, b) that hold the classes of docs(doc_id, size, bands, signature); shingled_of(ids) gives doc_id, keys, counts of
+    documents, and size is the number of their keys."""
     reach, likely = 1.0 - threshold, threshold - STRAY
-    placed = docs.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value"))
-    spread = placed.select("doc", "band", F.xxhash64("band", "value").alias("bucket"))
+    spread = docs.select(F.col("doc_id").alias("doc"), "size", F.posexplode("bands").alias("band", "value")).select("doc", "size", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("pivot")).where("n > 1").select("bucket", "pivot")
     rows = written(spread.join(shared, "bucket").where("doc != pivot"), "near-rows")
     signed = docs.select("doc_id", "signature")
@@ -299,32 +298,28 @@ def near_links(docs: DataFrame, shingled_of: Callable[[DataFrame], DataFrame], t
     far = written(rows.join(known, ["pivot", "doc"]), "near-far")
     nearest = far.where("label != main").groupBy("bucket").agg(F.min("far").alias("nearest"))
     stay = far.join(nearest, "bucket").where((F.col("label") != F.col("main")) | (F.col("farthest") >= F.col("nearest") - reach - 1e-9))
-    stay = written(stay.select("bucket", "doc", "label", F.col("band").alias("one"), F.lit(-1).alias("two")), "near-left")
-    sizes = _sizes(stay, shingled, block)
-    tasks = _tasks(stay, sizes.where(F.col("blocks") <= WIDEST))
-    large = written(stay.join(sizes.where(F.col("blocks") > WIDEST).select("bucket"), "bucket", "left_semi"), "near-large")
-    if large.head(1):
-        second = placed.select("doc", F.col("band").alias("second"), "value")
-        pairs = large.join(second, "doc").where(F.col("second") > F.col("one")).select(F.xxhash64("bucket", "second", "value").alias("bucket"), "doc", "label", "one", F.col("second").alias("two"))
-        pairs = written(pairs, "near-pairs")
-        tasks = tasks.unionByName(_tasks(pairs, _sizes(pairs, shingled, block)))
-    dealt = tasks.join(signed.withColumnRenamed("doc_id", "doc"), "doc").join(shingled.withColumnRenamed("doc_id", "doc"), "doc")
-    last = dealt.groupBy("bucket", "low", "high").applyInArrow(lambda t: _links(t, threshold, likely, bands), "a long, b long")
+    stay = written(stay.select("bucket", "doc", "size", "label", (F.col("label") != F.col("main")).alias("outside"), F.col("band").alias("one")), "near-left")
+    texts = written(signed.join(shingled, "doc_id").withColumnRenamed("doc_id", "doc"), "near-texts")
+    last = _tasks(stay, block).join(texts, "doc").groupBy("bucket", "low", "high").applyInArrow(lambda t: _links(t, threshold, likely, bands), "a long, b long")
     return links.unionByName(last).distinct()
 
 
-def _sizes(rows: DataFrame, shingled: DataFrame, block: int) -> DataFrame:
-    """Buckets with texts of two classes, and into how many blocks of bounded rows and bytes they go."""
-    bytes_of = shingled.select(F.col("doc_id").alias("doc"), F.length("keys").cast("long").alias("bytes"))
-    found = rows.join(bytes_of, "doc").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
-    return written(found.where("least != most").select("bucket", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
+def _tasks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of the buckets with texts of two classes, once for each pair of blocks that their own is in.
 
-
-def _tasks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of each bucket, once for each pair of blocks that their own is in."""
-    placed = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return both.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "label", "one", "two")
+    Blocks have bounded rows and bytes. What is outside the pivot's class meets all blocks, what is in it only blocks of outside ones:
+    a bucket with few outside costs its rows once more for each block of those few. A bucket that fits one block is one.
+    """
+    n, size = F.count(F.lit(1)), F.sum("size") * 8
+    counts = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES)).cast("int")
+    of = lambda kind: counts(F.count_if(kind), F.coalesce(F.sum(F.when(kind, F.col("size"))), F.lit(0)) * 8)
+    found = rows.groupBy("bucket").agg(counts(n, size).alias("all"), of(F.col("outside")).alias("out"), of(~F.col("outside")).alias("in"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    sizes = found.select("bucket", F.when(F.col("all") <= 1, 1).otherwise(F.col("out")).alias("out"), F.when(F.col("all") <= 1, 0).otherwise(F.col("in")).alias("in"))
+    placed = rows.join(written(sizes, "near-sizes"), "bucket")
+    free = F.col("outside") | (F.col("in") == 0)
+    own = F.when(free, F.pmod(F.xxhash64("doc"), F.col("out"))).otherwise(F.col("out") + F.pmod(F.xxhash64("doc"), F.col("in"))).cast("int")
+    both = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(free, F.col("out") + F.col("in")).otherwise(F.col("out")) - 1)))
+    return both.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "label", "one")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -335,7 +330,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     were verified at a document's representative, enough to hold its class together. Texts without words are each a class of
     their own, as are rows with a null identifier. Rows that repeat an identifier are one document; of their texts that differ, the
     one with the least digest speaks for it. Other columns of docs are not read.
-    With 32 bands of 4 registers a pair of similarity 0.8 shares no band with a chance of 5e-8, and fewer than two with 1e-6.
+    With 32 bands of 4 registers a pair of similarity 0.8 shares no band with a chance of 5e-8.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     signed = written(source.mapInArrow(lambda b: _signed(b, size, bands, rows), "doc_id long, same long, too long, size long, bands array<long>, signature binary"), "near-signatures")
@@ -346,7 +341,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = full.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("s")).select("doc_id", "s.*")
     stands = written(full.groupBy(*same).agg(F.min("doc_id").alias("first")), "near-contents")
     member = written(full.join(stands, same).select("doc_id", "first"), "near-members")
-    chosen = signed.join(stands.withColumnRenamed("first", "doc_id"), ["doc_id", *same]).select("doc_id", "same", "too", "bands", "signature")
+    chosen = signed.join(stands.withColumnRenamed("first", "doc_id"), ["doc_id", *same]).select("doc_id", "same", "too", "size", "bands", "signature")
     chosen = written(chosen.dropDuplicates(["doc_id"]) if repeated else chosen, "near-chosen")
 
     def shingled_of(ids: DataFrame) -> DataFrame:
