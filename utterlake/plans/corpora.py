@@ -208,9 +208,16 @@ def j10(spark, d):
     return J.attach_nbest(e.select(F.col("event_id").alias("id"), F.lit("gold").alias("transcript")), cache).select("id", "transcript", F.size("nbest").alias("n"))
 
 
+def _tenth(x):
+    """A double to one digit as SQL rounds it: ten times the double, halves away from zero; Spark rounds its shortest decimal text."""
+    scaled = F.abs(x * 10)
+    whole = F.floor(scaled)
+    return F.when(x < 0, -1.0).otherwise(1.0) * F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole) / 10
+
+
 def _utts(spark, d):
     e = V.table(spark, d, "events").select(F.col("user_id").alias("slurp_id"), "event_id", "value")
-    rec = F.struct(F.format_string("f%s", "event_id").alias("file"), F.when(F.col("event_id") % 5 != 0, F.round(F.col("value") % 1, 1)).alias("wer"), F.when(F.col("event_id") % 3 == 0, "correct").otherwise("wrong").alias("status"))
+    rec = F.struct(F.format_string("f%s", "event_id").alias("file"), F.when(F.col("event_id") % 5 != 0, _tenth(F.col("value") % 1)).alias("wer"), F.when(F.col("event_id") % 3 == 0, "correct").otherwise("wrong").alias("status"))
     return e.groupBy("slurp_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))), lambda x: x["r"]).alias("recordings")).withColumn("sentence", F.col("slurp_id").cast("string"))
 
 
