@@ -105,7 +105,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = sized.alias("sized").join(F.broadcast(plan).alias("plan"), own).select("doc_id", "sized.source", "size", "at", "source_size", "target", "quota", F.pmod(drawn(seed), F.col("shards")).alias("shard"))
     dealt = dealt.withColumn("order", drawn(seed + 1))
     # Quotas of shards: the same rule within each source; its shards are few, and their quotients are ranked with a window.
-    shards = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
+    # Both small tables are written: what comes after would hold the whole plan behind them several times.
+    shards = written(dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words")), "mix-shards")
     shards = shards.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("all", F.sum("words").over(W.partitionBy("source")))
     shards = shards.withColumn("ideal", F.when(F.col("all") > 0, F.col("quota") * F.col("words") / F.col("all")).otherwise(0.0)).withColumn("given", F.greatest(F.lit(0), F.least(F.col("blocks") * most, F.floor("ideal") - 1)))
     shards = shards.withColumn("sure", F.sum("given").over(W.partitionBy("source")))
@@ -116,6 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = ["source", "shard"]
     match = lambda a, b: (F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))) & (F.col(f"{a}.shard") == F.col(f"{b}.shard"))
     quota = shards.alias("a").join(won.alias("b"), match("a", "b"), "left").where("words > 0").select("a.source", "a.shard", "words", (F.col("given") + F.coalesce("more", F.lit(0))).alias("share"))
+    quota = written(quota, "mix-quotas")
     placed = dealt.where("size > 0").withColumn("end", F.sum("size").over(W.partitionBy(*same).orderBy("order", "doc_id", "at").rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
     spans = placed.select(*same, "at", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
